@@ -1 +1,301 @@
-"""Registered single-period reports."""
+"""Registered single-period reports with their SQL twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import SEGMENT_ORDER
+from ..operators import snapshot as S
+from .registry import report
+from .sql import dsum, dsum0, q, r6, ratio, segment_case, values
+
+
+def _kpi_rows(src: str, items) -> str:
+    """items: (kpi, expr_cur, expr_prev) over ``src``."""
+    cols = ", ".join(f"{c} AS c{i}, {p} AS p{i}" for i, (_, c, p) in enumerate(items))
+    union = " UNION ALL ".join(f"SELECT {q(k)} AS kpi, c{i} AS cv, p{i} AS pv FROM k" for i, (k, _, _) in enumerate(items))
+    return f""", k AS (SELECT {cols} FROM {src}),
+kr AS ({union})
+SELECT kpi, {r6('cv')} AS "current", {r6('pv')} AS previous,
+  round((cv - pv) / NULLIF(pv, 0) * 100, 6) AS delta_pct FROM kr"""
+
+
+def _side(c, s):
+    return f"CASE WHEN side = '{s}' THEN {c} END"
+
+
+@report("panorama_kpis", sql=_kpi_rows("daily_s", [
+    ("hours", dsum0(_side("hours", "cur")), dsum0(_side("hours", "prev"))),
+    ("unique_contents", f"CAST(coalesce(sum({_side('contents', 'cur')}), 0) AS DOUBLE)",
+     f"CAST(coalesce(sum({_side('contents', 'prev')}), 0) AS DOUBLE)"),
+    ("active_users", f"CAST(coalesce(sum({_side('active', 'cur')}), 0) AS DOUBLE)",
+     f"CAST(coalesce(sum({_side('active', 'prev')}), 0) AS DOUBLE)"),
+    ("effective_users", dsum0(_side("effective", "cur")), dsum0(_side("effective", "prev")))]))
+def panorama_kpis_q(b):
+    return S.panorama_kpis(b.daily_with_side(), b.cfg)
+
+
+@report("panorama_snapshot", sql=_kpi_rows("usage_s", [
+    ("hours", dsum0(_side("hours", "cur")), dsum0(_side("hours", "prev"))),
+    ("contents", dsum0(_side("contents", "cur")), dsum0(_side("contents", "prev"))),
+    ("users_with_rows", f"CAST(count(DISTINCT {_side('user_id', 'cur')}) AS DOUBLE)",
+     f"CAST(count(DISTINCT {_side('user_id', 'prev')}) AS DOUBLE)")]))
+def panorama_snapshot_q(b):
+    return S.panorama_snapshot(b.with_side(), b.cfg)
+
+
+@report("panorama_by_brand", sql=lambda cfg: f"""
+, g AS (
+  SELECT brand, {dsum(_side('hours', 'cur'))} AS hc, {dsum(_side('hours', 'prev'))} AS hp,
+    {dsum(_side('contents', 'cur'))} AS cc, {dsum(_side('contents', 'prev'))} AS cp,
+    count(DISTINCT {_side('user_id', 'cur')}) AS uc, count(DISTINCT {_side('user_id', 'prev')}) AS up
+  FROM usage_s GROUP BY brand)
+SELECT v.brand, round(coalesce(hc, 0.0), 6) AS hours_current, round(coalesce(hp, 0.0), 6) AS hours_previous,
+  round(coalesce(cc, 0.0), 6) AS contents_current, round(coalesce(cp, 0.0), 6) AS contents_previous,
+  CAST(coalesce(uc, 0) AS BIGINT) AS users_current, CAST(coalesce(up, 0) AS BIGINT) AS users_previous
+FROM {values('brand', cfg.reported_brands)} LEFT JOIN g ON v.brand = g.brand""")
+def panorama_by_brand_q(b):
+    return S.panorama_by_brand(b.with_side(), b.cfg)
+
+
+@report("hours_per_user", sql=f"SELECT user_id, hours, {segment_case('hours')} AS segment FROM hpu_cur")
+def hours_per_user_q(b):
+    return S.hours_per_user(b.cur, b.cfg)
+
+
+@report("activation_share", sql=f"""
+, g AS (SELECT CASE WHEN hours = 0 THEN 'No activados' ELSE 'Activados' END AS label, count(*) AS users
+        FROM hpu_cur GROUP BY 1)
+SELECT v.label, round(coalesce(CAST(users AS DOUBLE) / NULLIF((SELECT count(*) FROM hpu_cur), 0), 0.0), 6) AS share
+FROM {values('label', ['No activados', 'Activados'])} LEFT JOIN g ON v.label = g.label""")
+def activation_share_q(b):
+    return S.activation_share(b.cur, b.cfg)
+
+
+@report("intensity_share", sql=f"""
+, a AS (SELECT {segment_case('hours')} AS segment FROM hpu_cur WHERE hours <> 0),
+g AS (SELECT segment, count(*) AS users FROM a GROUP BY 1)
+SELECT v.segment, round(coalesce(CAST(users AS DOUBLE) / NULLIF((SELECT count(*) FROM a), 0), 0.0), 6) AS share
+FROM {values('segment', SEGMENT_ORDER)} LEFT JOIN g ON v.segment = g.segment""")
+def intensity_share_q(b):
+    return S.intensity_share(b.cur, b.cfg)
+
+
+@report("segment_counts", sql=f"""
+, g AS (SELECT {segment_case('hours')} AS segment, count(*) AS users FROM hpu_cur GROUP BY 1)
+SELECT v.segment, CAST(coalesce(users, 0) AS BIGINT) AS users
+FROM {values('segment', ('No activados',) + SEGMENT_ORDER)} LEFT JOIN g ON v.segment = g.segment""")
+def segment_counts_q(b):
+    return S.segment_counts(b.cur, b.cfg)
+
+
+def _segments_by_brand_sql(cfg):
+    segs = ", ".join(
+        f"round(coalesce(CAST(count(*) FILTER (WHERE {segment_case('hours')} = {q(s)}) AS DOUBLE) / "
+        f"NULLIF(count(*) FILTER (WHERE hours <> 0), 0), 0.0), 6) AS {c}"
+        for c, s in zip(S.SEGMENT_COLUMNS, SEGMENT_ORDER))
+    brands = ", ".join(q(x) for x in cfg.reported_brands)
+    return f"""
+, hb AS (SELECT brand, user_id, {dsum0('hours')} AS hours FROM cur
+         WHERE user_id IS NOT NULL AND brand IN ({brands}) GROUP BY 1, 2)
+SELECT brand, CAST(count(*) AS BIGINT) AS n_users,
+  round(CAST(count(*) FILTER (WHERE hours = 0) AS DOUBLE) / count(*), 6) AS not_activated,
+  round(CAST(count(*) FILTER (WHERE hours <> 0) AS DOUBLE) / count(*), 6) AS activated, {segs}
+FROM hb GROUP BY brand"""
+
+
+@report("segments_by_brand", sql=_segments_by_brand_sql)
+def segments_by_brand_q(b):
+    return S.segments_by_brand(b.cur, b.cfg)
+
+
+_TOP_SHARE_SQL = """
+, ranked AS (SELECT hours, row_number() OVER (ORDER BY hours DESC) AS rn FROM {src}),
+st AS (SELECT count(*) AS n, {tot} AS tot FROM {src}),
+kk AS (SELECT p, greatest(1, CAST(round_even(n * p, 0) AS BIGINT)) AS k, tot
+       FROM (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.05 AS DOUBLE)), (CAST(0.10 AS DOUBLE))) AS t(p), st),
+ts AS (
+  SELECT p * 100 AS pct, k,
+    round(CASE WHEN tot > 0 THEN (SELECT {rsum} FROM ranked WHERE rn <= kk.k) / tot * 100 END, 6) AS share
+  FROM kk)"""
+
+
+def top_share_sql(src: str) -> str:
+    return _TOP_SHARE_SQL.format(src=src, tot=dsum0("hours"), rsum=dsum("hours"))
+
+
+@report("top_share", sql=top_share_sql("hpu_cur") + "\nSELECT pct, k, share FROM ts")
+def top_share_q(b):
+    return S.top_share(b.cur, b.cfg)
+
+
+@report("hours_distribution", sql=top_share_sql("hpu_cur") + f"""
+SELECT CAST(count(*) AS BIGINT) AS n_users, CAST(count(*) FILTER (WHERE hours > 0) AS BIGINT) AS n_activated,
+  round({ratio('count(*) FILTER (WHERE hours > 0)', 'count(*)')} * 100, 6) AS pct_activated,
+  round({dsum0('hours')}, 6) AS hours_total,
+  round({ratio(dsum('hours'), 'count(*)')}, 6) AS mean_all,
+  round(quantile_cont(hours, 0.5), 6) AS median_all,
+  round({ratio(dsum('CASE WHEN hours > 0 THEN hours END'), 'count(*) FILTER (WHERE hours > 0)')}, 6) AS mean_act,
+  round(quantile_cont(hours, 0.5) FILTER (WHERE hours > 0), 6) AS median_act,
+  round(quantile_cont(hours, 0.25) FILTER (WHERE hours > 0), 6) AS p25_act,
+  round(quantile_cont(hours, 0.75) FILTER (WHERE hours > 0), 6) AS p75_act,
+  round(quantile_cont(hours, 0.90) FILTER (WHERE hours > 0), 6) AS p90_act,
+  round({ratio('count(*) FILTER (WHERE hours > 0 AND hours >= 1.0/3.0)', 'count(*) FILTER (WHERE hours > 0)')} * 100, 6)
+    AS pct_ge20min,
+  round({ratio('count(*) FILTER (WHERE hours > 0 AND hours >= 1)', 'count(*) FILTER (WHERE hours > 0)')} * 100, 6)
+    AS pct_ge1h,
+  CAST(count(*) FILTER (WHERE hours > 0 AND hours >= 1.0/3.0) AS BIGINT) AS n_ge20min,
+  (SELECT share FROM ts WHERE abs(pct - 1) < 1e-9) AS share_top1,
+  (SELECT share FROM ts WHERE abs(pct - 5) < 1e-9) AS share_top5,
+  (SELECT share FROM ts WHERE abs(pct - 10) < 1e-9) AS share_top10
+FROM hpu_cur""")
+def hours_distribution_q(b):
+    return S.hours_distribution(b.cur, b.cfg)
+
+
+@report("max_progress", sql="SELECT user_id, course_id, progress FROM mp_cur")
+def max_progress_q(b):
+    return S.max_progress(b.cur, b.cfg)
+
+
+@report("progress_distribution", sql="""
+SELECT progress, CAST(count(*) AS BIGINT) AS pairs,
+  round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM mp_cur), 6) AS share
+FROM mp_cur GROUP BY progress""")
+def progress_distribution_q(b):
+    return S.progress_distribution(b.cur, b.cfg)
+
+
+@report("progress_summary", sql=f"""
+SELECT CAST(count(*) AS BIGINT) AS pairs,
+  round({ratio('count(*) FILTER (WHERE progress < 20)', 'count(*)')}, 6) AS pct_below20,
+  round({ratio('count(*) FILTER (WHERE progress >= 80)', 'count(*)')}, 6) AS pct_at_least80
+FROM mp_cur""")
+def progress_summary_q(b):
+    return S.progress_summary(b.cur, b.cfg)
+
+
+def _progress_by_brand_sql(cfg):
+    brands = ", ".join(q(x) for x in cfg.reported_brands)
+    vals = [v for _, v in cfg.progress_bands]
+    shares = ", ".join(
+        f"round(coalesce({ratio(f'g.n{v}', 'g.pairs')}, 0.0), 6) AS share_{v}" for v in vals)
+    ns = ", ".join(f"count(*) FILTER (WHERE progress = {v}) AS n{v}" for v in vals)
+    return f"""
+, present AS (SELECT DISTINCT brand FROM cur WHERE brand IN ({brands})),
+mpb AS (SELECT brand, user_id, course_id, max(progress) AS progress FROM cur
+        WHERE user_id IS NOT NULL AND brand IN ({brands}) GROUP BY 1, 2, 3 HAVING max(progress) IS NOT NULL),
+g AS (SELECT brand, count(*) AS pairs, {ns} FROM mpb GROUP BY brand)
+SELECT present.brand, CAST(coalesce(g.pairs, 0) AS BIGINT) AS pairs, {shares}
+FROM present LEFT JOIN g ON present.brand = g.brand"""
+
+
+@report("progress_by_brand", sql=_progress_by_brand_sql)
+def progress_by_brand_q(b):
+    return S.progress_by_brand(b.cur, b.cfg)
+
+
+def funnel_sql(src: str, cfg, name: str = "fz") -> str:
+    t = 1.0 / 3.0 if abs(cfg.twenty_minutes - 1.0 / 3.0) < 1e-15 else cfg.twenty_minutes
+    tx = "1.0/3.0" if t == 1.0 / 3.0 else repr(t)
+    return f"""
+, {name}_f AS (SELECT count(*) AS enrolled, count(*) FILTER (WHERE hours > 0) AS gt0,
+    count(*) FILTER (WHERE hours >= {tx}) AS ge20, count(*) FILTER (WHERE hours >= 1) AS ge1,
+    count(*) FILTER (WHERE hours >= 5) AS ge5 FROM {src}),
+{name}_l AS (SELECT count(DISTINCT user_id) AS lic FROM roster),
+{name}_r AS (
+  SELECT 0 AS step, 'licensed' AS stage, lic AS users, 'roster' AS source FROM {name}_l, {name}_f
+    WHERE lic > 0 AND lic >= enrolled
+  UNION ALL SELECT 1, 'enrolled', enrolled, 'snapshot' FROM {name}_f
+  UNION ALL SELECT 2, 'hours_gt_0', gt0, 'snapshot' FROM {name}_f
+  UNION ALL SELECT 3, 'hours_ge_20min', ge20, 'snapshot' FROM {name}_f
+  UNION ALL SELECT 4, 'hours_ge_1h', ge1, 'snapshot' FROM {name}_f
+  UNION ALL SELECT 5, 'hours_ge_5h', ge5, 'snapshot' FROM {name}_f),
+{name} AS (
+  SELECT step, stage, CAST(users AS BIGINT) AS users, source,
+    round({ratio('users', 'first_value(users) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)')} * 100, 6) AS pct_base,
+    round({ratio('users', 'lag(users) OVER (ORDER BY step)')} * 100, 6) AS pct_step,
+    (SELECT lic > 0 AND lic < enrolled FROM {name}_l, {name}_f) AS roster_omitted
+  FROM {name}_r)"""
+
+
+@report("funnel", sql=lambda cfg: funnel_sql("hpu_cur", cfg) + "\nSELECT * FROM fz")
+def funnel_q(b):
+    return S.funnel(b.cur, b.roster, b.cfg)
+
+
+@report("funnel_compare", sql=lambda cfg: funnel_sql("hpu_cur", cfg, "fc") + funnel_sql("hpu_prev", cfg, "fp") + """
+SELECT fc.step, fc.stage, fc.users, fc.pct_base, fc.pct_step, fp.users AS users_prev,
+  fp.pct_base AS pct_base_prev, fp.pct_step AS pct_step_prev
+FROM fc LEFT JOIN fp ON fc.stage = fp.stage""")
+def funnel_compare_q(b):
+    return S.funnel_compare(S.funnel(b.cur, b.roster, b.cfg), S.funnel(b.prev, b.roster, b.cfg))
+
+
+@report("active_vs_effective", sql=f"""
+SELECT side, round(CAST(coalesce(sum(active), 0) AS DOUBLE), 6) AS active_ud,
+  round(CAST(coalesce(sum(effective_raw), 0) AS DOUBLE), 6) AS effective_ud,
+  round({ratio('sum(effective_raw)', 'sum(active)')} * 100, 6) AS ratio,
+  round(avg(active), 6) AS active_day_mean, round(quantile_cont(CAST(active AS DOUBLE), 0.5), 6) AS active_day_median,
+  round({ratio('coalesce(sum(effective_raw), 0)', 'count(*)')}, 6) AS effective_day_mean,
+  round(quantile_cont(CAST(effective_raw AS DOUBLE), 0.5), 6) AS effective_day_median,
+  CAST(count(*) AS BIGINT) AS days
+FROM daily_s GROUP BY side""")
+def active_vs_effective_q(b):
+    return S.active_vs_effective(b.daily_with_side(), b.cfg)
+
+
+def cert_sql(src: str) -> str:
+    return f"""
+, pu AS (SELECT user_id, count(*) AS c FROM {src} WHERE certified AND user_id IS NOT NULL GROUP BY user_id)
+SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(count(*) FILTER (WHERE certified) AS BIGINT) AS certificates,
+  round({ratio('count(*) FILTER (WHERE certified)', 'count(*)')} * 100, 6) AS rate_pair,
+  CAST(count(DISTINCT user_id) AS BIGINT) AS users,
+  CAST(count(DISTINCT user_id) FILTER (WHERE certified) AS BIGINT) AS users_with_cert,
+  round({ratio('count(DISTINCT user_id) FILTER (WHERE certified)', 'count(DISTINCT user_id)')} * 100, 6) AS rate_user,
+  (SELECT round(avg(c), 6) FROM pu) AS cert_per_user_mean,
+  (SELECT round(quantile_cont(CAST(c AS DOUBLE), 0.5), 6) FROM pu) AS cert_per_user_median,
+  CAST(count(*) FILTER (WHERE progress >= 90) AS BIGINT) AS pairs_done,
+  round({ratio('count(*) FILTER (WHERE progress >= 90 AND certified)', 'count(*) FILTER (WHERE progress >= 90)')} * 100, 6)
+    AS cert_rate_done,
+  CAST(count(*) FILTER (WHERE certified AND progress < 20) AS BIGINT) AS incoherent,
+  round({ratio(dsum('CASE WHEN certified THEN hours END'), dsum('hours'))} * 100, 6) AS pct_hours_cert
+FROM {src}"""
+
+
+@report("certification", sql=cert_sql("cur"))
+def certification_q(b):
+    return S.certification(b.cur, b.cfg)
+
+
+@report("certification_by_period", sql=f"""
+SELECT u.period_index, p.label, CAST(count(*) FILTER (WHERE certified) AS BIGINT) AS certificates,
+  CAST(count(DISTINCT user_id) FILTER (WHERE certified) AS BIGINT) AS users_with_cert,
+  round_even({ratio('count(DISTINCT user_id) FILTER (WHERE certified)', 'count(DISTINCT user_id)')} * 100, 1) AS rate_user,
+  round_even({ratio('count(*) FILTER (WHERE certified)', 'count(*)')} * 100, 2) AS rate_pair
+FROM usage u JOIN periods p ON u.period_index = p.period_index GROUP BY u.period_index, p.label""")
+def certification_by_period_q(b):
+    return S.certification_by_period(b.usage, b.periods, b.cfg)
+
+
+def _cert_group_sql(col: str) -> str:
+    return f"""
+SELECT '{col}' AS group_column, g.{col} AS group_value, CAST(count(DISTINCT user_id) AS BIGINT) AS users,
+  CAST(count(*) FILTER (WHERE certified) AS BIGINT) AS certificates,
+  CAST(count(DISTINCT user_id) FILTER (WHERE certified) AS BIGINT) AS users_with_cert,
+  round_even({ratio('count(DISTINCT user_id) FILTER (WHERE certified)', 'count(DISTINCT user_id)')} * 100, 1) AS rate_user,
+  (SELECT round_even(avg(c), 2) FROM (SELECT count(*) AS c FROM cur x WHERE x.certified AND x.user_id IS NOT NULL
+     AND x.{col} = g.{col} GROUP BY x.user_id)) AS cert_per_user_mean,
+  (SELECT round(quantile_cont(CAST(c AS DOUBLE), 0.5), 6) FROM (SELECT count(*) AS c FROM cur x WHERE x.certified
+     AND x.user_id IS NOT NULL AND x.{col} = g.{col} GROUP BY x.user_id)) AS cert_per_user_median
+FROM cur g WHERE g.{col} IS NOT NULL GROUP BY g.{col}"""
+
+
+@report("certification_by_group", sql="\n".join(
+    [_cert_group_sql("brand"), "UNION ALL", _cert_group_sql("center"), "UNION ALL", _cert_group_sql("level")]))
+def certification_by_group_q(b):
+    parts = [S.certification_by_group(b.cur, c, b.cfg) for c in ("brand", "center", "level")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

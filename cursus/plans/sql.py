@@ -84,6 +84,17 @@ def period_label(idx: str, cfg: Config) -> str:
             f"lpad(CAST(({idx} // 12) % 100 AS VARCHAR), 2, '0') END)")
 
 
+def segment_case(h: str) -> str:
+    return (f"CASE WHEN {h} = 0 THEN 'No activados' WHEN {h} <= 1 THEN 'Exploradores' "
+            f"WHEN {h} <= 5 THEN 'Constantes' WHEN {h} <= 20 THEN 'Intensivos' ELSE 'Power users' END")
+
+
+def values(col: str, items, alias: str = "v") -> str:
+    """A literal one-column table (labels with their order)."""
+    rows = ", ".join(f"({q(x)}, {i})" for i, x in enumerate(items))
+    return f"(VALUES {rows}) AS {alias}({col}, ord)"
+
+
 def prefix(cfg: Config) -> str:
     grain_idx = ("CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS INTEGER)"
                  if cfg.grain == "quarter" else
@@ -149,6 +160,15 @@ periods AS (
   FROM pdim),
 cur AS (SELECT * FROM usage WHERE period_index = (SELECT period_index FROM periods WHERE side = 'cur')),
 prev AS (SELECT * FROM usage WHERE period_index = (SELECT period_index FROM periods WHERE side = 'prev')),
+usage_s AS (SELECT u.*, p.side FROM usage u JOIN periods p ON u.period_index = p.period_index WHERE p.side IS NOT NULL),
+daily_s AS (
+  SELECT d.*, p.side FROM daily d JOIN periods p ON {period_of('d.day', cfg)} = p.period_index
+  WHERE p.side IS NOT NULL),
+hpu_cur AS (SELECT user_id, {dsum0('hours')} AS hours FROM cur WHERE user_id IS NOT NULL GROUP BY 1),
+hpu_prev AS (SELECT user_id, {dsum0('hours')} AS hours FROM prev WHERE user_id IS NOT NULL GROUP BY 1),
+mp_cur AS (
+  SELECT user_id, course_id, max(progress) AS progress FROM cur WHERE user_id IS NOT NULL
+  GROUP BY 1, 2 HAVING max(progress) IS NOT NULL),
 panel AS (
   SELECT u.user_id, u.period_index, p.pos, p.label, p.max_pos, {dsum0('u.hours')} AS hours,
     min(u.brand) AS brand, min(u.population) AS population
