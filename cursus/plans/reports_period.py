@@ -299,3 +299,247 @@ def certification_by_group_q(b):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ---------------------------------------------------------------- catalogue (2.D)
+from ..functions.names import normalise_text  # noqa: E402
+from ..operators import catalog as K  # noqa: E402
+from ..operators import paths as PT  # noqa: E402
+
+_CATALOG_SQL = f"""
+, cat AS (
+  SELECT course_id, max(course_name) AS course_name, {dsum0('hours')} AS hours, count(*) AS enrolments,
+    count(DISTINCT user_id) AS users, count(*) FILTER (WHERE certified) AS certificates,
+    avg(progress) AS progress_mean, quantile_cont(progress, 0.5) AS progress_median,
+    min(template) AS template, min(course_created) AS created
+  FROM cur GROUP BY course_id),
+pv AS (SELECT course_id, {dsum0('hours')} AS hours_prev FROM prev GROUP BY course_id),
+catx AS (
+  SELECT cat.course_id, course_name, round(hours, 6) AS hours, CAST(enrolments AS BIGINT) AS enrolments,
+    CAST(users AS BIGINT) AS users, CAST(certificates AS BIGINT) AS certificates,
+    round(progress_mean, 6) AS progress_mean, round(progress_median, 6) AS progress_median, template, created,
+    round({ratio('hours', 'users')}, 6) AS hours_per_user,
+    CAST(datediff('day', created, (SELECT max(created) FROM cat)) AS INTEGER) AS age_days,
+    hours < {{dormant}} AS dormant, round(coalesce(pv.hours_prev, 0.0), 6) AS hours_prev,
+    round(hours - coalesce(pv.hours_prev, 0.0), 6) AS delta, hours AS hours_raw
+  FROM cat LEFT JOIN pv ON cat.course_id = pv.course_id)"""
+
+
+def _catalog_sql(cfg):
+    return _CATALOG_SQL.replace("{dormant}", repr(float(cfg.dormant_hours)))
+
+
+@report("course_catalog", sql=lambda cfg: _catalog_sql(cfg) + "\nSELECT * EXCLUDE (hours_raw) FROM catx")
+def course_catalog_q(b):
+    return K.course_catalog(b.cur, b.prev, b.cfg)
+
+
+@report("catalog_cohorts", sql=lambda cfg: _catalog_sql(cfg) + f"""
+SELECT CAST(date_trunc('month', created) AS DATE) AS month, CAST(count(*) AS BIGINT) AS courses,
+  round({dsum0('hours')}, 6) AS hours, CAST(sum(users) AS BIGINT) AS users,
+  CAST(count(*) FILTER (WHERE dormant) AS BIGINT) AS dormant,
+  round({dsum0('hours')} / count(*), 6) AS hours_per_course
+FROM catx WHERE created IS NOT NULL GROUP BY 1""")
+def catalog_cohorts_q(b):
+    return K.catalog_cohorts(K.course_catalog(b.cur, b.prev, b.cfg))
+
+
+@report("catalog_summary", sql=lambda cfg: _catalog_sql(cfg) + f"""
+, tot AS (SELECT {dsum0('hours')} AS t FROM catx),
+rk AS (SELECT hours, row_number() OVER (ORDER BY hours DESC) AS rn FROM catx)
+SELECT CAST(count(*) AS BIGINT) AS courses, CAST(count(*) FILTER (WHERE dormant) AS BIGINT) AS dormant,
+  round({dsum0('hours')}, 6) AS hours_total,
+  round(CASE WHEN (SELECT t FROM tot) <> 0 THEN (SELECT {dsum0('hours')} FROM rk WHERE rn <= 5) / (SELECT t FROM tot) * 100 END, 6)
+    AS share_top5,
+  round(CASE WHEN (SELECT t FROM tot) <> 0 THEN (SELECT {dsum0('hours')} FROM rk WHERE rn <= 10) / (SELECT t FROM tot) * 100 END, 6)
+    AS share_top10,
+  round({ratio(dsum('hours'), 'count(*)')}, 6) AS hours_mean, round(quantile_cont(hours, 0.5), 6) AS hours_median
+FROM catx""")
+def catalog_summary_q(b):
+    return K.catalog_summary(K.course_catalog(b.cur, b.prev, b.cfg), b.cfg)
+
+
+@report("template_performance", sql=f"""
+, g AS (SELECT template, {dsum0('hours')} AS hours, count(*) AS enrolments, count(DISTINCT user_id) AS users,
+          count(DISTINCT course_id) AS courses FROM cur WHERE template IS NOT NULL GROUP BY 1),
+pu AS (SELECT template, user_id, {dsum0('hours')} AS h FROM cur WHERE template IS NOT NULL AND user_id IS NOT NULL
+       GROUP BY 1, 2),
+med AS (SELECT template, quantile_cont(h, 0.5) AS m FROM pu GROUP BY 1),
+pr AS (SELECT template, user_id, course_id, max(progress) AS p FROM cur
+       WHERE template IS NOT NULL AND progress IS NOT NULL AND user_id IS NOT NULL GROUP BY 1, 2, 3),
+av AS (SELECT template, {ratio('count(*) FILTER (WHERE p < 20)', 'count(*)')} * 100 AS lo,
+         {ratio('count(*) FILTER (WHERE p >= 80)', 'count(*)')} * 100 AS hi FROM pr GROUP BY 1)
+SELECT g.template, round(hours, 6) AS hours, CAST(enrolments AS BIGINT) AS enrolments, CAST(users AS BIGINT) AS users,
+  CAST(courses AS BIGINT) AS courses, round(hours / enrolments, 6) AS hours_per_enrolment,
+  round(med.m, 6) AS hours_per_user_median, round(av.lo, 6) AS pct_below20, round(av.hi, 6) AS pct_at_least80
+FROM g LEFT JOIN med ON g.template = med.template LEFT JOIN av ON g.template = av.template""")
+def template_performance_q(b):
+    return K.template_performance(b.cur, b.cfg)
+
+
+def _group_sql(col: str) -> str:
+    return f"""
+SELECT * FROM (
+  WITH uh AS (SELECT {col} AS gv, user_id, {dsum0('hours')} AS h, max(CAST(certified AS INTEGER)) AS cert
+              FROM cur WHERE {col} IS NOT NULL AND user_id IS NOT NULL GROUP BY 1, 2),
+  lic AS (SELECT {col} AS gv, count(DISTINCT user_id) AS licences FROM roster WHERE {col} IS NOT NULL GROUP BY 1),
+  g AS (SELECT gv, count(*) AS users, {dsum0('h')} AS hours, {ratio(dsum('h'), 'count(*)')} AS mean,
+          quantile_cont(h, 0.5) AS median, count(*) FILTER (WHERE h > 0) AS activated,
+          {ratio(dsum('CASE WHEN h > 0 THEN h END'), 'count(*) FILTER (WHERE h > 0)')} AS mean_act,
+          quantile_cont(h, 0.5) FILTER (WHERE h > 0) AS median_act,
+          count(*) FILTER (WHERE cert = 1) AS users_with_cert FROM uh GROUP BY gv)
+  SELECT g.gv AS group_value, '{col}' AS group_column, CAST(users AS BIGINT) AS users, round(hours, 6) AS hours,
+    round(mean, 6) AS mean, round(median, 6) AS median, CAST(activated AS BIGINT) AS activated,
+    round({ratio('activated', 'users')} * 100, 6) AS pct_activated, round(mean_act, 6) AS mean_act,
+    round(median_act, 6) AS median_act, CAST(users_with_cert AS BIGINT) AS users_with_cert,
+    CAST(licences AS BIGINT) AS licences, round({ratio('users', 'licences')} * 100, 6) AS pct_licence_enrolled,
+    round({ratio('activated', 'licences')} * 100, 6) AS pct_licence_effective
+  FROM g LEFT JOIN lic ON g.gv = lic.gv)"""
+
+
+@report("group_breakdown", sql="\n".join([_group_sql("center"), "UNION ALL", _group_sql("level")]))
+def group_breakdown_q(b):
+    return K.group_breakdown(b.cur, b.roster, "center", b.cfg).unionByName(
+        K.group_breakdown(b.cur, b.roster, "level", b.cfg))
+
+
+# ---------------------------------------------------------------- rankings (2.E)
+_DELTA_SQL = f"""
+, cd AS (
+  SELECT course_id, arg_max(course_name, period_index) AS course_name,
+    {dsum0(_side('hours', 'cur'))} AS hc, {dsum0(_side('hours', 'prev'))} AS hp
+  FROM usage_s GROUP BY course_id),
+delta AS (SELECT course_id, course_name, round(hc, 6) AS hours_cur, round(hp, 6) AS hours_prev,
+            round(hc - hp, 6) AS delta, hc, hp, hc - hp AS d FROM cd)"""
+
+
+@report("course_hours_delta", sql=_DELTA_SQL + "\nSELECT course_id, course_name, hours_cur, hours_prev, delta FROM delta")
+def course_hours_delta_q(b):
+    return K.course_hours_delta(b.with_side(), b.cfg)
+
+
+@report("top_courses_hours", sql=lambda cfg: _DELTA_SQL + f"""
+SELECT course_id, course_name, hours_cur, hours_prev, delta FROM delta ORDER BY hc DESC, course_id LIMIT {cfg.top_n}""")
+def top_courses_hours_q(b):
+    return K.top_courses_hours(K.course_hours_delta(b.with_side(), b.cfg), b.cfg)
+
+
+@report("top_gainers", sql=lambda cfg: _DELTA_SQL + f"""
+SELECT course_id, course_name, hours_cur, hours_prev, delta FROM delta WHERE hours_prev >= 1
+ORDER BY d DESC, course_id LIMIT {cfg.top_n}""")
+def top_gainers_q(b):
+    return K.top_gainers(K.course_hours_delta(b.with_side(), b.cfg), b.cfg)
+
+
+@report("top_losers", sql=lambda cfg: _DELTA_SQL + f"""
+SELECT course_id, course_name, hours_cur, hours_prev, delta FROM delta WHERE hours_prev >= 1
+ORDER BY d, course_id LIMIT {cfg.top_n}""")
+def top_losers_q(b):
+    return K.top_losers(K.course_hours_delta(b.with_side(), b.cfg), b.cfg)
+
+
+_CU_SQL = f"""
+, c AS (SELECT course_id, max(course_name) AS course_name, count(DISTINCT user_id) AS users_cur,
+          {dsum('hours')} AS hours_cur FROM cur WHERE hours > 0 GROUP BY course_id),
+p AS (SELECT course_id, count(DISTINCT user_id) AS users_prev, {dsum('hours')} AS hours_prev
+      FROM prev WHERE hours > 0 GROUP BY course_id),
+cu AS (SELECT c.course_id, c.course_name, CAST(users_cur AS BIGINT) AS users_cur, round(hours_cur, 6) AS hours_cur,
+         CAST(coalesce(users_prev, 0) AS BIGINT) AS users_prev, round(coalesce(hours_prev, 0.0), 6) AS hours_prev,
+         CAST(users_cur - coalesce(users_prev, 0) AS BIGINT) AS delta_users
+       FROM c LEFT JOIN p ON c.course_id = p.course_id WHERE users_cur > 0)"""
+
+
+@report("course_users", sql=_CU_SQL + "\nSELECT * FROM cu")
+def course_users_q(b):
+    return K.course_users(b.with_side(), b.cfg)
+
+
+@report("course_users_summary", sql=_CU_SQL + """
+SELECT CAST(count(*) AS BIGINT) AS courses, round(quantile_cont(CAST(users_cur AS DOUBLE), 0.5), 6) AS median_users,
+  CAST(count(*) FILTER (WHERE users_cur = 1) AS BIGINT) AS single_user_courses FROM cu""")
+def course_users_summary_q(b):
+    return K.course_users_summary(K.course_users(b.with_side(), b.cfg), b.cfg)
+
+
+@report("course_users_extremes", sql=lambda cfg: _CU_SQL + f"""
+SELECT * FROM (SELECT *, 'top' AS kind FROM cu ORDER BY users_cur DESC, course_id LIMIT {cfg.top_n})
+UNION ALL
+SELECT * FROM (SELECT *, 'bottom' AS kind FROM cu ORDER BY users_cur, course_id DESC LIMIT {cfg.top_n})""")
+def course_users_extremes_q(b):
+    return K.course_users_extremes(K.course_users(b.with_side(), b.cfg), b.cfg)
+
+
+# ---------------------------------------------------------------- paths (2.D)
+def _norm_sql(x: str) -> str:
+    ascii_ = f"regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g')"
+    return f"trim(regexp_replace(regexp_replace(lower({ascii_}), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _path_sql(cfg) -> str:
+    norm: dict = {}
+    for t in cfg.path_targets:
+        norm[normalise_text(t)] = t
+    order = {t: i for i, t in enumerate(cfg.path_targets)}
+    whens = [f"WHEN n = {q(k)} THEN {q(v)}" for k, v in norm.items()]
+    whens += [f"WHEN contains(n, {q(k)}) THEN {q(v)}" for k, v in norm.items() if k]
+    case = "CASE " + " ".join(whens) + " END" if whens else "NULL"
+    ocase = "CASE target " + " ".join(f"WHEN {q(t)} THEN {i}" for t, i in order.items()) + " END"
+    return f"""
+, names AS (SELECT DISTINCT course_name, {_norm_sql('course_name')} AS n FROM cur WHERE course_name IS NOT NULL),
+pm AS (SELECT course_name, n AS normalised, {case} AS target FROM names),
+pmo AS (SELECT *, CAST({ocase} AS INTEGER) AS target_order FROM pm),
+er AS (SELECT u.*, pmo.target, pmo.target_order FROM cur u JOIN pmo ON u.course_name = pmo.course_name
+       WHERE pmo.target IS NOT NULL),
+ut AS (SELECT user_id, target, max(progress) AS p, max(CAST(hours > 0 AS INTEGER)) AS consumed,
+         {dsum0('hours')} AS hours FROM er WHERE user_id IS NOT NULL GROUP BY 1, 2),
+pu AS (SELECT user_id, count(*) FILTER (WHERE consumed = 1) AS consumed, count(*) AS enrolled,
+         count(*) FILTER (WHERE p >= 90) AS completed, {dsum0('hours')} AS hours FROM ut GROUP BY 1)"""
+
+
+@report("path_match", sql=lambda cfg: _path_sql(cfg) + "\nSELECT course_name, normalised, target, target_order FROM pmo")
+def path_match_q(b):
+    return PT.path_match(b.cur, b.cfg)
+
+
+@report("path_by_course", sql=lambda cfg: _path_sql(cfg) + f"""
+, g AS (SELECT target, target_order, count(DISTINCT user_id) AS users, {dsum0('hours')} AS hours,
+          count(*) FILTER (WHERE certified) AS certificates, avg(progress) AS pm,
+          quantile_cont(progress, 0.5) AS pmed FROM er GROUP BY 1, 2),
+dn AS (SELECT target, {ratio('count(*) FILTER (WHERE p >= 90)', 'count(*)')} * 100 AS completed_pct FROM ut GROUP BY 1)
+SELECT g.target, target_order, CAST(users AS BIGINT) AS users, round(hours, 6) AS hours,
+  CAST(certificates AS BIGINT) AS certificates, round(pm, 6) AS progress_mean, round(pmed, 6) AS progress_median,
+  round(completed_pct, 6) AS completed_pct
+FROM g LEFT JOIN dn ON g.target = dn.target""")
+def path_by_course_q(b):
+    return PT.path_by_course(b.cur, b.cfg)
+
+
+@report("path_coverage", sql=lambda cfg: _path_sql(cfg) + f"""
+SELECT CAST(count(*) AS BIGINT) AS users, round(avg(consumed), 6) AS coverage_mean,
+  round(quantile_cont(CAST(consumed AS DOUBLE), 0.5), 6) AS coverage_median,
+  round(avg(completed), 6) AS completed_mean, round(quantile_cont(CAST(completed AS DOUBLE), 0.5), 6) AS completed_median,
+  CAST(count(*) FILTER (WHERE completed >= {len(cfg.path_targets)}) AS BIGINT) AS finished_all,
+  round({ratio(dsum('hours'), 'count(*)')}, 6) AS hours_mean, round(quantile_cont(hours, 0.5), 6) AS hours_median,
+  round({dsum0('hours')}, 6) AS hours_total,
+  round(avg(enrolled), 6) AS enrolled_mean, round(quantile_cont(CAST(enrolled AS DOUBLE), 0.5), 6) AS enrolled_median,
+  CAST(count(*) FILTER (WHERE consumed > 0) AS BIGINT) AS users_with_consumption,
+  round(CASE WHEN (SELECT {dsum0('hours')} FROM cur) <> 0
+        THEN {dsum0('hours')} / (SELECT {dsum0('hours')} FROM cur) * 100 END, 6) AS pct_platform_hours
+FROM pu""")
+def path_coverage_q(b):
+    return PT.path_coverage(b.cur, b.cfg)
+
+
+@report("path_distributions", sql=lambda cfg: _path_sql(cfg) + """
+SELECT 'consumed' AS kind, CAST(consumed AS BIGINT) AS n_targets, CAST(count(*) AS BIGINT) AS users FROM pu GROUP BY 2
+UNION ALL
+SELECT 'completed' AS kind, CAST(completed AS BIGINT) AS n_targets, CAST(count(*) AS BIGINT) AS users FROM pu GROUP BY 2""")
+def path_distributions_q(b):
+    return PT.path_distributions(b.cur, b.cfg)
+
+
+@report("path_not_found", sql=lambda cfg: _path_sql(cfg) + f"""
+SELECT v.target, v.ord AS target_order FROM {values('target', cfg.path_targets)}
+WHERE v.target NOT IN (SELECT DISTINCT target FROM er)""")
+def path_not_found_q(b):
+    return PT.path_not_found(b.cur, b.cfg)
