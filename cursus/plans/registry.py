@@ -44,6 +44,14 @@ def run(name: str, spark: SparkSession, sf_dir: str, cfg: Config = TEST) -> Data
     return e.build(fixture_base(spark, sf_dir, cfg))
 
 
+def run_on(name: str, base: Base, spark: SparkSession | None = None, sf_dir: str | None = None) -> DataFrame:
+    """Build a report over an existing (e.g. materialised) base."""
+    e = REGISTRY[name]
+    if e.raw:
+        return e.build(spark, sf_dir, base.cfg)
+    return e.build(base)
+
+
 def oracle(name: str, cfg: Config = TEST) -> str | None:
     e = REGISTRY[name]
     if e.sql is None:
