@@ -195,14 +195,14 @@ def progress_by_brand_q(b):
     return S.progress_by_brand(b.cur, b.cfg)
 
 
-def funnel_sql(src: str, cfg, name: str = "fz") -> str:
+def funnel_sql(src: str, cfg, name: str = "fz", roster: str = "roster") -> str:
     t = 1.0 / 3.0 if abs(cfg.twenty_minutes - 1.0 / 3.0) < 1e-15 else cfg.twenty_minutes
     tx = "1.0/3.0" if t == 1.0 / 3.0 else repr(t)
     return f"""
 , {name}_f AS (SELECT count(*) AS enrolled, count(*) FILTER (WHERE hours > 0) AS gt0,
     count(*) FILTER (WHERE hours >= {tx}) AS ge20, count(*) FILTER (WHERE hours >= 1) AS ge1,
     count(*) FILTER (WHERE hours >= 5) AS ge5 FROM {src}),
-{name}_l AS (SELECT count(DISTINCT user_id) AS lic FROM roster),
+{name}_l AS (SELECT count(DISTINCT user_id) AS lic FROM {roster}),
 {name}_r AS (
   SELECT 0 AS step, 'licensed' AS stage, lic AS users, 'roster' AS source FROM {name}_l, {name}_f
     WHERE lic > 0 AND lic >= enrolled
