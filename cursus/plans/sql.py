@@ -118,11 +118,12 @@ usage_raw AS (
          ELSE NULL END AS progress_band,
     CASE WHEN l_linestatus = 'F' AND round(l_discount * 100) >= 8 THEN ' Si ' WHEN l_linenumber = 7 THEN 'SI'
          WHEN l_linestatus = 'F' THEN 'No' ELSE NULL END AS certified_raw,
-    {grain_idx} AS period_index
+    {grain_idx} AS period_index,
+    CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS period_month
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN people p ON o_custkey = p.k),
 usage AS (
   SELECT user_id, course_id, course_name, template, course_created, hours, contents, progress_band, certified_raw,
-    period_index,
+    period_index, period_month,
     {brand_case('user_id', cfg)} AS brand,
     {center_case('user_id', cfg)} AS center,
     {level_case('level_raw', cfg)} AS level,
