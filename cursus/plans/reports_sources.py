@@ -170,3 +170,49 @@ def refresh_job_q(spark, sf_dir, cfg):
     out = os.path.join(root, "refreshed_usage")
     refresh_usage(spark, landing_glob(root), out, os.path.join(root, "refresh_checkpoint"), cfg)
     return _per_period(spark.read.parquet(out), cfg)
+
+
+# ---------------------------------------------------------------- bundles (2.I)
+@report("base_bundle", sql="""
+SELECT 'usage' AS table_name, CAST(count(*) AS BIGINT) AS rows_ FROM usage
+UNION ALL SELECT 'daily', CAST(count(*) AS BIGINT) FROM daily
+UNION ALL SELECT 'roster', CAST(count(*) AS BIGINT) FROM roster
+UNION ALL SELECT 'periods', CAST(count(*) AS BIGINT) FROM periods
+UNION ALL SELECT 'panel', CAST(count(*) AS BIGINT) FROM panel""")
+def base_bundle_q(b):
+    parts = [(n, df) for n, df in (("usage", b.usage), ("daily", b.daily), ("roster", b.roster),
+                                   ("periods", b.periods), ("panel", b.panel))]
+    out = None
+    for n, df in parts:
+        one = df.agg(F.count(F.lit(1)).cast("long").alias("rows_")).select(F.lit(n).alias("table_name"), "rows_")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@report("report_bundle")
+def report_bundle_q(b):
+    from .bundle import bundle_digest, report_bundle
+    return bundle_digest(report_bundle(b, brands=[b.cfg.reported_brands[0]], population="Alumnos"))
+
+
+@report("result_digest")
+def result_digest_q(b):
+    from .bundle import bundle_digest, report_bundle
+    return bundle_digest(report_bundle(b))
+
+
+PANEL_REPORTS = ("growth_accounting", "growth_by_brand", "cohort_retention", "retention_base", "lift_weighted",
+                 "lift_pooled", "gateway_courses")
+
+
+@report("result_diff", raw=True)
+def result_diff_q(spark, sf_dir, cfg):
+    """Reports over the lazy base vs over the materialised base: no row may differ."""
+    from .base import load_fixture_base
+    from .bundle import bundle_diff
+    from .registry import REGISTRY
+    lazy = fixture_base(spark, sf_dir, cfg)
+    mat = load_fixture_base(spark, sf_dir, cfg, materialize=True)
+    a = {n: REGISTRY[n].build(lazy) for n in PANEL_REPORTS}
+    c = {n: REGISTRY[n].build(mat) for n in PANEL_REPORTS}
+    return bundle_diff(a, c)
