@@ -64,18 +64,22 @@ def growth_accounting(panel: DataFrame, periods: DataFrame, cfg: Config, by_bran
     """
     keys = ["brand"] if by_brand else []
     f = active_flags(panel)
-    counts = (f.groupBy(*keys, "pos")
-              .agg(count_if(F.col("is_new")).alias("new_users"),
-                   count_if(F.col("is_recurring")).alias("recurring"),
-                   count_if(~F.col("is_new") & ~F.col("is_recurring")).alias("reactivated"),
-                   F.count(F.lit(1)).alias("total_active")))
-    lost = (f.where(~F.col("returns_next") & (F.col("pos") < F.col("max_pos")))
-            .groupBy(*keys, (F.col("pos") + 1).alias("pos"))
-            .agg(F.count(F.lit(1)).alias("lost")))
+    # One pass: every active row counts at its own period and, when the user is
+    # not active in the next listed period, as lost at that next period.
+    new, rec = F.col("is_new"), F.col("is_recurring")
+    lost = (~F.col("returns_next") & (F.col("pos") < F.col("max_pos"))).cast("int")
+    ev = F.array(
+        F.struct(F.col("pos").alias("p"), new.cast("int").alias("n"), rec.cast("int").alias("r"),
+                 (~new & ~rec).cast("int").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("l")),
+        F.struct((F.col("pos") + 1).alias("p"), F.lit(0).alias("n"), F.lit(0).alias("r"), F.lit(0).alias("x"),
+                 F.lit(0).alias("a"), lost.alias("l")))
+    counts = (f.select(*keys, F.inline(ev))
+              .groupBy(*keys, F.col("p").alias("pos"))
+              .agg(F.sum("n").alias("new_users"), F.sum("r").alias("recurring"), F.sum("x").alias("reactivated"),
+                   F.sum("a").alias("total_active"), F.sum("l").alias("lost")))
     grid = _brand_grid(periods, cfg) if by_brand else periods
     out = (grid.select(*keys, "period_index", "pos", "label")
-           .join(counts, keys + ["pos"], "left")
-           .join(lost, keys + ["pos"], "left"))
+           .join(counts, keys + ["pos"], "left"))
     measures = ["new_users", "recurring", "reactivated", "total_active", "lost"]
     return out.select(*keys, "period_index", "label",
                       *[F.coalesce(F.col(m), F.lit(0)).cast("long").alias(m) for m in measures])

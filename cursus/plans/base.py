@@ -3,9 +3,9 @@
 Loaded once; every report is a lazy DataFrame over it. ``materialize=True``
 writes usage partitioned by period_index to the shared checkpoint folder (so
 "current"/"previous" reports prune to two partitions and a lost executor
-recomputes from that table, not from the raw exports) and reliably
-checkpoints the panel hash-partitioned by user_id, so growth, cohorts, lift
-and gateway reuse one partitioning without another shuffle.
+recomputes from that table, not from the raw exports) and writes the panel
+there as a table bucketed by user_id, so growth, cohorts, lift and gateway
+run their per-user windows on the stored partitioning without a shuffle.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def load_fixture_base(spark: SparkSession, sf_dir: str, cfg: Config, materialize
 def materialize_base(spark: SparkSession, cfg: Config, usage: DataFrame, daily: DataFrame,
                      roster: DataFrame | None, panel_partitions: int | None = None) -> Base:
     """Write usage (partitioned by period), daily and roster to the shared folder,
-    read them back, and checkpoint the user-partitioned panel."""
+    read them back, and persist the panel bucketed by user."""
     root = shared_dir(spark, f"base-{uuid.uuid4().hex[:12]}")
     (usage.repartition("period_index").write.mode("overwrite")
      .partitionBy("period_index").option("compression", "zstd").parquet(f"{root}/usage"))
@@ -113,11 +113,21 @@ def materialize_base(spark: SparkSession, cfg: Config, usage: DataFrame, daily:
     periods = base.periods.checkpoint(eager=True)
     base.periods = periods
     n = panel_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    panel = user_period_panel(base.usage, periods, cfg).repartition(n, "user_id")
-    base._panel = panel.checkpoint(eager=True)
+    base._panel = persist_panel(spark, user_period_panel(base.usage, periods, cfg), f"{root}/panel", n)
     return base
 
 
+def persist_panel(spark: SparkSession, panel: DataFrame, path: str, buckets: int) -> DataFrame:
+    """Write the panel as an external table bucketed and sorted by user_id in the
+    shared folder. Reading it back reports hash partitioning on user_id, so
+    every window partitioned by user (growth, cohorts, lift, gateway) runs
+    without a shuffle; a lost executor re-reads the files."""
+    name = "cursus_panel_" + uuid.uuid4().hex[:12]
+    (panel.write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(buckets, "user_id").sortBy("user_id", "pos").saveAsTable(name))
+    return spark.table(name)
+
+
 _CACHE: dict = {}
 
 

@@ -34,3 +34,11 @@ def test_slice_cube_matches_slices(base):
         one = S.hours_distribution(base.cur.where(F.col("brand") == b), base.cfg).first()
         if one["n_users"]:
             assert cube[(b, None)]["users"] == one["n_users"]
+
+
+def test_materialised_base_matches_lazy(spark):
+    from conftest import SF_SMALL
+    from cursus.plans import registry
+    registry.load_all()
+    rows = registry.run("result_diff", spark, SF_SMALL).collect()
+    assert rows and all(r["only_left"] == 0 and r["only_right"] == 0 for r in rows), rows
