@@ -146,30 +146,65 @@ def segments_by_brand(usage: DataFrame, cfg: Config) -> DataFrame:
 
 
 # ---------------------------------------------------------------- distribution
-def top_share(usage: DataFrame, cfg: Config, pcts=(0.01, 0.05, 0.10), active_only: bool = False) -> DataFrame:
-    """Share of total hours held by the top p of users, k = max(1, round-half-even(n*p)).
-
-    Works on the histogram of per-user totals (value -> users), not on the
-    users: a cumulative count over the histogram in descending value order
-    gives how many users of each value fall inside the top k.
+def top_k_sums(values: DataFrame, col: str, pcts, cfg: Config) -> DataFrame:
+    """(p, k, top): exact sum of the k = max(1, round-half-even(n*p)) largest values.
+
+    Distributed selection without sorting the values or putting them in one
+    task: (1) count/sum per log-scale bucket (a few hundred buckets) and find,
+    per p, the bucket where the k-th largest value falls; (2) split that bucket
+    into 4096 linear sub-buckets and find the boundary sub-bucket; (3) inside it
+    (a sliver of the value range) take the exact values. Every pass is a filter
+    plus a small aggregation; windows run only over those aggregates.
     """
+    dec = cfg.sum_type
+    v = F.col("v")
+    x = values.select(F.col(col).alias("v")).where(v.isNotNull())
+    ps = F.array(*[F.lit(float(p)) for p in pcts])
+
+    def boundary(df, key, before0, full0):
+        w = Window.partitionBy("p").orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumns({"before": F.col(before0) + F.coalesce(F.sum("c").over(w), F.lit(0)),
+                             "full": F.col(full0) + F.coalesce(F.sum("s").over(w), F.lit(0).cast(dec))})
+        return df.where((F.col("before") < F.col("k")) & (F.col("before") + F.col("c") >= F.col("k")))
+
+    x = x.withColumn("b1", F.when(v > 0, F.floor(F.log2(v) * 16)).otherwise(F.lit(-(10 ** 6))).cast("long"))
+    l1 = x.groupBy("b1").agg(F.count(F.lit(1)).alias("c"), F.sum(v.cast(dec)).alias("s"),
+                             F.min(v).alias("lo"), F.max(v).alias("hi"))
+    # n and the total come from the (few hundred) bucket rows, not from another pass.
+    everything = Window.partitionBy("p")
+    l1 = l1.withColumn("p", F.explode(ps)).withColumns({
+        "n": F.sum("c").over(everything), "total": F.sum("s").over(everything)}).withColumn(
+        "k", F.greatest(F.lit(1), F.bround(F.col("n").cast("double") * F.col("p"), 0).cast("long")))
+    b1 = boundary(l1.withColumns({"z": F.lit(0).cast("long"), "zs": F.lit(0).cast(dec)}), "b1", "z", "zs").select(
+        "p", "k", "b1", F.col("before").alias("before1"), F.col("full").alias("full1"), "lo", "hi", "total")
+    key2 = F.when(F.col("hi") > F.col("lo"),
+                  F.least(F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096), F.lit(4095))
+                  ).otherwise(F.lit(0)).cast("long")
+    x2 = x.join(F.broadcast(b1), "b1").withColumn("b2", key2)
+    l2 = x2.groupBy("p", "k", "before1", "full1", "b2").agg(F.count(F.lit(1)).alias("c"),
+                                                            F.sum(v.cast(dec)).alias("s"))
+    b2 = boundary(l2, "b2", "before1", "full1").select(
+        "p", "b2", F.col("before").alias("before2"), F.col("full").alias("full2"))
+    l3 = (x2.join(F.broadcast(b2), ["p", "b2"])
+          .groupBy("p", "k", "before2", "full2", "v").agg(F.count(F.lit(1)).alias("c")))
+    w3 = Window.partitionBy("p").orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    l3 = l3.withColumn("before", F.col("before2") + F.coalesce(F.sum("c").over(w3), F.lit(0)))
+    take = F.least(F.col("c"), F.greatest(F.col("k") - F.col("before"), F.lit(0)))
+    res = l3.groupBy("p").agg(F.max("k").alias("k"),
+                              (F.max("full2") + F.sum(v.cast(dec) * take)).cast("double").alias("top"))
+    res = res.join(b1.select("p", F.col("total").cast("double").alias("total")), "p")
+    dim = values.sparkSession.range(1).select(F.explode(ps).alias("p"))
+    return dim.join(res, "p", "left")
+
+
+def top_share(usage: DataFrame, cfg: Config, pcts=(0.01, 0.05, 0.10), active_only: bool = False) -> DataFrame:
+    """Share of total hours held by the top p of users, k = max(1, round-half-even(n*p))."""
     hpu = hours_per_user(usage, cfg)
     if active_only:
         hpu = hpu.where(F.col("hours") > 0)
-    stats = hpu.agg(F.count(F.lit(1)).alias("n"), dsum0("hours", cfg).alias("tot"))
-    n = stats.select("n").scalar()
-    tot = stats.select("tot").scalar()
-    hist = hpu.groupBy("hours").agg(F.count(F.lit(1)).alias("cnt"))
-    ps = F.array(*[F.lit(float(p)) for p in pcts])
-    h = hist.withColumn("p", F.explode(ps)).withColumn(
-        "k", F.greatest(F.lit(1), F.bround(n.cast("double") * F.col("p"), 0).cast("long")))
-    w = Window.partitionBy("p").orderBy(F.col("hours").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumn("before", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-    take = F.least(F.col("cnt"), F.greatest(F.col("k") - F.col("before"), F.lit(0)))
-    g = h.groupBy("p").agg(F.max("k").alias("k"),
-                           F.sum(F.col("hours").cast(cfg.sum_type) * take).cast("double").alias("top"))
+    g = top_k_sums(hpu, "hours", pcts, cfg)
     return g.select((F.col("p") * 100).alias("pct"), F.col("k").cast("long").alias("k"),
-                    r6(F.when(tot > 0, F.col("top") / tot * 100)).alias("share"))
+                    r6(F.when(F.col("total") > 0, F.col("top") / F.col("total") * 100)).alias("share"))
 
 
 def hours_distribution(usage: DataFrame, cfg: Config) -> DataFrame:
