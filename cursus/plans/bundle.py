@@ -9,6 +9,8 @@ brand filter; daily-series reports read the whole series.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -27,8 +29,10 @@ WHOLE_SERIES = {"panorama_kpis", "active_vs_effective", "series_union", "series_
                 "complete_periods", "period_sides", "periods_dim", "period_manifest"}
 
 
-def report_bundle(base: Base, brands=None, population: str | None = None) -> dict[str, DataFrame]:
-    """Every registered report over the base, for the slice (brands, population)."""
+def bundle_builders(base: Base, brands=None, population: str | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """Every registered report for the slice (brands, population), as a builder
+    that returns the lazy DataFrame. Building a plan is driver work (analysis),
+    so bundles build inside the same worker threads that run the jobs."""
     load_all()
     pop = base.restrict(population=population)
     sliced = pop.restrict(brands=brands)
@@ -45,10 +49,15 @@ def report_bundle(base: Base, brands=None, population: str | None = None) -> dic
             b = base
         else:
             b = sliced
-        out[name] = e.build(b)
+        out[name] = (lambda _e=e, _b=b: _e.build(_b))
     return out
 
 
+def report_bundle(base: Base, brands=None, population: str | None = None) -> dict[str, DataFrame]:
+    """Every registered report over the base, for the slice (brands, population)."""
+    return {name: build() for name, build in bundle_builders(base, brands, population).items()}
+
+
 def _hash_col(df: DataFrame):
     cols = []
     for f in sorted(df.schema.fields, key=lambda f: f.name):
@@ -67,19 +76,36 @@ def result_digest(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("digest"))
 
 
-def bundle_digest(bundle: dict[str, DataFrame]) -> DataFrame:
+def _pool_size(spark, parallelism: int | None) -> int:
+    if parallelism:
+        return parallelism
+    # Enough concurrent jobs to fill the cluster's task slots with small report
+    # jobs; large ones simply queue in the FIFO scheduler.
+    return max(1, min(16, spark.sparkContext.defaultParallelism))
+
+
+def bundle_digest(bundle: dict[str, DataFrame | Callable[[], DataFrame]], parallelism: int | None = None) -> DataFrame:
     """One row per report: name, rows, digest.
 
     Each report is digested by its own Spark job (a union of ~100 report plans
-    would make one enormous plan to optimise); only the two-value digest of
-    each report reaches the driver.
+    would make one enormous plan to optimise). The jobs are independent, so
+    they are submitted concurrently from a small thread pool (SparkSession is
+    thread-safe); only the two-value digest of each report reaches the driver.
+    Values may be DataFrames or builders returning one.
     """
-    rows = []
-    spark = None
-    for name, df in bundle.items():
-        spark = df.sparkSession
+    if not bundle:
+        raise ValueError("empty bundle")
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+    def one(item):
+        name, df = item
+        df = df() if callable(df) else df
         r = result_digest(df).first()
-        rows.append((name, int(r["rows"]), r["digest"]))
+        return name, int(r["rows"]), r["digest"]
+
+    with ThreadPoolExecutor(max_workers=_pool_size(spark, parallelism)) as ex:
+        rows = list(ex.map(one, list(bundle.items())))
     return spark.createDataFrame(rows, "report string, rows long, digest string")
 
 
