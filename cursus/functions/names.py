@@ -9,12 +9,18 @@ distinct course-name dimension, never to usage rows.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Ship this module's code with the UDF (pickled by value), so Python workers
+# never need the package on their path: no --py-files, any working folder.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _NON_WORD = re.compile(r"[^a-z0-9 ]")
 _SPACES = re.compile(r"\s+")
 

@@ -21,7 +21,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
          .config("spark.driver.memory", driver_memory)
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # Plans are built by many small DataFrame calls; skipping the per-call
+         # Python call-site capture (error-message context only) saves several
+         # driver round trips per call.
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     if event_log_dir:
         b = b.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = b.getOrCreate()
