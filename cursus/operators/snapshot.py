@@ -227,8 +227,11 @@ def hours_distribution(usage: DataFrame, cfg: Config) -> DataFrame:
         (ratio(count_if((h > 0) & (h >= cfg.twenty_minutes)), n_act) * 100).alias("pct_ge20min"),
         (ratio(count_if((h > 0) & (h >= 1)), n_act) * 100).alias("pct_ge1h"),
         count_if((h > 0) & (h >= cfg.twenty_minutes)).alias("n_ge20min"))
-    for p, name in ((1.0, "share_top1"), (5.0, "share_top5"), (10.0, "share_top10")):
-        one = one.withColumn(name, shares.where(F.abs(F.col("pct") - p) < 1e-9).select("share").scalar())
+    # The three shares come from one scalar subquery (one top-k selection), as a struct.
+    tops = ((1.0, "share_top1"), (5.0, "share_top5"), (10.0, "share_top10"))
+    packed = shares.agg(F.struct(*[F.max(F.when(F.abs(F.col("pct") - p) < 1e-9, F.col("share"))).alias(name)
+                                   for p, name in tops]).alias("s")).scalar()
+    one = one.withColumns({name: packed.getField(name) for _, name in tops})
     dbl = [f.name for f in one.schema.fields if f.dataType.typeName() == "double"]
     return one.select(*[r6(c).alias(c) if c in dbl else F.col(c).cast("long").alias(c) for c in one.columns])
 
