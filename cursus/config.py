@@ -159,6 +159,9 @@ class Config:
     # Scale of the exact decimal used for sums of hours (sums are order-free).
     sum_type: str = "decimal(24,6)"
     # Exact percentiles by default; approximate ones only when asked for.
+    # Quantiles of per-user measures use distributed exact selection (no group
+    # in one task); False falls back to Spark's exact ``percentile``.
+    distributed_quantiles: bool = True
     approx_quantiles: bool = False
     approx_accuracy: int = 10000
     extra: dict = field(default_factory=dict, compare=False, hash=False)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.aggs import count_if, dsum, dsum0, median, r6, ratio
+from .quantiles import quantile_columns, quantiles_all_and_active
 
 
 def course_names(usage: DataFrame) -> DataFrame:
@@ -89,9 +90,9 @@ def template_performance(cur: DataFrame, cfg: Config) -> DataFrame:
     g = u.groupBy("template").agg(dsum0("hours", cfg).alias("hours"), F.count(F.lit(1)).alias("enrolments"),
                                   F.count_distinct("user_id").alias("users"),
                                   F.count_distinct("course_id").alias("courses"))
-    per_user = (u.where(F.col("user_id").isNotNull()).groupBy("template", "user_id")
-                .agg(dsum0("hours", cfg).alias("h"))
-                .groupBy("template").agg(median("h", cfg).alias("hours_per_user_median")))
+    per_user = quantile_columns(u.where(F.col("user_id").isNotNull()).groupBy("template", "user_id")
+                                .agg(dsum0("hours", cfg).alias("h")),
+                                "h", {"hours_per_user_median": 0.5}, ["template"], cfg)
     pairs = (u.where(F.col("progress").isNotNull() & F.col("user_id").isNotNull())
              .groupBy("template", "user_id", "course_id").agg(F.max("progress").alias("p"))
              .groupBy("template").agg((ratio(count_if(F.col("p") < 20), F.count(F.lit(1))) * 100).alias("pct_below20"),
@@ -116,10 +117,11 @@ def group_breakdown(cur: DataFrame, roster: DataFrame | None, col: str, cfg: Con
     act = F.when(h > 0, h)
     g = uh.groupBy(col).agg(
         F.count(F.lit(1)).alias("users"), dsum0(h, cfg).alias("hours"),
-        ratio(dsum(h, cfg), F.count(F.lit(1))).alias("mean"), median(h, cfg).alias("median"),
+        ratio(dsum(h, cfg), F.count(F.lit(1))).alias("mean"),
         count_if(h > 0).alias("activated"),
-        ratio(dsum(act, cfg), count_if(h > 0)).alias("mean_act"), median(act, cfg).alias("median_act"),
+        ratio(dsum(act, cfg), count_if(h > 0)).alias("mean_act"),
         count_if(F.col("cert") == 1).alias("users_with_cert"))
+    g = g.join(quantiles_all_and_active(uh, "h", {"median": 0.5}, {"median_act": 0.5}, [col], cfg), col, "left")
     g = g.withColumn("pct_activated", ratio(F.col("activated"), F.col("users")) * 100)
     cols = [F.col(col).alias("group_value"), F.lit(col).alias("group_column"),
             F.col("users").cast("long"), r6("hours").alias("hours"), r6("mean").alias("mean"),

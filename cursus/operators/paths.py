@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.aggs import count_if, dsum0, median, r6, ratio
+from .quantiles import quantile_columns
 from ..functions.names import normalise_name, normalise_text
 
 
@@ -104,12 +105,17 @@ def path_coverage(usage: DataFrame, cfg: Config) -> DataFrame:
         median(F.col("completed").cast("double"), cfg).alias("completed_median"),
         count_if(F.col("completed") >= n_targets).alias("finished_all"),
         ratio(F.sum(F.col("hours").cast(cfg.sum_type)), F.count(F.lit(1))).alias("hours_mean"),
-        median("hours", cfg).alias("hours_median"), dsum0("hours", cfg).alias("hours_total"),
+        dsum0("hours", cfg).alias("hours_total"),
         F.avg("enrolled").alias("enrolled_mean"), median(F.col("enrolled").cast("double"), cfg).alias("enrolled_median"),
         count_if(F.col("consumed") > 0).alias("users_with_consumption"))
-    one = one.withColumn("pct_platform_hours", F.when(total != 0, F.col("hours_total") / total * 100))
+    hours_median = quantile_columns(pu, "hours", {"m": 0.5}, (), cfg).select("m").scalar()
+    one = one.withColumns({"hours_median": hours_median,
+                           "pct_platform_hours": F.when(total != 0, F.col("hours_total") / total * 100)})
+    order = ("users", "coverage_mean", "coverage_median", "completed_mean", "completed_median", "finished_all",
+             "hours_mean", "hours_median", "hours_total", "enrolled_mean", "enrolled_median",
+             "users_with_consumption", "pct_platform_hours")
     longs = ("users", "finished_all", "users_with_consumption")
-    return one.select(*[F.col(c).cast("long") if c in longs else r6(c).alias(c) for c in one.columns])
+    return one.select(*[F.col(c).cast("long") if c in longs else r6(c).alias(c) for c in order])
 
 
 def path_distributions(usage: DataFrame, cfg: Config) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..config import TEACHERS, Config
 from ..functions import columns as C
-from ..functions.aggs import count_if, dsum, dsum0, median, r6, ratio
+from ..functions.aggs import count_if, dsum, dsum0, r6, ratio
+from .quantiles import quantile_columns
 from .snapshot import top_share
 
 
@@ -32,8 +33,9 @@ def pop_by_period(usage: DataFrame, periods: DataFrame, cfg: Config) -> DataFram
     g = uh.groupBy("period_index").agg(
         F.count(F.lit(1)).alias("in_base"), count_if(F.col("is_first")).alias("first_seen"),
         count_if(h > 0).alias("active"), dsum0(h, cfg).alias("hours"),
-        (median(a, cfg) * 60).alias("median_min_active"), (ratio(dsum(a, cfg), count_if(h > 0)) * 60)
-        .alias("mean_min_active"))
+        (ratio(dsum(a, cfg), count_if(h > 0)) * 60).alias("mean_min_active"))
+    med = quantile_columns(uh.where(h > 0), "h", {"median_active": 0.5}, ["period_index"], cfg)
+    g = g.join(med, "period_index", "left").withColumn("median_min_active", F.col("median_active") * 60)
     tot = usage.groupBy("period_index").agg(dsum0("hours", cfg).alias("total"))
     out = (periods.select("period_index", "label").join(g, "period_index", "left")
            .join(tot, "period_index", "left"))
@@ -95,8 +97,9 @@ def pop_panel_by_brand(usage: DataFrame, cfg: Config) -> DataFrame:
     t = _teachers(usage).where(F.col("user_id").isNotNull())
     base = t.groupBy("brand").agg(F.count_distinct("user_id").alias("in_base"))
     uh = _teacher_hours(usage, cfg)
-    pm = uh.groupBy("brand").agg(F.count(F.lit(1)).alias("active"), dsum0("hours", cfg).alias("hours"),
-                                 (median("hours", cfg) * 60).alias("median_min"))
+    pm = (uh.groupBy("brand").agg(F.count(F.lit(1)).alias("active"), dsum0("hours", cfg).alias("hours"))
+          .join(quantile_columns(uh, "hours", {"median_h": 0.5}, ["brand"], cfg), "brand", "left")
+          .withColumn("median_min", F.col("median_h") * 60))
     out = base.join(pm, "brand", "left").select(
         "brand", "in_base", F.coalesce("active", F.lit(0)).alias("active"),
         F.coalesce("hours", F.lit(0.0)).alias("hours"), "median_min")
@@ -131,11 +134,11 @@ def pop_summary(usage: DataFrame, periods: DataFrame, cfg: Config) -> DataFrame:
               .join(F.broadcast(periods.select("period_index", "label")), "period_index")
               .agg(F.array_sort(F.collect_list(F.struct("period_index", "label"))).alias("p"))
               .select(F.transform("p", lambda x: x["label"]).alias("periods")).scalar())
+    med = quantile_columns(uh, "hours", {"m": 0.5}, (), cfg).select("m").scalar()
     one = uh.agg(F.count(F.lit(1)).cast("long").alias("active"), dsum0("hours", cfg).alias("hours"),
-                 (median("hours", cfg) * 60).alias("median_min"),
                  (ratio(dsum("hours", cfg), F.count(F.lit(1))) * 60).alias("mean_min"))
     return one.select(in_base.cast("long").alias("in_base"), "active", r6("hours").alias("hours"),
-                      r6("median_min").alias("median_min"), r6("mean_min").alias("mean_min"),
+                      r6(med * 60).alias("median_min"), r6("mean_min").alias("mean_min"),
                       t10.alias("top10_share"), labels.alias("periods"))
 
 

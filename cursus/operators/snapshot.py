@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..config import ACTIVATED, NOT_ACTIVATED, SEGMENT_ORDER, Config
 from ..functions import columns as C
 from ..functions.aggs import count_if, dsum, dsum0, median, quantile, r6, ratio
+from .quantiles import attach_quantiles, quantile_columns
 
 
 def _rows(df: DataFrame, key: str, items: list[tuple[str, Column]], value: str = "value") -> DataFrame:
@@ -220,20 +221,31 @@ def hours_distribution(usage: DataFrame, cfg: Config) -> DataFrame:
         n.alias("n_users"), n_act.alias("n_activated"),
         (ratio(n_act, n) * 100).alias("pct_activated"),
         dsum0(h, cfg).alias("hours_total"),
-        ratio(dsum(h, cfg), n).alias("mean_all"), median(h, cfg).alias("median_all"),
-        ratio(dsum(a, cfg), n_act).alias("mean_act"), median(a, cfg).alias("median_act"),
-        quantile(a, 0.25, cfg).alias("p25_act"), quantile(a, 0.75, cfg).alias("p75_act"),
-        quantile(a, 0.90, cfg).alias("p90_act"),
+        ratio(dsum(h, cfg), n).alias("mean_all"),
+        ratio(dsum(a, cfg), n_act).alias("mean_act"),
         (ratio(count_if((h > 0) & (h >= cfg.twenty_minutes)), n_act) * 100).alias("pct_ge20min"),
         (ratio(count_if((h > 0) & (h >= 1)), n_act) * 100).alias("pct_ge1h"),
         count_if((h > 0) & (h >= cfg.twenty_minutes)).alias("n_ge20min"))
+    # Quantiles over all users and over activated users: one selection with the
+    # user set as group key ("all" for every user, "act" as well when hours > 0).
+    sets = hpu.select(F.explode(F.when(h > 0, F.array(F.lit("all"), F.lit("act")))
+                                .otherwise(F.array(F.lit("all")))).alias("set"), "hours")
+    qs = quantile_columns(sets, "hours", {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}, ["set"], cfg)
+    want = (("median_all", "all", "q50"), ("median_act", "act", "q50"), ("p25_act", "act", "q25"),
+            ("p75_act", "act", "q75"), ("p90_act", "act", "q90"))
+    qpacked = qs.agg(F.struct(*[F.max(F.when(F.col("set") == st, F.col(c))).alias(name)
+                                for name, st, c in want]).alias("s")).scalar()
+    one = one.withColumns({name: qpacked.getField(name) for name, _, _ in want})
     # The three shares come from one scalar subquery (one top-k selection), as a struct.
     tops = ((1.0, "share_top1"), (5.0, "share_top5"), (10.0, "share_top10"))
     packed = shares.agg(F.struct(*[F.max(F.when(F.abs(F.col("pct") - p) < 1e-9, F.col("share"))).alias(name)
                                    for p, name in tops]).alias("s")).scalar()
     one = one.withColumns({name: packed.getField(name) for _, name in tops})
+    order = ("n_users", "n_activated", "pct_activated", "hours_total", "mean_all", "median_all", "mean_act",
+             "median_act", "p25_act", "p75_act", "p90_act", "pct_ge20min", "pct_ge1h", "n_ge20min",
+             "share_top1", "share_top5", "share_top10")
     dbl = [f.name for f in one.schema.fields if f.dataType.typeName() == "double"]
-    return one.select(*[r6(c).alias(c) if c in dbl else F.col(c).cast("long").alias(c) for c in one.columns])
+    return one.select(*[r6(c).alias(c) if c in dbl else F.col(c).cast("long").alias(c) for c in order])
 
 
 # ---------------------------------------------------------------- progress
