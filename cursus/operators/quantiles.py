@@ -111,17 +111,6 @@ def quantile_columns(values: DataFrame, col: str, named: dict[str, float], keys:
                                for n, p in named.items()])
 
 
-def attach_quantiles(rows: DataFrame, values: DataFrame, col: str, named: dict[str, float],
-                     keys: Sequence[str], cfg=None) -> DataFrame:
-    """``rows`` (one row per group) with the named quantile columns of ``col``
-    per group added by a null-safe left join on the group keys."""
-    q = quantile_columns(values, col, named, keys, cfg)
-    k = list(keys)
-    r = q.select(*[F.col(c).alias(f"_q_{c}") for c in k], *named)
-    cond = [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in k]
-    return rows.join(r, cond, "left").drop(*[f"_q_{c}" for c in k])
-
-
 def quantiles_all_and_active(values: DataFrame, col: str, named_all: dict[str, float],
                              named_act: dict[str, float], keys: Sequence[str] = (), cfg=None) -> DataFrame:
     """One row per group: quantiles of ``col`` over all rows (``named_all``) and

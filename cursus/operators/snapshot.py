@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..config import ACTIVATED, NOT_ACTIVATED, SEGMENT_ORDER, Config
 from ..functions import columns as C
-from ..functions.aggs import count_if, dsum, dsum0, median, quantile, r6, ratio
-from .quantiles import attach_quantiles, quantile_columns
+from ..functions.aggs import count_if, dsum, dsum0, median, r6, ratio
+from .quantiles import quantiles_all_and_active
 
 
 def _rows(df: DataFrame, key: str, items: list[tuple[str, Column]], value: str = "value") -> DataFrame:
@@ -226,16 +226,11 @@ def hours_distribution(usage: DataFrame, cfg: Config) -> DataFrame:
         (ratio(count_if((h > 0) & (h >= cfg.twenty_minutes)), n_act) * 100).alias("pct_ge20min"),
         (ratio(count_if((h > 0) & (h >= 1)), n_act) * 100).alias("pct_ge1h"),
         count_if((h > 0) & (h >= cfg.twenty_minutes)).alias("n_ge20min"))
-    # Quantiles over all users and over activated users: one selection with the
-    # user set as group key ("all" for every user, "act" as well when hours > 0).
-    sets = hpu.select(F.explode(F.when(h > 0, F.array(F.lit("all"), F.lit("act")))
-                                .otherwise(F.array(F.lit("all")))).alias("set"), "hours")
-    qs = quantile_columns(sets, "hours", {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}, ["set"], cfg)
-    want = (("median_all", "all", "q50"), ("median_act", "act", "q50"), ("p25_act", "act", "q25"),
-            ("p75_act", "act", "q75"), ("p90_act", "act", "q90"))
-    qpacked = qs.agg(F.struct(*[F.max(F.when(F.col("set") == st, F.col(c))).alias(name)
-                                for name, st, c in want]).alias("s")).scalar()
-    one = one.withColumns({name: qpacked.getField(name) for name, _, _ in want})
+    # Quantiles over all users and over activated users: one selection, one scalar subquery.
+    act_q = {"median_act": 0.5, "p25_act": 0.25, "p75_act": 0.75, "p90_act": 0.9}
+    qs = quantiles_all_and_active(hpu, "hours", {"median_all": 0.5}, act_q, (), cfg)
+    qpacked = qs.select(F.struct("median_all", *act_q).alias("s")).scalar()
+    one = one.withColumns({name: qpacked.getField(name) for name in ("median_all", *act_q)})
     # The three shares come from one scalar subquery (one top-k selection), as a struct.
     tops = ((1.0, "share_top1"), (5.0, "share_top5"), (10.0, "share_top10"))
     packed = shares.agg(F.struct(*[F.max(F.when(F.abs(F.col("pct") - p) < 1e-9, F.col("share"))).alias(name)

@@ -50,3 +50,18 @@ def test_matches_percentile_global_and_ties(spark):
     _same(_expected(df, []), _got(df, []))
     one = spark.createDataFrame([(7.0,)] * 1000, "x double")
     _same(_expected(one, []), _got(one, []))
+
+
+def test_all_and_active_sets(spark):
+    from cursus.config import TEST
+    from cursus.operators.quantiles import quantiles_all_and_active
+    rows = [("a", 0.0), ("a", 0.0), ("a", 2.0), ("a", 5.0), ("a", 9.5), ("b", 0.0), ("b", None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: (r["med"], r["med_act"], r["p90_act"])
+           for r in quantiles_all_and_active(df, "x", {"med": 0.5}, {"med_act": 0.5, "p90_act": 0.9}, ["g"], TEST)
+           .collect()}
+    exp = {r["g"]: (r["med"], r["med_act"], r["p90_act"]) for r in df.groupBy("g").agg(
+        F.percentile("x", F.lit(0.5)).alias("med"),
+        F.percentile(F.when(F.col("x") > 0, F.col("x")), F.lit(0.5)).alias("med_act"),
+        F.percentile(F.when(F.col("x") > 0, F.col("x")), F.lit(0.9)).alias("p90_act")).collect()}
+    assert got == exp
