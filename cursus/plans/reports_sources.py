@@ -191,14 +191,16 @@ def base_bundle_q(b):
 
 @report("report_bundle")
 def report_bundle_q(b):
+    from .base import materialized
     from .bundle import bundle_builders, bundle_digest
-    return bundle_digest(bundle_builders(b, brands=[b.cfg.reported_brands[0]], population="Alumnos"))
+    return bundle_digest(bundle_builders(materialized(b), brands=[b.cfg.reported_brands[0]], population="Alumnos"))
 
 
 @report("result_digest")
 def result_digest_q(b):
+    from .base import materialized
     from .bundle import bundle_builders, bundle_digest
-    return bundle_digest(bundle_builders(b))
+    return bundle_digest(bundle_builders(materialized(b)))
 
 
 PANEL_REPORTS = ("growth_accounting", "growth_by_brand", "cohort_retention", "retention_base", "lift_weighted",

@@ -35,3 +35,14 @@ def test_pool_size_follows_driver_memory(spark):
     n = _pool_size(spark, None)
     heap = _bytes(spark.conf.get("spark.driver.memory", "1g"))
     assert 1 <= n <= max(1, heap // 2 ** 31)
+
+
+def test_materialized_base_is_memoised_and_gives_same_digests(base):
+    from cursus.plans.base import materialized
+    mat = materialized(base)
+    assert materialized(base) is mat and materialized(mat) is mat
+    assert mat.restrict(brands=["AMER"], population="Alumnos").materialized
+    pick = ("growth_accounting", "group_breakdown", "yoy_by_month")
+    a = _rows(bundle_digest({k: v for k, v in bundle_builders(base).items() if k in pick}))
+    b = _rows(bundle_digest({k: v for k, v in bundle_builders(mat).items() if k in pick}))
+    assert a == b
