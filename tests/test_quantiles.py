@@ -65,3 +65,14 @@ def test_all_and_active_sets(spark):
         F.percentile(F.when(F.col("x") > 0, F.col("x")), F.lit(0.5)).alias("med_act"),
         F.percentile(F.when(F.col("x") > 0, F.col("x")), F.lit(0.9)).alias("p90_act")).collect()}
     assert got == exp
+
+
+def test_reports_same_in_both_exact_modes(base):
+    from cursus.plans import registry
+    registry.load_all()
+    alt = base.restrict()
+    alt.cfg = base.cfg.with_(distributed_quantiles=False)
+    for name in ("hours_distribution", "group_breakdown", "pop_summary", "path_coverage"):
+        a = sorted(map(tuple, registry.run_on(name, base).collect()), key=str)
+        b = sorted(map(tuple, registry.run_on(name, alt).collect()), key=str)
+        assert a == b, name
