@@ -22,6 +22,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,40 +35,104 @@ from .shared import chunks, process_cache, shared_folder, written
 
 LENGTH = 2048           # ids in a sequence
 SEQUENCES = 64          # sequences in a record batch
-CACHED_CHUNKS = 400_000  # encodings a worker remembers, about 60 MB
+CACHED_PIECES = 1_000_000  # encodings a worker remembers, about 160 MB
 
 #: A single blank between two characters that are no white space. The byte
 #: vocabularies split words before such a blank wherever it stands, so both
 #: sides are encoded alone as they are encoded together.
 _SAFE_CUT = re.compile(r"(?<!\s) (?!\s)")
+#: In texts without these pairs and other white space, every blank is such a cut.
+_PAIRS = ("  ", "\n ", " \n")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Pieces of these characters are split by the vocabulary's pattern here; others, whole, by the library.
+_COMMON = re.compile("[ \n!-~\u00c0-\u024f]*")
+
+
+def _byte_signs() -> dict[int, str]:
+    """The signs that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class ChunkEncoder:
-    """Ids of whole texts from the tokenizers library, each distinct piece between safe cuts encoded once."""
+    """Ids of whole texts from the tokenizers library, each distinct word encoded once.
+
+    Texts are cut before blanks and the pieces looked up. New pieces are split
+    by the vocabulary's own pattern, and the new parts of a batch go through the
+    library's merges together; pieces with other characters than the common
+    ones and texts with the spelling of a special token go through the whole
+    library.
+    """
 
     def __init__(self, path: str, end_id: int | None):
-        from tokenizers import Tokenizer
+        import regex
+        from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab_size()
+        self.whole, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # parts come split, without white space
+        vocabulary = self.whole.get_vocab_size()
         self.dtype = np.dtype("<u2" if max(vocabulary - 1, end_id or 0) < 1 << 16 else "<u4")
-        self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.end = b"" if end_id is None else self._bytes([end_id])
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.split = regex.compile(PATTERN).findall
+        self.signs = str.maketrans({chr(b): c for b, c in _byte_signs().items()})
+        self.after: dict[str, bytes] = {}  # ids of what follows a blank, which the key leaves out
+        self.other: dict[str, bytes] = {}  # ids of parts and pieces without a blank before them
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _learn(self, new: set[str], blank: str, known: dict[str, bytes]) -> None:
+        """Encode new pieces, given without the ``blank`` before them."""
+        plain, split = [], {}
+        for key in new:
+            if key.isalpha() and _COMMON.fullmatch(key):
+                plain.append(key)  # a word: the pattern takes it whole
+            elif _COMMON.fullmatch(key):
+                split[key] = self.split(blank + key)
+            else:
+                known[key] = self._bytes(self.whole.encode(blank + key, add_special_tokens=False).ids)
+        parts = {p for parts in split.values() for p in parts}
+        behind = list({p[1:] for p in parts if p[0] == " "}.union(plain if blank else ()).difference(self.after))
+        others = list({p for p in parts if p[0] != " "}.union(() if blank else plain).difference(self.other))
+        spelled = [(" " + p).encode().decode("latin-1").translate(self.signs) for p in behind]
+        spelled += [p.encode().decode("latin-1").translate(self.signs) for p in others]
+        if spelled:
+            got = self.merges.encode(spelled, is_pretokenized=True, add_special_tokens=False)
+            ids, size = self._bytes(got.ids), self.dtype.itemsize
+            first = (np.searchsorted(np.array(got.word_ids), np.arange(len(spelled) + 1)) * size).tolist()
+            coded = [ids[a:b] for a, b in pairwise(first)]
+            self.after.update(zip(behind, coded))
+            self.other.update(zip(others, coded[len(behind):]))
+        for key, parts in split.items():
+            known[key] = b"".join([self.after[p[1:]] if p[0] == " " else self.other[p] for p in parts])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``, the end id last."""
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
-        known, split = self.known, []
+        if len(self.after) + len(self.other) > CACHED_PIECES:
+            self.after.clear()
+            self.other.clear()
+        heads, rests = [], []
         for text in texts:
-            pieces = _SAFE_CUT.split(text)
-            split.append([pieces[0], *[" " + p for p in pieces[1:]]])
-        new = list({p for pieces in split for p in pieces if p not in known})
-        for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[p] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([known[p] for p in pieces]) + self.end for pieces in split]
+            odd = any(p in text for p in _PAIRS) or _OTHER_SPACE.search(text)
+            head, *rest = _SAFE_CUT.split(text) if odd else text.split(" ")
+            heads.append(head)
+            rests.append(rest)
+        coded = [list(map(self.after.get, rest)) for rest in rests]
+        self._learn({p for rest, ids in zip(rests, coded) if None in ids for p, found in zip(rest, ids) if found is None},
+                    " ", self.after)
+        self._learn({p for p in heads if p and p not in self.other}, "", self.other)
+        out = []
+        for text, head, rest, ids in zip(texts, heads, rests, coded):
+            if any(t in text for t in self.special):
+                out.append(self._bytes(self.whole.encode(text, add_special_tokens=False).ids) + self.end)
+                continue
+            if None in ids:
+                ids = map(self.after.__getitem__, rest)
+            out.append(b"".join([self.other[head] if head else b"", *ids, self.end]))
+        return out
 
 
 def _encoder(path: str, end_id: int | None) -> ChunkEncoder:
