@@ -109,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
 
 def score(docs: DataFrame, model: Trees, column: str = "quality_score") -> DataFrame:
-    """Documents with their score in a further column."""
+    """Documents with their score in a further column; a column of that name is replaced."""
+    docs = docs.drop(column)
     schema = docs.select("*", F.lit(0.0).alias(column)).schema
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -213,7 +213,8 @@ def descend(x: np.ndarray, y: np.ndarray, gap: np.ndarray, penalty: float, steps
 
 
 def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
-    """Documents with their score in a further column."""
+    """Documents with their score in a further column; a column of that name is replaced."""
+    docs = docs.drop(column)
     schema = docs.select("*", F.lit(0.0).alias(column)).schema
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:

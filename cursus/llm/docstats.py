@@ -116,3 +116,8 @@ def statistics(m: Measured) -> np.ndarray:
         _ratio(m.per_text((of["upper"] + of["lower"]) == 0), n), np.log1p(longest), _ratio(m.per_text(length <= 3), n),
         _ratio(c["continuation"], chars), _ratio(m.per_text((of["upper"] >= 2) & (of["lower"] == 0)), n),
         _ratio(m.per_text(of["symbol"] > 0), n), np.log1p(lines)])
+
+
+def byte_class(data: np.ndarray) -> np.ndarray:
+    """The index in CLASSES of each byte."""
+    return _OF[data]

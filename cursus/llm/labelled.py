@@ -24,4 +24,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: str
         F.col("fit_id").isNotNull() & F.col("label").isNotNull() & ~held_out("fit_id"))
     chosen = (known.groupBy("fit_id").agg(F.max("label").alias("label"))
               .orderBy(F.xxhash64(F.lit(seed), "fit_id"), "fit_id").limit(most))
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("fit_id")).select("text", "label")
+    return (docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("fit_id"))
+            .select("text", "label"))

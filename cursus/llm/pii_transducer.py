@@ -128,11 +128,16 @@ _MAYBE_LOOK_ALIKE = re.compile("[\u00ad\u00b2\u00b3\u00b7\u00b9\u0100-\U0010ffff
 AT_WORDS = ("at", "arroba", "arobase", "klammeraffe")
 DOT_WORDS = ("dot", "punkt", "point", "punto")
 _AT, _DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
+#: Domain endings that may follow a bare "at" and "dot"; none of them is a common word.
+ENDINGS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "ai", "app", "dev", "co", "eu", "de",
+           "fr", "es", "uk", "ch", "nl", "pl", "pt", "se", "dk", "fi", "ru", "cn", "jp", "br", "mx", "ar", "cl", "ca", "au",
+           "nz", "ie", "cz", "gr", "hu", "ro", "tr", "kr", "tw", "example", "test", "invalid")
 _OPEN, _CLOSE = r"[\[({<]\s?", r"\s?[\])}>]"
 _DOT_SIGN = rf"\s?{_OPEN}(?:{_DOT}|\.){_CLOSE}\s?|(?<=\w)\s(?:{_DOT})\s(?=\w)|(?<=\w)(?:_|-)(?:{_DOT})(?:_|-)(?=\w)"
 _DISGUISE = re.compile(
     rf"(?P<at>\s?{_OPEN}(?:{_AT}|@){_CLOSE}\s?"
-    rf"|(?<=\w)\s(?:{_AT})\s(?=[A-Za-z0-9-]+(?:{_DOT_SIGN})[A-Za-z0-9])"  # a bare "at" needs a disguised dot after it
+    # a bare "at" needs disguised dots and a domain ending after it
+    rf"|(?<=\w)\s(?:{_AT})\s(?=[A-Za-z0-9-]+(?:(?:{_DOT_SIGN})[A-Za-z0-9-]+){{0,5}}(?:{_DOT_SIGN})(?:{'|'.join(ENDINGS)})\b)"
     rf"|(?<=\w)(?:_|-)(?:{_AT})(?:_|-)(?=\w)"
     rf"|(?<=\w)(?:\s@\s?|@\s)(?=\w))|(?P<dot>{_DOT_SIGN})", re.I)
 

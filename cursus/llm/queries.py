@@ -8,12 +8,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrow_sequences, mixing
+from . import arrow_sequences, boosted_quality, counterfactual_toxicity, line_crf, mixing, pii_transducer
+from .labelled import held_out
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+QUALITY_PASS, TOXICITY_PASS = 0.7, 0.3
+
+
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return line_crf.apply_rules(docs, line_crf.fit(docs, labels))
+
+
+def _verdicts(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select("doc_id", held_out().alias("held_out"), "score",
+                         (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op2_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = boosted_quality.fit(docs, labels)
+    return _verdicts(boosted_quality.score(docs.select("doc_id", "text"), model, "score"), QUALITY_PASS)
+
+
+def op6_pii_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_transducer.find_pii(table(spark, sf_dir, "documents"))
+
+
+def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = counterfactual_toxicity.fit(docs, labels)
+    return _verdicts(counterfactual_toxicity.score(docs.select("doc_id", "text"), model, "score"), TOXICITY_PASS)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -26,7 +56,11 @@ def op10_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_crf": op1_line_crf,
+    "op2_boosted_quality": op2_boosted_quality,
+    "op6_pii_transducer": op6_pii_transducer,
     "op7_mixing": op7_mixing,
+    "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
     "op10_arrow_sequences": op10_arrow_sequences,
 }
 
