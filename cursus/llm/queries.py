@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrow_sequences, boosted_quality, counterfactual_toxicity, line_crf, mixing, pii_transducer
+from . import arrow_sequences, boosted_quality, counterfactual_toxicity, line_crf, mixing, pii_transducer, pstable_ann
 from .labelled import held_out
 from .shared import table
 
@@ -38,6 +38,10 @@ def op6_pii_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_transducer.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op8_pstable_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = counterfactual_toxicity.fit(docs, labels)
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op2_boosted_quality": op2_boosted_quality,
     "op6_pii_transducer": op6_pii_transducer,
     "op7_mixing": op7_mixing,
+    "op8_pstable_ann": op8_pstable_ann,
     "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
     "op10_arrow_sequences": op10_arrow_sequences,
 }
