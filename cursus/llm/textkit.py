@@ -93,7 +93,8 @@ class Words:
         return PrefixHash(self.data)(self.starts, self.ends)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the polynomial base and of its inverse, n at least."""
     cache = process_cache("powers")
     if len(cache.get("up", ())) < n:
         size = max(n, 1 << 16)
@@ -113,7 +114,7 @@ class PrefixHash:
     """Hashes of any byte ranges of one array, from the prefix sums of a polynomial modulo 2**64 over random byte codes."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _powers(len(data) + 1)
+        up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, U)
         terms = _BYTE[data]
         terms *= up[:len(data)]
