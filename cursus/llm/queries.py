@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (arrow_sequences, automaton_dedup, boosted_quality, counterfactual_toxicity, jaccard_metric,
-               line_crf, mixing, pii_transducer, pstable_ann)
+from . import (arrow_sequences, automaton_dedup, boosted_quality, counterfactual_toxicity, gumbel_pieces,
+               jaccard_metric, line_crf, mixing, pii_transducer, pstable_ann)
 from .labelled import held_out
 from .shared import table
 
@@ -35,6 +35,11 @@ def op2_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(boosted_quality.score(docs.select("doc_id", "text"), model, "score"), QUALITY_PASS)
 
 
+def op3_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gumbel_pieces.sample_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
+                                       ids=False)
+
+
 def op4_jaccard_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_metric.similar_documents(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ def op10_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_crf": op1_line_crf,
     "op2_boosted_quality": op2_boosted_quality,
+    "op3_gumbel_pieces": op3_gumbel_pieces,
     "op4_jaccard_metric": op4_jaccard_metric,
     "op5_automaton_dedup": op5_automaton_dedup,
     "op6_pii_transducer": op6_pii_transducer,
