@@ -350,8 +350,9 @@ class Search:
         return None
 
 
-def sample_batch(v: Vocabulary, column: pa.Array, keys: np.ndarray, k: int) -> list[tuple[int, int, Path, float, Batch]]:
-    """(text, rank, path, threshold, batch) for up to k segmentations of each text, best first."""
+def sample_batch(v: Vocabulary, column: pa.Array, keys: np.ndarray,
+                 k: int | np.ndarray) -> list[tuple[int, int, Path, float, Batch]]:
+    """(text, rank, path, threshold, batch) for up to k segmentations of each text (k of its own, if an array), best first."""
     batch = Batch.of(v, column, textkit.mix(keys.view(U) + U(SEED * int(_DRAW) & (1 << 64) - 1)))
     n = len(batch.key)
     every = np.arange(len(batch.start))
@@ -368,8 +369,9 @@ def sample_batch(v: Vocabulary, column: pa.Array, keys: np.ndarray, k: int) -> l
         s.push(p, 0, (), p.score)
         out[i].append(p)
         searches.append(s)
-    for turn in range(2, k + 1):
-        popped = [(i, *node) for i, s in enumerate(searches) if (node := s.pop())]
+    wanted = np.broadcast_to(k, n)
+    for turn in range(2, int(wanted.max(initial=0)) + 1):
+        popped = [(i, *node) for i, s in enumerate(searches) if wanted[i] >= turn and (node := s.pop())]
         if not popped:
             break
         for (i, value, _, place, left_out), path in zip(popped, _branch(batch, popped, turn)):
@@ -450,8 +452,8 @@ def _log_inclusion(log_prob: float, threshold: float) -> float:
     return float(np.log(-np.expm1(-np.exp(min(gap, 50.0)))))
 
 
-def sample_pieces(docs: DataFrame, model: str, k: int = K, ids: bool = True) -> DataFrame:
-    """Up to k rows a document, best first: doc_id, sample (from 1), ids (if asked for), n_ids, their crc32 as
+def sample_pieces(docs: DataFrame, model: str, k: int | str = K, ids: bool = True) -> DataFrame:
+    """Up to k rows a document (k may name a column with a number of each, 1 at least), best first: doc_id, sample (from 1), ids (if asked for), n_ids, their crc32 as
     little-endian unsigned 32-bit integers, log_prob, score (the perturbed log probability), log_inclusion,
     restored (does decoding the ids give the text back)."""
     schema = SAMPLES if ids else SAMPLES.replace("ids array<int>, ", "", 1)
@@ -462,7 +464,7 @@ def sample_pieces(docs: DataFrame, model: str, k: int = K, ids: bool = True) ->
         raw, offsets = textkit.utf8(column)
         doc = batch.column(0).to_pylist()
         rows, lists = [], []
-        found = sample_batch(v, column, keys, k)
+        found = sample_batch(v, column, keys, batch.column(3).to_numpy())
         if found:
             lattice = found[0][4].lattice
             flat, sizes = piece_ids(v, lattice, np.concatenate([f[2].edges for f in found]))
@@ -482,4 +484,6 @@ def sample_pieces(docs: DataFrame, model: str, k: int = K, ids: bool = True) ->
         return pa.RecordBatch.from_arrays(columns, names)
 
     doc_id = F.col("doc_id").cast("bigint")
-    return map_chunks(docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id).alias("key"), "text"), one, schema)
+    number = F.lit(k) if isinstance(k, int) else F.coalesce(F.col(k), F.lit(1))
+    return map_chunks(docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id).alias("key"), "text",
+                                  number.cast("int").alias("k")), one, schema)
