@@ -125,6 +125,12 @@ USAGE_COLUMNS = (
     ("Centro", "center"),
     ("Fecha de creación", "course_created"),
 )
+# File names of the exports.
+USAGE_PATTERN = "consumo_por_usuario__*.csv"
+ROSTER_PATTERN = "Listado_de_usuarios*.csv"
+HOURS_PATTERN = "Horas_de_aprendizaje_*.csv"
+CONTENT_PATTERN = "Consumo_mensual_*.csv"
+USERS_PATTERN = "Usuarios_mensuales_*.csv"
 DAILY_HOURS_COLUMN = "Horas de aprendizaje (SUM)"
 DAILY_CONTENT_COLUMN = "cadenarecurso (DISTINCT_COUNT)"
 DAILY_ACTIVE_COLUMN = "Nº Usuarios activos (DISTINCT_COUNT)"
@@ -156,8 +162,9 @@ class Config:
     grain: str = "month"
     top_n: int = 5
     teacher_top: int = 15
-    # Scale of the exact decimal used for sums of hours (sums are order-free).
-    sum_type: str = "decimal(24,6)"
+    # Decimal used for sums of hours: sums don't depend on the order of rows, and
+    # 12 decimals keep every real duration (an hour's 1e-12 is 4 nanoseconds).
+    sum_type: str = "decimal(38,12)"
     # Exact percentiles by default; approximate ones only when asked for.
     # Quantiles of per-user measures use distributed exact selection (no group
     # in one task); False falls back to Spark's exact ``percentile``.

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import Config
 
-DEFAULT_SUM_TYPE = "decimal(24,6)"
+DEFAULT_SUM_TYPE = "decimal(38,12)"
 
 
 def _c(x) -> Column:
@@ -29,10 +29,6 @@ def dsum0(x, cfg: Config | None = None) -> Column:
     return F.coalesce(dsum(x, cfg), F.lit(0.0))
 
 
-def to_sum_type(x, cfg: Config | None = None) -> Column:
-    return _c(x).cast(cfg.sum_type if cfg is not None else DEFAULT_SUM_TYPE)
-
-
 def r6(x) -> Column:
     """Derived ratios are reported to 6 decimals."""
     return F.round(_c(x).cast("double"), 6)
@@ -60,9 +56,3 @@ def median(x, cfg: Config | None = None) -> Column:
 
 def count_if(cond) -> Column:
     return F.count_if(_c(cond)).cast("long")
-
-
-def round_all(df: DataFrame, cols=None) -> DataFrame:
-    """Round every double column (or the given ones) to 6 decimals."""
-    cols = cols or [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
-    return df.withColumns({c: r6(F.col(c)) for c in cols})

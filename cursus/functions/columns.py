@@ -34,7 +34,7 @@ def user_text(user) -> Column:
 
 def is_test_account(user, cfg: Config) -> Column:
     """Case-insensitive regex search of the test pattern (dots stay wildcards)."""
-    return F.lower(user_text(user)).rlike(cfg.test_pattern.lower())
+    return user_text(user).rlike("(?i)" + cfg.test_pattern)
 
 
 def brand_of(user, cfg: Config) -> Column:
@@ -110,14 +110,6 @@ def period_of_date(d, grain: str) -> Column:
     return (F.year(d) * 12 + F.month(d) - 1).cast("int")
 
 
-def period_start(idx, grain: str) -> Column:
-    """First day of the period with the given index."""
-    i = _c(idx)
-    if grain == "quarter":
-        return F.make_date(F.floor(i / 4).cast("int"), (F.pmod(i, F.lit(4)) * 3 + 1).cast("int"), F.lit(1))
-    return F.make_date(F.floor(i / 12).cast("int"), (F.pmod(i, F.lit(12)) + 1).cast("int"), F.lit(1))
-
-
 def period_end(d, grain: str) -> Column:
     """Last day of the period containing date d."""
     d = _c(d)

@@ -1,35 +1,49 @@
-"""Course-name normalisation for matching a text list of courses to the catalogue.
+"""Course names brought to one form, to match a text list of courses with the catalogue.
 
-NFKD, drop non-ASCII, lower, characters outside [a-z0-9 ] become spaces,
-collapse whitespace, trim. Unicode decomposition has no native Spark
-function, so this is one Arrow-batched pandas UDF; callers apply it to the
-distinct course-name dimension, never to usage rows.
+The form of a name is its runs of ASCII letters and digits, lower case, joined
+by one blank, after every character was replaced by the ASCII part of its
+compatibility decomposition (and dropped if that is empty). The replacement
+table comes from Python's Unicode data for the basic plane; as a column the
+rule is native expressions only.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
+from functools import cache
 
-import pandas as pd
-from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Ship this module's code with the UDF (pickled by value), so Python workers
-# never need the package on their path: no --py-files, any working folder.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_NON_WORD = re.compile(r"[^a-z0-9 ]")
-_SPACES = re.compile(r"\s+")
-
-
-def normalise_text(s) -> str:
-    t = unicodedata.normalize("NFKD", str(s)).encode("ascii", "ignore").decode().lower()
-    return _SPACES.sub(" ", _NON_WORD.sub(" ", t)).strip()
-
-
-@F.pandas_udf(T.StringType())
-def normalise_name(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else normalise_text(x))
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
+
+
+@cache
+def ascii_parts() -> dict[str, str]:
+    """Character -> ASCII part of its decomposition, where that is not empty."""
+    parts = {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x10000)):
+        part = "".join(p for p in unicodedata.normalize("NFKD", chr(code)) if p.isascii())
+        if part:
+            parts[chr(code)] = part
+    return parts
+
+
+def normalise_text(text) -> str:
+    """The form of one name, for the configured targets."""
+    plain = _BEYOND_ASCII.sub(lambda m: ascii_parts().get(m.group(), ""), str(text))
+    return " ".join(re.findall("[a-z0-9]+", plain.lower()))
+
+
+def normalise_name(name: Column) -> Column:
+    """The form of a column of names; null stays null."""
+    one = {c: p for c, p in ascii_parts().items() if len(p) == 1}
+    more = {c: p for c, p in ascii_parts().items() if len(p) > 1}
+    plain = F.translate(name, "".join(one), "".join(one.values()))
+    # characters that become several are rare: look before replacing them one by one
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(p).alias("p")) for c, p in more.items()])
+    spelled = F.aggregate(pairs, plain, lambda text, x: F.replace(text, x.c, x.p))
+    plain = F.when(plain.rlike("[" + "".join(more) + "]"), spelled).otherwise(plain)
+    plain = F.lower(F.regexp_replace(plain, r"[^\x00-\x7f]", ""))
+    return F.array_join(F.regexp_extract_all(plain, F.lit("([a-z0-9]+)"), F.lit(1)), " ")

@@ -74,8 +74,8 @@ def catalog_summary(catalog: DataFrame, cfg: Config) -> DataFrame:
 
     one = catalog.agg(F.count(F.lit(1)).alias("courses"), count_if(F.col("dormant")).alias("dormant"),
                       dsum0("hours", cfg).alias("hours_total"),
-                      ratio(dsum("hours", cfg), F.count(F.lit(1))).alias("hours_mean"),
-                      median("hours", cfg).alias("hours_median"))
+                      ratio(dsum("hours", cfg), F.count(F.lit(1))).alias("hours_mean"))
+    one = one.withColumn("hours_median", quantile_columns(catalog, "hours", {"m": 0.5}, [], cfg).select("m").scalar())
     one = one.withColumns({"share_top5": F.when(tot != 0, top(5) / tot * 100),
                            "share_top10": F.when(tot != 0, top(10) / tot * 100)})
     return one.select(F.col("courses").cast("long"), F.col("dormant").cast("long"),
@@ -184,9 +184,10 @@ def course_users(sides: DataFrame, cfg: Config) -> DataFrame:
 
 def course_users_summary(cu: DataFrame, cfg: Config) -> DataFrame:
     """Number of courses, median consumers per course, courses with exactly one."""
-    return cu.agg(F.count(F.lit(1)).cast("long").alias("courses"),
-                  r6(median(F.col("users_cur").cast("double"), cfg)).alias("median_users"),
-                  count_if(F.col("users_cur") == 1).alias("single_user_courses"))
+    users = cu.select(F.col("users_cur").cast("double").alias("users"))
+    half = quantile_columns(users, "users", {"m": 0.5}, [], cfg).select("m").scalar()
+    one = cu.agg(F.count(F.lit(1)).cast("long").alias("courses"), count_if(F.col("users_cur") == 1).alias("single_user_courses"))
+    return one.select("courses", r6(half).alias("median_users"), "single_user_courses")
 
 
 def course_users_extremes(cu: DataFrame, cfg: Config, n: int | None = None) -> DataFrame:

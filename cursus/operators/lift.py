@@ -14,15 +14,10 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.aggs import count_if, r6, ratio
+from .catalog import course_names
 from .panel import active_flags
 
 
-def course_dim(usage: DataFrame) -> DataFrame:
-    """One name per course id: the name of its latest period."""
-    return (usage.groupBy("course_id")
-            .agg(F.max_by("course_name", "period_index").alias("course_name")))
-
-
 def retention_base(panel: DataFrame, periods: DataFrame) -> DataFrame:
     """Per transition t -> t+1 (all but the last period): active in both / active in t."""
     f = active_flags(panel)
@@ -67,7 +62,7 @@ def lift_weighted(usage: DataFrame, panel: DataFrame, periods: DataFrame, cfg: C
               (F.sum("returned") / F.sum("n")).alias("return_mean"),
               (F.sum(F.col("lift_pp") * F.col("n")) / F.sum("n")).alias("lift_pp"))
          .where(F.col("n_total") >= cfg.min_consumers))
-    return (g.join(course_dim(usage), "course_id")
+    return (g.join(course_names(usage), "course_id")
             .select("course_id", "course_name", "n_total",
                     r6("return_mean").alias("return_mean"), r6("lift_pp").alias("lift_pp")))
 
@@ -85,7 +80,7 @@ def lift_pooled(usage: DataFrame, panel: DataFrame, cfg: Config) -> DataFrame:
          .where(F.col("n_user_transitions") >= cfg.min_transitions))
     base = retention_base_pooled(panel).scalar()
     obs = 100 * F.col("returned") / F.col("n_user_transitions")
-    return (g.join(course_dim(usage), "course_id")
+    return (g.join(course_names(usage), "course_id")
             .select("course_id", "course_name", "n_user_transitions",
                     F.bround(obs, 1).alias("retention_obs_pct"),
                     F.bround(base, 1).alias("retention_expected_pct"),
@@ -127,7 +122,7 @@ def gateway_courses(usage: DataFrame, panel: DataFrame, cfg: Config) -> DataFram
          .where(F.col("n") >= cfg.min_starters))
     base = retention_base_pooled(panel).scalar()
     obs = 100 * F.col("returned") / F.col("n")
-    return (g.join(course_dim(usage), "course_id")
+    return (g.join(course_names(usage), "course_id")
             .select("course_id", "course_name", F.col("n").cast("long").alias("n"),
                     F.bround(obs, 1).alias("retention_obs_pct"),
                     F.bround(obs - base, 1).alias("lift_pp")))

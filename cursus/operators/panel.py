@@ -86,8 +86,8 @@ def growth_accounting(panel: DataFrame, periods: DataFrame, cfg: Config, by_bran
 
 
 def recurring_pct(growth: DataFrame) -> DataFrame:
-    """Recurring users as a share of all active users, 0 decimals."""
-    return growth.withColumn("recurring_pct", F.round(ratio("recurring", "total_active") * 100, 0))
+    """Recurring users as a share of all active users, 0 decimals, halves to the even neighbour."""
+    return growth.withColumn("recurring_pct", F.bround(ratio("recurring", "total_active") * 100, 0))
 
 
 def cohort_retention(panel: DataFrame, periods: DataFrame, cfg: Config) -> DataFrame:

@@ -66,8 +66,3 @@ def periods_dim(usage: DataFrame, daily: DataFrame | None, cfg: Config) -> DataF
 def period_sides(periods: DataFrame) -> DataFrame:
     """The two rows of the period dimension that are current and previous."""
     return periods.where(F.col("side").isNotNull())
-
-
-def last_pos(periods: DataFrame) -> DataFrame:
-    """One-row frame with the last list position."""
-    return periods.agg(F.max("pos").alias("max_pos"))

@@ -20,12 +20,6 @@ from ..functions.aggs import count_if, dsum, dsum0, median, r6, ratio
 from .quantiles import quantiles_all_and_active
 
 
-def _rows(df: DataFrame, key: str, items: list[tuple[str, Column]], value: str = "value") -> DataFrame:
-    """One row per (label, expression) over a one-row frame (unpivot)."""
-    arr = F.array(*[F.struct(F.lit(k).alias(key), e.alias(value)) for k, e in items])
-    return df.select(F.inline(arr))
-
-
 def _label_dim(df: DataFrame, key: str, labels) -> DataFrame:
     """Fixed list of labels (with their order) as a tiny frame derived from df's session."""
     arr = F.array(*[F.struct(F.lit(l).alias(key), F.lit(i).alias("ord")) for i, l in enumerate(labels)])
@@ -285,11 +279,13 @@ def progress_by_brand(usage: DataFrame, cfg: Config) -> DataFrame:
 FUNNEL_STAGES = ("licensed", "enrolled", "hours_gt_0", "hours_ge_20min", "hours_ge_1h", "hours_ge_5h")
 
 
-def funnel(usage: DataFrame, roster: DataFrame | None, cfg: Config) -> DataFrame:
+def funnel(usage: DataFrame, roster: DataFrame | None, cfg: Config, whole_roster: DataFrame | None = None) -> DataFrame:
     """Unique-user funnel: licences -> enrolled -> >0 h -> >=20 min -> >=1 h -> >=5 h.
 
     The licence row appears only when the roster has at least as many distinct
     users as are enrolled; otherwise it is omitted and ``roster_omitted`` is set.
+    A roster counts as given if it has users before it was cut to the slice
+    (``whole_roster``), so a slice without licences says that its row is omitted.
     """
     hpu = hours_per_user(usage, cfg)
     h = F.col("hours")
@@ -299,8 +295,9 @@ def funnel(usage: DataFrame, roster: DataFrame | None, cfg: Config) -> DataFrame
     if roster is not None:
         lic = roster.agg(F.count_distinct("user_id")).scalar()
         one = one.withColumn("lic", lic)
+        given = (roster if whole_roster is None else whole_roster).agg(F.count("user_id").alias("n")).scalar() > 0
         use_roster = (F.col("lic") > 0) & (F.col("lic") >= F.col("enrolled"))
-        omitted = (F.col("lic") > 0) & (F.col("lic") < F.col("enrolled"))
+        omitted = given & (F.col("lic") < F.col("enrolled"))
     else:
         one = one.withColumn("lic", F.lit(None).cast("long"))
         use_roster, omitted = F.lit(False), F.lit(False)

@@ -23,6 +23,7 @@ from ..operators.panel import user_period_panel
 from ..operators.periods import periods_dim
 from ..session import shared_dir
 from ..sources import fixtures
+from ..sources.sinks import by_period
 
 
 @dataclass
@@ -33,6 +34,8 @@ class Base:
     roster: DataFrame | None
     periods: DataFrame
     _panel: DataFrame | None = field(default=None, repr=False)
+    # The roster before any slice.
+    whole_roster: DataFrame | None = field(default=None, repr=False)
     # True when usage/daily/roster are read back from written tables and the
     # panel is persisted (lineage starts at the shared folder).
     materialized: bool = False
@@ -81,7 +84,8 @@ class Base:
             u = u.where(F.col("brand").isin(list(brands)))
             r = r.where(F.col("brand").isin(list(brands))) if r is not None else None
             p = p.where(F.col("brand").isin(list(brands))) if p is not None else None
-        return Base(self.cfg, u, self.daily, r, self.periods, p, materialized=self.materialized)
+        whole = self.whole_roster if self.whole_roster is not None else self.roster
+        return Base(self.cfg, u, self.daily, r, self.periods, p, whole, materialized=self.materialized)
 
 
 def from_tables(cfg: Config, usage: DataFrame, daily: DataFrame | None, roster: DataFrame | None) -> Base:
@@ -100,18 +104,19 @@ def load_fixture_base(spark: SparkSession, sf_dir: str, cfg: Config, materialize
     return materialize_base(spark, cfg, usage, daily, roster, panel_partitions)
 
 
-def materialize_base(spark: SparkSession, cfg: Config, usage: DataFrame, daily: DataFrame,
+def materialize_base(spark: SparkSession, cfg: Config, usage: DataFrame, daily: DataFrame | None,
                      roster: DataFrame | None, panel_partitions: int | None = None) -> Base:
     """Write usage (partitioned by period), daily and roster to the shared folder,
     read them back, and persist the panel bucketed by user."""
     root = shared_dir(spark, f"base-{uuid.uuid4().hex[:12]}")
-    (usage.repartition("period_index").write.mode("overwrite")
+    (by_period(usage).write.mode("overwrite")
      .partitionBy("period_index").option("compression", "zstd").parquet(f"{root}/usage"))
-    daily.write.mode("overwrite").parquet(f"{root}/daily")
+    if daily is not None:
+        daily.write.mode("overwrite").parquet(f"{root}/daily")
     if roster is not None:
         roster.write.mode("overwrite").parquet(f"{root}/roster")
     u = spark.read.parquet(f"{root}/usage")
-    d = spark.read.parquet(f"{root}/daily")
+    d = spark.read.parquet(f"{root}/daily") if daily is not None else None
     r = spark.read.parquet(f"{root}/roster") if roster is not None else None
     base = from_tables(cfg, u, d, r)
     periods = base.periods.checkpoint(eager=True)
@@ -141,7 +146,8 @@ def persist_panel(spark: SparkSession, panel: DataFrame, path: str, buckets: int
     every window partitioned by user (growth, cohorts, lift, gateway) runs
     without a shuffle; a lost executor re-reads the files."""
     name = "cursus_panel_" + uuid.uuid4().hex[:12]
-    (panel.write.mode("overwrite").format("parquet").option("path", path)
+    # one task and one sorted file a bucket
+    (panel.repartition(buckets, "user_id").write.mode("overwrite").format("parquet").option("path", path)
      .bucketBy(buckets, "user_id").sortBy("user_id", "pos").saveAsTable(name))
     return spark.table(name)
 

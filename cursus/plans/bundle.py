@@ -76,26 +76,11 @@ def result_digest(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("digest"))
 
 
-_UNITS = {"k": 2 ** 10, "m": 2 ** 20, "g": 2 ** 30, "t": 2 ** 40}
+#: Reports of a bundle that run at the same time.
+PARALLELISM = 4
 
 
-def _bytes(size: str) -> int:
-    """'16g' / '512m' / '1024k' / plain bytes -> bytes (Spark's memory-size strings)."""
-    s = size.strip().lower().rstrip("b")
-    return int(float(s[:-1]) * _UNITS[s[-1]]) if s and s[-1] in _UNITS else int(s)
-
-
-def _pool_size(spark, parallelism: int | None) -> int:
-    """Concurrent report jobs: enough to fill idle task slots with small jobs,
-    but every running plan (and its broadcasts) holds driver memory, so at
-    most one per 2 GiB of driver heap; a default 1 GiB driver runs serially."""
-    if parallelism:
-        return parallelism
-    heap = _bytes(spark.conf.get("spark.driver.memory", "1g"))
-    return max(1, min(16, spark.sparkContext.defaultParallelism, heap // (2 * 2 ** 30)))
-
-
-def bundle_digest(bundle: dict[str, DataFrame | Callable[[], DataFrame]], parallelism: int | None = None) -> DataFrame:
+def bundle_digest(bundle: dict[str, DataFrame | Callable[[], DataFrame]], parallelism: int = PARALLELISM) -> DataFrame:
     """One row per report: name, rows, digest.
 
     Each report is digested by its own Spark job (a union of ~100 report plans
@@ -115,7 +100,7 @@ def bundle_digest(bundle: dict[str, DataFrame | Callable[[], DataFrame]], parall
         r = result_digest(df).first()
         return name, int(r["rows"]), r["digest"]
 
-    with ThreadPoolExecutor(max_workers=_pool_size(spark, parallelism)) as ex:
+    with ThreadPoolExecutor(max_workers=parallelism) as ex:
         rows = list(ex.map(one, list(bundle.items())))
     return spark.createDataFrame(rows, "report string, rows long, digest string")
 

@@ -193,7 +193,7 @@ SELECT * FROM fz"""
 @report("filter_population", sql=_filter_population_sql)
 def filter_population_q(b):
     t = b.restrict(population="Docentes")
-    return S.funnel(t.cur, t.roster, t.cfg)
+    return S.funnel(t.cur, t.roster, t.cfg, t.whole_roster)
 
 
 @report("slice_cube", sql=f"""

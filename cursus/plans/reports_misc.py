@@ -36,9 +36,9 @@ filled AS (SELECT cal.day, coalesce(su.hours, 0.0) AS hours FROM cal LEFT JOIN s
 def _long_sql(cfg) -> str:
     return _SERIES_SQL + f"""
 , ls AS (
-  SELECT day, hours, CAST(sum(CAST(hours AS DECIMAL(24,6))) OVER w7 AS DOUBLE) / count(hours) OVER w7 AS r7,
+  SELECT day, hours, CAST(sum(CAST(hours AS DECIMAL(38,12))) OVER w7 AS DOUBLE) / count(hours) OVER w7 AS r7,
     CASE WHEN count(hours) OVER w28 >= 7
-         THEN CAST(sum(CAST(hours AS DECIMAL(24,6))) OVER w28 AS DOUBLE) / count(hours) OVER w28 END AS r28
+         THEN CAST(sum(CAST(hours AS DECIMAL(38,12))) OVER w28 AS DOUBLE) / count(hours) OVER w28 END AS r28
   FROM filled WINDOW w28 AS (ORDER BY day ROWS BETWEEN 14 PRECEDING AND 13 FOLLOWING),
     w7 AS (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
 lsx AS (
@@ -88,9 +88,9 @@ def yoy_by_month_q(b):
 
 @report("daily_trends", sql="""
 SELECT day, round(hours, 6) AS hours,
-  CAST(sum(CAST(hours AS DECIMAL(24,6))) OVER w AS DOUBLE) / count(hours) OVER w AS hours_r7,
+  CAST(sum(CAST(hours AS DECIMAL(38,12))) OVER w AS DOUBLE) / count(hours) OVER w AS hours_r7,
   CAST(contents AS BIGINT) AS contents,
-  CAST(sum(CAST(contents AS DECIMAL(24,6))) OVER w AS DOUBLE) / count(contents) OVER w AS contents_r7,
+  CAST(sum(CAST(contents AS DECIMAL(38,12))) OVER w AS DOUBLE) / count(contents) OVER w AS contents_r7,
   round((SELECT avg(hours) FROM daily_s WHERE side = 'prev'), 6) AS hours_prev_mean,
   round((SELECT avg(CAST(contents AS DOUBLE)) FROM daily_s WHERE side = 'prev'), 6) AS contents_prev_mean
 FROM daily_s WHERE side = 'cur' WINDOW w AS (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")

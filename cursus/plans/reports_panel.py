@@ -78,7 +78,7 @@ def growth_brand_q(b):
 
 
 @report("recurring_pct", sql=lambda cfg: _growth_sql(
-    cfg, extra=", round(CAST(g.recurring AS DOUBLE) / NULLIF(g.total_active, 0) * 100, 0) AS recurring_pct"))
+    cfg, extra=", round_even(CAST(g.recurring AS DOUBLE) / NULLIF(g.total_active, 0) * 100, 0) AS recurring_pct"))
 def recurring_pct_q(b):
     return P.recurring_pct(P.growth_accounting(b.panel, b.periods, b.cfg))
 

@@ -215,13 +215,13 @@ def funnel_sql(src: str, cfg, name: str = "fz", roster: str = "roster") -> str:
   SELECT step, stage, CAST(users AS BIGINT) AS users, source,
     round({ratio('users', 'first_value(users) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)')} * 100, 6) AS pct_base,
     round({ratio('users', 'lag(users) OVER (ORDER BY step)')} * 100, 6) AS pct_step,
-    (SELECT lic > 0 AND lic < enrolled FROM {name}_l, {name}_f) AS roster_omitted
+    (SELECT (SELECT count(user_id) FROM roster) > 0 AND lic < enrolled FROM {name}_l, {name}_f) AS roster_omitted
   FROM {name}_r)"""
 
 
 @report("funnel", sql=lambda cfg: funnel_sql("hpu_cur", cfg) + "\nSELECT * FROM fz")
 def funnel_q(b):
-    return S.funnel(b.cur, b.roster, b.cfg)
+    return S.funnel(b.cur, b.roster, b.cfg, b.whole_roster)
 
 
 @report("funnel_compare", sql=lambda cfg: funnel_sql("hpu_cur", cfg, "fc") + funnel_sql("hpu_prev", cfg, "fp") + """
@@ -229,7 +229,7 @@ SELECT fc.step, fc.stage, fc.users, fc.pct_base, fc.pct_step, fp.users AS users_
   fp.pct_base AS pct_base_prev, fp.pct_step AS pct_step_prev
 FROM fc LEFT JOIN fp ON fc.stage = fp.stage""")
 def funnel_compare_q(b):
-    return S.funnel_compare(S.funnel(b.cur, b.roster, b.cfg), S.funnel(b.prev, b.roster, b.cfg))
+    return S.funnel_compare(S.funnel(b.cur, b.roster, b.cfg, b.whole_roster), S.funnel(b.prev, b.roster, b.cfg, b.whole_roster))
 
 
 @report("active_vs_effective", sql=f"""

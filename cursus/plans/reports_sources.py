@@ -72,7 +72,10 @@ def src_daily_series_q(spark, sf_dir, cfg):
         "day", "hours", "contents", "active", "effective_raw", "effective")
 
 
-@report("src_roster", raw=True, sql="SELECT user_id, brand, center, level, population FROM roster")
+@report("src_roster", raw=True, sql="""
+SELECT r.user_id, r.brand, r.center, r.level, r.population, CAST(p.k % 7 AS DOUBLE) / 2 AS hours,
+  CAST(p.k % 5 AS DOUBLE) AS contents, CAST(p.k % 3 AS BIGINT) AS active_courses
+FROM roster r JOIN people p ON p.user_id = r.user_id""")
 def src_roster_q(spark, sf_dir, cfg):
     root = exports.ensure(spark, sf_dir, cfg)
     return FS.read_roster(spark, [os.path.join(root, x) for x in ("roster_a", "roster_b", "roster_c")], cfg)

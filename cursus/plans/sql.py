@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from ..config import MONTH_ABBR, Config
 
-DEC = "DECIMAL(24,6)"
+DEC = "DECIMAL(38,12)"
 
 
 def q(s: str) -> str:
@@ -130,7 +130,7 @@ usage AS (
     CASE WHEN {level_case('level_raw', cfg)} = 'Docentes' THEN 'Docentes' ELSE 'Alumnos' END AS population,
     {progress_case('progress_band', cfg)} AS progress,
     coalesce(lower({strip('certified_raw')}) = 'si', false) AS certified
-  FROM usage_raw WHERE NOT regexp_matches(lower(coalesce(user_id, 'nan')), {q(cfg.test_pattern.lower())})),
+  FROM usage_raw WHERE NOT regexp_matches(coalesce(user_id, 'nan'), {q(cfg.test_pattern)}, 'i')),
 daily AS (
   SELECT CAST(o_orderdate AS DATE) AS day, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / 1000 AS hours,
     CAST(count(*) AS BIGINT) AS contents, CAST(count(DISTINCT o_custkey) AS BIGINT) AS active,
@@ -141,7 +141,7 @@ roster AS (
   SELECT user_id, {brand_case('user_id', cfg)} AS brand, {center_case('user_id', cfg)} AS center,
     {level_case('level_raw', cfg)} AS level,
     CASE WHEN {level_case('level_raw', cfg)} = 'Docentes' THEN 'Docentes' ELSE 'Alumnos' END AS population
-  FROM people WHERE NOT regexp_matches(lower(coalesce(user_id, 'nan')), {q(cfg.test_pattern.lower())})),
+  FROM people WHERE NOT regexp_matches(coalesce(user_id, 'nan'), {q(cfg.test_pattern)}, 'i')),
 dper AS (
   SELECT {period_of('day', cfg)} AS period_index, max(day) AS last_day FROM daily GROUP BY 1),
 dcomplete AS (

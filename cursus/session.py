@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -33,25 +32,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Does the session run in one process? (A local cluster has executors of its own.)"""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession, name: str = "") -> str:
-    """Folder for checkpoints and materialised tables.
+    """Folder for checkpoints and materialised tables, shared by driver and executors.
 
-    On a cluster this is the shared folder named in ``spark.checkpoint.dir``.
-    Only when that is unset (local tests) a private temporary folder is created
-    and registered as the checkpoint directory.
+    The one named in ``spark.checkpoint.dir``, or else the session's checkpoint
+    folder. A local session without either gets a temporary folder; elsewhere
+    that is an error, because executors would write to their own disks.
     """
     sc = spark.sparkContext
-    base = sc.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        try:
-            base = spark.conf.get("spark.checkpoint.dir")
-        except Exception:
-            base = None
-        if not base:
-            base = tempfile.mkdtemp(prefix="cursus-ckpt-", dir="/tmp")
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="cursus-ckpt-", dir="/tmp")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir() or base
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    path = os.path.join(base, name) if name else base
-    return path
+    return f"{base.rstrip('/')}/{name}" if name else base

@@ -32,7 +32,7 @@ _DONE: dict = {}
 
 
 def _csv(df: DataFrame, path: str) -> None:
-    (df.coalesce(1).write.mode("overwrite").option("header", True)
+    (df.write.mode("overwrite").option("header", True)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
@@ -67,10 +67,16 @@ def ensure(spark: SparkSession, sf_dir: str, cfg: Config) -> str:
     tag = hashlib.sha1(repr(key).encode()).hexdigest()[:12]
     root = shared_dir(spark, f"exports-{tag}")
     raw = raw_usage(spark, sf_dir)
-    (raw.withColumn("snapshot", folder_token(F.col("month_index"))).drop("month_index")
-     .repartition("snapshot").write.mode("overwrite").option("header", True)
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .partitionBy("snapshot").csv(os.path.join(root, "month_to_month")))
+    # every other month has its columns in reverse order and one more among them
+    names = [src for src, _ in USAGE_COLUMNS]
+    reverse = [F.col(f"`{c}`") for c in names[::-1]]
+    reverse.insert(3, F.lit("x").alias("Otra columna"))
+    for odd, columns in ((0, [F.col(f"`{c}`") for c in names]), (1, reverse)):
+        months = raw.where(F.col("month_index") % 2 == odd)
+        (months.select(folder_token(F.col("month_index")).alias("snapshot"), *columns)
+         .hint("rebalance", F.col("snapshot")).write.mode("append" if odd else "overwrite").option("header", True)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .partitionBy("snapshot").csv(os.path.join(root, "month_to_month")))
     daily = fixtures.daily(spark, sf_dir, cfg)
     d = os.path.join(root, "daily")
     _csv(daily.select(F.date_format("day", "yyyy-MM-dd").alias("fecha"),
@@ -88,7 +94,8 @@ def ensure(spark: SparkSession, sf_dir: str, cfg: Config) -> str:
         _daily_exports(ds, os.path.join(root, folder))
     people = fixtures.people(spark, sf_dir)
     _csv(people.select(F.col("user_id").alias("Usuario"), F.lit(None).cast("string").alias("Centro"),
-                       F.col("level_raw").alias("Curso")),
+                       F.col("level_raw").alias("Curso"), (F.col("k") % 7 / 2).alias("Horas de aprendizaje"),
+                       (F.col("k") % 5).alias("Contenidos consumidos"), (F.col("k") % 3).alias("Cursos activos")),
          os.path.join(root, "roster_b", "Listado_de_usuarios_1.csv"))
     _DONE[key] = root
     return root

@@ -11,25 +11,18 @@ from __future__ import annotations
 
 import os
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import (DAILY_ACTIVE_COLUMN, DAILY_CONTENT_COLUMN, DAILY_EFFECTIVE_COLUMN, DAILY_EFFECTIVE_RAW_COLUMN,
-                      DAILY_HOURS_COLUMN, MONTH_NAMES, MONTH_TOKENS, USAGE_COLUMNS, Config)
+from ..config import (CONTENT_PATTERN, DAILY_ACTIVE_COLUMN, DAILY_CONTENT_COLUMN, DAILY_EFFECTIVE_COLUMN,
+                      DAILY_HOURS_COLUMN, HOURS_PATTERN, MONTH_NAMES, MONTH_TOKENS, ROSTER_PATTERN, USAGE_COLUMNS,
+                      USAGE_PATTERN, USERS_PATTERN, Config)
 from ..functions import columns as C
 from ..functions.clean import clean_users
 
-USAGE_PATTERN = "consumo_por_usuario__*.csv"
-ROSTER_PATTERN = "Listado_de_usuarios*.csv"
-HOURS_PATTERN = "Horas_de_aprendizaje_*.csv"
-CONTENT_PATTERN = "Consumo_mensual_*.csv"
-USERS_PATTERN = "Usuarios_mensuales_*.csv"
-
-RAW_USAGE_SCHEMA = T.StructType([T.StructField(raw, T.StringType()) for raw, _ in USAGE_COLUMNS])
-
-
 # ---------------------------------------------------------------- listing
 def list_files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
     """(path, modification time in ms) of every entry matching a glob."""
@@ -51,6 +44,32 @@ def newest(spark: SparkSession, pattern: str) -> str:
     return max(files, key=lambda x: (x[1], x[0]))[0]
 
 
+def data_files(spark: SparkSession, paths) -> list[str]:
+    """The CSV files at the given paths: globs, files, or folders of part files."""
+    out = []
+    for pattern in [paths] if isinstance(paths, str) else paths:
+        for path, _ in list_files(spark, pattern):
+            inside = list_files(spark, path.rstrip("/") + "/*")
+            parts = [p for p, _ in inside if not p.rsplit("/", 1)[-1].startswith(("_", "."))]
+            out += parts if inside else [path]
+    return [p for p in out if not p.rsplit("/", 1)[-1].startswith(("_", "."))]
+
+
+def headers(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """Header line -> files that have it. Only the first line of each file is read;
+    files without a line have no rows to give."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out: dict[str, list[str]] = {}
+    for f in files:
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        stream = path.getFileSystem(conf).open(path)
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+        stream.close()
+        if line is not None:
+            out.setdefault(line, []).append(f)
+    return out
+
+
 def read_latest(spark: SparkSession, folder: str, pattern: str, schema: T.StructType | None = None) -> DataFrame:
     """Read the newest CSV (with header) matching ``pattern`` inside ``folder``."""
     r = spark.read.option("header", True)
@@ -80,38 +99,78 @@ def conform_usage(raw: DataFrame, cfg: Config) -> DataFrame:
     return raw.select(*out, *extra)
 
 
-def read_csv_by_header(spark: SparkSession, paths) -> DataFrame:
-    """CSV with header, every column as text and named by the header (a schema
-    would be applied by position); unused columns are pruned by the reader."""
-    return spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(paths)
+def read_csv_by_header(spark: SparkSession, paths, cfg: Config, *extra) -> DataFrame:
+    """CSV exports with the conformed usage columns, each file read by its own header.
+
+    Spark applies one header to all files of a read, by position, so files are
+    grouped by header, each group is read and conformed by name, and the groups
+    are put together. ``extra`` columns are added to each read.
+    """
+    files = data_files(spark, paths)
+    if not files:
+        raise FileNotFoundError(f"no file matches {paths}")
+    groups = []
+    for same in headers(spark, files).values():
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(same)
+        groups.append(conform_usage(raw.select("*", *extra), cfg))
+    if not groups:
+        columns = ", ".join(f"`{src}` string" for src, _ in USAGE_COLUMNS)
+        empty = spark.createDataFrame([], columns)
+        return conform_usage(empty.select("*", *[F.lit(None).cast("int").alias("period_index") for _ in extra]), cfg)
+    return reduce(DataFrame.unionByName, groups)
 
 
 def read_usage_csv(spark: SparkSession, paths, cfg: Config) -> DataFrame:
     """Usage export(s): only the allow-listed columns, by name, conformed and cleaned."""
-    return clean_users(conform_usage(read_csv_by_header(spark, paths), cfg), cfg)
+    return clean_users(read_csv_by_header(spark, paths, cfg), cfg)
 
 
 _TOKEN_RE = re.compile(r"(?:[A-Za-z0-9_]+=)?([a-z]{3})_(\d{2})")
 
 
-def snapshot_files(spark: SparkSession, root: str, file_glob: str = USAGE_PATTERN) -> list[tuple[int, str]]:
-    """(period_index, newest file) for every folder named <mmm>_<yy> (optionally
-    key=<mmm>_<yy>) whose month token is known and that holds a usage export."""
-    tokens = dict(MONTH_TOKENS)
-    best: dict[str, tuple[int, str]] = {}
-    for path, mtime in list_files(spark, os.path.join(root, "*", file_glob)):
-        folder = path.rstrip("/").split("/")[-2]
-        m = _TOKEN_RE.fullmatch(folder.lower())
-        if not m or m.group(1) not in tokens:
+_SNAPSHOT_RE = re.compile(r"snapshot_(\d+)\.parquet")
+_MONTH_FILE_RE = re.compile(r".*__([A-Za-z]+)\.csv")
+_PART_RE = re.compile(r"part-\d+-(.+?)(?:[.-]c\d+)?\.csv")
+
+
+def period_of(path: str) -> int | None:
+    """The period a path names: ``snapshot_<n>.parquet`` is period n, a folder <mmm>_<yy> (also
+    key=<mmm>_<yy>) its month, a file ``...__<month>.csv`` outside such a folder that month's number."""
+    *_, folder, name = ["", *path.rstrip("/").split("/")]
+    tokens, months = dict(MONTH_TOKENS), dict(MONTH_NAMES)
+    if m := _SNAPSHOT_RE.fullmatch(name):
+        return int(m.group(1))
+    if m := _TOKEN_RE.fullmatch(folder.lower()):
+        return (2000 + int(m.group(2))) * 12 + tokens[m.group(1)] - 1 if m.group(1) in tokens else None
+    if m := _MONTH_FILE_RE.fullmatch(name):
+        return months.get(m.group(1).lower())
+    return None
+
+
+def newest_exports(files: list[tuple[str, int]]) -> dict[int, list[str]]:
+    """Period -> files of its newest export, from (path, modification time).
+
+    An export is a file, or all part files of one write. Two folders of the
+    same month (ene_26 and jan_26) are one period.
+    """
+    exports: dict[int, dict[str, list[tuple[int, str]]]] = {}
+    for path, mtime in files:
+        period = period_of(path)
+        if period is None or path.rsplit("/", 1)[-1].startswith(("_", ".")):
             continue
-        if folder not in best or (mtime, path) > (best[folder][0], best[folder][1]):
-            best[folder] = (mtime, path)
-    out = []
-    for folder, (_, path) in best.items():
-        m = _TOKEN_RE.fullmatch(folder.lower())
-        year = 2000 + int(m.group(2))
-        out.append((year * 12 + tokens[m.group(1)] - 1, path))
-    return sorted(out)
+        folder, _, name = path.rpartition("/")
+        part = _PART_RE.fullmatch(name)
+        exports.setdefault(period, {}).setdefault(f"{folder}/{part.group(1)}" if part else path, []).append((mtime, path))
+    return {period: sorted(p for _, p in max(found.values(), key=max)) for period, found in sorted(exports.items())}
+
+
+def snapshot_files(spark: SparkSession, root: str, file_glob: str = USAGE_PATTERN) -> list[tuple[int, str]]:
+    """(period_index, file) of the newest export of every period below ``root``: in month
+    folders, or beside each other as ``snapshot_<n>.parquet`` or ``...__<month>.csv``."""
+    found = list_files(spark, os.path.join(root, "*", file_glob))
+    found += list_files(spark, os.path.join(root, "snapshot_*.parquet"))
+    found += [f for f in list_files(spark, os.path.join(root, "*__*.csv")) if _MONTH_FILE_RE.fullmatch(f[0].rsplit("/", 1)[-1])]
+    return [(period, path) for period, paths in newest_exports(found).items() for path in paths]
 
 
 def period_from_path(path_col, cfg: Config):
@@ -129,14 +188,26 @@ def period_from_path(path_col, cfg: Config):
             .otherwise(month)).cast("int")
 
 
+def read_exports(spark: SparkSession, files: list[tuple[int, str]], cfg: Config) -> DataFrame:
+    """Usage rows of (period_index, path) pairs, CSV by header or Parquet, with their period."""
+    period = period_from_path(F.col("_metadata.file_path"), cfg).alias("period_index")
+    csv = [p for _, p in files if not p.endswith(".parquet")]
+    reads = [read_csv_by_header(spark, csv, cfg, period)] if csv else []
+    for n, path in files:  # a Parquet snapshot has its own schema, raw or canonical
+        if path.endswith(".parquet"):
+            raw = spark.read.parquet(path)
+            names = {dst: src for src, dst in USAGE_COLUMNS}
+            raw = raw.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in raw.columns])
+            reads.append(conform_usage(raw.withColumn("period_index", F.lit(n)), cfg))
+    return clean_users(reduce(DataFrame.unionByName, reads), cfg)
+
+
 def read_period_snapshots(spark: SparkSession, root: str, cfg: Config, file_glob: str = USAGE_PATTERN) -> DataFrame:
     """All discovered snapshots as one usage table with a period_index column."""
     files = snapshot_files(spark, root, file_glob)
     if not files:
         raise FileNotFoundError(f"no period snapshots under {root}")
-    raw = (read_csv_by_header(spark, [p for _, p in files])
-           .withColumn("period_index", period_from_path(F.col("_metadata.file_path"), cfg)))
-    return clean_users(conform_usage(raw, cfg), cfg)
+    return read_exports(spark, files, cfg)
 
 
 # ---------------------------------------------------------------- daily series
@@ -182,9 +253,14 @@ def read_roster(spark: SparkSession, folders: list[str], cfg: Config) -> DataFra
                         return F.col(f"`{n}`")
                 return F.lit(None).cast("string")
             r = raw.select(pick("Usuario").alias("user_id"), pick("Centro").alias("center"),
-                           pick("Curso", "Nivel").alias("level"))
-            return clean_users(r, cfg).select("user_id", "brand", "center", "level", "population")
-    schema = "user_id string, brand string, center string, level string, population string"
+                           pick("Curso", "Nivel").alias("level"),
+                           pick("Horas de aprendizaje").try_cast("double").alias("hours"),
+                           pick("Contenidos consumidos", "Nº de contenidos consumidos").try_cast("double").alias("contents"),
+                           pick("Cursos activos").try_cast("long").alias("active_courses"))
+            return clean_users(r, cfg).select("user_id", "brand", "center", "level", "population", "hours", "contents",
+                                              "active_courses")
+    schema = ("user_id string, brand string, center string, level string, population string, hours double, "
+              "contents double, active_courses long")
     return spark.createDataFrame([], schema)
 
 
@@ -213,3 +289,12 @@ def read_prepared(spark: SparkSession, root: str, cfg: Config):
         d = d.withColumn("effective_raw", (F.col("effective") * cfg.effective_divisor).cast("long"))
     r = spark.read.parquet(os.path.join(root, "roster")) if list_files(spark, os.path.join(root, "roster")) else None
     return u, d, r
+
+
+def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The manifest of the prepared layout: mode, cur, prev, partial; all null without one."""
+    schema = "mode string, cur int, prev int, partial array<int>"
+    path = os.path.join(root, "manifest")
+    if not list_files(spark, path):
+        return spark.createDataFrame([(None, None, None, None)], schema)
+    return spark.read.schema(schema).json(path)

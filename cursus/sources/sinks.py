@@ -9,8 +9,9 @@ after brand and center were resolved from the address.
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -23,15 +24,33 @@ def pseudonymise_users(df: DataFrame) -> DataFrame:
     return df.withColumn("user_id", C.pseudonym(F.col("user_id")))
 
 
-def write_usage(usage: DataFrame, path: str, pseudonymise: bool = True) -> None:
-    """Selected existing columns, zstd Parquet, one directory per period."""
+def by_period(df: DataFrame, column: str = "period_index") -> DataFrame:
+    """Rows of a period together, as a hint: adaptive execution gives a large period
+    several tasks (and so files) and small periods one."""
+    return df.hint("rebalance", F.col(column))
+
+
+def write_usage(usage: DataFrame, path: str, pseudonymise: bool = True, whole: bool = False) -> None:
+    """Selected existing columns, zstd Parquet, one directory per period: the periods of
+    ``usage`` replace theirs, or, if it is the ``whole`` table, all that was there."""
     cols = [c for c in USAGE_OUT_COLUMNS if c in usage.columns]
     out = usage.select(*cols)
     if pseudonymise:
         out = pseudonymise_users(out)
-    (out.repartition("period_index").write.mode("overwrite")
+    to = f"{path}-{uuid.uuid4().hex[:12]}" if whole else path
+    (by_period(out).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-     .partitionBy("period_index").parquet(path))
+     .partitionBy("period_index").parquet(to))
+    if whole:
+        replace_folder(usage.sparkSession, to, path)
+
+
+def replace_folder(spark: SparkSession, new: str, path: str) -> None:
+    """Put a folder that is written whole in the place of another."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(target, True)
+    fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new), target)
 
 
 def write_series(series: DataFrame, path: str) -> None:
@@ -54,9 +73,9 @@ def write_manifest(periods: DataFrame, mode: str, path: str) -> None:
 
 def write_prepared(usage: DataFrame, daily: DataFrame, roster: DataFrame | None, periods: DataFrame,
                    root: str, mode: str = "calendario") -> None:
-    """The whole prepared layout. Every input is a lazy read of the exports, and
-    Spark only replaces output partitions at commit, after they were computed."""
-    write_usage(usage, os.path.join(root, "usage"))
+    """The whole prepared layout, built anew: periods that no longer exist go. The new
+    usage takes the old one's place after it was written."""
+    write_usage(usage, os.path.join(root, "usage"), whole=True)
     daily.write.mode("overwrite").option("compression", "zstd").parquet(os.path.join(root, "daily"))
     if roster is not None:
         pseudonymise_users(roster).write.mode("overwrite").option("compression", "zstd").parquet(

@@ -1,12 +1,14 @@
 """Refresh job: new period exports land in a folder; the prepared usage table is
 rebuilt for exactly the periods that arrived.
 
-Structured Streaming file source + ``Trigger.AvailableNow`` processes every
-file not yet seen (tracked in the checkpoint, so a restarted or failed run
-resumes without reprocessing), and ``foreachBatch`` overwrites only the
-period partitions present in the batch (dynamic partition overwrite). A
-re-delivered month is late data: its newest export replaces the partition.
-No watermark or state is needed: each export is a complete snapshot.
+A file stream with ``Trigger.AvailableNow`` tells which files are new (kept in
+the streaming checkpoint, so a restarted run resumes). For every period that a
+new file belongs to, the batch function lists the period's exports, reads the
+newest one whole, all its part files, each by its own header, and overwrites the
+period's partition. So the result does not depend on how files fall into
+batches: an older export never comes back, a re-delivered one replaces its
+period. Files in folders that name no period are skipped. No watermark or state
+is needed: each export is a complete snapshot.
 """
 
 from __future__ import annotations
@@ -17,25 +19,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.clean import clean_users
-from ..sources.files import RAW_USAGE_SCHEMA, conform_usage, period_from_path
+from ..sources.files import list_files, newest_exports, period_of, read_exports
 from ..sources.sinks import write_usage
 
 
 def refresh_usage(spark: SparkSession, landing_glob: str, out_path: str, checkpoint: str, cfg: Config,
-                  pseudonymise: bool = False, max_files_per_trigger: int | None = None):
+                  pseudonymise: bool = True):
     """Run one AvailableNow refresh and wait for it; returns the finished query."""
-    reader = (spark.readStream.schema(RAW_USAGE_SCHEMA).option("header", True)
-              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.csv(landing_glob).withColumn("period_index", period_from_path(F.input_file_name(), cfg))
+    arrived = spark.readStream.text(landing_glob).select(F.col("_metadata.file_path").alias("file"))
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        usage = clean_users(conform_usage(batch, cfg), cfg)
-        write_usage(usage, out_path, pseudonymise=pseudonymise)
+    def rebuild(batch: DataFrame, batch_id: int) -> None:
+        # one name for each new file
+        touched = {period_of(r.file) for r in batch.distinct().collect()} - {None}
+        exports = newest_exports(list_files(spark, landing_glob))
+        files = [(period, path) for period in sorted(touched) for path in exports.get(period, [])]
+        if files:
+            write_usage(read_exports(spark, files, cfg), out_path, pseudonymise=pseudonymise)
 
-    q = (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    q = (arrived.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
