@@ -7,11 +7,17 @@ are joined as one.
 
 Nearly all pairs of documents are at a distance of about one, where no pivot
 tells anything. So the space is first cut into families that no link leaves:
-the hash space is cut into more parts than two linked sets of a size can differ
-in, hence some part holds the same shingles in both, and documents that share
-the shingles of a part are in one family. (Parts are empty in some documents
-and don't count; a document with too few others adds each single shingle, so no
-link is lost by chance.)
+
+* The hash space is cut into more parts than two linked sets of a size can
+  differ in, hence some part holds the same shingles in both; documents that
+  share the shingles of a part are a list. (Parts are empty in some documents
+  and don't count; a document with too few others adds each single shingle, so
+  no link is lost by chance.)
+* Within a list, documents that cannot link are told apart by SLICES fixed
+  pivots, the slices of the hash space: the differences of two sets' counts in
+  them add up to no more than the sets differ by. What can still link,
+  directly or by others, is a family. A list of more than LIST documents is
+  taken as one family, which only leaves more to the next step.
 
 A family is a region. Pivots are chosen in it, far from each other; each
 document belongs to the Voronoi cell of its nearest pivot, and is a guest in
@@ -36,7 +42,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +59,8 @@ SHINGLE, PERCENT = 4, 85
 REGION = 2_000_000  # shingles joined in a task
 LEVELS, PIVOTS = 3, 8
 FLUSH = 1_000_000   # part hashes that a task holds
+SLICES = 64         # of the hash space, whose counts tell sets apart
+LIST = 2_000        # documents of a list that are told apart
 LEAF = 24           # members of a region that needs no pivots
 
 U = np.uint64
@@ -160,50 +169,70 @@ def part_hashes(sets: np.ndarray, first: np.ndarray, percent: int = PERCENT) ->
     return (np.concatenate(out), np.concatenate(of)) if out else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
-def stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their least node, and the distinct (least node, other node) pairs of equal keys."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    head = nodes[np.flatnonzero(new)][np.cumsum(new) - 1]
-    pairs = np.unique(np.stack([head[head != nodes], nodes[head != nodes]], 1), axis=0)
-    return keys[new], nodes[new], pairs[:, 0], pairs[:, 1]
+def sketches(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Counts of each set in SLICES slices of the hash space, other bits of the hashes than the parts' own."""
+    n = len(first) - 1
+    key = np.repeat(np.arange(n), np.diff(first)) * SLICES + (sets & U(SLICES - 1)).astype(np.int64)
+    counts = np.bincount(key, minlength=n * SLICES).reshape(n, SLICES)
+    return np.minimum(counts, np.iinfo(np.uint16).max).astype(np.uint16)
+
+
+def possible(size: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which pairs may link, as their sizes and slice counts tell: a square of booleans."""
+    least, most = np.minimum(size[:, None], size), np.maximum(size[:, None], size)
+    apart = np.zeros((len(size), len(size)), np.int32)
+    for j in range(counts.shape[1]):
+        c = counts[:, j].astype(np.int32)
+        apart += np.abs(c[:, None] - c)
+    return (100 * least >= percent * most) & (apart <= (100 - percent) * (100 * least // percent) // 100)
+
+
+def clusters(near: np.ndarray) -> np.ndarray:
+    """The least member of each member's connected component, from a square of booleans."""
+    label = np.arange(len(near))
+    while True:
+        new = np.where(near, label[None, :], len(near)).min(1)
+        new = np.minimum(new, label)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 PARTS = "bucket int, doc_id bigint, n bigint, k1 bigint, k2 bigint, keys binary, docs binary"
-MET = "doc_id bigint, n bigint, k1 bigint, k2 bigint, head bigint"
+MET = "doc_id bigint, n bigint, k1 bigint, k2 bigint, counts binary, head bigint, list bigint, docs array<bigint>"
+_MET = [c.split()[0] for c in MET.split(", ")]
 
 
-def _edge_rows(head: np.ndarray, other: np.ndarray) -> list[pa.Array]:
-    none = pa.nulls(len(head), pa.int64())
-    return [pa.array(other), none, none, none, pa.array(head)]
+def _met_rows(**columns: pa.Array) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    kinds = {"counts": pa.binary(), "docs": pa.list_(pa.int64())}
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, kinds.get(c, pa.int64()))) for c in _MET], _MET)
 
 
 def _part_rows(buckets: int, shingle: int, percent: int):
-    """Rows of three kinds: documents (k1 given), links to the first of a part in this task (n = head), and
-    the rest of the parts, packed by bucket."""
+    """Rows of two kinds: documents (k1 given; ``keys`` has their slice counts), and parts, packed by bucket.
+
+    Of documents with equal sets, the first of the task gives its parts.
+    """
     names = [c.split()[0] for c in PARTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        given: set[tuple[int, int]] = set()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, nodes, head, other = stars(*map(np.concatenate, zip(*held)))
+            keys, nodes = map(np.concatenate, zip(*held))
             held.clear()
-            if len(head):
-                none, blank = pa.nulls(len(head), pa.int64()), pa.nulls(len(head), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((head % buckets).astype(np.int32)), pa.array(other), pa.array(head), none, none, blank, blank], names)
-            bucket = (keys % U(buckets)).astype(np.int64)
+            given.clear()
+            bucket = (keys % U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             keys, nodes, bucket = keys[order], nodes[order], bucket[order]
             cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(keys)]
             base = int(nodes.min())
-            small = int(nodes.max()) - base < 1 << 31
-            kind = np.int32 if small else np.int64
+            kind = np.int32 if int(nodes.max()) - base < 1 << 31 else np.int64
             packed = [(int(bucket[a]), keys[a:b].tobytes(), (nodes[a:b] - base).astype(kind).tobytes())
-                      for a, b in zip(cuts, cuts[1:])]
+                      for a, b in pairwise(cuts)]
             for lo in range(0, len(packed), 512):
                 part = packed[lo:lo + 512]
                 none = pa.nulls(len(part), pa.int64())
@@ -216,14 +245,20 @@ def _part_rows(buckets: int, shingle: int, percent: int):
             for b in chunks(batch, "text"):
                 sets, first = shingle_sets(b.column(1), shingle)
                 k1, k2 = set_keys(sets, first)
-                ids = b.column(0).to_numpy()
-                n = np.diff(first)
-                blank = pa.nulls(len(ids), pa.binary())
+                ids, n = b.column(0).to_numpy(), np.diff(first)
+                counts = sketches(sets, first)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((k1.view(U) % U(buckets)).astype(np.int32)), b.column(0), pa.array(n.astype(np.int64)),
-                     pa.array(k1), pa.array(k2), blank, blank], names)
-                keys, of = part_hashes(sets, first, percent)
-                held.append((keys, ids[of]))
+                     pa.array(k1), pa.array(k2), pa.array([c.tobytes() for c in counts], pa.binary()),
+                     pa.nulls(len(ids), pa.binary())], names)
+                new = np.zeros(len(ids), bool)
+                for i, key in enumerate(zip(k1.tolist(), k2.tolist())):
+                    if key not in given:
+                        given.add(key)
+                        new[i] = True
+                sel = np.repeat(new, n)
+                keys, of = part_hashes(sets[sel], np.append(0, np.cumsum(n[new])), percent)
+                held.append((keys, ids[new][of]))
                 size += len(keys)
                 if size >= FLUSH:
                     yield from flush()
@@ -234,33 +269,75 @@ def _part_rows(buckets: int, shingle: int, percent: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partitions sorted by bucket: documents and links pass; parts of a bucket give links to their least document."""
-    names = [c.split()[0] for c in MET.split(", ")]
+    """Partitions sorted by bucket: documents pass; the documents of a part make a list, equal lists one row.
+
+    Of lists of more than LIST documents, links of all to the least.
+    """
     bucket, keys, docs = None, [], []
 
-    def finish() -> pa.RecordBatch:
-        _, _, head, other = stars(np.concatenate(keys), np.concatenate(docs))
-        return pa.RecordBatch.from_arrays(_edge_rows(head, other), names)
+    def finish() -> Iterator[pa.RecordBatch]:
+        k, d = np.concatenate(keys), np.concatenate(docs)
+        order = np.lexsort((d, k))
+        k, d = k[order], d[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+        k, d = k[new], d[new]
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        sizes = np.diff(np.append(first, len(k)))
+        some = sizes > 1
+        names = textkit.mix(np.add.reduceat(textkit.mix(d.view(U) + U(3)), first) + sizes.astype(U)).view(np.int64)
+        small = np.flatnonzero(some & (sizes <= LIST))
+        _, one = np.unique(names[small], return_index=True)
+        small = small[one]
+        if len(small):
+            members = d[textkit.ranges(first[small], sizes[small])]
+            yield _met_rows(list=pa.array(names[small]),
+                            docs=textkit.lists(members, np.append(0, np.cumsum(sizes[small])), pa.int64()))
+        for a, n in zip(first[sizes > LIST], sizes[sizes > LIST]):
+            yield _met_rows(doc_id=pa.array(d[a + 1:a + n]), head=pa.array(np.full(n - 1, d[a])))
 
     for b in batches:
-        packed = b.column("keys").is_valid().to_numpy(zero_copy_only=False)
+        packed = b.column("docs").is_valid().to_numpy(zero_copy_only=False)
         plain = b.filter(pa.array(~packed))
         if plain.num_rows:
-            is_doc = plain.column("k1").is_valid()
-            yield pa.RecordBatch.from_arrays(
-                [plain.column("doc_id"), pc.if_else(is_doc, plain.column("n"), None), plain.column("k1"),
-                 plain.column("k2"), pc.if_else(is_doc, None, plain.column("n"))], names)
+            yield _met_rows(counts=plain.column("keys"), **{c: plain.column(c) for c in ("doc_id", "n", "k1", "k2")})
         rest = b.filter(pa.array(packed))
         for at, base, k, d in zip(*(rest.column(c).to_pylist() for c in ("bucket", "doc_id", "keys", "docs"))):
             if at != bucket:
                 if keys:
-                    yield finish()
+                    yield from finish()
                 bucket, keys, docs = at, [], []
             k = np.frombuffer(k, U)
             keys.append(k)
             docs.append(np.frombuffer(d, np.int32 if len(d) == 4 * len(k) else np.int64).astype(np.int64) + base)
     if keys:
-        yield finish()
+        yield from finish()
+
+
+def _told_apart(percent: int):
+    """Partitions sorted by list: links that connect what may link in each list."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
+
+        def finish() -> pa.RecordBatch:
+            held.sort()
+            ids = np.array([h[0] for h in held])
+            size = np.array([h[1] for h in held])
+            counts = np.frombuffer(b"".join(h[2] for h in held), np.uint16).reshape(len(held), SLICES)
+            label = clusters(possible(size, counts, percent))
+            other = label != np.arange(len(label))
+            return pa.RecordBatch.from_arrays([pa.array(ids[label[other]]), pa.array(ids[other])], ["a", "b"])
+
+        for b in batches:
+            for key, *row in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if key != name:
+                    if len(held) > 1:
+                        yield finish()
+                    name, held = key, []
+                held.append(row)
+        if len(held) > 1:
+            yield finish()
+    return run
 
 
 # -- regions -----------------------------------------------------------------------
@@ -380,25 +457,36 @@ def _read_set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, U)
 
 
-def _join_regions(percent: int):
+def _sets_of(rows: list, shingle: int) -> list[np.ndarray]:
+    """Sets from texts, or from the bytes of sets."""
+    if not isinstance(rows[0], str):
+        return [_read_set(r) for r in rows]
+    sets, first = [], 0
+    for part in chunks(pa.record_batch([pa.array(rows, pa.large_string())], ["text"]), "text"):
+        flat, first = shingle_sets(part.column(0), shingle)
+        sets += [flat[a:b] for a, b in pairwise(first.tolist())]
+    return sets
+
+
+def _join_regions(percent: int, shingle: int):
     """Partitions sorted by region: each region joined in memory."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, held = None, set()
 
         def finish() -> pa.RecordBatch:
             ids = [i for i, _ in held]
-            r = Region([_read_set(items) for _, items in held], percent)
-            r.join(np.arange(len(ids)))
+            r = Region(_sets_of([x for _, x in held], shingle), percent)
+            r.join(np.flatnonzero(r.size > 0))
             return pa.RecordBatch.from_arrays([pa.array([ids[k] for k, _ in r.links], pa.int64()),
                                                pa.array([ids[k] for _, k in r.links], pa.int64())], ["a", "b"])
 
         for b in batches:
-            for key, doc, items in zip(*(b.column(k).to_pylist() for k in range(3))):
+            for key, doc, given in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if key != region:
                     if held:
                         yield finish()
                     region, held = key, set()
-                held.add((doc, items))  # rows of one doc_id may differ
+                held.add((doc, given))  # rows of one doc_id may differ
         if held:
             yield finish()
     return run
@@ -464,29 +552,27 @@ def _blocks(large: DataFrame, limit: int) -> DataFrame:
                         "doc_id", "items")
 
 
-def _joined(regions: DataFrame, percent: int) -> DataFrame:
-    return regions.repartition("region").sortWithinPartitions("region", "doc_id").mapInArrow(_join_regions(percent), LINKS)
+def _joined(regions: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
+    """Links within regions: region, doc_id, and the text or the set of each member."""
+    return (regions.repartition("region").sortWithinPartitions("region", "doc_id")
+            .mapInArrow(_join_regions(percent, shingle), LINKS))
 
 
-def link_regions(regions: DataFrame, percent: int = PERCENT, limit: int = REGION, levels: int = LEVELS) -> DataFrame:
-    """Links (a, b) that connect the components of all regions."""
+def link_large(regions: DataFrame, percent: int, limit: int, levels: int) -> DataFrame:
+    """Links (a, b) that connect the components of regions too large for a task: region, doc_id, items."""
     found = []
-    for level in range(levels + 1):
+    for level in range(levels):
+        regions, to_pivots = _split(regions, percent)
+        found.append(to_pivots)
         size = regions.groupBy("region").agg((F.sum(F.length("items")) / 8).alias("total"))
         big = size.where(F.col("total") > limit).select("region")
-        found.append(written(_joined(regions.join(big, "region", "left_anti"), percent), "links"))
-        large = written(regions.join(big, "region", "left_semi"), "large-regions")
-        if large.isEmpty():
-            break
-        if level == levels:
-            found.append(written(_joined(_blocks(large, limit), percent), "links"))
+        found.append(_joined(regions.join(big, "region", "left_anti"), percent))
+        regions = written(regions.join(big, "region", "left_semi"), "large-regions")
+        if regions.isEmpty():
             break
-        regions, to_pivots = _split(large, percent)
-        found.append(to_pivots)
-    links = found[0]
-    for f in found[1:]:
-        links = links.union(f)
-    return links
+    else:
+        found.append(_joined(_blocks(regions, limit), percent))
+    return reduce(DataFrame.union, found)
 
 
 # -- the join ------------------------------------------------------------------------
@@ -507,24 +593,37 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     given = texts.where(F.col("doc_id").isNotNull())
+    worded = given.where(F.col("text").isNotNull())
     buckets = 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     met = written(given.mapInArrow(_part_rows(buckets, shingle, percent), PARTS)
                   .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET), "parts")
     rows = met.where(F.col("k1").isNotNull()).select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
-    edges = met.where(F.col("head").isNotNull()).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    families = components(edges)
-
-    # one document for each set; families of one set need no join
-    sets = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"))
-    members = sets.join(families, sets.first_id == families.node).select("k1", "k2", "first_id", "component")
-    several = members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    members = cut(members.join(several, "component"))
-    asked = (given.join(members.select(F.col("first_id").alias("doc_id"), F.col("component").cast("string").alias("region")).distinct(),
-                        "doc_id").select("region", "doc_id", "text"))
-    regions = written(map_chunks(asked, _set_rows(shingle), SETS).where(F.length("items") > 0), "regions")
-    links = cut(link_regions(regions, percent, limit, levels))
+    counted = met.where(F.col("k1").isNotNull()).select("doc_id", "n", "counts")
+    lists = (met.where(F.col("docs").isNotNull()).select("list", "docs").dropDuplicates(["list"])
+             .select("list", F.explode("docs").alias("doc_id")))
+    near = (lists.join(counted, "doc_id").select("list", "doc_id", "n", "counts")
+            .repartition("list").sortWithinPartitions("list").mapInArrow(_told_apart(percent), LINKS))
+    large = met.where(F.col("head").isNotNull()).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    families = components(near.union(large).distinct())
+
+    # one document for each set, the least; the family of a set is that of any document that gave its parts
+    sets = (rows.where("n_shingles > 0").join(families, rows.doc_id == families.node, "left").groupBy("k1", "k2")
+            .agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.min("component").alias("component")))
+    sets = cut(sets)
+    members = sets.where(F.col("component").isNotNull()).select("component", "first_id", "n")
+    # families of one set need no join
+    regions = members.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
+    members = cut(members.join(regions, "component").select(
+        F.col("first_id").alias("doc_id"), F.col("component").cast("string").alias("region"),
+        (F.col("total") > limit).alias("large")).distinct())
+    links = _joined(worded.join(members.where("not large"), "doc_id").select("region", "doc_id", "text"), percent, shingle)
+    if not members.where("large").isEmpty():
+        asked = worded.join(members.where("large"), "doc_id").select("region", "doc_id", "text")
+        large = written(map_chunks(asked, _set_rows(shingle), SETS).where(F.length("items") > 0).distinct(), "regions")
+        links = links.union(link_large(large, percent, limit, levels))
+    links = cut(links)
     # equal sets are links, too
-    same = (rows.where("n_shingles > 0").join(sets, ["k1", "k2"]).where("doc_id != first_id")
+    same = (rows.where("n_shingles > 0").join(sets.select("k1", "k2", "first_id"), ["k1", "k2"]).where("doc_id != first_id")
             .select(F.col("first_id").alias("a"), F.col("doc_id").alias("b")))
     joined = components(links.union(same).distinct())
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))

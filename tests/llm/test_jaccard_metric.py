@@ -146,3 +146,39 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}, 300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_lists_tell_only_impossible_pairs_apart():
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(40):
+        x = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 300))).astype(np.uint64))
+        sets.append(x)
+        for _ in range(3):
+            gone = rng.integers(0, max(len(x) // 4, 1) + 1)
+            sets.append(np.unique(np.append(rng.permutation(x)[gone:], rng.integers(0, 1 << 63, gone).astype(np.uint64))))
+    first = np.append(0, np.cumsum([len(s) for s in sets]))
+    near = jac.possible(np.diff(first), jac.sketches(np.concatenate(sets), first))
+    linked = np.zeros_like(near)
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets):
+            common = len(np.intersect1d(x, y))
+            linked[a, b] = len(x) and len(y) and 100 * common >= 85 * (len(x) + len(y) - common)
+    assert (near | ~linked).all() and near.sum() < 0.2 * near.size
+    label = jac.clusters(near)
+    for a in range(len(sets)):
+        reach = {a}
+        while len(more := reach | {int(j) for i in reach for j in np.flatnonzero(near[i])}) > len(reach):
+            reach = more
+        assert label[a] == min(reach)
+
+
+def test_long_lists_are_taken_whole(make_docs, monkeypatch):
+    monkeypatch.setattr(jac, "LIST", 2)
+    rows = _corpus(17)
+    assert got(jac.similar_documents(make_docs(rows))) == brute(rows)
+
+
+def test_order_of_rows_does_not_matter(make_docs):
+    rows = _corpus(23)
+    assert got(jac.similar_documents(make_docs(rows[::-1]).coalesce(1))) == brute(rows)
