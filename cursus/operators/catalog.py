@@ -86,19 +86,19 @@ def catalog_summary(catalog: DataFrame, cfg: Config) -> DataFrame:
 def template_performance(cur: DataFrame, cfg: Config) -> DataFrame:
     """Per template: hours, enrolments, users, courses, hours per enrolment, median
     per-user hours, % of (user, course) max progress below 20 and at or above 80."""
-    u = cur.where(F.col("template").isNotNull())
-    g = u.groupBy("template").agg(dsum0("hours", cfg).alias("hours"), F.count(F.lit(1)).alias("enrolments"),
-                                  F.count_distinct("user_id").alias("users"),
-                                  F.count_distinct("course_id").alias("courses"))
-    per_user = quantile_columns(u.where(F.col("user_id").isNotNull()).groupBy("template", "user_id")
-                                .agg(dsum0("hours", cfg).alias("h")),
+    # one scan: everything derives from one row per template, user and course
+    u = (cur.where(F.col("template").isNotNull()).groupBy("template", "user_id", "course_id")
+         .agg(F.sum(F.col("hours").cast(cfg.sum_type)).alias("s"), F.count(F.lit(1)).alias("n"), F.max("progress").alias("p")))
+    pair = F.col("p").isNotNull() & F.col("user_id").isNotNull()
+    total = F.coalesce(F.sum("s").cast("double"), F.lit(0.0))
+    g = u.groupBy("template").agg(
+        total.alias("hours"), F.sum("n").alias("enrolments"), F.count_distinct("user_id").alias("users"),
+        F.count_distinct("course_id").alias("courses"),
+        (ratio(count_if(pair & (F.col("p") < 20)), count_if(pair)) * 100).alias("pct_below20"),
+        (ratio(count_if(pair & (F.col("p") >= 80)), count_if(pair)) * 100).alias("pct_at_least80"))
+    per_user = quantile_columns(u.where(F.col("user_id").isNotNull()).groupBy("template", "user_id").agg(total.alias("h")),
                                 "h", {"hours_per_user_median": 0.5}, ["template"], cfg)
-    pairs = (u.where(F.col("progress").isNotNull() & F.col("user_id").isNotNull())
-             .groupBy("template", "user_id", "course_id").agg(F.max("progress").alias("p"))
-             .groupBy("template").agg((ratio(count_if(F.col("p") < 20), F.count(F.lit(1))) * 100).alias("pct_below20"),
-                                      (ratio(count_if(F.col("p") >= 80), F.count(F.lit(1))) * 100)
-                                      .alias("pct_at_least80")))
-    out = g.join(per_user, "template", "left").join(pairs, "template", "left")
+    out = g.join(per_user, "template", "left")
     return out.select("template", r6("hours").alias("hours"), F.col("enrolments").cast("long"),
                       F.col("users").cast("long"), F.col("courses").cast("long"),
                       r6(F.col("hours") / F.col("enrolments")).alias("hours_per_enrolment"),
@@ -106,32 +106,37 @@ def template_performance(cur: DataFrame, cfg: Config) -> DataFrame:
                       r6("pct_below20").alias("pct_below20"), r6("pct_at_least80").alias("pct_at_least80"))
 
 
-def group_breakdown(cur: DataFrame, roster: DataFrame | None, col: str, cfg: Config) -> DataFrame:
-    """Per center or level: users, hours, mean/median per user, activated users and
-    share, mean/median of the activated, users with a certificate and, with a
-    roster, licences and the shares of them enrolled and effective."""
-    uh = (cur.where(F.col(col).isNotNull() & F.col("user_id").isNotNull())
-          .groupBy(col, "user_id")
+def group_breakdown(cur: DataFrame, roster: DataFrame | None, columns: tuple[str, ...], cfg: Config) -> DataFrame:
+    """Per value of each column (center, level): users, hours, mean/median per user,
+    activated users and share, mean/median of the activated, users with a
+    certificate and, with a roster, licences and the shares of them enrolled and
+    effective. One pass for all columns: the column's name is a group key."""
+    key = ["group_column", "group_value"]
+
+    def stacked(df, *others):
+        pairs = F.array(*[F.struct(F.lit(c).alias("group_column"), F.col(c).alias("group_value")) for c in columns])
+        return df.select(F.inline(pairs), *others).where(F.col("group_value").isNotNull())
+
+    uh = (stacked(cur.where(F.col("user_id").isNotNull()), "user_id", "hours", "certified").groupBy(*key, "user_id")
           .agg(dsum0("hours", cfg).alias("h"), F.max(F.col("certified").cast("int")).alias("cert")))
     h = F.col("h")
     act = F.when(h > 0, h)
-    g = uh.groupBy(col).agg(
+    g = uh.groupBy(*key).agg(
         F.count(F.lit(1)).alias("users"), dsum0(h, cfg).alias("hours"),
         ratio(dsum(h, cfg), F.count(F.lit(1))).alias("mean"),
         count_if(h > 0).alias("activated"),
         ratio(dsum(act, cfg), count_if(h > 0)).alias("mean_act"),
         count_if(F.col("cert") == 1).alias("users_with_cert"))
-    g = g.join(quantiles_all_and_active(uh, "h", {"median": 0.5}, {"median_act": 0.5}, [col], cfg), col, "left")
+    g = g.join(quantiles_all_and_active(uh, "h", {"median": 0.5}, {"median_act": 0.5}, key, cfg), key, "left")
     g = g.withColumn("pct_activated", ratio(F.col("activated"), F.col("users")) * 100)
-    cols = [F.col(col).alias("group_value"), F.lit(col).alias("group_column"),
+    cols = ["group_value", "group_column",
             F.col("users").cast("long"), r6("hours").alias("hours"), r6("mean").alias("mean"),
             r6("median").alias("median"), F.col("activated").cast("long"), r6("pct_activated").alias("pct_activated"),
             r6("mean_act").alias("mean_act"), r6("median_act").alias("median_act"),
             F.col("users_with_cert").cast("long")]
     if roster is not None:
-        lic = (roster.where(F.col(col).isNotNull()).groupBy(col)
-               .agg(F.count_distinct("user_id").alias("licences")))
-        g = g.join(lic, col, "left")
+        lic = stacked(roster, "user_id").groupBy(*key).agg(F.count_distinct("user_id").alias("licences"))
+        g = g.join(lic, key, "left")
         cols += [F.col("licences").cast("long"),
                  r6(ratio(F.col("users"), F.col("licences")) * 100).alias("pct_licence_enrolled"),
                  r6(ratio(F.col("activated"), F.col("licences")) * 100).alias("pct_licence_effective")]

@@ -7,7 +7,7 @@ so it is a separate ``min over user`` from the panel's first-active period.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TEACHERS, Config
@@ -21,13 +21,19 @@ def _teachers(usage: DataFrame) -> DataFrame:
     return usage.where(F.col("population") == TEACHERS)
 
 
-def pop_by_period(usage: DataFrame, periods: DataFrame, cfg: Config) -> DataFrame:
-    """Per period: teachers in base, first seen, already seen, active, hours,
+def pop_by_period(usage: DataFrame, periods: DataFrame, cfg: Config, only: Column | None = None) -> DataFrame:
+    """Per period (or for the ``only`` one): teachers in base, first seen, already seen, active, hours,
     median/mean minutes among the active, and share of all hours of the period."""
-    uh = (_teachers(usage).where(F.col("user_id").isNotNull())
-          .groupBy("user_id", "period_index").agg(dsum0("hours", cfg).alias("h")))
+    # one scan: teachers and totals from one row per user and period
+    teacher = F.col("population") == TEACHERS
+    every = usage.groupBy("user_id", "period_index").agg(
+        dsum0(F.when(teacher, F.col("hours")), cfg).alias("h"), F.max(teacher).alias("teacher"),
+        F.sum(F.col("hours").cast(cfg.sum_type)).alias("s"))
     first = F.min("period_index").over(Window.partitionBy("user_id"))
-    uh = uh.withColumn("is_first", F.col("period_index") == first)
+    uh = (every.where(F.col("teacher") & F.col("user_id").isNotNull())
+          .select("user_id", "period_index", "h", (F.col("period_index") == first).alias("is_first")))
+    if only is not None:
+        uh, every, periods = (df.where(F.col("period_index") == only) for df in (uh, every, periods))
     h = F.col("h")
     a = F.when(h > 0, h)
     g = uh.groupBy("period_index").agg(
@@ -36,7 +42,7 @@ def pop_by_period(usage: DataFrame, periods: DataFrame, cfg: Config) -> DataFram
         (ratio(dsum(a, cfg), count_if(h > 0)) * 60).alias("mean_min_active"))
     med = quantile_columns(uh.where(h > 0), "h", {"median_active": 0.5}, ["period_index"], cfg)
     g = g.join(med, "period_index", "left").withColumn("median_min_active", F.col("median_active") * 60)
-    tot = usage.groupBy("period_index").agg(dsum0("hours", cfg).alias("total"))
+    tot = every.groupBy("period_index").agg(F.coalesce(F.sum("s").cast("double"), F.lit(0.0)).alias("total"))
     out = (periods.select("period_index", "label").join(g, "period_index", "left")
            .join(tot, "period_index", "left"))
     longs = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("in_base", "first_seen", "active")]
@@ -50,12 +56,11 @@ def pop_by_period(usage: DataFrame, periods: DataFrame, cfg: Config) -> DataFram
         .alias("pct_platform_hours"))
 
 
-def pop_current_row(by_period: DataFrame, periods: DataFrame) -> DataFrame:
+def pop_current_row(usage: DataFrame, periods: DataFrame, cfg: Config) -> DataFrame:
     """The row of the current period; the latest period when there is no current."""
     cur = periods.where(F.col("side") == "cur").select("period_index")
     fallback = periods.agg(F.max("period_index")).scalar()
-    target = F.coalesce(cur.scalar(), fallback)
-    return by_period.where(F.col("period_index") == target)
+    return pop_by_period(usage, periods, cfg, F.coalesce(cur.scalar(), fallback))
 
 
 def pop_by_brand(cur: DataFrame, cfg: Config) -> DataFrame:

@@ -6,11 +6,10 @@ values there. ``exact_quantiles`` returns the same linear-interpolation
 quantile (position (n-1)p between the two neighbouring order statistics) by
 selection instead of sorting:
 
-1. count per (group, log-scale bucket of the value) and find, per target rank,
-   the bucket holding it (windows run over bucket counts only);
-2. split that bucket into ``sub_buckets`` linear sub-buckets and find the one
-   holding the rank;
-3. inside it (a sliver of the value range) count the distinct values and pick
+1. count per (group, log-scale bucket of the value, BUCKETS to an octave) and
+   find, per target rank, the bucket holding it (windows run over bucket counts
+   only, whose number is bounded by the range of doubles);
+2. inside it (a sliver of the value range) count the distinct values and pick
    the one at the rank.
 
 Every pass is a filter or equi join plus a partial + final aggregation; the
@@ -23,10 +22,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _RANKS = "_t"
+#: Buckets of values between a number and its double.
+BUCKETS = 8192
 
 
 def _join_keys(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -39,15 +40,7 @@ def _join_keys(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFr
     return left.join(r, cond).drop(*[f"_r_{c}" for c in cols])
 
 
-def _boundary(df: DataFrame, part: Sequence[str], order: str, before0: Column) -> DataFrame:
-    """Rows whose count range [before, before + c) holds the target rank r."""
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("before", before0 + F.coalesce(F.sum("c").over(w), F.lit(0)))
-    return df.where((F.col("before") <= F.col("r")) & (F.col("r") < F.col("before") + F.col("c")))
-
-
-def exact_quantiles(values: DataFrame, col: str, ps: Sequence[float], keys: Sequence[str] = (),
-                    sub_buckets: int = 4096) -> DataFrame:
+def exact_quantiles(values: DataFrame, col: str, ps: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """(keys..., p, q): exact linear-interpolation quantile of ``col`` per group.
 
     Equals ``percentile(col, p)`` per group; groups without values are absent.
@@ -55,35 +48,28 @@ def exact_quantiles(values: DataFrame, col: str, ps: Sequence[float], keys: Sequ
     k = list(keys)
     v = F.col("v")
     x = values.select(*k, F.col(col).cast("double").alias("v")).where(v.isNotNull() & ~F.isnan(v))
-    mag = F.floor(F.log2(F.abs(v)) * 16) + 20000          # monotone in |v|, positive for any double
+    mag = F.floor(F.log2(F.abs(v)) * BUCKETS) + 1100 * BUCKETS  # monotone in |v|, positive for any double
     x = x.withColumn("b1", F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0)).cast("long"))
 
     # (1) bucket counts; n per group; two target ranks per p (floor and ceil of (n-1)p).
-    l1 = x.groupBy(*k, "b1").agg(F.count(F.lit(1)).alias("c"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-    group = Window.partitionBy(*k) if k else Window.partitionBy()
+    l1 = x.groupBy(*k, "b1").agg(F.count(F.lit(1)).alias("c"))
+    group = Window.partitionBy(*k)
+    before = F.coalesce(F.sum("c").over(group.orderBy("b1").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     targets = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(j).alias("j")) for p in ps for j in (0, 1)])
-    l1 = (l1.withColumn("n", F.sum("c").over(group))
-          .withColumn(_RANKS, F.explode(targets))
+    l1 = (l1.withColumns({"n": F.sum("c").over(group), "before": before}).withColumn(_RANKS, F.explode(targets))
           .withColumns({"p": F.col(f"{_RANKS}.p"), "j": F.col(f"{_RANKS}.j")}).drop(_RANKS)
           .withColumn("pos", (F.col("n") - 1).cast("double") * F.col("p"))
           .withColumn("r", F.when(F.col("j") == 0, F.floor("pos")).otherwise(F.ceil("pos")).cast("long")))
     part = [*k, "p", "j"]
-    b1 = _boundary(l1, part, "b1", F.lit(0).cast("long")).select(
-        *k, "p", "j", "r", "pos", "b1", F.col("before").alias("before1"), "lo", "hi")
-
-    # (2) linear sub-buckets of the boundary bucket.
-    x2 = _join_keys(x, b1, [*k, "b1"]) if k else x.join(b1, "b1")
-    x2 = x2.withColumn("b2", F.when(
-        F.col("hi") > F.col("lo"),
-        F.least(F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * sub_buckets), F.lit(sub_buckets - 1))
-    ).otherwise(F.lit(0)).cast("long"))
-    l2 = x2.groupBy(*part, "r", "pos", "before1", "b2").agg(F.count(F.lit(1)).alias("c"))
-    b2 = _boundary(l2, part, "b2", F.col("before1")).select(*part, "b2", F.col("before").alias("before2"))
-
-    # (3) distinct values of the boundary sub-bucket.
-    x3 = _join_keys(x2, b2, [*part, "b2"])
-    l3 = x3.groupBy(*part, "r", "pos", "before2", "v").agg(F.count(F.lit(1)).alias("c"))
-    picked = _boundary(l3, part, "v", F.col("before2")).select(*part, "pos", "v")
+    b1 = l1.where((F.col("before") <= F.col("r")) & (F.col("r") < F.col("before") + F.col("c"))).select(
+        *part, "r", "pos", "b1", "before")
+
+    # (2) distinct values of the boundary bucket.
+    x2 = _join_keys(x, b1, [*k, "b1"])
+    l2 = x2.groupBy(*part, "r", "pos", "before", "v").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*part).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    l2 = l2.withColumn("below", F.col("before") + F.coalesce(F.sum("c").over(w), F.lit(0)))
+    picked = l2.where((F.col("below") <= F.col("r")) & (F.col("r") < F.col("below") + F.col("c"))).select(*part, "pos", "v")
 
     lo_v = F.max(F.when(F.col("j") == 0, v))
     hi_v = F.max(F.when(F.col("j") == 1, v))

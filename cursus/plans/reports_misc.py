@@ -158,7 +158,7 @@ def pop_by_period_q(b):
 SELECT * FROM pbp WHERE period_index = coalesce((SELECT period_index FROM periods WHERE side = 'cur'),
                                                 (SELECT max(period_index) FROM periods))""")
 def pop_current_row_q(b):
-    return PO.pop_current_row(PO.pop_by_period(b.usage, b.periods, b.cfg), b.periods)
+    return PO.pop_current_row(b.usage, b.periods, b.cfg)
 
 
 @report("pop_by_brand", sql=lambda cfg: f"""

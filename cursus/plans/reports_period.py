@@ -399,8 +399,7 @@ SELECT * FROM (
 
 @report("group_breakdown", sql="\n".join([_group_sql("center"), "UNION ALL", _group_sql("level")]))
 def group_breakdown_q(b):
-    return K.group_breakdown(b.cur, b.roster, "center", b.cfg).unionByName(
-        K.group_breakdown(b.cur, b.roster, "level", b.cfg))
+    return K.group_breakdown(b.cur, b.roster, ("center", "level"), b.cfg)
 
 
 # ---------------------------------------------------------------- rankings (2.E)
