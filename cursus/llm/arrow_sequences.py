@@ -22,7 +22,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +30,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textkit
 from .shared import chunks, process_cache, shared_folder, written
 
 LENGTH = 2048           # ids in a sequence
 SEQUENCES = 64          # sequences in a record batch
-CACHED_PIECES = 1_000_000  # encodings a worker remembers, about 160 MB
+KNOWN_PARTS = 3_000_000  # distinct parts a worker remembers, about 100 MB
 
-#: A single blank between two characters that are no white space. The byte
-#: vocabularies split words before such a blank wherever it stands, so both
-#: sides are encoded alone as they are encoded together.
-_SAFE_CUT = re.compile(r"(?<!\s) (?!\s)")
-#: In texts without these pairs and other white space, every blank is such a cut.
-_PAIRS = ("  ", "\n ", " \n")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-#: Pieces of these characters are split by the vocabulary's pattern here; others, whole, by the library.
-_COMMON = re.compile("[ \n!-~\u00c0-\u024f]*")
+# Classes of bytes in a common text.
+_OUTSIDE, _BLANK, _FEED, _LETTER, _DIGIT, _SIGN = range(6)
+
+
+def _byte_classes() -> np.ndarray:
+    """Class of each byte: letters are ASCII's and the bytes of U+00C0 to U+024F (all of them letters but two signs)."""
+    of = np.full(256, _OUTSIDE, np.uint8)
+    of[33:127] = _SIGN
+    of[48:58] = _DIGIT
+    of[65:91] = of[97:123] = _LETTER
+    of[0xC3:0xCA] = of[0x80:0xC0] = _LETTER
+    of[32], of[10], of[39] = _BLANK, _FEED, _OUTSIDE  # an apostrophe may begin a contraction
+    return of
+
+
+_CLASS = _byte_classes()
 
 
 def _byte_signs() -> dict[int, str]:
@@ -55,90 +62,117 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class ChunkEncoder:
-    """Ids of whole texts from the tokenizers library, each distinct word encoded once.
+class TextEncoder:
+    """Ids of whole texts from the tokenizers library, each distinct part encoded once.
 
-    Texts are cut before blanks and the pieces looked up. New pieces are split
-    by the vocabulary's own pattern, and the new parts of a batch go through the
-    library's merges together; pieces with other characters than the common
-    ones and texts with the spelling of a special token go through the whole
-    library.
+    Byte-level vocabularies split a text into parts before they merge: runs of
+    letters, of digits or of other signs, each with one blank before it if there
+    is one, and white space. In common texts (blanks and line feeds that stand
+    alone, ASCII and Latin letters, no apostrophe) those parts are found here,
+    and the new ones of a batch go through the library's merges together. Any
+    other text goes through the library whole.
     """
 
     def __init__(self, path: str, end_id: int | None):
-        import regex
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # parts come split, without white space
-        vocabulary = self.whole.get_vocab_size()
-        self.dtype = np.dtype("<u2" if max(vocabulary - 1, end_id or 0) < 1 << 16 else "<u4")
-        self.end = b"" if end_id is None else self._bytes([end_id])
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.split = regex.compile(PATTERN).findall
+        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.end_id = end_id
+        self.dtype = np.dtype("<u2" if max(self.whole.get_vocab_size() - 1, end_id or 0) < 1 << 16 else "<u4")
         self.signs = str.maketrans({chr(b): c for b, c in _byte_signs().items()})
-        self.after: dict[str, bytes] = {}  # ids of what follows a blank, which the key leaves out
-        self.other: dict[str, bytes] = {}  # ids of parts and pieces without a blank before them
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _learn(self, new: set[str], blank: str, known: dict[str, bytes]) -> None:
-        """Encode new pieces, given without the ``blank`` before them."""
-        plain, split = [], {}
-        for key in new:
-            if key.isalpha() and _COMMON.fullmatch(key):
-                plain.append(key)  # a word: the pattern takes it whole
-            elif _COMMON.fullmatch(key):
-                split[key] = self.split(blank + key)
-            else:
-                known[key] = self._bytes(self.whole.encode(blank + key, add_special_tokens=False).ids)
-        parts = {p for parts in split.values() for p in parts}
-        behind = list({p[1:] for p in parts if p[0] == " "}.union(plain if blank else ()).difference(self.after))
-        others = list({p for p in parts if p[0] != " "}.union(() if blank else plain).difference(self.other))
-        spelled = [(" " + p).encode().decode("latin-1").translate(self.signs) for p in behind]
-        spelled += [p.encode().decode("latin-1").translate(self.signs) for p in others]
-        if spelled:
-            got = self.merges.encode(spelled, is_pretokenized=True, add_special_tokens=False)
-            ids, size = self._bytes(got.ids), self.dtype.itemsize
-            first = (np.searchsorted(np.array(got.word_ids), np.arange(len(spelled) + 1)) * size).tolist()
-            coded = [ids[a:b] for a, b in pairwise(first)]
-            self.after.update(zip(behind, coded))
-            self.other.update(zip(others, coded[len(behind):]))
-        for key, parts in split.items():
-            known[key] = b"".join([self.after[p[1:]] if p[0] == " " else self.other[p] for p in parts])
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes of ``dtype``, the end id last."""
-        if len(self.after) + len(self.other) > CACHED_PIECES:
-            self.after.clear()
-            self.other.clear()
-        heads, rests = [], []
-        for text in texts:
-            odd = any(p in text for p in _PAIRS) or _OTHER_SPACE.search(text)
-            head, *rest = _SAFE_CUT.split(text) if odd else text.split(" ")
-            heads.append(head)
-            rests.append(rest)
-        coded = [list(map(self.after.get, rest)) for rest in rests]
-        self._learn({p for rest, ids in zip(rests, coded) if None in ids for p, found in zip(rest, ids) if found is None},
-                    " ", self.after)
-        self._learn({p for p in heads if p and p not in self.other}, "", self.other)
-        out = []
-        for text, head, rest, ids in zip(texts, heads, rests, coded):
-            if any(t in text for t in self.special):
-                out.append(self._bytes(self.whole.encode(text, add_special_tokens=False).ids) + self.end)
-                continue
-            if None in ids:
-                ids = map(self.after.__getitem__, rest)
-            out.append(b"".join([self.other[head] if head else b"", *ids, self.end]))
-        return out
-
-
-def _encoder(path: str, end_id: int | None) -> ChunkEncoder:
-    cache = process_cache("chunk_encoders")
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)   # sorted hashes of known parts
+        self.place = np.zeros(0, np.int64)   # of their ids in ``ids``
+        self.count = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.dtype)
+
+    def _common(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each text: is it common?"""
+        kind = _CLASS[data]
+        odd = kind == _OUTSIDE
+        space = (kind == _BLANK) | (kind == _FEED)
+        odd[1:] |= space[1:] & space[:-1]
+        # the two signs between U+00C0 and U+024F, and a first byte without its letter
+        odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+        fine = textkit.sums(odd, offsets) == 0
+        raw = data.tobytes()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                fine[np.searchsorted(offsets, at, side="right") - 1] = False
+                at = raw.find(token, at + 1)
+        return fine
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
+        """Encode new distinct parts, in the order of their hashes."""
+        sizes = ends - starts
+        spread = np.full(int(sizes.sum()) + len(sizes), 10, np.uint8)  # a line feed behind each part ...
+        before = np.cumsum(sizes + 1) - (sizes + 1)
+        spread[textkit.ranges(before, sizes)] = data[textkit.ranges(starts, sizes)]
+        feeds = np.flatnonzero((sizes == 1) & (data[starts] == 10))
+        spread[before[feeds]] = 0  # ... so the part that is one gets another sign
+        parts = spread.tobytes().decode("latin-1").replace("\x00", "\x01").split("\n")[:-1]
+        table = self.signs | {1: self.signs[10]}
+        got = self.merges.encode("\n".join(parts).translate({k: v for k, v in table.items() if k != 10}).split("\n"),
+                                 is_pretokenized=True, add_special_tokens=False)
+        first = np.searchsorted(np.array(got.word_ids), np.arange(len(parts) + 1))
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.place = np.insert(self.place, at, len(self.ids) + first[:-1])
+        self.count = np.insert(self.count, at, np.diff(first))
+        self.ids = np.append(self.ids, np.array(got.ids, self.dtype))
+
+    def _parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of common texts, and the number of each text."""
+        kind = _CLASS[data]
+        new = np.ones(len(data), bool)
+        new[1:] = ((kind[1:] != kind[:-1]) & (kind[:-1] != _BLANK)) | (kind[1:] == _FEED)
+        new[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(data))[:len(starts)]
+        keys, sample, which = np.unique(textkit.PrefixHash(data)(starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > KNOWN_PARTS:
+            self.forget()
+        at = np.searchsorted(self.keys, keys)
+        unknown = np.flatnonzero(at == len(self.keys)) if not len(self.keys) else np.flatnonzero(
+            self.keys[np.minimum(at, len(self.keys) - 1)] != keys)
+        if len(unknown):
+            self._learn(data, starts[sample[unknown]], ends[sample[unknown]], keys[unknown])
+            at = np.searchsorted(self.keys, keys)
+        place, count = self.place[at][which], self.count[at][which]
+        return self.ids[textkit.ranges(place, count)], textkit.sums(count, np.searchsorted(starts, offsets))
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, one text after the other, each with its end id, and their numbers."""
+        data, offsets = textkit.utf8(column)
+        fine = self._common(data, offsets)
+        sizes = np.diff(offsets)
+        chosen = data if fine.all() else data[textkit.ranges(offsets[:-1][fine], sizes[fine])]
+        ids, counts = self._parts(chosen, np.append(0, np.cumsum(sizes[fine])))
+        number = np.zeros(len(sizes), np.int64)
+        number[fine] = counts
+        apart = {}
+        for k in np.flatnonzero(~fine):
+            text = data[offsets[k]:offsets[k + 1]].tobytes().decode()
+            apart[k] = np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype)
+            number[k] = len(apart[k])
+        ended = number + (self.end_id is not None)
+        before = np.cumsum(ended) - ended
+        out = np.full(int(ended.sum()), self.end_id or 0, self.dtype)
+        out[textkit.ranges(before[fine], number[fine])] = ids
+        for k, found in apart.items():
+            out[before[k]:before[k] + len(found)] = found
+        return out, ended
+
+
+def _encoder(path: str, end_id: int | None) -> TextEncoder:
+    cache = process_cache("text_encoders")
     if (path, end_id) not in cache:
-        cache[path, end_id] = ChunkEncoder(path, end_id)
+        cache[path, end_id] = TextEncoder(path, end_id)
     return cache[path, end_id]
 
 
@@ -162,15 +196,15 @@ class SequenceWriter:
         self.file = pa.ipc.new_file(self.sink, self.schema)
         self.rest, self.held = [], 0
 
-    def add(self, ids: bytes) -> None:
+    def add(self, ids: np.ndarray) -> None:
         self.rest.append(ids)
-        self.held += len(ids) // self.dtype.itemsize
+        self.held += len(ids)
         if self.held >= self.full:
-            flat = np.frombuffer(b"".join(self.rest), self.dtype)
+            flat = np.concatenate(self.rest)
             whole = len(flat) // self.full * self.full
             for lo in range(0, whole, self.full):
                 self._batch(flat[lo:lo + self.full], self.full)
-            self.rest, self.held = [flat[whole:].tobytes()], len(flat) - whole
+            self.rest, self.held = [flat[whole:].copy()], len(flat) - whole
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
         mask = np.arange(len(ids)) < real
@@ -180,7 +214,7 @@ class SequenceWriter:
 
     def close(self) -> None:
         if self.held:
-            flat = np.frombuffer(b"".join(self.rest), self.dtype)
+            flat = np.concatenate(self.rest)
             padded = np.zeros(-(-len(flat) // self.length) * self.length, self.dtype)
             padded[:len(flat)] = flat
             self._batch(padded, len(flat))
@@ -246,10 +280,8 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int | None, folder:
         for batch in batches:
             for b in chunks(batch, "text"):
                 writer = writer or SequenceWriter(name, encoder.dtype, length, sequences)
-                coded = encoder([t or "" for t in b.column(1).to_pylist()])
-                for ids in coded:
-                    writer.add(ids)
-                n = np.array([len(x) for x in coded], np.int64) // encoder.dtype.itemsize
+                ids, n = encoder(b.column(1))
+                writer.add(ids)
                 start = at + np.cumsum(n) - n
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays(

@@ -112,7 +112,7 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids, without the blank put before it."""
-        return self.flat[_ranges(self.start[ids], self.size[ids])].tobytes()[1:] if len(ids) else b""
+        return self.flat[textkit.ranges(self.start[ids], self.size[ids])].tobytes()[1:] if len(ids) else b""
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -122,17 +122,10 @@ def vocabulary(path: str) -> Vocabulary:
     return cache[path]
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... for each size, one after the other."""
-    total = int(sizes.sum())
-    before = np.cumsum(sizes) - sizes
-    return np.arange(total) - np.repeat(before - starts, sizes)
-
-
 @dataclass
 class Lattice:
-    """Edges of distinct segments, by the place they start at."""
-    first: np.ndarray   # edges before each place; a place is a byte of the segments, or one past the last
+    """Edges of distinct segments, by the place they start at; a place is a byte, and one more ends each segment."""
+    first: np.ndarray   # edges before each place
     to: np.ndarray      # the place where an edge ends
     piece: np.ndarray   # its piece, or -1 for a character in bytes
     prob: np.ndarray    # its probability, given its start
@@ -141,15 +134,20 @@ class Lattice:
     total: np.ndarray   # log weight of all paths from each place on
 
     @classmethod
-    def of(cls, v: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> Lattice:
+    def of(cls, v: Vocabulary, data: np.ndarray, ends: np.ndarray) -> Lattice:
+        """``ends``: the places behind the segments, whose bytes don't count; the next segment begins behind."""
         n = len(data)
-        end = np.repeat(offsets[1:], np.diff(offsets))
-        chars = np.flatnonzero(~textkit.CONTINUATION[data])
+        end = np.repeat(ends, np.diff(ends, prepend=-1))
+        mark = ~textkit.CONTINUATION[data]
+        mark[ends] = True
+        chars = np.flatnonzero(mark)
         width = np.zeros(n, np.int64)
         width[chars] = np.diff(np.append(chars, n))
+        mark[ends] = False
+        chars = np.flatnonzero(mark)
         prefix = textkit.PrefixHash(data)
         found_at, found_size, found_piece = [], [], []
-        count = np.zeros(n + 1, np.int64)  # edges of each place
+        count = np.zeros(n, np.int64)      # edges of each place
         alone = np.zeros(n, bool)          # characters that are pieces themselves
         live = chars
         for size in range(1, v.longest + 1):
@@ -167,40 +165,39 @@ class Lattice:
             count[at] += 1
         spelled = chars[~alone[chars]]
         count[spelled] += 1
-        first = np.zeros(n + 2, np.int64)
+        first = np.zeros(n + 1, np.int64)
         np.cumsum(count, out=first[1:])
         # the edges of a place side by side, the longest first
         to, piece = np.empty(first[-1], np.int32), np.full(first[-1], -1, np.int32)
-        free = first[1:n + 1].copy()
+        free = first[1:].copy()
         free[spelled] -= 1
         to[free[spelled]] = spelled + width[spelled]
         for at, size, ids in zip(found_at, found_size, found_piece):
             free[at] -= 1
             to[free[at]] = at + size
             piece[free[at]] = ids
-        start = np.repeat(np.arange(n + 1, dtype=np.int32), count)
-        weight = np.where(piece >= 0, v.weight[piece], BYTE * (to - start))
+        start = np.repeat(np.arange(n, dtype=np.int32), count)
+        weight = v.weight[piece]
+        in_bytes = np.flatnonzero(piece < 0)
+        weight[in_bytes] = BYTE * (to[in_bytes] - start[in_bytes])
 
         # backward sums: all places as far from their segment's end at a time
         far = (end[chars] - chars)
         far = far.astype(np.uint16) if far.max(initial=0) < 1 << 16 else far
         order = np.argsort(far, kind="stable")
         places, far = chars[order], far[order]
-        edges = _ranges(first[places], count[places])
+        edges = textkit.ranges(first[places], count[places])
         target, base = to[edges], weight[edges]
         begins = np.append(0, np.cumsum(count[places]))
-        total = np.zeros(n + 1)
-        segment_end = np.zeros(n + 1, bool)
-        segment_end[offsets[1:]] = True
-        last = segment_end[target]
+        total = np.zeros(n)
         steps = np.flatnonzero(np.append(True, far[1:] != far[:-1])) if len(places) else np.zeros(0, np.int64)
         for a, b in zip(steps.tolist(), np.append(steps[1:], len(places)).tolist()):
             lo, hi = begins[a], begins[b]
-            value = base[lo:hi] + np.where(last[lo:hi], 0, total[target[lo:hi]])
+            value = base[lo:hi] + total[target[lo:hi]]
             group = begins[a:b] - lo
             top = np.maximum.reduceat(value, group)
             total[places[a:b]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count[places[a:b]])), group))
-        prob = np.exp(weight + np.where(segment_end[to], 0, total[to]) - total[start])
+        prob = np.exp(weight + total[to] - total[start])
         sums = np.zeros(len(prob) + 1)
         np.cumsum(prob, out=sums[1:])
         upto = sums[1:] - sums[first[start]]
@@ -251,8 +248,8 @@ class Batch:
         ends = np.append(starts[1:], len(data))[:len(starts)]
         _, sample, which = np.unique(textkit.PrefixHash(data)(starts, ends), return_index=True, return_inverse=True)
         sizes = (ends - starts)[sample]
-        lattice = Lattice.of(v, data[_ranges(starts[sample], sizes)], np.append(0, np.cumsum(sizes)))
-        begin = np.cumsum(sizes) - sizes
+        begin = np.cumsum(sizes + 1) - (sizes + 1)
+        lattice = Lattice.of(v, np.append(data, np.uint8(0))[textkit.ranges(starts[sample], sizes + 1)], begin + sizes)
         return cls(lattice, begin[which], (begin + sizes)[which], np.searchsorted(starts, offsets), key)
 
     def draw(self, occurrences: np.ndarray, place: np.ndarray, skipped: np.ndarray, key: np.ndarray,
@@ -301,6 +298,16 @@ class Search:
     def __init__(self, batch: Batch, key: int):
         self.batch, self.key, self.queue, self.paths, self.drawn = batch, key, [], [], 0
 
+    def begin(self, path: Path, values: list[float]) -> None:
+        """The parts of the set of all segmentations, whose keys ``first_parts`` gave: the places, then the tail."""
+        self.paths.append(path)
+        upper = min(len(path.edges), AHEAD)
+        self.queue = [(-value, 0, j, ()) for j, value in enumerate(values[:upper]) if value > -np.inf]
+        if values[AHEAD] > -np.inf:
+            self.queue.append((-values[AHEAD], 0, -1 - upper, ()))
+        heapq.heapify(self.queue)
+        self.drawn = AHEAD + 1
+
     def push(self, path: Path, from_place: int, left_out: tuple[int, ...], limit: float) -> None:
         """Parts of the popped set that leave a path at from_place (without the edges left out) or behind it."""
         self.paths.append(path)
@@ -360,15 +367,11 @@ def sample_batch(v: Vocabulary, column: pa.Array, keys: np.ndarray,
     number = every - batch.first[text]
     edges, counts = batch.draw(every, batch.start, np.zeros(len(every), np.int64), batch.key[text], number, 1)
     paths = _paths(batch, edges, counts, batch.first)
-    searches, out = [], [[] for _ in range(n)]
-    root = _uniform(batch.key, 0, 1 << 21, 1 << 21)
-    for i in range(n):
-        s = Search(batch, int(batch.key[i]))
-        p = paths[i]
-        p.score = float(-np.log(-np.log(root[i])))
-        s.push(p, 0, (), p.score)
-        out[i].append(p)
-        searches.append(s)
+    searches, out = [Search(batch, int(key)) for key in batch.key], [[p] for p in paths]
+    root = -np.log(-np.log(_uniform(batch.key, 0, 1 << 21, 1 << 21)))
+    for s, p, score, values in zip(searches, paths, root.tolist(), first_parts(batch, paths, root).tolist()):
+        p.score = score
+        s.begin(p, values)
     wanted = np.broadcast_to(k, n)
     for turn in range(2, int(wanted.max(initial=0)) + 1):
         popped = [(i, *node) for i, s in enumerate(searches) if wanted[i] >= turn and (node := s.pop())]
@@ -382,6 +385,23 @@ def sample_batch(v: Vocabulary, column: pa.Array, keys: np.ndarray,
             for i in range(n) for r, p in enumerate(out[i])]
 
 
+def first_parts(batch: Batch, paths: list[Path], limits: np.ndarray) -> np.ndarray:
+    """For each text's first path, the keys of the parts that leave it at each of AHEAD places, and of the tail."""
+    size = np.array([len(p.edges) for p in paths], np.int64)
+    share = np.ones((len(paths), AHEAD))
+    for row, p in zip(share, paths):
+        row[:min(len(p.edges), AHEAD)] = batch.lattice.prob[p.edges[:AHEAD]]
+    logs = np.zeros((len(paths), AHEAD + 1))
+    np.cumsum(np.log(share), axis=1, out=logs[:, 1:])
+    whole = np.array([p.log_prob for p in paths])
+    rest = np.column_stack([1 - share, np.where(size > AHEAD, 1 - np.exp(whole - logs[:, -1]), 0)])
+    rest[rest < NOTHING] = 0
+    with np.errstate(divide="ignore"):
+        mass = logs + np.log(rest)
+    u = _uniform(batch.key[:, None], np.arange(AHEAD + 1)[None, :], 1 << 20, 1 << 20)
+    return _truncated(mass, limits[:, None], u)
+
+
 def _paths(batch: Batch, edges: np.ndarray, counts: np.ndarray, first: np.ndarray) -> list[Path]:
     """A path for each run of occurrences."""
     at = np.append(0, np.cumsum(counts))[first]
@@ -437,7 +457,7 @@ def piece_ids(v: Vocabulary, lattice: Lattice, edges: np.ndarray) -> tuple[np.nd
         start = start - more
     size[spelled] = lattice.to[edges[spelled]] - start
     ids = np.repeat(ids, size)
-    ids[ids < 0] = v.byte_ids[lattice.data[_ranges(start, size[spelled])]]
+    ids[ids < 0] = v.byte_ids[lattice.data[textkit.ranges(start, size[spelled])]]
     return ids, size
 
 

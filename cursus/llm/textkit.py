@@ -196,5 +196,12 @@ class Lines:
         self.text = np.repeat(np.arange(n), self.counts)
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each size, one after the other."""
+    total = int(sizes.sum())
+    before = np.cumsum(sizes) - sizes
+    return np.arange(total) - np.repeat(before - starts, sizes)
+
+
 def lists(column: np.ndarray, first: np.ndarray, value: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(column).cast(value))
