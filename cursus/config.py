@@ -187,5 +187,7 @@ TEST = Config(
     reported_brands=("AFRI", "EURO", "ASIA", "AMER"),
     launch_date="1996-01-01",
     path_targets=("Cursó Brand#1", "curso brand 7", "No such course"),
+    domain_center=(("afri.example", "Centro Afri"), ("amer.example", "Centro Amer"), ("asi.example", "Centro Asi")),
+    min_starters=20,
     grain="quarter",
 )

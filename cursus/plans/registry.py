@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import TEST, Config
+from ..operators.ranking import ranked, ranked_sql
 from .base import Base, fixture_base
 from .sql import prefix
 
@@ -23,16 +24,20 @@ class Entry:
     build: Callable[[Base], DataFrame]
     sql: Callable[[Config], str] | None
     raw: bool = False   # build takes (spark, sf_dir, cfg) instead of a Base
+    order: tuple = ()   # columns of the rank that the report has, and of the groups it counts in
+    within: tuple = ()
 
 
 REGISTRY: dict[str, Entry] = {}
 
 
-def report(name: str, sql: Callable[[Config], str] | str | None = None, raw: bool = False):
-    """Register ``fn(base) -> DataFrame`` (or ``fn(spark, sf_dir, cfg)`` when raw)."""
+def report(name: str, sql: Callable[[Config], str] | str | None = None, raw: bool = False, order: tuple = (),
+           within: tuple = ()):
+    """Register ``fn(base) -> DataFrame`` (or ``fn(spark, sf_dir, cfg)`` when raw); with an order it gets a rank."""
     def deco(fn):
         s = sql if (sql is None or callable(sql)) else (lambda cfg, _s=sql: _s)
-        REGISTRY[name] = Entry(name, fn, s, raw)
+        build = (lambda *a: ranked(fn(*a), order, within)) if order else fn
+        REGISTRY[name] = Entry(name, build, s, raw, order, within)
         return fn
     return deco
 
@@ -56,7 +61,8 @@ def oracle(name: str, cfg: Config = TEST) -> str | None:
     e = REGISTRY[name]
     if e.sql is None:
         return None
-    return prefix(cfg) + "\n" + e.sql(cfg)
+    sql = prefix(cfg) + "\n" + e.sql(cfg)
+    return ranked_sql(sql, e.order, e.within) if e.order else sql
 
 
 def load_all() -> dict[str, Entry]:

@@ -170,7 +170,7 @@ def pop_by_brand_q(b):
     return PO.pop_by_brand(b.cur, b.cfg)
 
 
-@report("pop_courses", sql=f"""
+@report("pop_courses", order=("-teachers", "-hours", "course_id"), sql=f"""
 SELECT course_id, max(course_name) AS course_name, CAST(count(DISTINCT user_id) AS BIGINT) AS teachers,
   round({dsum0('hours')}, 6) AS hours
 FROM cur WHERE {_T} AND hours > 0 GROUP BY course_id""")
@@ -190,7 +190,7 @@ _TH_SQL = f"""
          FROM usage WHERE {_T} AND hours > 0 AND user_id IS NOT NULL GROUP BY 1, 2)"""
 
 
-@report("pop_panel_by_brand", sql=lambda cfg: _TH_SQL + f"""
+@report("pop_panel_by_brand", order=("-active", "brand"), sql=lambda cfg: _TH_SQL + f"""
 , tb AS (SELECT brand, count(DISTINCT user_id) AS in_base FROM usage WHERE {_T} AND user_id IS NOT NULL GROUP BY 1),
 pm AS (SELECT brand, count(*) AS active, {dsum0('hours')} AS hours, quantile_cont(hours, 0.5) * 60 AS mm
        FROM th GROUP BY 1),
@@ -234,7 +234,7 @@ def pop_summary_q(b):
     return PO.pop_summary(b.usage, b.periods, b.cfg)
 
 
-@report("pop_panel_courses", sql=f"""
+@report("pop_panel_courses", order=("-teachers", "-hours", "course_id"), sql=f"""
 , c AS (SELECT * FROM usage WHERE {_T} AND hours > 0)
 SELECT course_id, max(course_name) AS course_name, CAST(count(DISTINCT user_id) AS BIGINT) AS teachers,
   round({dsum0('hours')}, 6) AS hours,

@@ -133,7 +133,7 @@ def retention_base_pooled_q(b):
     return L.retention_base_pooled(b.panel)
 
 
-@report("lift_weighted", sql=lambda cfg: _BASE_SQL + _CONS_SQL + f"""
+@report("lift_weighted", order=("-lift_pp", "-n_total", "course_id"), sql=lambda cfg: _BASE_SQL + _CONS_SQL + f"""
 , per AS (
   SELECT c.course_id, c.n, c.returned, (CAST(c.returned AS DOUBLE) / c.n - base.base) * 100 AS lift_pp
   FROM cret c JOIN base ON c.pos = base.pos WHERE c.n >= {cfg.min_consumers}),
@@ -160,7 +160,7 @@ lp AS (
   FROM agg JOIN cdim ON agg.course_id = cdim.course_id)"""
 
 
-@report("lift_pooled", sql=lambda cfg: _lift_pooled_sql(cfg) + "\nSELECT * FROM lp")
+@report("lift_pooled", order=("-lift_pp", "-n_user_transitions", "course_id"), sql=lambda cfg: _lift_pooled_sql(cfg) + "\nSELECT * FROM lp")
 def lift_pooled_q(b):
     return L.lift_pooled(b.usage, b.panel, b.cfg)
 
@@ -175,7 +175,7 @@ def bridge_deadend_q(b):
     return L.bridge_deadend(L.lift_pooled(b.usage, b.panel, b.cfg), b.cfg)
 
 
-@report("gateway_courses", sql=lambda cfg: _POOLED_SQL + f"""
+@report("gateway_courses", order=("-lift_pp", "-n", "course_id"), sql=lambda cfg: _POOLED_SQL + f"""
 , cdim AS (SELECT course_id, arg_max(course_name, period_index) AS course_name FROM usage GROUP BY 1),
 starts AS (
   SELECT u.user_id, u.course_id, u.hours, a.returns_next,

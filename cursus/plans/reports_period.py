@@ -291,7 +291,7 @@ SELECT '{col}' AS group_column, g.{col} AS group_value, CAST(count(DISTINCT user
 FROM cur g WHERE g.{col} IS NOT NULL GROUP BY g.{col}"""
 
 
-@report("certification_by_group", sql="\n".join(
+@report("certification_by_group", order=("-certificates", "group_value"), within=("group_column",), sql="\n".join(
     [_cert_group_sql("brand"), "UNION ALL", _cert_group_sql("center"), "UNION ALL", _cert_group_sql("level")]))
 def certification_by_group_q(b):
     parts = [S.certification_by_group(b.cur, c, b.cfg) for c in ("brand", "center", "level")]
@@ -329,7 +329,7 @@ def _catalog_sql(cfg):
     return _CATALOG_SQL.replace("{dormant}", repr(float(cfg.dormant_hours)))
 
 
-@report("course_catalog", sql=lambda cfg: _catalog_sql(cfg) + "\nSELECT * EXCLUDE (hours_raw) FROM catx")
+@report("course_catalog", order=("-hours", "course_id"), sql=lambda cfg: _catalog_sql(cfg) + "\nSELECT * EXCLUDE (hours_raw) FROM catx")
 def course_catalog_q(b):
     return K.course_catalog(b.cur, b.prev, b.cfg)
 
@@ -359,7 +359,7 @@ def catalog_summary_q(b):
     return K.catalog_summary(K.course_catalog(b.cur, b.prev, b.cfg), b.cfg)
 
 
-@report("template_performance", sql=f"""
+@report("template_performance", order=("-hours", "template"), sql=f"""
 , g AS (SELECT template, {dsum0('hours')} AS hours, count(*) AS enrolments, count(DISTINCT user_id) AS users,
           count(DISTINCT course_id) AS courses FROM cur WHERE template IS NOT NULL GROUP BY 1),
 pu AS (SELECT template, user_id, {dsum0('hours')} AS h FROM cur WHERE template IS NOT NULL AND user_id IS NOT NULL
@@ -397,7 +397,7 @@ SELECT * FROM (
   FROM g LEFT JOIN lic ON g.gv = lic.gv)"""
 
 
-@report("group_breakdown", sql="\n".join([_group_sql("center"), "UNION ALL", _group_sql("level")]))
+@report("group_breakdown", order=("-hours", "group_value"), within=("group_column",), sql="\n".join([_group_sql("center"), "UNION ALL", _group_sql("level")]))
 def group_breakdown_q(b):
     return K.group_breakdown(b.cur, b.roster, ("center", "level"), b.cfg)
 
@@ -448,7 +448,7 @@ cu AS (SELECT c.course_id, c.course_name, CAST(users_cur AS BIGINT) AS users_cur
        FROM c LEFT JOIN p ON c.course_id = p.course_id WHERE users_cur > 0)"""
 
 
-@report("course_users", sql=_CU_SQL + "\nSELECT * FROM cu")
+@report("course_users", order=("-users_cur", "course_id"), sql=_CU_SQL + "\nSELECT * FROM cu")
 def course_users_q(b):
     return K.course_users(b.with_side(), b.cfg)
 
