@@ -125,6 +125,34 @@ def src_calendar_mode_q(spark, sf_dir, cfg):
     return periods_dim(u, d, mcfg).select("period_index", "pos", "label", "partial", "side")
 
 
+@report("src_calendar_slices", raw=True, sql=f"""
+, um AS (SELECT *, {_SNAP_IDX} AS m FROM usage),
+dm AS (SELECT *, CAST(year(day) * 12 + month(day) - 1 AS INTEGER) AS m FROM daily),
+last AS (SELECT m, max(day) AS ld FROM dm GROUP BY m),
+whole AS (SELECT m FROM last WHERE m < (SELECT max(m) FROM last) OR ld >= last_day(ld)),
+sides AS (SELECT m, CASE row_number() OVER (ORDER BY m DESC) WHEN 1 THEN 'cur' WHEN 2 THEN 'prev' END AS side
+          FROM (SELECT DISTINCT m FROM um) JOIN whole USING (m)),
+ua AS (SELECT side, count(*) AS rows_, count(DISTINCT user_id) AS users, {sdsum0('hours')} AS hours
+       FROM um JOIN sides USING (m) WHERE side IS NOT NULL GROUP BY side),
+da AS (SELECT side, count(*) AS days, {sdsum0('hours')} AS daily_hours, {sdsum0('contents')} AS contents,
+         {sdsum0('effective')} AS effective FROM dm JOIN sides USING (m) WHERE side IS NOT NULL GROUP BY side)
+SELECT ua.side, CAST(rows_ AS BIGINT) AS rows_, CAST(users AS BIGINT) AS users, round(hours, 6) AS hours,
+  CAST(days AS BIGINT) AS days, round(daily_hours, 6) AS daily_hours, round(contents, 6) AS contents,
+  round(effective, 6) AS effective
+FROM ua JOIN da ON ua.side = da.side""")
+def src_calendar_slices_q(spark, sf_dir, cfg):
+    root = exports.ensure(spark, sf_dir, cfg)
+    u, d = FS.read_calendar(spark, os.path.join(root, "month_to_month"), os.path.join(root, "daily"), _month_cfg(cfg),
+                            file_glob="*.csv")
+    ua = u.groupBy("side").agg(F.count(F.lit(1)).cast("long").alias("rows_"),
+                               F.count_distinct("user_id").cast("long").alias("users"),
+                               r6(dsum0("hours", cfg)).alias("hours"))
+    da = d.groupBy("side").agg(F.count(F.lit(1)).cast("long").alias("days"),
+                               r6(dsum0("hours", cfg)).alias("daily_hours"), r6(dsum0("contents", cfg)).alias("contents"),
+                               r6(dsum0("effective", cfg)).alias("effective"))
+    return ua.join(da, "side")
+
+
 @report("src_prepared", raw=True, sql=_PER_PERIOD_SQL)
 def src_prepared_q(spark, sf_dir, cfg):
     root = exports.ensure(spark, sf_dir, cfg)

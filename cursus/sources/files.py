@@ -22,6 +22,7 @@ from ..config import (CONTENT_PATTERN, DAILY_ACTIVE_COLUMN, DAILY_CONTENT_COLUMN
                       USAGE_PATTERN, USERS_PATTERN, Config)
 from ..functions import columns as C
 from ..functions.clean import clean_users
+from ..operators.periods import complete_periods
 
 # ---------------------------------------------------------------- listing
 def list_files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
@@ -277,6 +278,25 @@ def read_current_previous(spark: SparkSession, cur_dir: str, prev_dir: str, cfg:
     return u, d
 
 
+def read_calendar(spark: SparkSession, root: str, daily_dir: str, cfg: Config, file_glob: str = USAGE_PATTERN):
+    """Calendar mode: usage and daily series of the latest complete month and the one before it,
+    each with ``period_index`` and ``side``.
+
+    A month counts if it has a snapshot and the daily series covers it whole; only the two
+    months' exports are read. Fewer than two such months are an error.
+    """
+    files = snapshot_files(spark, root, file_glob)
+    daily = read_daily(spark, daily_dir, cfg)
+    whole = {r.period_index for r in complete_periods(daily, cfg).collect()}  # one row a month
+    months = sorted({p for p, _ in files} & whole)
+    if len(months) < 2:
+        raise FileNotFoundError("calendar mode needs at least two complete months")
+    side = F.when(F.col("period_index") == months[-1], "cur").when(F.col("period_index") == months[-2], "prev")
+    usage = read_exports(spark, [f for f in files if f[0] in months[-2:]], cfg)
+    days = daily.withColumn("period_index", C.period_of_date(F.col("day"), cfg.grain))
+    return usage.withColumn("side", side), days.withColumn("side", side).where(F.col("side").isNotNull())
+
+
 def read_prepared(spark: SparkSession, root: str, cfg: Config):
     """Prepared layout written by the preparation job: usage partitioned by
     period_index, daily series, roster. Population derived when absent; raw

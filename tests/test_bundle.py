@@ -28,15 +28,6 @@ def test_digest_ignores_order_and_partitioning(base):
     assert (d["only_left"], d["only_right"]) == (a["rows"] - 3, 0)
 
 
-def test_pool_size_follows_driver_memory(spark):
-    from cursus.plans.bundle import _bytes, _pool_size
-    assert _bytes("1g") == 2 ** 30 and _bytes("512m") == 2 ** 29 and _bytes("2048") == 2048
-    assert _pool_size(spark, 3) == 3
-    n = _pool_size(spark, None)
-    heap = _bytes(spark.conf.get("spark.driver.memory", "1g"))
-    assert 1 <= n <= max(1, heap // 2 ** 31)
-
-
 def test_materialized_base_is_memoised_and_gives_same_digests(base):
     from cursus.plans.base import materialized
     mat = materialized(base)

@@ -150,3 +150,23 @@ def test_names_as_column_equal_names_as_text(spark):
     names = ["Cursó Brand#1", "  MS - Ética: Uso\tResponsable ", "a–b", "ﬁn ½ Ⅷ ①", "ÀÉÎõü ß Ø", "日本 x", "", "ĳ ŉ …"]
     df = spark.createDataFrame([(n,) for n in [*names, None]], "n string").select("n", normalise_name(F.col("n")).alias("v"))
     assert {r.n: r.v for r in df.collect()} == {**{n: normalise_text(n) for n in names}, None: None}
+
+
+def test_calendar_mode_needs_two_whole_months(spark, tmp_path):
+    def daily(folder, last):
+        os.makedirs(folder, exist_ok=True)
+        days = [f"2026-{m:02d}-{d:02d}" for m in (1, 2, 3) for d in range(1, 29)] + [f"2026-01-{d}" for d in (29, 30, 31)] + last
+        for name, columns in (("Horas_de_aprendizaje_1", ["Horas de aprendizaje (SUM)"]),
+                              ("Consumo_mensual_1", ["cadenarecurso (DISTINCT_COUNT)"]),
+                              ("Usuarios_mensuales_1", ["Nº Usuarios activos (DISTINCT_COUNT)", "Nº Usuarios efectivos (DISTINCT_COUNT)"])):
+            with open(f"{folder}/{name}.csv", "w", encoding="utf-8") as f:
+                f.write(",".join(["fecha", *columns]) + "\n" + "".join(",".join([x, *["2"] * len(columns)]) + "\n" for x in days))
+
+    for month in ("ene_26", "feb_26", "mar_26"):
+        export(f"{tmp_path}/m/{month}/consumo_por_usuario__1.csv", [f"{month}@x.mx"])
+    daily(f"{tmp_path}/d", [])
+    u, d = FS.read_calendar(spark, f"{tmp_path}/m", f"{tmp_path}/d", DEFAULT)
+    assert sorted((r.side, r.user_id) for r in u.collect()) == [("cur", "feb_26@x.mx"), ("prev", "ene_26@x.mx")]
+    assert {(r.side, r.n) for r in d.groupBy("side").agg(F.count("*").alias("n")).collect()} == {("cur", 28), ("prev", 31)}
+    with pytest.raises(FileNotFoundError):
+        FS.read_calendar(spark, f"{tmp_path}/m", f"{tmp_path}/d", DEFAULT, file_glob="nothing*.csv")
