@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import map_chunks, written
+from .shared import give_back, map_chunks, written
 
 SPAN, GRAM = 50, 10
 CONTEXTS = 1_024  # of a shard, at most; about 70 words each
@@ -213,6 +213,7 @@ def _shards(span: int):
                 held.setdefault(c, (doc, w))  # repeated rows of a provider give a context twice
         if held:
             yield finish()
+        give_back()
     return run
 
 
@@ -260,13 +261,13 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, contexts
     """Per document: doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined by one blank)."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tid"), "text")
     anchors = written(map_chunks(texts.where(F.col("doc_id").isNotNull()), _anchors(span, gram), ANCHORS), "anchors")
-    several = (anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-               .where("lo < hi").select("anchor"))
+    several = written(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                      .where("lo < hi").select("anchor"), "anchors-of-several")  # so that Spark can split a hot anchor's join
     rows = written(anchors.join(several, "anchor"), "repeated-anchors")
 
     # distinct contexts, each with a document that provides its words
     distinct = rows.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "tid", "s1", "s2")).alias("p"))
-    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n"))
+    sizes = written(distinct.groupBy("anchor").agg(F.count("*").alias("n")), "contexts-of-anchors")
     distinct = written(distinct.join(sizes, "anchor").select("anchor", "context", "n", "p.*"), "contexts")
     given = (distinct.where("n > 1").groupBy("doc_id", "tid")
              .agg(F.collect_list(F.struct("anchor", "context", "s1", "s2")).alias("given")))  # of one text: bounded by it
@@ -293,3 +294,25 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, contexts
     spans = alone.unionByName(mixed).groupBy("doc_id", "tid").agg(F.collect_set("w").alias("w"))  # of one text
     marked = texts.join(spans.select("doc_id", "tid", F.flatten("w").alias("spans")), ["doc_id", "tid"], "left")
     return map_chunks(marked.select("doc_id", "text", "spans"), _keep(span), RESULT)
+
+
+def removal_sql(span: int = SPAN) -> str:
+    """DuckDB SQL of remove_repeats without the texts, by a table of all windows; for tables with distinct ids."""
+    return f"""
+WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + {span - 1}], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {span - 1})) AS i FROM words)),
+first AS (SELECT s, min(doc_id) AS m FROM windows GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, i + unnest(generate_series(0, {span - 1})) AS p
+  FROM windows JOIN first USING (s) WHERE m < doc_id),
+marked AS (
+  SELECT x.doc_id, x.p, x.word, g.p IS NULL AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM words) x
+  LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.p = x.p)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(count(*) FILTER (WHERE NOT kept) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE kept), '')) AS kept_sha256
+FROM words w LEFT JOIN marked m ON m.doc_id = w.doc_id GROUP BY w.doc_id, len(w.w)
+"""
