@@ -67,5 +67,6 @@ def oracle(name: str, cfg: Config = TEST) -> str | None:
 
 def load_all() -> dict[str, Entry]:
     # Importing the report modules fills the registry.
-    from . import reports_panel, reports_period, reports_misc, reports_clean, reports_sources  # noqa: F401
+    from . import (reports_clean, reports_misc, reports_panel, reports_period, reports_previous,  # noqa: F401
+                   reports_sources)
     return REGISTRY

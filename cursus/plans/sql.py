@@ -170,6 +170,9 @@ hpu_prev AS (SELECT user_id, {dsum0('hours')} AS hours FROM prev WHERE user_id I
 mp_cur AS (
   SELECT user_id, course_id, max(progress) AS progress FROM cur WHERE user_id IS NOT NULL
   GROUP BY 1, 2 HAVING max(progress) IS NOT NULL),
+mp_prev AS (
+  SELECT user_id, course_id, max(progress) AS progress FROM prev WHERE user_id IS NOT NULL
+  GROUP BY 1, 2 HAVING max(progress) IS NOT NULL),
 panel AS (
   SELECT u.user_id, u.period_index, p.pos, p.label, p.max_pos, {dsum0('u.hours')} AS hours,
     min(u.brand) AS brand, min(u.population) AS population
