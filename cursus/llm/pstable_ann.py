@@ -42,7 +42,7 @@ from .shared import cut
 TABLES, HASHES, WIDTH = 4, 6, 1.5
 REACH = 0.975       # estimated probability that a neighbour is in a visited bucket of some table
 SAMPLE = 4_096
-BLOCK = 16_384
+BLOCK = 4_096
 SEED = 20_27
 #: Values of a hash that can matter: unit vectors project to a standard normal.
 SPAN = 4
