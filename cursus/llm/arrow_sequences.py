@@ -35,7 +35,7 @@ from .shared import chunks, process_cache, shared_folder, written
 
 LENGTH = 2048           # ids in a sequence
 SEQUENCES = 64          # sequences in a record batch
-KNOWN_PARTS = 3_000_000  # distinct parts a worker remembers, about 100 MB
+KNOWN_PARTS = 2_000_000  # distinct parts a worker remembers, about 70 MB
 
 # Classes of bytes in a common text.
 _OUTSIDE, _BLANK, _FEED, _LETTER, _DIGIT, _SIGN = range(6)

@@ -53,12 +53,12 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .components import components
-from .shared import chunks, cut, map_chunks, written
+from .shared import chunks, cut, give_back, map_chunks, written
 
 SHINGLE, PERCENT = 4, 85
 REGION = 2_000_000  # shingles joined in a task
 LEVELS, PIVOTS = 3, 8
-FLUSH = 1_000_000   # part hashes that a task holds
+FLUSH = 500_000   # part hashes that a task holds
 SLICES = 64         # of the hash space, whose counts tell sets apart
 LIST = 2_000        # documents of a list that are told apart
 LEAF = 24           # members of a region that needs no pivots
@@ -248,7 +248,7 @@ def _part_rows(buckets: int, shingle: int, percent: int):
                 ids, n = b.column(0).to_numpy(), np.diff(first)
                 counts = sketches(sets, first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((k1.view(U) % U(buckets)).astype(np.int32)), b.column(0), pa.array(n.astype(np.int64)),
+                    [pa.array((textkit.mix(ids.view(U)) % U(buckets)).astype(np.int32)), b.column(0), pa.array(n.astype(np.int64)),
                      pa.array(k1), pa.array(k2), pa.array([c.tobytes() for c in counts], pa.binary()),
                      pa.nulls(len(ids), pa.binary())], names)
                 new = np.zeros(len(ids), bool)
@@ -265,6 +265,7 @@ def _part_rows(buckets: int, shingle: int, percent: int):
                     size = 0
         if size:
             yield from flush()
+        give_back()
     return run
 
 
@@ -312,6 +313,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs.append(np.frombuffer(d, np.int32 if len(d) == 4 * len(k) else np.int64).astype(np.int64) + base)
     if keys:
         yield from finish()
+    give_back()
 
 
 def _told_apart(percent: int):
@@ -337,6 +339,7 @@ def _told_apart(percent: int):
                 held.append(row)
         if len(held) > 1:
             yield finish()
+        give_back()
     return run
 
 
@@ -489,6 +492,7 @@ def _join_regions(percent: int, shingle: int):
                 held.add((doc, given))  # rows of one doc_id may differ
         if held:
             yield finish()
+        give_back()
     return run
 
 
@@ -588,8 +592,7 @@ def _set_rows(shingle: int):
 
 def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, limit: int = REGION,
                       levels: int = LEVELS) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, links: the smallest doc_id connected with it, and how many
-    links to other sets the join used to connect its set."""
+    """Per document: doc_id, n_shingles and component_id, the smallest doc_id connected with it."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     given = texts.where(F.col("doc_id").isNotNull())
@@ -626,12 +629,10 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     same = (rows.where("n_shingles > 0").join(sets.select("k1", "k2", "first_id"), ["k1", "k2"]).where("doc_id != first_id")
             .select(F.col("first_id").alias("a"), F.col("doc_id").alias("b")))
     joined = components(links.union(same).distinct())
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
-    out = (rows.join(joined, rows.doc_id == joined.node, "left").drop("node").join(degree, rows.doc_id == degree.node, "left")
-           .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
-                   F.coalesce("links", F.lit(0)).alias("links")))
+    out = (rows.join(joined, rows.doc_id == joined.node, "left")
+           .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
     nameless = map_chunks(texts.where(F.col("doc_id").isNull()), _counts(shingle), "doc_id bigint, n_shingles bigint")
-    return out.unionByName(nameless.withColumns({"component_id": F.lit(None).cast("bigint"), "links": F.lit(0).cast("bigint")}))
+    return out.unionByName(nameless.withColumn("component_id", F.lit(None).cast("bigint")))
 
 
 def _counts(shingle: int):
@@ -639,3 +640,28 @@ def _counts(shingle: int):
         n = np.diff(shingle_sets(batch.column(1), shingle)[1])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64))], ["doc_id", "n_shingles"])
     return one
+
+
+def components_sql(shingle: int = SHINGLE, percent: int = PERCENT) -> str:
+    """DuckDB SQL of similar_documents, by all pairs that share a shingle; for small tables with distinct ids."""
+    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{capitals}', '{small}'), '[^\\x20\\x09-\\x0D]+'), []) AS w
+  FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + {shingle - 1}], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - {shingle - 1}, 1))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM words
+  UNION SELECT r.doc_id, b.b FROM reach r JOIN sides b ON r.other = b.a)
+SELECT w.doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
+FROM words w JOIN reach r ON r.doc_id = w.doc_id LEFT JOIN sizes s ON s.doc_id = w.doc_id GROUP BY w.doc_id
+"""

@@ -87,5 +87,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_metric": jaccard_metric.components_sql(),
+    "op5_automaton_dedup": automaton_dedup.removal_sql(),
     "op7_mixing": mixing.taken_sql(),
 }

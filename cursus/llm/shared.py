@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 import types
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Texts handed to one vectorised step together, in bytes. A longer text is a
 #: step of its own: texts are never cut.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -81,9 +83,17 @@ def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordB
                     yield out
                 else:
                     yield from out
+        give_back()
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers stay for other tasks, and count in their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def process_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, whatever task runs."""
     module = sys.modules.setdefault("cursus_llm_worker", types.ModuleType("cursus_llm_worker"))

@@ -69,3 +69,15 @@ def test_query_equals_sql(spark):
     got = sorted(tuple(r) for r in queries.op7_mixing(spark, SF).select(
         "doc_id", "size", "source_size", "target", "taken").collect())
     assert [(*r[:3], round(r[3], 6), r[4]) for r in got] == [(*r[:3], round(r[3], 6), r[4]) for r in want]
+
+
+def test_sql_twins_of_the_other_operators(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for name in sorted(queries.ORACLE_SQL):
+        want = con.execute(queries.ORACLE_SQL[name])
+        columns = [c[0] for c in want.description]
+        got = queries.QUERIES[name](spark, SF)
+        assert sorted(got.columns) == sorted(columns)
+        if name != "op7_mixing":
+            assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
