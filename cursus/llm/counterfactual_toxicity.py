@@ -22,20 +22,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled, textkit
-from .shared import map_chunks
+from .shared import map_chunks, written
 
-SAMPLE = 6_000      # labelled documents to learn from, at most
+SAMPLE = 10_000     # labelled documents to learn from, at most
 FEATURES = 2_048    # weights, at most
 PENALTY = 4.0       # of squared score differences between twins
 RIDGE = 1e-5
 TWINS = 3           # counterfactuals of a text that names a group
 PREFIXES = (4, 5, 6)  # bytes of the word beginnings that count as features
-LEAST, CHI2 = 5, 15.0
+LEAST, CHI2 = 4, 12.0
 
 #: Identity terms by kind; a term is swapped for others of its line.
 IDENTITIES = (
@@ -110,8 +109,8 @@ class Model:
 SAMPLE_ROWS = "row bigint, turn int, label int, keys array<bigint>"
 
 
-def _sample_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, twins: int) -> pa.Table:
-    """Distinct features of the sample's texts (turn 0) and their twins (turn 1 and on), on the driver."""
+def _sample_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, twins: int) -> DataFrame:
+    """Distinct features of the sample's texts (turn 0) and of their twins (turn 1 and on), written once."""
     rows = labelled.sample(docs, labels, label, most).select(
         "text", "label", F.xxhash64("text", "label").alias("row"))
 
@@ -131,58 +130,62 @@ def _sample_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, twin
              pa.array([x[2] for x in out], pa.int32()),
              textkit.lists(keys[new].view(np.int64), first, pa.int64())], ["row", "turn", "label", "keys"])
 
-    # repeated rows of one doc_id can't grow the sample
-    got = map_chunks(rows, one, SAMPLE_ROWS).orderBy("row", "turn").limit(most * (twins + 1))
-    return got.toArrow()
-
-
-def _design(rows: pa.Table, keys: np.ndarray) -> np.ndarray:
-    lists = rows["keys"].combine_chunks()
-    flat = lists.flatten().to_numpy().view(np.uint64)
-    of = np.repeat(np.arange(len(rows)), pc.list_value_length(lists).to_numpy())
-    x = np.zeros((len(rows), len(keys)), np.float32)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-        hit = keys[at] == flat
-        x[of[hit], at[hit]] = 1
+    return written(map_chunks(rows, one, SAMPLE_ROWS).dropDuplicates(["row", "turn"]), "toxicity-sample")
+
+
+def _chosen(texts: DataFrame, n: int, share: float, most: int) -> np.ndarray:
+    """The features whose presence differs most between the labels, by chi-square, counted by Spark."""
+    counts = (texts.select("label", F.explode("keys").alias("key")).groupBy("key")
+              .agg(F.count("*").alias("n"), F.sum("label").alias("n1")))
+    expected = F.col("n") * F.lit(share)
+    chi2 = F.pow(F.col("n1") - expected, 2) / (expected * F.lit(1 - share))
+    identity = F.col("key").isin(_identity_keys().view(np.int64).tolist())
+    best = (counts.select("key", "n", chi2.alias("chi2"), identity.alias("identity"))
+            .where((F.col("n") >= LEAST) & ((F.col("chi2") >= CHI2) | F.col("identity")))
+            .orderBy(F.col("chi2").desc(), "key").limit(most))
+    return np.sort(np.array([r.key for r in best.select("key").collect()], np.int64).view(np.uint64))
+
+
+def _presence(rows: DataFrame, keys: np.ndarray, most: int) -> pa.Table:
+    """Row, turn, label and the chosen features (their places) of each text and twin, on the driver."""
+    def one(batches):
+        for b in batches:
+            lists = b.column(3)
+            flat = lists.flatten().to_numpy().view(np.uint64)
+            at = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
+            hit = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
+            of = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+            first = np.searchsorted(of[hit], np.arange(b.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), textkit.lists(at[hit], first, pa.int32())],
+                                             ["row", "turn", "label", "places"])
+
+    found = rows.select("row", "turn", "label", "keys").mapInArrow(one, "row bigint, turn int, label int, places array<int>")
+    # texts of repeated doc_ids can't grow the sample
+    return found.orderBy("row", "turn").limit(most).toArrow()
+
+
+def _design(rows: pa.Table, width: int) -> np.ndarray:
+    lists = rows["places"].combine_chunks()
+    x = np.zeros((len(rows), width), np.float32)
+    x[np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = 1
     return x
 
 
-def _chosen(rows: pa.Table, y: np.ndarray, most: int) -> np.ndarray:
-    """The features whose presence differs most between the labels, by chi-square."""
-    lists = rows["keys"].combine_chunks()
-    flat = lists.flatten().to_numpy().view(np.uint64)
-    label = np.repeat(y, pc.list_value_length(lists).to_numpy())
-    keys, inverse = np.unique(flat, return_inverse=True)
-    n1 = np.bincount(inverse, label, minlength=len(keys))
-    n = np.bincount(inverse, minlength=len(keys))
-    share = y.mean()
-    expected = n * share
-    chi2 = (n1 - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9)
-    good = (n >= LEAST) & ((chi2 >= CHI2) | np.isin(keys, _identity_keys()))
-    best = np.flatnonzero(good)
-    best = best[np.argsort(-chi2[best], kind="stable")][:most]
-    return np.sort(keys[best])
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, penalty: float = PENALTY,
         twins: int = TWINS) -> Model:
-    rows = _sample_rows(docs, labels, label, most, twins)
-    turn, y = rows["turn"].to_numpy(), rows["label"].to_numpy().astype(np.float64)
-    real = np.flatnonzero(turn == 0)
-    prior = (y[real].sum() + 0.5) / (len(real) + 1)
-    if not len(real) or y[real].min() == y[real].max():
+    sample = _sample_rows(docs, labels, label, most, twins)
+    n, positive = sample.where("turn = 0").agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    prior = (positive + 0.5) / (n + 1)
+    if positive in (0, n):
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    keys = _chosen(rows.take(real), y[real], FEATURES)
-    x, target = _design(rows.take(real), keys), y[real]
-    twin = np.flatnonzero(turn > 0)
-    if len(twin):
-        ids = rows["row"].to_numpy()
-        origin = np.searchsorted(ids[real], ids[twin])  # rows are ordered
-        gap = x[origin] - _design(rows.take(twin), keys)
-    else:
-        gap = np.zeros((0, len(keys)), np.float32)
-    w, b = descend(x, target, gap, penalty)
+    keys = _chosen(sample.where("turn = 0"), n, positive / n, FEATURES)
+    rows = _presence(sample, keys, most * (twins + 1))
+    turn, ids = rows["turn"].to_numpy(), rows["row"].to_numpy()
+    real, twin = np.flatnonzero(turn == 0), np.flatnonzero(turn > 0)
+    x = _design(rows.take(real), len(keys))
+    origin = np.searchsorted(ids[real], ids[twin])  # rows are ordered
+    gap = x[origin] - _design(rows.take(twin), len(keys)) if len(twin) else np.zeros((0, len(keys)), np.float32)
+    w, b = descend(x, rows["label"].to_numpy()[real].astype(np.float64), gap, penalty)
     return Model(keys, w, b)
 
 
