@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.aggs import count_if, dsum0, r6, ratio
+from ..functions.aggs import dsum0, r6, ratio
 
 
 def user_period_panel(usage: DataFrame, periods: DataFrame, cfg: Config) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import columns as C
-from ..functions.aggs import dsum, dsum0, median, r6, ratio
+from ..functions.aggs import dsum, median, r6
 
 
 def series_union(sources: list[DataFrame]) -> DataFrame:

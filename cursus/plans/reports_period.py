@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..config import SEGMENT_ORDER
 from ..operators import snapshot as S
