@@ -38,6 +38,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -110,9 +111,16 @@ class Vocabulary:
             wrong = wrong[(at[wrong] > 0) & (self.keys[at[wrong]] != hashes[wrong])]
         return at
 
+    def decode_all(self, ids: np.ndarray, bounds: list[int]) -> list[bytes]:
+        """The texts of the runs of ids between bounds, without the blanks put before them."""
+        size = self.size[ids]
+        flat = self.flat[textkit.ranges(self.start[ids], size)].tobytes()
+        ends = np.append(0, np.cumsum(size))[bounds].tolist()
+        return [flat[a + 1:b] for a, b in pairwise(ends)]
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids, without the blank put before it."""
-        return self.flat[textkit.ranges(self.start[ids], self.size[ids])].tobytes()[1:] if len(ids) else b""
+        return self.decode_all(ids, [0, len(ids)])[0]
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -129,6 +137,7 @@ class Lattice:
     to: np.ndarray      # the place where an edge ends
     piece: np.ndarray   # its piece, or -1 for a character in bytes
     prob: np.ndarray    # its probability, given its start
+    log: np.ndarray     # the logarithm of that
     upto: np.ndarray    # the sum of prob up to it, of its start
     data: np.ndarray
     total: np.ndarray   # log weight of all paths from each place on
@@ -197,20 +206,25 @@ class Lattice:
             group = begins[a:b] - lo
             top = np.maximum.reduceat(value, group)
             total[places[a:b]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count[places[a:b]])), group))
-        prob = np.exp(weight + total[to] - total[start])
+        log = weight + total[to] - total[start]
+        prob = np.exp(log)
         sums = np.zeros(len(prob) + 1)
         np.cumsum(prob, out=sums[1:])
         upto = sums[1:] - sums[first[start]]
         upto[first[chars + 1] - 1] = 1.0
-        return cls(first, to, piece, prob, upto, data, total)
+        return cls(first, to, piece, prob, log, upto, data, total)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from 64-bit values."""
+    return ((textkit.mix(x) >> U(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
 def _uniform(key: np.ndarray, place: np.ndarray | int, step: np.ndarray | int, draw: int) -> np.ndarray:
     """Numbers in (0, 1) from hashes."""
     constant = U(draw * int(_DRAW) & (1 << 64) - 1)
     x = np.atleast_1d(np.asarray(place)).astype(U) * _PLACE + np.atleast_1d(np.asarray(step)).astype(U) * _STEP
-    x = x + (np.atleast_1d(np.asarray(key, U)) + constant)
-    return ((textkit.mix(x) >> U(11)).astype(np.float64) + 0.5) * 2.0 ** -53
+    return _unit(x + (np.atleast_1d(np.asarray(key, U)) + constant))
 
 
 def _truncated(mass: np.ndarray, limit: np.ndarray | float, u: np.ndarray) -> np.ndarray:
@@ -259,11 +273,12 @@ class Batch:
         skipped: steps before that place, number: of the occurrence in its text.
         """
         lat, end = self.lattice, self.end[occurrences]
+        base = key + number.astype(U) * _PLACE + skipped.astype(U) * _STEP + U(turn * int(_DRAW) & (1 << 64) - 1)
         live, at, step = np.flatnonzero(place < end), place[place < end], 0
         who, edges = [], []
         while len(live):
             e = lat.first[at]
-            u = _uniform(key[live], number[live], skipped[live] + step, turn)
+            u = _unit(base[live] + U(step * int(_STEP) & (1 << 64) - 1))
             low = np.flatnonzero(u > lat.upto[e])
             while len(low):
                 e[low] += 1
@@ -405,7 +420,7 @@ def first_parts(batch: Batch, paths: list[Path], limits: np.ndarray) -> np.ndarr
 def _paths(batch: Batch, edges: np.ndarray, counts: np.ndarray, first: np.ndarray) -> list[Path]:
     """A path for each run of occurrences."""
     at = np.append(0, np.cumsum(counts))[first]
-    logs = np.append(0, np.cumsum(np.log(batch.lattice.prob[edges])))
+    logs = np.append(0, np.cumsum(batch.lattice.log[edges]))
     return [Path(edges[a:b], counts[f:g], 0.0, float(logs[b] - logs[a]))
             for a, b, f, g in zip(at, at[1:], first, first[1:])]
 
@@ -439,7 +454,7 @@ def _branch(batch: Batch, popped: list, turn: int) -> list[Path]:
         mine = tail.counts.copy()
         mine[0] += inside + 1
         whole = np.concatenate([head, [edge], tail.edges])
-        log_prob = float(np.log(lat.prob[whole[:len(head) + 1]]).sum()) + tail.log_prob
+        log_prob = float(lat.log[whole[:len(head) + 1]].sum()) + tail.log_prob
         out.append(Path(whole, np.append(head_counts, mine), 0.0, log_prob))
     return out
 
@@ -489,12 +504,12 @@ def sample_pieces(docs: DataFrame, model: str, k: int | str = K, ids: bool = Tru
             lattice = found[0][4].lattice
             flat, sizes = piece_ids(v, lattice, np.concatenate([f[2].edges for f in found]))
             ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum([len(f[2].edges) for f in found]))].tolist()
-            little = flat.astype("<u4")
-            for (i, rank, path, threshold, _), a, b in zip(found, ends, ends[1:]):
+            little, texts = flat.astype("<u4"), v.decode_all(flat, ends)
+            given, at = raw.tobytes(), offsets.tolist()
+            for (i, rank, path, threshold, _), a, b, text in zip(found, ends, ends[1:], texts):
                 lists.append(flat[a:b])
                 rows.append((doc[i], rank, b - a, zlib.crc32(little[a:b]), path.log_prob, path.score,
-                             _log_inclusion(path.log_prob, threshold),
-                             v.decode(flat[a:b]) == raw[offsets[i]:offsets[i + 1]].tobytes()))
+                             _log_inclusion(path.log_prob, threshold), text == given[at[i]:at[i + 1]]))
         names = [c.split()[0] for c in schema.split(", ")]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
         columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]
