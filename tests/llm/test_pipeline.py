@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline as pipeline
@@ -62,3 +63,21 @@ def test_run_equals_the_stages_and_survives_edges(spark, make_docs, sf_tables):
 def test_empty_tables(spark, make_docs, sf_tables):
     sf = sf_tables(documents=make_docs([]), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert pipeline.run(spark, sf).count() == 0
+
+
+def test_near_copies_from_four_fifths_on_leave(spark, make_docs):
+    rng = random.Random(5)
+    rows = []
+    for k in range(0, 60, 6):
+        base = [f"w{rng.randint(0, 10 ** 6)}" for _ in range(330)]
+        spread = list(base)
+        for at in range(20, 330, 47):  # 2.1 % of the words
+            spread[at] = f"s{at}"
+        other = [f"z{at}" for at in range(len(base))]
+        rows += [(k, base), (k + 1, base + other[:len(base) // 5]), (k + 2, spread), (k + 3, base + other[:len(base) // 3]),
+                 (k + 4, other[::-1]), (k + 5, base[:4])]
+    rows = [(k, " ".join(words)) for k, words in rows]
+    docs = make_docs(rows)
+    first = {i for i, _, c in brute(rows, percent=80, n=5) if c == i}
+    assert {r.doc_id for r in pipeline.near_duplicates(spark, docs, SF).collect()} == first
+    assert not first & {k for k, _ in rows if k % 6 in (1, 2)} and first < {i for i, _, c in brute(rows) if c == i}
