@@ -9,6 +9,13 @@ map back through the chain to source characters. A disguised span is added
 where the text it covers differs from what was detected and where it is not
 part of a plain span; plain spans always stay.
 
+A run of spelled digits of any words is rewritten if a detector takes it with
+the digits beside it. Out of reach are digits spelled without blanks, in other
+languages or as larger numbers ("eleven"), doubled digits ("double five"),
+commas beside numbers in runs of fewer than four words, short runs behind or
+before what is an identifier without them, and runs that a further digit beside
+them makes too long or wrong by Luhn.
+
 Cases: a null or empty text has no spans; spans of one kind never overlap among
 the plain ones; texts of any length are read whole, in linear time; empty
 tables and other columns are fine; repeated rows give repeated results.
@@ -157,8 +164,12 @@ _ITEM = re.compile(rf"\b(?:{_WORD})\b", re.I)
 _BETWEEN = re.compile(r"[ \t\n,-]+|\.|[ ]?[()][ ]?")
 _NUMBER = re.compile(r"[0-9]+")
 _PLUS = re.compile(r"\bplus[ -]$", re.I)
-#: A run of spelled digits counts from this many items on, so many of them distinct words.
+#: A run of spelled digits counts from this many items on, so many of them distinct words; any other
+#: counts if, with the digits beside it, a detector takes it.
 RUN_ITEMS, RUN_WORDS = 4, 3
+_BESIDE = frozenset("+ ().0123456789-")
+_LISTED = re.compile(r"[,\t\n]")
+_BEHIND = re.compile(r"[\x20().0-9-]*")
 
 
 class Rewritten:
@@ -201,19 +212,46 @@ def _sign_edits(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), "@" if m.group("at") else ".") for m in _DISGUISE.finditer(text)]
 
 
+def _digit(word: str) -> str:
+    # what else matches an s or an i without regard to case
+    return DIGIT_WORDS[word.replace("\u017f", "s").replace("\u0130", "i").replace("\u0131", "i").lower()]
+
+
+def _beside(text: str, start: int, free: int) -> int:
+    """Where the digits and signs right before ``start`` begin."""
+    while start > free and text[start - 1] in _BESIDE:
+        start -= 1
+    return start
+
+
+def _counts_as_run(text: str, edits: list[tuple[int, int, str]], free: int) -> bool:
+    """Does a detector take the rewritten run, with the digits and signs beside it (from ``free`` on)?
+
+    Not if they are an identifier without the run.
+    """
+    start, end = edits[0][0], edits[-1][1]
+    left = _beside(text, start, free)
+    beside = text[left:_BEHIND.match(text, end).end()]
+    if plain(beside):
+        return False
+    run = Rewritten(beside, [(a - left, b - left, new) for a, b, new in edits])
+    return any(x < end - left and start - left < y for _, a, b in plain(run.text) for x, y in (run.back(a, b),))
+
+
 def _digit_edits(text: str) -> list[tuple[int, int, str]]:
     """Runs of spelled digits, digits among them, written as digits without the blanks between."""
     edits, free = [], 0
     for m in _ITEM.finditer(text):
         if m.start() < free:
             continue
-        items, pos = [(m.start(), m.end(), DIGIT_WORDS[m.group().lower()])], m.end()
-        words = {m.group().lower()}
+        items, pos, before = [(m.start(), m.end(), _digit(m.group()))], m.end(), free
+        words, spelled = {m.group().lower()}, 1
         while gap := _BETWEEN.match(text, pos):
             if word := _ITEM.match(text, gap.end()):
                 words.add(word.group().lower())
+                spelled += 1
                 items += [(gap.start(), gap.end(), "." if gap.group() == "." else ""),
-                          (word.start(), word.end(), DIGIT_WORDS[word.group().lower()])]
+                          (word.start(), word.end(), _digit(word.group()))]
                 pos = word.end()
             elif number := _NUMBER.match(text, gap.end()):
                 items.append((gap.start(), gap.end(), "." if gap.group() == "." else ""))
@@ -222,10 +260,15 @@ def _digit_edits(text: str) -> list[tuple[int, int, str]]:
             else:
                 break
         free = pos
-        if (len(items) + 1) // 2 >= RUN_ITEMS and len(words) >= RUN_WORDS:
-            if plus := _PLUS.search(text, max(0, m.start() - 5), m.start()):
-                edits.append((plus.start(), plus.end(), "+"))
-            edits += items
+        left = _beside(text, m.start(), before)
+        number = _NUMBER.search(text, left, m.start())
+        head = number.start() if number else m.start()
+        plus = [(x.start(), x.end(), "+") for x in _PLUS.finditer(text, max(before, head - 5), head)]
+        strong = (len(items) + 1) // 2 >= RUN_ITEMS and len(words) >= RUN_WORDS
+        if not strong and spelled < RUN_ITEMS:  # few words among numbers: lists of numbers stay lists
+            items = [e for e in items if not _LISTED.search(text, e[0], e[1])]
+        if strong or _counts_as_run(text, plus + items, before):
+            edits += plus + items
     return edits
 
 
@@ -305,13 +348,17 @@ def worth_rewriting(column: pa.Array) -> tuple[list[bool], list[bool]]:
     found = np.unique(of[hit] * len(spelled) + which[at[hit]] % len(spelled))  # distinct words of each text
     text, word = found // len(spelled), found % len(spelled)
     dots = np.bincount(text[word < len(DOT_WORDS)], minlength=n) > 0
-    digits = np.bincount(text[word >= len(DOT_WORDS)], minlength=n) >= RUN_WORDS
+    spoken = np.bincount(text[word >= len(DOT_WORDS)], minlength=n)
+    # a run has RUN_WORDS distinct words, or with the digits beside it at least those of the shortest kind, an IP
+    said = np.bincount(of[hit][which[at[hit]] % len(spelled) >= len(DOT_WORDS)], minlength=n)
+    digits = (spoken >= RUN_WORDS) | (spoken > 0) & (said + textkit.sums(_DIGITS[data], offsets) >= 4)
     signs = dots | (textkit.sums(_SIGNS[data], offsets) > 0)
     return signs.tolist(), digits.tolist()
 
 
 #: What a disguised sign holds besides the words for "dot".
 _SIGNS = np.isin(np.arange(256), list(b"[({<@_-"))
+_DIGITS = np.isin(np.arange(256), list(b"0123456789"))
 
 SPANS = ("doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, "
          "spans string, n_disguised bigint")

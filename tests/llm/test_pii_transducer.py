@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -96,3 +97,36 @@ def test_batch_flags_lose_nothing(make_docs):
     redacted = {r.doc_id: r.text for r in pii.redact_documents(docs).collect()}
     assert redacted == {i: pii.redact(t) for i, t in rows}
     assert pii.find_pii(make_docs([])).count() == 0
+
+
+CARD = "four" + " one" * 15
+
+
+@pytest.mark.parametrize("text, kind, part", [
+    (CARD, "card", CARD),
+    ("pay " + CARD.replace(" one one one one", ", one one one one") + " ok", "card",
+     CARD.replace(" one one one one", ", one one one one")),
+    ("4111 1111 one one one one 1111", "card", "4111 1111 one one one one 1111"),
+    ("plus one" + " five" * 10, "phone", "plus one" + " five" * 10),
+    ("plus 49 170 one two 345678 x", "phone", "plus 49 170 one two 345678"),
+    ("call +49 170 one two 345678", "phone", "+49 170 one two 345678"),
+    ("host 10.0.0.one up", "ip", "10.0.0.one"),
+    ("one dot one dot one dot one", "ip", "one dot one dot one dot one"),
+])
+def test_runs_of_few_distinct_words(make_docs, text, kind, part):
+    span = (kind, text.index(part), text.index(part) + len(part))
+    assert span in pii.find(text)[1]
+    assert part not in pii.redact(text) and f"[{kind.upper()}]" in pii.redact(text)
+    assert pii.find(text, *(x[0] for x in pii.worth_rewriting(pa.array([text])))) == pii.find(text)
+
+
+@pytest.mark.parametrize("text", [
+    "un " * 16, "one " * 500, "in one, 2004, 2005, 2006, 2007", "one of 100 and two of 2000", "+1 or one", "1.2 one.3",
+    "\u017fix s\u0130x one two three four", "plus one", "one plus five five five"])
+def test_prose_with_digit_words_stays_clean(text):
+    assert pii.find(text) == ([], [])
+
+
+def test_an_identifier_does_not_take_in_a_word_beside_it():
+    text = "+1 (848) 555-1373 Un an"
+    assert pii.find(text) == ([("phone", 0, 17)],) * 2
