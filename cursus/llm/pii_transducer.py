@@ -16,6 +16,16 @@ commas beside numbers in runs of fewer than four words, short runs behind or
 before what is an identifier without them, and runs that a further digit beside
 them makes too long or wrong by Luhn.
 
+A bare "at" counts between a local part and a domain whose dots are plain or
+disguised. Between "at" and a domain with plain dots the word before must not
+be one that goes before a place (NOT_LOCAL: "meet us at example.com"), so a
+local part that is such a word, or a number of up to four digits, is out of
+reach. So are further endings than ENDINGS, MORE_ENDINGS and those of two letters (plain
+dots behind "arroba" and its like take any), endings that are words behind
+"point" unless the local part has a sign or digit, "at" before a determiner and
+an unlisted ending, capitalized endings and code files' endings behind plain
+dots, and "at" or "dot" in other languages than the four.
+
 Cases: a null or empty text has no spans; spans of one kind never overlap among
 the plain ones; texts of any length are read whole, in linear time; empty
 tables and other columns are fine; repeated rows give repeated results.
@@ -139,14 +149,47 @@ _AT, _DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 ENDINGS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "ai", "app", "dev", "co", "eu", "de",
            "fr", "es", "uk", "ch", "nl", "pl", "pt", "se", "dk", "fi", "ru", "cn", "jp", "br", "mx", "ar", "cl", "ca", "au",
            "nz", "ie", "cz", "gr", "hu", "ro", "tr", "kr", "tw", "example", "test", "invalid")
+#: Further endings, like those of two letters for an "at" or "dot" that nothing else can mean.
+MORE_ENDINGS = ("xyz", "online", "site", "shop", "store", "tech", "club", "live", "cloud", "pro", "name", "mobi", "blog",
+                "email", "space", "website", "top", "icu", "cat", "aero", "coop", "museum", "jobs", "travel", "local")
+#: Endings that are words, too; behind the ambiguous dot word they need a local part that is no word.
+WORD_ENDINGS = frozenset(("in it us me be at no is as so to do my am by we if of on or an he up go hi oh ok la le un en el "
+                          "et ne ce se il tu ma pa online site shop store club live cloud pro name email space top cat jobs "
+                          "travel local").split())
+AMBIGUOUS_DOT = "point"
+#: Words before an "at" that tells a place: "meet us at example.com".
+NOT_LOCAL = frozenset((
+    "i you he she it we they me him her us them this that these those there here who what which where when how why and or "
+    "but so as is are was were be been being am do does did done has have had not also only just now then again "
+    "today online live still always directly free all more less most much many some any both each one ones out up off in "
+    "on over down back away about around look looks looked looking see sees seen saw watch watched watching find finds found "
+    "finding visit visits visited visiting meet meets met meeting join joins joined get gets got buy buys bought buying "
+    "order ordered ordering shop shops shopping shopped sell sells sold selling read reads reading book booked booking "
+    "register registered registering registration subscribe subscribed download downloads downloaded downloading available "
+    "work works worked working live lives lived living stay stayed staying start starts started arrive arrived "
+    "located based hosted hosting published posted listed offered featured displayed shown stored reported announced "
+    "described explained documented discussed mentioned maintained developed provided accessible accessed access apply "
+    "applied learn learned learning study studied check checked click clicked go goes going went gone come comes came log "
+    "logged login signup store stores page pages site sites website websites homepage blog blogs article articles story "
+    "stories post posts details price prices tickets video videos photos pictures copy copies version versions code source "
+    "sources link links error line failed browse search searched searching pointed points aimed directed hotel home "
+    "appeared appears appear written write writes wrote employed job jobs engineer manager editor director researcher "
+    "reporter writer professor student year years time times people things content information service services store "
+    "donate vote voted order orders play plays played playing stream streams streaming listen listened").split())
 _OPEN, _CLOSE = r"[\[({<]\s?", r"\s?[\])}>]"
 _DOT_SIGN = rf"\s?{_OPEN}(?:{_DOT}|\.){_CLOSE}\s?|(?<=\w)\s(?:{_DOT})\s(?=\w)|(?<=\w)(?:_|-)(?:{_DOT})(?:_|-)(?=\w)"
 _DISGUISE = re.compile(
     rf"(?P<at>\s?{_OPEN}(?:{_AT}|@){_CLOSE}\s?"
-    # a bare "at" needs disguised dots and a domain ending after it
-    rf"|(?<=\w)\s(?:{_AT})\s(?=[A-Za-z0-9-]+(?:(?:{_DOT_SIGN})[A-Za-z0-9-]+){{0,5}}(?:{_DOT_SIGN})(?:{'|'.join(ENDINGS)})\b)"
+    # a bare "at" needs a domain after it: see _bare
+    rf"|(?P<bare>(?<=\w)\s(?:{_AT})\s(?=[A-Za-z0-9-]))"
     rf"|(?<=\w)(?:_|-)(?:{_AT})(?:_|-)(?=\w)"
     rf"|(?<=\w)(?:\s@\s?|@\s)(?=\w))|(?P<dot>{_DOT_SIGN})", re.I)
+_STEP = re.compile(rf"\.|{_DOT_SIGN}", re.I)
+_LABEL = re.compile(rf"(?:[A-Za-z0-9]|-(?!(?:{_DOT})-))+", re.I)
+_ENDING = re.compile(r"[A-Za-z]+\b")
+#: Endings of code files, and words before a domain's dot word in prose ("at this point").
+_FILES = frozenset("py sh rs md js ts rb hs kt vb ml cc so ps pl".split())
+_DETERMINERS = frozenset("the this that a an my your his her our their its every each one some any which what no".split())
 
 #: Spelled digits in English, German, French and Spanish.
 DIGIT_WORDS = {
@@ -208,8 +251,57 @@ def _homoglyph_edits(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), LOOK_ALIKES[m.group()]) for m in _LOOK_ALIKE.finditer(text)]
 
 
+def _bare(text: str, m: re.Match) -> bool:
+    """Does a bare "at" stand between a local part and a domain with plain or disguised dots?"""
+    start = m.start()
+    while start and text[start - 1] in _LOCAL:
+        start -= 1
+    local = text[start:m.start()].strip(".-").lower()
+    digits = local.isdigit()
+    marked = len(local) > 4 if digits else any(c in "0123456789._%+" for c in local)
+    named = marked or bool(local) and not digits and local not in NOT_LOCAL
+    explicit_at = m.group().strip().lower() != "at"
+    label = first = _LABEL.match(text, m.end())
+    hidden = explicit = ambiguous = False
+    while label and (step := _STEP.match(text, label.end())):
+        label = _LABEL.match(text, step.end())
+        plain_dot = step.group() == "."
+        if not plain_dot:
+            hidden = True
+            if step.group().strip().lower() == AMBIGUOUS_DOT:
+                ambiguous = True
+            else:
+                explicit = True
+        ending = label and _ENDING.match(text, label.start())
+        if not ending:
+            continue
+        end = ending.group()
+        low = end.lower()
+        listed, short = low in ENDINGS, len(low) == 2 or low in MORE_ENDINGS
+        if listed and not plain_dot:
+            return True
+        if explicit_at:
+            if listed or short or plain_dot and len(low) > 2:
+                return True
+        elif not named or hidden and first.group().lower() in _DETERMINERS or not (listed or short):
+            continue
+        elif explicit or ambiguous and (marked or low not in WORD_ENDINGS):
+            return True
+        elif (not hidden and any(c.isalpha() for c in first.group()) and end in (low, end.upper())
+              and (marked or low not in _FILES or low == "pl" and not text.startswith(" line ", ending.end()))):
+            return True
+    return False
+
+
 def _sign_edits(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), "@" if m.group("at") else ".") for m in _DISGUISE.finditer(text)]
+    edits, pos = [], 0
+    while m := _DISGUISE.search(text, pos):
+        if m.group("bare") and not _bare(text, m):
+            pos = m.start() + 1
+            continue
+        edits.append((m.start(), m.end(), "@" if m.group("at") else "."))
+        pos = m.end()
+    return edits
 
 
 def _digit(word: str) -> str:
@@ -333,13 +425,32 @@ def _hashes(words: list[str]) -> np.ndarray:
     return textkit.PrefixHash(data)(offsets[:-1], offsets[1:])
 
 
+def _places(data: np.ndarray) -> np.ndarray:
+    """Bytes that begin an "at" with a plain dot in the word behind it; blanks outside ASCII may be any such character."""
+    out = np.zeros(len(data), bool)
+    if len(data) < 6:
+        return out
+    blank = _BLANK[data]
+    low = data | 32
+    at = 1 + np.flatnonzero((blank | (data > 127))[:-4] & (low[1:-3] == ord("a")) & (low[2:-2] == ord("t"))
+                            & (blank | (data > 127))[3:-1])
+    if len(at):
+        inner = np.zeros(len(data) + 1, np.int64)
+        inner[2:-1] = np.cumsum((data[1:-1] == ord(".")) & _ALNUM[data[:-2]] & _ALNUM[data[2:]])
+        inner[-1] = inner[-2]
+        blanks = np.append(np.flatnonzero(blank), len(data))
+        out[at] = inner[blanks[np.searchsorted(blanks, at + 3)]] > inner[at + 3]
+    return out
+
+
 def worth_rewriting(column: pa.Array) -> tuple[list[bool], list[bool]]:
     """For each text: may it hold a disguised sign, and a run of spelled digits? From its words' hashes."""
     data, offsets = textkit.utf8(column)
     n = len(offsets) - 1
     words = textkit.Words(textkit.LOWER[data], offsets, textkit.PUNCTUATION)
     hashes, of = words.hashes(), words.text
-    spelled = [*DOT_WORDS, *DIGIT_WORDS]
+    signs = [*DOT_WORDS, *AT_WORDS[1:]]
+    spelled = [*signs, *DIGIT_WORDS]
     # capitals outside ASCII stand beside their small letters
     forms = spelled + ["".join(c if c.isascii() else c.upper() for c in w) for w in spelled]
     table, which = np.unique(_hashes(forms), return_index=True)
@@ -347,17 +458,19 @@ def worth_rewriting(column: pa.Array) -> tuple[list[bool], list[bool]]:
     hit = np.flatnonzero(table[at] == hashes)
     found = np.unique(of[hit] * len(spelled) + which[at[hit]] % len(spelled))  # distinct words of each text
     text, word = found // len(spelled), found % len(spelled)
-    dots = np.bincount(text[word < len(DOT_WORDS)], minlength=n) > 0
-    spoken = np.bincount(text[word >= len(DOT_WORDS)], minlength=n)
+    dots = np.bincount(text[word < len(signs)], minlength=n) > 0
+    spoken = np.bincount(text[word >= len(signs)], minlength=n)
     # a run has RUN_WORDS distinct words, or with the digits beside it at least those of the shortest kind, an IP
-    said = np.bincount(of[hit][which[at[hit]] % len(spelled) >= len(DOT_WORDS)], minlength=n)
+    said = np.bincount(of[hit][which[at[hit]] % len(spelled) >= len(signs)], minlength=n)
     digits = (spoken >= RUN_WORDS) | (spoken > 0) & (said + textkit.sums(_DIGITS[data], offsets) >= 4)
-    signs = dots | (textkit.sums(_SIGNS[data], offsets) > 0)
+    signs = dots | (textkit.sums(_SIGNS[data] | _places(data), offsets) > 0)
     return signs.tolist(), digits.tolist()
 
 
 #: What a disguised sign holds besides the words for "dot".
 _SIGNS = np.isin(np.arange(256), list(b"[({<@_-"))
+_BLANK = np.isin(np.arange(256), list(b"\t\n\v\f\r\x1c\x1d\x1e\x1f "))
+_ALNUM = np.isin(np.arange(256), list(b"-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
 _DIGITS = np.isin(np.arange(256), list(b"0123456789"))
 
 SPANS = ("doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, "

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -130,3 +131,36 @@ def test_prose_with_digit_words_stays_clean(text):
 def test_an_identifier_does_not_take_in_a_word_beside_it():
     text = "+1 (848) 555-1373 Un an"
     assert pii.find(text) == ([("phone", 0, 17)],) * 2
+
+
+@pytest.mark.parametrize("text, part", [
+    ("alice at example.com", "alice at example.com"), ("é alice\u00a0AT\u2003a.de", "alice\u00a0AT\u2003a.de"),
+    ("Write to alice at example.com.", "alice at example.com"),
+    ("mail j.doe at mail.example.co.uk now", "j.doe at mail.example.co.uk"),
+    ("bob at mail.example dot com", "bob at mail.example dot com"),
+    ("anna arroba ditta punto it", "anna arroba ditta punto it"),
+    ("anna arroba ditta.online", "anna arroba ditta.online"),
+    ("ravi at firma dot in", "ravi at firma dot in"), ("joe at shop dot me", "joe at shop dot me"),
+    ("kim at site [.] xyz", "kim at site [.] xyz"), ("eva at firma dot online", "eva at firma dot online"),
+    ("j.doe at firma point be", "j.doe at firma point be"), ("anna at ditta.it", "anna at ditta.it"),
+    ("x7 at " + "a dot " * 9 + "com", "x7 at " + "a dot " * 9 + "com"),
+])
+def test_bare_at(text, part):
+    span = ("email", text.index(part), text.index(part) + len(part))
+    assert span in pii.find(text)[1] and part not in pii.redact(text)
+    assert pii.find(text, *(x[0] for x in pii.worth_rewriting(pa.array(["a", text, "b"]).slice(1, 1)))) == pii.find(text)
+
+
+@pytest.mark.parametrize("text", [
+    "meet us at example.com", "Look at example.com for it", "more is available at shop.example.org", "We met at 10.30 or at 5.5",
+    "died: error at main.py", "I stayed at home.He left", "at this point it is over", "look at that point in time",
+    "We are at some point no better", "he looked at the dot in it", "work at a.m. or p.m.", "since 2019 at example.com"])
+def test_places_are_no_addresses(text):
+    assert pii.find(text) == ([], [])
+
+
+def test_bare_ats_take_linear_time():
+    for text in ("x at a" + " dot a" * 40_000, "a at b." * 40_000, "x at y dot at dot " * 20_000):
+        start = time.perf_counter()
+        pii.find(text)
+        assert time.perf_counter() - start < 20
