@@ -58,20 +58,21 @@ def report_bundle(base: Base, brands=None, population: str | None = None) -> dic
     return {name: build() for name, build in bundle_builders(base, brands, population).items()}
 
 
-def _hash_col(df: DataFrame):
+def _hash_col(df: DataFrame, places: int | None = 6):
     cols = []
     for f in sorted(df.schema.fields, key=lambda f: f.name):
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, 6)
+        if places is not None and isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.round(c, places)
         cols.append(c)
     return F.xxhash64(*cols) if cols else F.lit(0)
 
 
-def result_digest(df: DataFrame) -> DataFrame:
+def result_digest(df: DataFrame, places: int | None = 6) -> DataFrame:
     """(rows, digest): count and the exact sum of row hashes over sorted columns,
-    doubles to 6 decimals. Independent of row order and partitioning."""
-    return df.select(_hash_col(df).cast("decimal(38,0)").alias("h")).agg(
+    doubles to 6 decimals, or as they are without ``places``. Independent of row
+    order and partitioning."""
+    return df.select(_hash_col(df, places).cast("decimal(38,0)").alias("h")).agg(
         F.count(F.lit(1)).cast("long").alias("rows"),
         F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("digest"))
 
@@ -80,8 +81,9 @@ def result_digest(df: DataFrame) -> DataFrame:
 PARALLELISM = 4
 
 
-def bundle_digest(bundle: dict[str, DataFrame | Callable[[], DataFrame]], parallelism: int = PARALLELISM) -> DataFrame:
-    """One row per report: name, rows, digest.
+def bundle_digest(bundle: dict[str | tuple, DataFrame | Callable[[], DataFrame]], parallelism: int = PARALLELISM,
+                  schema: str = "report string, rows long, digest string") -> DataFrame:
+    """One row per report: name (or the values of a name that is a tuple), rows, digest.
 
     Each report is digested by its own Spark job (a union of ~100 report plans
     would make one enormous plan to optimise). The jobs are independent, so
@@ -98,11 +100,11 @@ def bundle_digest(bundle: dict[str, DataFrame | Callable[[], DataFrame]], parall
         name, df = item
         df = df() if callable(df) else df
         r = result_digest(df).first()
-        return name, int(r["rows"]), r["digest"]
+        return *(name if isinstance(name, tuple) else (name,)), int(r["rows"]), r["digest"]
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         rows = list(ex.map(one, list(bundle.items())))
-    return spark.createDataFrame(rows, "report string, rows long, digest string")
+    return spark.createDataFrame(rows, schema)
 
 
 def result_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -112,8 +114,37 @@ def result_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.sparkSession.range(1).select(left.cast("long").alias("only_left"), right.cast("long").alias("only_right"))
 
 
-def bundle_diff(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame:
-    """Per report present in both bundles: rows only on each side."""
-    parts = [result_diff(a[k], b[k]).select(F.lit(k).alias("report"), "only_left", "only_right")
-             for k in sorted(set(a) & set(b))]
-    return reduce(DataFrame.unionByName, parts)
+def sliced_digest(base: Base, slices: dict[str, list | None], parallelism: int = PARALLELISM) -> DataFrame:
+    """One row per slice and report: slice, report, rows, digest; slices are brand lists by name, None for all brands.
+
+    Reports that read no brand filter are the same in every slice and run once.
+    """
+    whole = BY_BRAND | WHOLE_SERIES
+    jobs = {(name, report): build for k, (name, brands) in enumerate(slices.items())
+            for report, build in bundle_builders(base, brands).items() if not k or report not in whole}
+    done = bundle_digest(jobs, parallelism, "slice string, report string, rows long, digest string")
+    first, *others = slices
+    shared = done.where((F.col("slice") == first) & F.col("report").isin(sorted(whole)))
+    return reduce(DataFrame.unionByName, [shared.withColumn("slice", F.lit(name)) for name in others], done)
+
+
+def bundle_diff(a: dict[str, DataFrame | Callable[[], DataFrame]], b: dict[str, DataFrame | Callable[[], DataFrame]],
+                parallelism: int = PARALLELISM) -> DataFrame:
+    """Per report present in both bundles: rows only on each side.
+
+    Reports of equal digests, doubles unrounded, have none; the others are
+    compared row by row.
+    """
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+    def one(name):
+        x, y = (side[name]() if callable(side[name]) else side[name] for side in (a, b))
+        if sorted(x.dtypes) == sorted(y.dtypes) and result_digest(x, None).first() == result_digest(y, None).first():
+            return name, 0, 0
+        r = result_diff(x, y.select(*(f"`{c}`" for c in x.columns))).first()
+        return name, int(r["only_left"]), int(r["only_right"])
+
+    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+        rows = list(ex.map(one, sorted(set(a) & set(b))))
+    return spark.createDataFrame(rows, "report string, only_left long, only_right long")

@@ -229,23 +229,16 @@ def report_bundle_q(b):
 
 @report("result_digest")
 def result_digest_q(b):
+    """Digests of every report over the total and over each reported brand."""
     from .base import materialized
-    from .bundle import bundle_builders, bundle_digest
-    return bundle_digest(bundle_builders(materialized(b)))
-
-
-PANEL_REPORTS = ("growth_accounting", "growth_by_brand", "cohort_retention", "retention_base", "lift_weighted",
-                 "lift_pooled", "gateway_courses")
+    from .bundle import sliced_digest
+    return sliced_digest(materialized(b), {"total": None} | {x: [x] for x in b.cfg.reported_brands})
 
 
 @report("result_diff", raw=True)
 def result_diff_q(spark, sf_dir, cfg):
-    """Reports over the lazy base vs over the materialised base: no row may differ."""
+    """Every report of a bundle over the lazy base vs over the materialised base: no row may differ."""
     from .base import load_fixture_base
-    from .bundle import bundle_diff
-    from .registry import REGISTRY
-    lazy = fixture_base(spark, sf_dir, cfg)
+    from .bundle import bundle_builders, bundle_diff
     mat = load_fixture_base(spark, sf_dir, cfg, materialize=True)
-    a = {n: REGISTRY[n].build(lazy) for n in PANEL_REPORTS}
-    c = {n: REGISTRY[n].build(mat) for n in PANEL_REPORTS}
-    return bundle_diff(a, c)
+    return bundle_diff(bundle_builders(fixture_base(spark, sf_dir, cfg)), bundle_builders(mat))

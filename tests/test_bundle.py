@@ -1,6 +1,8 @@
 """Report bundle: concurrent digests equal serial ones; digests ignore row order."""
 
-from cursus.plans.bundle import bundle_builders, bundle_digest, result_diff, result_digest
+from cursus.plans.bundle import bundle_builders, bundle_diff, bundle_digest, result_diff, result_digest
+
+from conftest import SF_SMALL
 
 SOME = ("growth_accounting", "funnel", "hours_distribution", "course_catalog", "lift_pooled", "pop_by_period")
 
@@ -37,3 +39,41 @@ def test_materialized_base_is_memoised_and_gives_same_digests(base):
     a = _rows(bundle_digest({k: v for k, v in bundle_builders(base).items() if k in pick}))
     b = _rows(bundle_digest({k: v for k, v in bundle_builders(mat).items() if k in pick}))
     assert a == b
+
+
+def test_diff_shows_a_changed_row_in_every_report(base):
+    from dataclasses import replace
+    other = replace(base, usage=base.usage.where("user_id is not null").limit(500), _panel=None)
+    pick = ("funnel", "course_catalog", "yoy_by_month")
+    a, b = ({k: v for k, v in bundle_builders(x).items() if k in pick} for x in (base, other))
+    got = {r["report"]: (r["only_left"], r["only_right"]) for r in bundle_diff(a, b).collect()}
+    assert set(got) == set(pick) and got["funnel"][0] and got["course_catalog"][0] and got["yoy_by_month"] == (0, 0)
+    tiny = base.usage.sparkSession.range(1).selectExpr("1.0D AS x"), base.usage.sparkSession.range(1).selectExpr("1.0000001D AS x")
+    assert bundle_diff({"t": tiny[0]}, {"t": tiny[1]}).first()[1:] == (1, 1)
+
+
+def test_registered_diff_and_digest_read_all_reports(spark, base, monkeypatch):
+    from cursus.plans import bundle, registry
+    every = set(bundle_builders(base))
+    assert len(every) > 80
+    monkeypatch.setattr(bundle, "bundle_diff", lambda a, b: (set(a), set(b)))
+    assert registry.run("result_diff", spark, SF_SMALL) == (every, every)
+    monkeypatch.setattr(bundle, "sliced_digest", lambda b, slices: slices)
+    assert registry.run("result_digest", spark, SF_SMALL) == {"total": None} | {x: [x] for x in base.cfg.reported_brands}
+
+
+def test_shared_reports_are_those_of_each_slice(base):
+    brand = base.cfg.reported_brands[0]
+    pick = ("funnel", "growth_by_brand", "yoy_by_month", "pop_by_period")
+    got = {r["report"]: (r["rows"], r["digest"]) for r in sliced_some(base, brand, pick).where(f"slice = '{brand}'").collect()}
+    assert got == _rows(bundle_digest({k: v for k, v in bundle_builders(base, [brand]).items() if k in pick}))
+
+
+def sliced_some(base, brand, pick):
+    from cursus.plans import bundle
+    whole = bundle.bundle_builders
+    bundle.bundle_builders = lambda *a: {k: v for k, v in whole(*a).items() if k in pick}
+    try:
+        return bundle.sliced_digest(base, {"total": None, brand: [brand]})
+    finally:
+        bundle.bundle_builders = whole
