@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (arrow_sequences, automaton_dedup, boosted_quality, counterfactual_toxicity, gumbel_pieces,
-               jaccard_metric, line_crf, mixing, pii_transducer, pstable_ann)
+               jaccard_metric, line_crf, mixing, periodic_runs, pii_transducer, pstable_ann, spelling_variants, warc_index)
 from .labelled import held_out
 from .shared import table
 
@@ -73,6 +73,19 @@ def op10_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_sequences.read_documents(index)
 
 
+def op11_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc_index.write_archives(warc_index.plan_records(table(spark, sf_dir, "pages")))
+    return warc_index.index_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(table(spark, sf_dir, "documents"), order=periodic_runs.tandem_order, digest=True)
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_crf": op1_line_crf,
     "op2_boosted_quality": op2_boosted_quality,
@@ -84,10 +97,15 @@ QUERIES: dict[str, Query] = {
     "op8_pstable_ann": op8_pstable_ann,
     "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
     "op10_arrow_sequences": op10_arrow_sequences,
+    "op11_warc_index": op11_warc_index,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard_metric": jaccard_metric.components_sql(),
     "op5_automaton_dedup": automaton_dedup.removal_sql(),
     "op7_mixing": mixing.taken_sql(),
+    "op11_warc_index": warc_index.captures_sql(),
+    "op12_spelling_variants": spelling_variants.variants_sql(),
 }
