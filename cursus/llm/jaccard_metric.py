@@ -13,10 +13,12 @@ tells anything. So the space is first cut into families that no link leaves:
   share the shingles of a part are a list. (Parts are empty in some documents
   and don't count; a document with too few others adds each single shingle, so
   no link is lost by chance.)
-* Within a list, documents that cannot link are told apart by SLICES fixed
-  pivots, the slices of the hash space: the differences of two sets' counts in
-  them add up to no more than the sets differ by. What can still link,
-  directly or by others, is a family. A list of more than LIST documents is
+* A document with a link shares all its parts but those that the difference
+  can spoil; one that shares fewer has no link, and leaves all lists.
+* Within a list, documents that cannot link are told apart by fixed pivots, the
+  slices of the hash space: the differences of two sets' counts in them add up
+  to no more than the sets differ by. Larger sets have more slices. What can
+  still link, directly or by others, is a family. A list of more than LIST documents is
   taken as one family, which only leaves more to the next step.
 
 A family is a region. Pivots are chosen in it, far from each other; each
@@ -58,7 +60,9 @@ SHINGLE, PERCENT = 4, 85
 REGION = 2_000_000  # shingles joined in a task
 LEVELS, PIVOTS = 3, 8
 FLUSH = 500_000   # part hashes that a task holds
-SLICES = 64         # of the hash space, whose counts tell sets apart
+SLICES = 64         # of the hash space, at least, whose counts tell sets apart
+SLICE_SHINGLES = 4  # shingles a slice
+PAIR_COUNTS = 1 << 21  # counts of pairs compared at a time
 LIST = 2_000        # documents of a list that are told apart
 LEAF = 24           # members of a region that needs no pivots
 
@@ -127,12 +131,13 @@ def size_classes(largest: int, percent: int = PERCENT) -> tuple[np.ndarray, np.n
     return np.array(low), np.array(parts), np.array(most)
 
 
-def part_hashes(sets: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the parts of each set, and the set of each.
+def part_hashes(sets: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the parts of each set, the set of each, and how many of its parts a set shares at least if it has a link.
 
     A pair of linked sets meets in the class of its smaller size, so a set gives
     its parts for its own class and for those of the sizes it can link with
-    below.
+    below. Each shingle that is not shared spoils one part: of a class, a set
+    with a link shares all its parts but the most that linked sets differ in.
     """
     size = np.diff(first)
     low, parts, most = size_classes(int(max(size.max(initial=1), 1)), percent)
@@ -141,6 +146,7 @@ def part_hashes(sets: np.ndarray, first: np.ndarray, percent: int = PERCENT) ->
     text = np.repeat(np.arange(len(size)), size)
     salted = textkit.mix(sets + U(7))
     out, of = [], []
+    need = np.full(len(size), np.iinfo(np.int64).max)
     for back in range(len(low)):
         c = own - back
         use = (size > 0) & (c >= 0)
@@ -161,29 +167,58 @@ def part_hashes(sets: np.ndarray, first: np.ndarray, percent: int = PERCENT) ->
         out.append(textkit.mix(textkit.mix(sums[b] - sums[a]) + place))
         of.append(t[a])
         # sets with too few parts that aren't empty: any linked pair of them shares a shingle
-        few = use & (np.bincount(t[a], minlength=len(size)) <= most[np.maximum(c, 0)])
+        spare = np.bincount(t[a], minlength=len(size)) - most[np.maximum(c, 0)]
+        few = use & (spare <= 0)
+        need[use] = np.minimum(need[use], np.maximum(spare[use], 1))
         alone = few[t]
         out.append(textkit.mix(g[alone] + c[t[alone]].astype(U) * U(12_345_677) + U(99)))
         of.append(t[alone])
-    return (np.concatenate(out), np.concatenate(of)) if out else (np.zeros(0, U), np.zeros(0, np.int64))
+    return (np.concatenate(out), np.concatenate(of), need) if out else (np.zeros(0, U), np.zeros(0, np.int64), need)
 
 
-def sketches(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Counts of each set in SLICES slices of the hash space, other bits of the hashes than the parts' own."""
-    n = len(first) - 1
-    key = np.repeat(np.arange(n), np.diff(first)) * SLICES + (sets & U(SLICES - 1)).astype(np.int64)
-    counts = np.bincount(key, minlength=n * SLICES).reshape(n, SLICES)
-    return np.minimum(counts, np.iinfo(np.uint16).max).astype(np.uint16)
+def sketches(sets: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Counts of each set in slices of the hash space, by other bits of the hashes than the parts' own.
 
+    A set has a slice for every SLICE_SHINGLES of its shingles, SLICES at least, and a power of two of them. A set with
+    too many shingles in a slice for a byte has no counts, which tells it apart from none.
+    """
+    out = []
+    for a, b in pairwise(first.tolist()):
+        slices = max(SLICES, 1 << (-(-(b - a) // SLICE_SHINGLES) - 1).bit_length())
+        counts = np.bincount((sets[a:b] & U(slices - 1)).astype(np.int64), minlength=slices)
+        out.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"")
+    return out
+
+
+def _folded(counts: list[np.ndarray], slices: int) -> np.ndarray:
+    """Counts in fewer slices."""
+    return np.stack([c.reshape(-1, slices).sum(0, dtype=np.int32) for c in counts])
 
-def possible(size: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Which pairs may link, as their sizes and slice counts tell: a square of booleans."""
+
+def possible(size: np.ndarray, counts: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Which pairs may link, as their sizes and slice counts tell: a square of booleans.
+
+    Pairs that some slices don't tell apart are compared in twice as many, as long as both sets have so many.
+    """
     least, most = np.minimum(size[:, None], size), np.maximum(size[:, None], size)
-    apart = np.zeros((len(size), len(size)), np.int32)
-    for j in range(counts.shape[1]):
-        c = counts[:, j].astype(np.int32)
-        apart += np.abs(c[:, None] - c)
-    return (100 * least >= percent * most) & (apart <= (100 - percent) * (100 * least // percent) // 100)
+    fits = 100 * least >= percent * most
+    # 100 * common >= percent * union, and common and union add up to both sizes
+    apart = (100 - percent) * (least + most) // (100 + percent)
+    slices = SLICES
+    while True:
+        has = np.flatnonzero([len(c) >= slices for c in counts])
+        if not len(has):
+            return fits
+        c = _folded([counts[k] for k in has], slices)
+        x, y = np.nonzero(np.triu(fits[np.ix_(has, has)], 1))
+        step = max(1, PAIR_COUNTS // slices)
+        for lo in range(0, len(x), step):
+            i, j = x[lo:lo + step], y[lo:lo + step]
+            differ = np.abs(c[i] - c[j]).sum(1, dtype=np.int64)
+            i, j = has[i], has[j]
+            gone = differ > apart[i, j]
+            fits[i[gone], j[gone]] = fits[j[gone], i[gone]] = False
+        slices *= 2
 
 
 def clusters(near: np.ndarray) -> np.ndarray:
@@ -198,8 +233,8 @@ def clusters(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-PARTS = "bucket int, doc_id bigint, n bigint, k1 bigint, k2 bigint, keys binary, docs binary"
-MET = "doc_id bigint, n bigint, k1 bigint, k2 bigint, counts binary, head bigint, list bigint, docs array<bigint>"
+PARTS = "bucket int, doc_id bigint, n bigint, k1 bigint, k2 bigint, need bigint, keys binary, docs binary"
+MET = "doc_id bigint, n bigint, k1 bigint, k2 bigint, need bigint, counts binary, head bigint, list bigint, docs array<bigint>"
 _MET = [c.split()[0] for c in MET.split(", ")]
 
 
@@ -236,7 +271,7 @@ def _part_rows(buckets: int, shingle: int, percent: int):
                 part = packed[lo:lo + 512]
                 none = pa.nulls(len(part), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[0] for p in part], pa.int32()), pa.array([base] * len(part), pa.int64()), none, none, none,
+                    [pa.array([p[0] for p in part], pa.int32()), pa.array([base] * len(part), pa.int64()), none, none, none, none,
                      pa.array([p[1] for p in part], pa.binary()), pa.array([p[2] for p in part], pa.binary())], names)
 
         size = 0
@@ -245,20 +280,19 @@ def _part_rows(buckets: int, shingle: int, percent: int):
                 sets, first = shingle_sets(b.column(1), shingle)
                 k1, k2 = set_keys(sets, first)
                 ids, n = b.column(0).to_numpy(), np.diff(first)
-                counts = sketches(sets, first)
+                all_keys, all_of, need = part_hashes(sets, first, percent)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((textkit.mix(ids.view(U)) % U(buckets)).astype(np.int32)), b.column(0), pa.array(n.astype(np.int64)),
-                     pa.array(k1), pa.array(k2), pa.array([c.tobytes() for c in counts], pa.binary()),
+                     pa.array(k1), pa.array(k2), pa.array(need), pa.array(sketches(sets, first), pa.binary()),
                      pa.nulls(len(ids), pa.binary())], names)
                 new = np.zeros(len(ids), bool)
                 for i, key in enumerate(zip(k1.tolist(), k2.tolist())):
                     if key not in given:
                         given.add(key)
                         new[i] = True
-                sel = np.repeat(new, n)
-                keys, of = part_hashes(sets[sel], np.append(0, np.cumsum(n[new])), percent)
-                held.append((keys, ids[new][of]))
-                size += len(keys)
+                sel = new[all_of]
+                held.append((all_keys[sel], ids[all_of[sel]]))
+                size += len(held[-1][0])
                 if size >= FLUSH:
                     yield from flush()
                     size = 0
@@ -287,11 +321,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = sizes > 1
         names = textkit.mix(np.add.reduceat(textkit.mix(d.view(U) + U(3)), first) + sizes.astype(U)).view(np.int64)
         small = np.flatnonzero(some & (sizes <= LIST))
-        _, one = np.unique(names[small], return_index=True)
+        _, one, weight = np.unique(names[small], return_index=True, return_counts=True)
         small = small[one]
         if len(small):
             members = d[textkit.ranges(first[small], sizes[small])]
-            yield _met_rows(list=pa.array(names[small]),
+            yield _met_rows(list=pa.array(names[small]), n=pa.array(weight),
                             docs=textkit.lists(members, np.append(0, np.cumsum(sizes[small])), pa.int64()))
         for a, n in zip(first[sizes > LIST], sizes[sizes > LIST]):
             yield _met_rows(doc_id=pa.array(d[a + 1:a + n]), head=pa.array(np.full(n - 1, d[a])))
@@ -300,7 +334,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = b.column("docs").is_valid().to_numpy(zero_copy_only=False)
         plain = b.filter(pa.array(~packed))
         if plain.num_rows:
-            yield _met_rows(counts=plain.column("keys"), **{c: plain.column(c) for c in ("doc_id", "n", "k1", "k2")})
+            yield _met_rows(counts=plain.column("keys"), **{c: plain.column(c) for c in ("doc_id", "n", "k1", "k2", "need")})
         rest = b.filter(pa.array(packed))
         for at, base, k, d in zip(*(rest.column(c).to_pylist() for c in ("bucket", "doc_id", "keys", "docs"))):
             if at != bucket:
@@ -324,7 +358,7 @@ def _told_apart(percent: int):
             held.sort()
             ids = np.array([h[0] for h in held])
             size = np.array([h[1] for h in held])
-            counts = np.frombuffer(b"".join(h[2] for h in held), np.uint16).reshape(len(held), SLICES)
+            counts = [np.frombuffer(h[2], np.uint8) for h in held]
             label = clusters(possible(size, counts, percent))
             other = label != np.arange(len(label))
             return pa.RecordBatch.from_arrays([pa.array(ids[label[other]]), pa.array(ids[other])], ["a", "b"])
@@ -600,13 +634,19 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     met = written(given.mapInArrow(_part_rows(buckets, shingle, percent), PARTS)
                   .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET), "parts")
     rows = met.where(F.col("k1").isNotNull()).select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
-    counted = met.where(F.col("k1").isNotNull()).select("doc_id", "n", "counts")
-    lists = (met.where(F.col("docs").isNotNull()).select("list", "docs").dropDuplicates(["list"])
-             .select("list", F.explode("docs").alias("doc_id")))
+    large = met.where(F.col("head").isNotNull()).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    # equal lists are one row, which stands for as many parts
+    lists = (met.where(F.col("docs").isNotNull()).groupBy("list").agg(F.sum("n").alias("parts"), F.first("docs").alias("docs"))
+             .select("list", "parts", F.explode("docs").alias("doc_id")))
+    lists = written(lists, "lists")
+    shared = (lists.groupBy("doc_id").agg(F.sum("parts").alias("parts"))
+              .union(large.groupBy("b").agg(F.count("*"))).union(large.groupBy("a").agg(F.count("*")))
+              .groupBy("doc_id").agg(F.sum("parts").alias("shared")))
+    counted = (met.where(F.col("k1").isNotNull()).select("doc_id", "n", "need", "counts").join(shared, "doc_id")
+               .where("shared >= need").select("doc_id", "n", "counts"))
     near = (lists.join(counted, "doc_id").select("list", "doc_id", "n", "counts")
             .repartition("list").sortWithinPartitions("list").mapInArrow(_told_apart(percent), LINKS))
-    large = met.where(F.col("head").isNotNull()).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    families = components(near.union(large).distinct())
+    families = components(near.union(large).union(_bridges(rows)).distinct())
 
     # one document for each set, the least; the family of a set is that of any document that gave its parts
     sets = (rows.where("n_shingles > 0").join(families, rows.doc_id == families.node, "left").groupBy("k1", "k2")
@@ -634,6 +674,20 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     return out.unionByName(nameless.withColumn("component_id", F.lit(None).cast("bigint")))
 
 
+def _bridges(rows: DataFrame) -> DataFrame:
+    """Links between the documents of equal sets, where one of them has other sets, too (rows of equal doc_id).
+
+    Such a document is in the families of all its sets, and they are one family; by these links, the families that
+    the sets' other documents are in belong to it. Documents of one set are in its family already.
+    """
+    sets = rows.where("n_shingles > 0").select("doc_id", F.struct("k1", "k2").alias("key"))
+    several = sets.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("doc_id")
+    shared = sets.join(several, "doc_id", "left_semi").select("key").distinct()
+    touched = sets.join(shared, "key", "left_semi")
+    first = touched.groupBy("key").agg(F.min("doc_id").alias("a"))
+    return touched.join(first, "key").where("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+
+
 def _counts(shingle: int):
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = np.diff(shingle_sets(batch.column(1), shingle)[1])

@@ -104,18 +104,50 @@ def test_linked_sets_share_a_part(percent):
         if not len(y) or 100 * common < percent * (len(x) + len(y) - common):
             continue
         assert len(x) + len(y) - common <= max(union, 100 * len(y) // percent)
-        keys, of = jac.part_hashes(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), percent)
-        assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
+        keys, of, need = jac.part_hashes(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), percent)
+        shared = set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
+        assert shared and len(shared) >= max(need)
 
 
 def test_sets_in_few_parts_still_meet():
     # all shingles of both sets in one part: neither has enough parts that aren't empty
     x = np.arange(1, 41, dtype=np.uint64)
     y = np.append(x[2:], np.array([77, 78], np.uint64))
-    keys, of = jac.part_hashes(np.concatenate([x, y]), np.array([0, 40, 80]))
+    keys, of, need = jac.part_hashes(np.concatenate([x, y]), np.array([0, 40, 80]))
+    assert need.tolist() == [1, 1]
     assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
 
 
+def test_equal_sets_of_two_families_keep_their_links(spark):
+    """Document 2 has a text of each family; the other documents of both texts stay linked, whatever the order of rows."""
+    rng = random.Random(12)
+    t, u = ([f"{c}{rng.randint(0, 10**6)}" for _ in range(60)] for c in "tu")
+    t2, u2 = t[:-1] + ["other"], u[:-1] + ["another"]
+    rows = [(1, u), (2, u2), (10, t), (11, t2), (2, t)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    want = brute(rows)
+    assert {c for _, _, c in want} == {1}
+    for order, parts in ((rows, 1), (rows[::-1], 1), ([rows[2], rows[4], rows[0], rows[3], rows[1]], 3)):
+        assert got(jac.similar_documents(spark.createDataFrame(order, "doc_id long, text string").repartition(parts))) == want
+
+
+def test_large_documents_with_shared_passages_are_no_family(spark):
+    """Passages that long documents share chain them in no task; near copies among them are found."""
+    rng = random.Random(4)
+    passages = [[f"p{k}.{j}" for j in range(120)] for k in range(8)]
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(rng.randint(900, 1800))]
+        for p in rng.sample(passages, 3):
+            at = rng.randrange(len(words))
+            words[at:at] = p
+        rows.append((k, " ".join(words)))
+        if k % 6 == 0:
+            rows.append((1000 + k, " ".join(words[:-40])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jac.similar_documents(df, shingle=5, percent=80)) == brute(rows, percent=80, n=5)
+
+
 def test_windows_keep_all_links_in_some_cell():
     rng = np.random.default_rng(3)
     points = rng.random((300, 2))
@@ -151,14 +183,16 @@ def test_components_of_paths_and_stars(spark):
 def test_lists_tell_only_impossible_pairs_apart():
     rng = np.random.default_rng(8)
     sets = []
-    for _ in range(40):
-        x = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 300))).astype(np.uint64))
+    for k in range(40):
+        x = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 4000 if k % 4 == 0 else 300))).astype(np.uint64))
         sets.append(x)
         for _ in range(3):
             gone = rng.integers(0, max(len(x) // 4, 1) + 1)
             sets.append(np.unique(np.append(rng.permutation(x)[gone:], rng.integers(0, 1 << 63, gone).astype(np.uint64))))
     first = np.append(0, np.cumsum([len(s) for s in sets]))
-    near = jac.possible(np.diff(first), jac.sketches(np.concatenate(sets), first))
+    near = jac.possible(np.diff(first), [np.frombuffer(c, np.uint8) for c in jac.sketches(np.concatenate(sets), first)])
+    assert [len(c) for c in jac.sketches(np.arange(9000, dtype=np.uint64), np.array([0, 0, 100, 400, 9000]))] == [64, 64, 128, 4096]
+    assert jac.sketches(np.zeros(300, np.uint64), np.array([0, 300])) == [b""]  # too many in a slice: told apart from none
     linked = np.zeros_like(near)
     for a, x in enumerate(sets):
         for b, y in enumerate(sets):

@@ -26,7 +26,7 @@ def test_stages_against_brute_force(spark):
         assert len(after) == 6 or after[-1].columns == docs.columns
     assert rows_of(after[1]) == Counter({r: n for r, n in rows_of(docs).items() if not score[r[0]]})
 
-    groups = brute([(r[0], r[1]) for r in rows_of(after[1])])
+    groups = brute([(r[0], r[1]) for r in rows_of(after[1])], percent=80, n=5)
     first = {i for i, _, c in groups if c == i}
     assert rows_of(after[2]) == Counter({r: 1 for r in rows_of(after[1]) if r[0] in first})
     assert len(first) < after[1].count()

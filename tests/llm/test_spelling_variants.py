@@ -115,9 +115,9 @@ def test_limit_is_really_lowered(spark):
 
 def test_edge_rows(make_docs):
     word = "colour"
-    rows = [(1, None), (2, ""), (None, "Letterx letterx"), (None, None), (3, "Colours COLOURS colours " * 60), (3, "colors colorse " * 9),
-            (4, "colorss×÷ÀÉ colours-coloursĀcolours ǅcolours"), (5, "w" * 9_000 + " " + "w" * 9_000 + " " + "w" * 8_999),
-            (6, "w" * 9_000), (7, "straße STRASSE straßen straßen naïveté naivete naivete naïveté"), (7, word * 3), (7, word * 3)]
+    rows = [(1, None), (2, ""), (None, "Letterx letterx"), (None, None), (3, "Colours COLOURS colours " * 60), (3, "colourss colorse " * 9),
+            (4, "colorss×÷ÀÉ colours-coloursĀcolours ǅcolours"), (5, "w" * 2_000 + " " + "w" * 2_000 + " " + "w" * 1_999),
+            (6, "w" * 2_000), (7, "straße STRASSE straßen straßen naïveté naivete naivete naïveté"), (7, word * 3), (7, word * 3)]
     docs = make_docs(rows).withColumnRenamed("lang", "word").withColumnRenamed("source", "n").withColumn("form", F.lit("x"))
     for damaged in (31, 0, 2):
         want = brute(brute_words(rows, damaged))
