@@ -9,6 +9,7 @@ rule is native expressions only.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import cache
@@ -41,9 +42,9 @@ def normalise_name(name: Column) -> Column:
     one = {c: p for c, p in ascii_parts().items() if len(p) == 1}
     more = {c: p for c, p in ascii_parts().items() if len(p) > 1}
     plain = F.translate(name, "".join(one), "".join(one.values()))
-    # characters that become several are rare: look before replacing them one by one
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(p).alias("p")) for c, p in more.items()])
-    spelled = F.aggregate(pairs, plain, lambda text, x: F.replace(text, x.c, x.p))
+    # characters that become several are rare: look before taking a text apart
+    several = F.from_json(F.lit(json.dumps(more, ensure_ascii=False)), "map<string,string>")
+    spelled = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
     plain = F.when(plain.rlike("[" + "".join(more) + "]"), spelled).otherwise(plain)
     plain = F.lower(F.regexp_replace(plain, r"[^\x00-\x7f]", ""))
     return F.array_join(F.regexp_extract_all(plain, F.lit("([a-z0-9]+)"), F.lit(1)), " ")

@@ -1,15 +1,20 @@
 """Learning-path reports: match catalogue courses to a text list of target courses,
 then progress per target and coverage per user.
 
-The target list is configuration (a few dozen names). It is normalised once
-on the driver and compiled into a CASE expression (exact match first, then the
-first target in list order contained in the name), evaluated on the distinct
-course-name dimension only; usage rows get their target by an equi join.
+A course matches the target whose normalised form equals its own, or else the
+first target in list order whose form its own contains. The targets are a small
+table. Each target is looked for by one of its grams, the one that fewest
+targets hold; a course's form holds the grams of all targets that it contains,
+so candidates come from an equi join on grams and are then tested. The plan is
+the same for two targets and for thousands. Names are normalised and matched
+once each; usage rows get their target by an equi join on the name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -18,42 +23,52 @@ from .quantiles import quantile_columns
 from ..functions.names import normalise_name, normalise_text
 
 
-def _targets(cfg: Config):
-    """(normalised -> original) in first-seen order, later duplicates win the value;
-    original -> position, last position wins (as dict building does)."""
-    norm: dict[str, str] = {}
+BROADCAST = 100_000  # targets
+GRAM = 6  # characters of a gram; a shorter target is a gram of its own
+
+
+def _target_rows(cfg: Config) -> list[tuple[str, str, int, int, str]]:
+    """(form, target, place of the form, order of the target, gram); forms in first-seen order, later names of a form win."""
+    form: dict[str, str] = {}
     for t in cfg.path_targets:
-        norm[normalise_text(t)] = t
+        form[normalise_text(t)] = t
     order = {t: i for i, t in enumerate(cfg.path_targets)}
-    return norm, order
+    grams = {k: [k[i:i + GRAM] for i in range(max(len(k) - GRAM, 0) + 1)] for k in form}
+    held = Counter(g for some in grams.values() for g in set(some))
+    return [(k, t, place, order[t], min(grams[k], key=lambda g: held[g])) for place, (k, t) in enumerate(form.items())]
+
 
+def targets(spark: SparkSession, cfg: Config) -> DataFrame:
+    """The target list as a table."""
+    schema = "form string, target string, place int, target_order int, gram string"
+    return spark.createDataFrame(_target_rows(cfg), schema).coalesce(1)
 
-def _match_expr(n, cfg: Config):
-    norm, _ = _targets(cfg)
-    out = None
-    for k, v in norm.items():            # exact normalised match
-        c = n == F.lit(k)
-        out = F.when(c, F.lit(v)) if out is None else out.when(c, F.lit(v))
-    for k, v in norm.items():            # else first target contained in the name
-        if not k:
-            continue
-        c = n.contains(F.lit(k))
-        out = F.when(c, F.lit(v)) if out is None else out.when(c, F.lit(v))
-    return out if out is not None else F.lit(None).cast("string")
 
+def _grams(form, lengths: list[int]):
+    """Distinct parts of a form that have one of the lengths; the empty form has the empty one."""
+    def of(n: int):
+        cut = F.transform(F.sequence(F.lit(1), F.length(form) - n + 1), lambda i: F.substr(form, i, F.lit(n)))
+        return F.when(F.length(form) >= n, cut).otherwise(F.array().cast("array<string>"))
 
-def _order_expr(t, cfg: Config):
-    _, order = _targets(cfg)
-    m = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))])
-    return F.try_element_at(m, t)
+    parts = [of(n) for n in lengths if n]
+    empty = F.when(form == "", F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(empty, *parts))
 
 
 def path_match(usage: DataFrame, cfg: Config) -> DataFrame:
     """(course_name, normalised, target, target_order) for every distinct course name."""
     names = usage.select("course_name").where(F.col("course_name").isNotNull()).distinct()
     n = names.withColumn("normalised", normalise_name(F.col("course_name")))
-    t = _match_expr(F.col("normalised"), cfg)
-    return n.withColumn("target", t).withColumn("target_order", _order_expr(F.col("target"), cfg).cast("int"))
+    lengths = sorted({len(r[4]) for r in _target_rows(cfg)})
+    # a configured list; beyond BROADCAST entries Spark chooses the join
+    table = targets(usage.sparkSession, cfg)
+    table = F.broadcast(table) if len(cfg.path_targets) <= BROADCAST else table
+    tried = n.withColumn("gram", F.explode_outer(_grams(F.col("normalised"), lengths))).join(table, "gram", "left")
+    exact = F.col("normalised") == F.col("form")
+    fits = exact | ((F.col("form") != "") & F.col("normalised").contains(F.col("form")))
+    best = F.min(F.when(fits, F.struct((~exact).alias("within"), "place", "target", "target_order")))
+    return (tried.groupBy("course_name", "normalised").agg(best.alias("b"))
+            .select("course_name", "normalised", F.col("b.target").alias("target"), F.col("b.target_order").alias("target_order")))
 
 
 def on_path(usage: DataFrame, cfg: Config) -> DataFrame:
@@ -130,7 +145,17 @@ def path_distributions(usage: DataFrame, cfg: Config) -> DataFrame:
 def path_not_found(usage: DataFrame, cfg: Config) -> DataFrame:
     """Targets of the list that no course of the slice matches."""
     found = on_path(usage, cfg).select("target").distinct()
-    arr = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(i).alias("target_order"))
-                    for i, t in enumerate(cfg.path_targets)])
-    dim = usage.sparkSession.range(1).select(F.inline(arr))
-    return dim.join(found, "target", "left_anti")
+    every = _listed(usage.sparkSession, cfg)
+    return every.join(found, "target", "left_anti")
+
+
+def path_found(usage: DataFrame, cfg: Config) -> DataFrame:
+    """One row: the number of targets of the list, and of those that some course of the slice matches."""
+    found = on_path(usage, cfg).select("target").distinct().withColumn("hit", F.lit(1))
+    return _listed(usage.sparkSession, cfg).join(found, "target", "left").agg(
+        F.count(F.lit(1)).cast("long").alias("targets"), F.count("hit").cast("long").alias("found"))
+
+
+def _listed(spark: SparkSession, cfg: Config) -> DataFrame:
+    """Every entry of the target list with its place."""
+    return spark.createDataFrame(list(enumerate(cfg.path_targets)), "target_order int, target string").select("target", "target_order").coalesce(1)

@@ -541,3 +541,10 @@ SELECT v.target, v.ord AS target_order FROM {values('target', cfg.path_targets)}
 WHERE v.target NOT IN (SELECT DISTINCT target FROM er)""")
 def path_not_found_q(b):
     return PT.path_not_found(b.cur, b.cfg)
+
+
+@report("path_found", sql=lambda cfg: _path_sql(cfg) + f"""
+SELECT CAST(count(*) AS BIGINT) AS targets, CAST(count(*) FILTER (WHERE v.target IN (SELECT DISTINCT target FROM er)) AS BIGINT) AS found
+FROM {values('target', cfg.path_targets)}""")
+def path_found_q(b):
+    return PT.path_found(b.cur, b.cfg)
