@@ -1,4 +1,4 @@
-"""Report bundle for one slice, order-insensitive digests and diffs.
+"""Report bundle for one slice, and digests of reports that are stored and compared.
 
 ``report_bundle`` returns a dict of lazy DataFrames; nothing runs until a
 report is written or collected, so a dashboard request executes only the
@@ -9,14 +9,17 @@ brand filter; daily-series reports read the whole series.
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_dir
 from .base import Base
 from .registry import REGISTRY, load_all
 
@@ -58,55 +61,97 @@ def report_bundle(base: Base, brands=None, population: str | None = None) -> dic
     return {name: build() for name, build in bundle_builders(base, brands, population).items()}
 
 
-def _hash_col(df: DataFrame, places: int | None = 6):
+def _row_hash(df: DataFrame, places: int | None, but: str | None = None):
+    """Hash of a row's columns in the order of their names, doubles rounded to ``places``."""
     cols = []
     for f in sorted(df.schema.fields, key=lambda f: f.name):
-        c = F.col(f"`{f.name}`")
-        if places is not None and isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, places)
-        cols.append(c)
+        if f.name != but:
+            c = F.col(f"`{f.name}`")
+            cols.append(F.round(c, places) if places is not None and isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c)
     return F.xxhash64(*cols) if cols else F.lit(0)
 
 
-def result_digest(df: DataFrame, places: int | None = 6) -> DataFrame:
-    """(rows, digest): count and the exact sum of row hashes over sorted columns,
-    doubles to 6 decimals, or as they are without ``places``. Independent of row
-    order and partitioning."""
-    return df.select(_hash_col(df, places).cast("decimal(38,0)").alias("h")).agg(
-        F.count(F.lit(1)).cast("long").alias("rows"),
-        F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("digest"))
+def result_digest(df: DataFrame, places: int | None = 6, place: str | None = "rank") -> DataFrame:
+    """One row (rows, digest, order_digest, columns), independent of how rows are stored.
+
+    ``digest`` is the exact sum of row hashes, doubles to 6 decimals, or as they
+    are without ``places``. If the report has a column ``place`` that says where
+    a row is read, that column is left out of ``digest``; ``order_digest`` is the sum
+    of hashes of (row hash, place), null without one. Both are sums, so digests
+    of parts of a report add up to its own. ``columns`` are names and types.
+    """
+    place = place if place in df.columns else None
+    h = _row_hash(df, places, place)
+    at = F.xxhash64(h, F.col(place)) if place else F.lit(None).cast("long")
+    exact = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("string")
+    return df.select(h.cast("decimal(38,0)").alias("h"), at.cast("decimal(38,0)").alias("at")).agg(
+        F.count(F.lit(1)).cast("long").alias("rows"), exact("h").alias("digest"),
+        (exact("at") if place else F.lit(None).cast("string")).alias("order_digest"),
+        F.lit(", ".join(f"{n} {t}" for n, t in sorted(df.dtypes))).alias("columns"))
 
 
 #: Reports of a bundle that run at the same time.
 PARALLELISM = 4
 
 
+DIGESTS = "report string, rows long, digest string, order_digest string, columns string"
+
+
 def bundle_digest(bundle: dict[str | tuple, DataFrame | Callable[[], DataFrame]], parallelism: int = PARALLELISM,
-                  schema: str = "report string, rows long, digest string") -> DataFrame:
-    """One row per report: name (or the values of a name that is a tuple), rows, digest.
+                  schema: str = DIGESTS, places: int | None = 6) -> DataFrame:
+    """One row per report: name (or the values of a name that is a tuple) and its digests.
 
     Each report is digested by its own Spark job (a union of ~100 report plans
     would make one enormous plan to optimise). The jobs are independent, so
     they are submitted concurrently from a small thread pool (SparkSession is
-    thread-safe); only the two-value digest of each report reaches the driver.
-    Values may be DataFrames or builders returning one.
+    thread-safe); only the one row of digests of each report reaches the driver.
+    Values may be DataFrames or builders returning one; what a builder returns is
+    let go after its job, so that the driver can drop its plan and broadcasts.
     """
     if not bundle:
         raise ValueError("empty bundle")
-    from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
     def one(item):
         name, df = item
         df = df() if callable(df) else df
-        r = result_digest(df).first()
-        return *(name if isinstance(name, tuple) else (name,)), int(r["rows"]), r["digest"]
+        r = tuple(result_digest(df, places).first())
+        del df
+        gc.collect()  # frames in reference cycles hold their plans in the JVM
+        return *(name if isinstance(name, tuple) else (name,)), *r
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
         rows = list(ex.map(one, list(bundle.items())))
     return spark.createDataFrame(rows, schema)
 
 
+def store_digests(digests: DataFrame, root: str, run: str) -> None:
+    """Keep a run's digests, to be compared with a later run's; a run is stored once."""
+    digests.coalesce(1).write.mode("error").parquet(f"{root.rstrip('/')}/run={run}")
+
+
+def read_digests(spark: SparkSession, root: str, run: str) -> DataFrame:
+    return spark.read.parquet(f"{root.rstrip('/')}/run={run}")
+
+
+def digest_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """What became of each report from digests ``a`` to ``b``: change, rows_before, rows_after.
+
+    ``change`` is added, removed, columns (other names or types), values (other
+    rows), order (the same rows read in another order) or same. Sliced digests
+    are compared by slice and report.
+    """
+    keys = [c for c in ("slice", "report") if c in a.columns and c in b.columns]
+    x, y = a.alias("x"), b.alias("y")
+    both = x.join(y, reduce(lambda p, q: p & q, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]), "full")
+    change = (F.when(F.col("x.rows").isNull(), "added").when(F.col("y.rows").isNull(), "removed")
+              .when(F.col("x.columns") != F.col("y.columns"), "columns")
+              .when((F.col("x.rows") != F.col("y.rows")) | (F.col("x.digest") != F.col("y.digest")), "values")
+              .when(~F.col("x.order_digest").eqNullSafe(F.col("y.order_digest")), "order").otherwise("same"))
+    return both.select(*[F.coalesce(f"x.{k}", f"y.{k}").alias(k) for k in keys], change.alias("change"),
+                       F.col("x.rows").alias("rows_before"), F.col("y.rows").alias("rows_after"))
+
+
 def result_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows only in a and only in b (multiset difference both ways), as counts."""
     left = a.exceptAll(b).agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
@@ -115,36 +160,43 @@ def result_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def sliced_digest(base: Base, slices: dict[str, list | None], parallelism: int = PARALLELISM) -> DataFrame:
-    """One row per slice and report: slice, report, rows, digest; slices are brand lists by name, None for all brands.
+    """One row per slice and report: slice and the digests; slices are brand lists by name, None for all brands.
 
     Reports that read no brand filter are the same in every slice and run once.
     """
     whole = BY_BRAND | WHOLE_SERIES
     jobs = {(name, report): build for k, (name, brands) in enumerate(slices.items())
             for report, build in bundle_builders(base, brands).items() if not k or report not in whole}
-    done = bundle_digest(jobs, parallelism, "slice string, report string, rows long, digest string")
+    done = bundle_digest(jobs, parallelism, "slice string, " + DIGESTS)
     first, *others = slices
     shared = done.where((F.col("slice") == first) & F.col("report").isin(sorted(whole)))
     return reduce(DataFrame.unionByName, [shared.withColumn("slice", F.lit(name)) for name in others], done)
 
 
 def bundle_diff(a: dict[str, DataFrame | Callable[[], DataFrame]], b: dict[str, DataFrame | Callable[[], DataFrame]],
-                parallelism: int = PARALLELISM) -> DataFrame:
-    """Per report present in both bundles: rows only on each side.
+                parallelism: int = PARALLELISM, root: str | None = None) -> DataFrame:
+    """Per report of either bundle: change (see ``digest_diff``), and rows only on each side.
 
-    Reports of equal digests, doubles unrounded, have none; the others are
-    compared row by row.
+    Both bundles are digested, doubles unrounded, and the digests stored (below ``root``, a shared folder by default)
+    and compared. Only reports of the same columns whose rows changed are then compared row by row.
     """
-    from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-
-    def one(name):
-        x, y = (side[name]() if callable(side[name]) else side[name] for side in (a, b))
-        if sorted(x.dtypes) == sorted(y.dtypes) and result_digest(x, None).first() == result_digest(y, None).first():
-            return name, 0, 0
-        r = result_diff(x, y.select(*(f"`{c}`" for c in x.columns))).first()
-        return name, int(r["only_left"]), int(r["only_right"])
+    root = root or shared_dir(spark, f"digests-{uuid.uuid4().hex[:12]}")
+    for run, side in (("before", a), ("after", b)):
+        store_digests(bundle_digest(side, parallelism, places=None), root, run)
+    # one row a report
+    diff = digest_diff(read_digests(spark, root, "before"), read_digests(spark, root, "after")).collect()
+
+    def only(r) -> tuple[int, int]:
+        if r["change"] == "values":
+            x, y = (side[r["report"]]() if callable(side[r["report"]]) else side[r["report"]] for side in (a, b))
+            n = result_diff(x, y.select(*(f"`{c}`" for c in x.columns))).first()
+            return int(n["only_left"]), int(n["only_right"])
+        if r["change"] in ("same", "order"):
+            return 0, 0
+        return int(r["rows_before"] or 0), int(r["rows_after"] or 0)
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        rows = list(ex.map(one, sorted(set(a) & set(b))))
-    return spark.createDataFrame(rows, "report string, only_left long, only_right long")
+        counts = list(ex.map(only, diff))
+    rows = [(r["report"], r["change"], *n) for r, n in zip(diff, counts)]
+    return spark.createDataFrame(sorted(rows), "report string, change string, only_left long, only_right long")

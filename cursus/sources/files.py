@@ -23,6 +23,7 @@ from ..config import (CONTENT_PATTERN, DAILY_ACTIVE_COLUMN, DAILY_CONTENT_COLUMN
 from ..functions import columns as C
 from ..functions.clean import clean_users
 from ..operators.periods import complete_periods
+from . import versions
 
 # ---------------------------------------------------------------- listing
 def list_files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
@@ -300,7 +301,9 @@ def read_calendar(spark: SparkSession, root: str, daily_dir: str, cfg: Config, f
 def read_prepared(spark: SparkSession, root: str, cfg: Config):
     """Prepared layout written by the preparation job: usage partitioned by
     period_index, daily series, roster. Population derived when absent; raw
-    effective users rebuilt (effective x divisor) when absent."""
+    effective users rebuilt (effective x divisor) when absent. All tables are of the
+    version that was published last when this was called."""
+    root = versions.current(spark, root)
     u = spark.read.parquet(os.path.join(root, "usage"))
     if "population" not in u.columns:
         u = u.withColumn("population", C.population(C.normalise_level(F.col("level"), cfg)))
@@ -314,7 +317,7 @@ def read_prepared(spark: SparkSession, root: str, cfg: Config):
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     """The manifest of the prepared layout: mode, cur, prev, partial; all null without one."""
     schema = "mode string, cur int, prev int, partial array<int>"
-    path = os.path.join(root, "manifest")
+    path = os.path.join(versions.current(spark, root), "manifest")
     if not list_files(spark, path):
         return spark.createDataFrame([(None, None, None, None)], schema)
     return spark.read.schema(schema).json(path)

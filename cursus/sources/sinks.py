@@ -3,18 +3,17 @@
 Usage is written partitioned by period_index with dynamic partition
 overwrite, so re-delivering a period replaces only that period's partition
 and no period is ever stored twice. Users are pseudonymised on the way out,
-after brand and center were resolved from the address.
+after brand and center were resolved from the address. The prepared layout is
+published as a whole, in versions.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import versions
 
 USAGE_OUT_COLUMNS = ("user_id", "course_id", "course_name", "progress_band", "hours", "contents", "template",
                      "level", "certified_raw", "center", "course_created", "brand", "population", "period_index")
@@ -30,27 +29,15 @@ def by_period(df: DataFrame, column: str = "period_index") -> DataFrame:
     return df.hint("rebalance", F.col(column))
 
 
-def write_usage(usage: DataFrame, path: str, pseudonymise: bool = True, whole: bool = False) -> None:
-    """Selected existing columns, zstd Parquet, one directory per period: the periods of
-    ``usage`` replace theirs, or, if it is the ``whole`` table, all that was there."""
+def write_usage(usage: DataFrame, path: str, pseudonymise: bool = True) -> None:
+    """Selected existing columns, zstd Parquet, one directory per period: the periods of ``usage`` replace theirs."""
     cols = [c for c in USAGE_OUT_COLUMNS if c in usage.columns]
     out = usage.select(*cols)
     if pseudonymise:
         out = pseudonymise_users(out)
-    to = f"{path}-{uuid.uuid4().hex[:12]}" if whole else path
     (by_period(out).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-     .partitionBy("period_index").parquet(to))
-    if whole:
-        replace_folder(usage.sparkSession, to, path)
-
-
-def replace_folder(spark: SparkSession, new: str, path: str) -> None:
-    """Put a folder that is written whole in the place of another."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new), target)
+     .partitionBy("period_index").parquet(path))
 
 
 def write_series(series: DataFrame, path: str) -> None:
@@ -72,12 +59,11 @@ def write_manifest(periods: DataFrame, mode: str, path: str) -> None:
 
 
 def write_prepared(usage: DataFrame, daily: DataFrame, roster: DataFrame | None, periods: DataFrame,
-                   root: str, mode: str = "calendario") -> None:
-    """The whole prepared layout, built anew: periods that no longer exist go. The new
-    usage takes the old one's place after it was written."""
-    write_usage(usage, os.path.join(root, "usage"), whole=True)
-    daily.write.mode("overwrite").option("compression", "zstd").parquet(os.path.join(root, "daily"))
+                   root: str, mode: str = "calendario", keep: int = versions.KEEP) -> str:
+    """Publish the whole prepared layout as a new version, which readers see at once or not at all; returns its folder."""
+    tables = {"usage": lambda to: write_usage(usage, to),
+              "daily": lambda to: daily.write.option("compression", "zstd").parquet(to)}
     if roster is not None:
-        pseudonymise_users(roster).write.mode("overwrite").option("compression", "zstd").parquet(
-            os.path.join(root, "roster"))
-    write_manifest(periods, mode, os.path.join(root, "manifest"))
+        tables["roster"] = lambda to: pseudonymise_users(roster).write.option("compression", "zstd").parquet(to)
+    tables["manifest"] = lambda to: write_manifest(periods, mode, to)
+    return versions.publish(usage.sparkSession, root, tables, keep)

@@ -1,6 +1,9 @@
 """Report bundle: concurrent digests equal serial ones; digests ignore row order."""
 
-from cursus.plans.bundle import bundle_builders, bundle_diff, bundle_digest, result_diff, result_digest
+import pytest
+
+from cursus.plans.bundle import (bundle_builders, bundle_diff, bundle_digest, digest_diff, read_digests, result_diff,
+                                 result_digest, store_digests)
 
 from conftest import SF_SMALL
 
@@ -49,7 +52,39 @@ def test_diff_shows_a_changed_row_in_every_report(base):
     got = {r["report"]: (r["only_left"], r["only_right"]) for r in bundle_diff(a, b).collect()}
     assert set(got) == set(pick) and got["funnel"][0] and got["course_catalog"][0] and got["yoy_by_month"] == (0, 0)
     tiny = base.usage.sparkSession.range(1).selectExpr("1.0D AS x"), base.usage.sparkSession.range(1).selectExpr("1.0000001D AS x")
-    assert bundle_diff({"t": tiny[0]}, {"t": tiny[1]}).first()[1:] == (1, 1)
+    assert bundle_diff({"t": tiny[0]}, {"t": tiny[1]}).first()[1:] == ("values", 1, 1)
+
+
+def test_stored_digests_tell_the_kinds_of_change_apart(spark, tmp_path):
+    def ranked(*rows):
+        return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "rank int, course string, hours double")
+
+    one, two, three = ("a", 5.0), ("b", 3.0), ("c", 3.0)
+    before = {"top_courses_hours": ranked(one, two, three), "funnel": ranked(one), "gone": ranked(two), "renamed": ranked(one),
+              "top_gainers": ranked(one, two), "rolling_7": ranked(one, two).drop("rank")}
+    after = {"top_courses_hours": ranked(one, three, two), "funnel": ranked(("a", 5.5)), "new": ranked(two, one),
+             "renamed": ranked(one).withColumnRenamed("hours", "h"), "top_gainers": ranked(one, two).repartition(3),
+             "rolling_7": ranked(two, one).drop("rank")}
+    root = str(tmp_path)
+    store_digests(bundle_digest(before), root, "monday")
+    store_digests(bundle_digest(after), root, "tuesday")
+    got = {r["report"]: (r["change"], r["rows_before"], r["rows_after"])
+           for r in digest_diff(read_digests(spark, root, "monday"), read_digests(spark, root, "tuesday")).collect()}
+    assert got == {"top_courses_hours": ("order", 3, 3), "funnel": ("values", 1, 1), "gone": ("removed", 1, None), "new": ("added", None, 2),
+                   "renamed": ("columns", 1, 1), "top_gainers": ("same", 2, 2), "rolling_7": ("same", 2, 2)}
+    with pytest.raises(Exception, match="exists"):
+        store_digests(bundle_digest(after), root, "monday")
+    full = {r["report"]: tuple(r)[1:] for r in bundle_diff(before, after).collect()}
+    assert full == {"top_courses_hours": ("order", 0, 0), "funnel": ("values", 1, 1), "gone": ("removed", 1, 0), "new": ("added", 0, 2),
+                    "renamed": ("columns", 1, 1), "top_gainers": ("same", 0, 0), "rolling_7": ("same", 0, 0)}
+
+
+def test_digests_of_parts_add_up(base):
+    df = bundle_builders(base)["certification_by_group"]()
+    whole = result_digest(df).first()
+    parts = [result_digest(df.where(c)).first() for c in ("rank <= 3", "rank > 3")]
+    for k in ("rows", "digest", "order_digest"):
+        assert int(whole[k]) == sum(int(p[k]) for p in parts)
 
 
 def test_registered_diff_and_digest_read_all_reports(spark, base, monkeypatch):

@@ -10,7 +10,7 @@ from cursus.config import DEFAULT, TEST, USAGE_COLUMNS
 from cursus.operators.panel import recurring_pct
 from cursus.operators.snapshot import funnel
 from cursus.sources import files as FS
-from cursus.sources import sinks
+from cursus.sources import sinks, versions
 from cursus.streaming.refresh import refresh_usage
 
 NAMES = [src for src, _ in USAGE_COLUMNS]
@@ -85,11 +85,68 @@ def test_a_rebuild_drops_periods_that_are_gone(spark, base, tmp_path):
     for periods in ((1, 2), (2,)):
         u = usage(spark, [("a", "c", 1.0, p) for p in periods])
         sinks.write_prepared(u, base.daily, None, base.periods, root)
-        assert sorted(r.period_index for r in spark.read.parquet(f"{root}/usage").collect()) == list(periods)
+        assert sorted(r.period_index for r in spark.read.parquet(f"{versions.current(spark, root)}/usage").collect()) == list(periods)
     assert FS.read_manifest(spark, root).first().mode == "calendario"
     assert FS.read_manifest(spark, str(tmp_path)).first().mode is None
 
 
+class Killed(Exception):
+    pass
+
+
+def test_a_publisher_killed_at_any_step_leaves_one_whole_version(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "tables")
+
+    def tables(version, killed_at=None):
+        def write(k):
+            def run(to):
+                if killed_at == (k, "before"):
+                    raise Killed
+                spark.range(version, version + 1).coalesce(1).write.parquet(to)
+                if killed_at == (k, "after"):
+                    raise Killed
+            return run
+        return {k: write(k) for k in ("usage", "daily", "manifest")}
+
+    def seen():
+        folder = versions.current(spark, root)
+        return {spark.read.parquet(f"{folder}/{k}").first().id for k in ("usage", "daily", "manifest")}
+
+    versions.publish(spark, root, tables(1))
+    for k in ("usage", "daily", "manifest"):
+        for when in ("before", "after"):
+            with pytest.raises(Killed):
+                versions.publish(spark, root, tables(2, (k, when)))
+            assert seen() == {1}
+    clean = versions.clean
+
+    def killed(*a):
+        raise Killed
+    monkeypatch.setattr(versions, "clean", killed)
+    with pytest.raises(Killed):  # after the mark, before old versions go
+        versions.publish(spark, root, tables(3))
+    assert seen() == {3}
+    monkeypatch.setattr(versions, "clean", clean)
+    reader = versions.current(spark, root)  # began before the next versions
+    for v in (4, 5):
+        versions.publish(spark, root, tables(v), keep=3)
+        assert seen() == {v} and spark.read.parquet(f"{reader}/usage").first().id == 3
+    assert len(versions.published(spark, root)) == 3
+    versions.publish(spark, root, tables(6), keep=2)
+    assert seen() == {6}
+    # folders without a mark stay for the grace time, then go
+    folders = tmp_path / "tables" / "versions"
+    left = {f.name for f in folders.iterdir()}
+    assert len(left) == 2 + 5  # killed before its first table, a publisher leaves none
+    versions.clean(spark, root, keep=2, grace_hours=-1)
+    assert len({f.name for f in folders.iterdir()}) == 2 and seen() == {6}
+
+
+def test_a_folder_that_was_never_published_is_read_as_it_is(spark, tmp_path):
+    assert versions.current(spark, str(tmp_path)) == str(tmp_path)
+    assert versions.current(spark, f"{tmp_path}/none") == f"{tmp_path}/none"
+
+
 def test_a_large_period_is_written_by_several_tasks(spark, tmp_path):
     old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
