@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -54,5 +54,32 @@ def median(x, cfg: Config | None = None) -> Column:
     return quantile(x, 0.5, cfg)
 
 
+def n_rows(df: DataFrame, cond: Column | None = None) -> Column:
+    """Number of usage rows (for which ``cond`` holds); a rollup's row stands for as many as its ``rows`` say."""
+    if "rows" not in df.columns:
+        return F.count(F.lit(1)) if cond is None else count_if(cond)
+    return F.coalesce(F.sum("rows" if cond is None else F.when(cond, F.col("rows"))), F.lit(0).cast("long"))
+
+
+def row_mean(df: DataFrame, x: str) -> Column:
+    """Mean of a whole-numbered column over usage rows."""
+    if "rows" not in df.columns:
+        return F.avg(x)
+    known = F.when(F.col(x).isNotNull(), F.col("rows"))
+    return ratio(F.sum(F.col(x) * F.col("rows")), F.sum(known))
+
+
+def row_median(df: DataFrame, x: str, cfg: Config | None = None) -> Column:
+    """Median of a column of few values over usage rows."""
+    if "rows" not in df.columns:
+        return median(x, cfg)
+    return F.percentile(x, F.lit(0.5), F.col("rows")).cast("double")
+
+
+def row_hours(df: DataFrame) -> Column:
+    """Hours of one usage row; of a rollup's row, those of its largest."""
+    return F.col("most_hours" if "most_hours" in df.columns else "hours")
+
+
 def count_if(cond) -> Column:
     return F.count_if(_c(cond)).cast("long")

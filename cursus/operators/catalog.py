@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.aggs import count_if, dsum, dsum0, median, r6, ratio
+from ..functions.aggs import count_if, dsum, dsum0, n_rows, r6, ratio, row_mean, row_median
 from .quantiles import quantile_columns, quantiles_all_and_active
 
 
@@ -30,11 +30,11 @@ def course_catalog(cur: DataFrame, prev: DataFrame | None, cfg: Config) -> DataF
     g = (cur.groupBy("course_id").agg(
         F.max(F.struct("period_index", "course_name")).getField("course_name").alias("course_name"),
         dsum0("hours", cfg).alias("hours"),
-        F.count(F.lit(1)).alias("enrolments"),
+        n_rows(cur).alias("enrolments"),
         F.count_distinct("user_id").alias("users"),
-        count_if(F.col("certified")).alias("certificates"),
-        F.avg("progress").alias("progress_mean"),
-        median("progress", cfg).alias("progress_median"),
+        n_rows(cur, F.col("certified")).alias("certificates"),
+        row_mean(cur, "progress").alias("progress_mean"),
+        row_median(cur, "progress", cfg).alias("progress_median"),
         F.min("template").alias("template"),
         F.min("course_created").alias("created")))
     newest = cur.groupBy("course_id").agg(F.min("course_created").alias("c")).agg(F.max("c")).scalar()
@@ -88,7 +88,7 @@ def template_performance(cur: DataFrame, cfg: Config) -> DataFrame:
     per-user hours, % of (user, course) max progress below 20 and at or above 80."""
     # one scan: everything derives from one row per template, user and course
     u = (cur.where(F.col("template").isNotNull()).groupBy("template", "user_id", "course_id")
-         .agg(F.sum(F.col("hours").cast(cfg.sum_type)).alias("s"), F.count(F.lit(1)).alias("n"), F.max("progress").alias("p")))
+         .agg(F.sum(F.col("hours").cast(cfg.sum_type)).alias("s"), n_rows(cur).alias("n"), F.max("progress").alias("p")))
     pair = F.col("p").isNotNull() & F.col("user_id").isNotNull()
     total = F.coalesce(F.sum("s").cast("double"), F.lit(0.0))
     g = u.groupBy("template").agg(

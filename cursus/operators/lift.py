@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.aggs import count_if, r6, ratio
+from ..functions.aggs import count_if, r6, ratio, row_hours
 from .catalog import course_names
 from .panel import active_flags
 
@@ -111,7 +111,7 @@ def gateway_courses(usage: DataFrame, panel: DataFrame, cfg: Config) -> DataFram
               .where(F.col("is_new") & (F.col("pos") < F.col("max_pos")))
               .select("user_id", "period_index", "returns_next"))
     rows = (usage.where(F.col("hours") > 0)
-            .select("user_id", "period_index", "course_id", "hours")
+            .select("user_id", "period_index", "course_id", row_hours(usage).alias("hours"))
             .join(firsts, ["user_id", "period_index"]))
     pick = F.min(F.struct((-F.col("hours")).alias("neg_hours"), F.col("course_id").alias("course_id")))
     starts = (rows.groupBy("user_id")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.aggs import count_if, dsum0, median, r6, ratio
+from ..functions.aggs import count_if, dsum0, median, n_rows, r6, ratio, row_mean, row_median
 from .quantiles import quantile_columns
 from ..functions.names import normalise_name, normalise_text
 
@@ -83,8 +83,8 @@ def path_by_course(usage: DataFrame, cfg: Config) -> DataFrame:
     e = on_path(usage, cfg)
     g = e.groupBy("target", "target_order").agg(
         F.count_distinct("user_id").alias("users"), dsum0("hours", cfg).alias("hours"),
-        count_if(F.col("certified")).alias("certificates"),
-        F.avg("progress").alias("progress_mean"), median("progress", cfg).alias("progress_median"))
+        n_rows(e, F.col("certified")).alias("certificates"),
+        row_mean(e, "progress").alias("progress_mean"), row_median(e, "progress", cfg).alias("progress_median"))
     done = (e.where(F.col("user_id").isNotNull()).groupBy("target", "user_id")
             .agg(F.max("progress").alias("p"))
             .groupBy("target").agg((ratio(count_if(F.col("p") >= 90), F.count(F.lit(1))) * 100)

@@ -88,12 +88,11 @@ def pop_active_ever(usage: DataFrame) -> DataFrame:
             .agg(F.count_distinct("user_id").cast("long").alias("active_ever")))
 
 
-def _teacher_hours(usage: DataFrame, cfg: Config) -> DataFrame:
-    """Per (brand, user) over all periods: hours of consuming rows, courses, periods."""
+def _teacher_hours(usage: DataFrame, cfg: Config, *counts: Column) -> DataFrame:
+    """Per (brand, user) over all periods: hours of consuming rows, and the counts asked for."""
     c = _teachers(usage).where((F.col("hours") > 0) & F.col("user_id").isNotNull())
     return c.groupBy("user_id", "brand").agg(
-        dsum0("hours", cfg).alias("hours"), F.count_distinct("course_id").alias("courses"),
-        F.count_distinct("period_index").alias("periods"))
+        dsum0("hours", cfg).alias("hours"), *counts)
 
 
 def pop_panel_by_brand(usage: DataFrame, cfg: Config) -> DataFrame:
@@ -121,7 +120,8 @@ def pop_panel_by_brand(usage: DataFrame, cfg: Config) -> DataFrame:
 def pop_ranking(usage: DataFrame, cfg: Config, n: int | None = None) -> DataFrame:
     """Top n teachers by hours (ties by user): courses, periods, rank and a short code."""
     n = n or cfg.teacher_top
-    top = _teacher_hours(usage, cfg).orderBy(F.col("hours").desc(), "user_id").limit(n)
+    counts = [F.count_distinct(c).alias(n) for c, n in (("course_id", "courses"), ("period_index", "periods"))]
+    top = _teacher_hours(usage, cfg, *counts).orderBy(F.col("hours").desc(), "user_id").limit(n)
     rank = F.row_number().over(Window.orderBy(F.col("hours").desc(), "user_id"))   # n rows
     return top.select("user_id", "brand", r6("hours").alias("hours"), F.col("courses").cast("long"),
                       F.col("periods").cast("long"), rank.cast("long").alias("rank")).withColumn(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import ACTIVATED, NOT_ACTIVATED, SEGMENT_ORDER, Config
 from ..functions import columns as C
-from ..functions.aggs import count_if, dsum, dsum0, median, r6, ratio
+from ..functions.aggs import count_if, dsum, dsum0, median, n_rows, r6, ratio
 from .quantiles import quantiles_all_and_active
 
 
@@ -347,9 +347,9 @@ def _cert_per_user(usage: DataFrame, cfg: Config, keys=()) -> DataFrame:
     """First level: per (keys, user) row counts; the null user forms its own group."""
     cert, p = F.col("certified"), F.col("progress")
     return usage.groupBy(*keys, "user_id").agg(
-        F.count(F.lit(1)).alias("rows"), count_if(cert).alias("certs"),
-        count_if(p >= 90).alias("done"), count_if((p >= 90) & cert).alias("done_cert"),
-        count_if(cert & (p < 20)).alias("incoherent"),
+        n_rows(usage).alias("rows"), n_rows(usage, cert).alias("certs"),
+        n_rows(usage, p >= 90).alias("done"), n_rows(usage, (p >= 90) & cert).alias("done_cert"),
+        n_rows(usage, cert & (p < 20)).alias("incoherent"),
         dsum0("hours", cfg).alias("hours"),
         dsum0(F.when(cert, F.col("hours")), cfg).alias("cert_hours"))
 

@@ -3,15 +3,17 @@
 Loaded once; every report is a lazy DataFrame over it. ``materialize=True``
 writes usage partitioned by period_index to the shared checkpoint folder (so
 "current"/"previous" reports prune to two partitions and a lost executor
-recomputes from that table, not from the raw exports) and writes the panel
-there as a table bucketed by user_id, so growth, cohorts, lift and gateway
+recomputes from that table, not from the raw exports). Usage is then read once
+more, for the rollups (``operators.rollups``): reports read the coarsest of them
+that has their columns. The panel is made from the rollup by user and written
+as a table bucketed by user_id, so growth, cohorts, lift and gateway
 run their per-user windows on the stored partitioning without a shuffle.
 """
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from ..functions import columns as C
 from ..functions.clean import with_usage_measures
 from ..operators.panel import user_period_panel
 from ..operators.periods import periods_dim
+from ..operators.rollups import LEVELS, coarser, level_of, pairs
 from ..session import shared_dir
 from ..sources import fixtures
 from ..sources.sinks import by_period
@@ -39,6 +42,8 @@ class Base:
     # True when usage/daily/roster are read back from written tables and the
     # panel is persisted (lineage starts at the shared folder).
     materialized: bool = False
+    # Rollups of usage by level; empty for a lazy base.
+    rollups: dict = field(default_factory=dict, repr=False)
     _materialized_copy: "Base | None" = field(default=None, repr=False)
 
     def side(self, side: str) -> DataFrame:
@@ -73,19 +78,23 @@ class Base:
             self._panel = user_period_panel(self.usage, self.periods, self.cfg)
         return self._panel
 
+    def reading(self, columns) -> "Base":
+        """The base with the coarsest rollup that has the columns in the place of usage, if there is one."""
+        table = self.rollups.get(level_of(columns)) if columns is not None else None
+        return self if table is None else replace(self, usage=table)
+
     def restrict(self, brands=None, population: str | None = None) -> "Base":
         """A slice of the base: brand list and/or population (daily series stay whole)."""
-        u, r, p = self.usage, self.roster, self._panel
-        if population:
-            u = u.where(F.col("population") == population)
-            r = r.where(F.col("population") == population) if r is not None else None
-            p = p.where(F.col("population") == population) if p is not None else None
-        if brands:
-            u = u.where(F.col("brand").isin(list(brands)))
-            r = r.where(F.col("brand").isin(list(brands))) if r is not None else None
-            p = p.where(F.col("brand").isin(list(brands))) if p is not None else None
+        def cut(df):
+            if df is not None and population:
+                df = df.where(F.col("population") == population)
+            if df is not None and brands:
+                df = df.where(F.col("brand").isin(list(brands)))
+            return df
+
         whole = self.whole_roster if self.whole_roster is not None else self.roster
-        return Base(self.cfg, u, self.daily, r, self.periods, p, whole, materialized=self.materialized)
+        return Base(self.cfg, cut(self.usage), self.daily, cut(self.roster), self.periods, cut(self._panel), whole,
+                    materialized=self.materialized, rollups={level: cut(df) for level, df in self.rollups.items()})
 
 
 def from_tables(cfg: Config, usage: DataFrame, daily: DataFrame | None, roster: DataFrame | None) -> Base:
@@ -109,21 +118,26 @@ def materialize_base(spark: SparkSession, cfg: Config, usage: DataFrame, daily:
     """Write usage (partitioned by period), daily and roster to the shared folder,
     read them back, and persist the panel bucketed by user."""
     root = shared_dir(spark, f"base-{uuid.uuid4().hex[:12]}")
-    (by_period(usage).write.mode("overwrite")
-     .partitionBy("period_index").option("compression", "zstd").parquet(f"{root}/usage"))
+
+    def kept(df, name):
+        (by_period(df).write.mode("overwrite")
+         .partitionBy("period_index").option("compression", "zstd").parquet(f"{root}/{name}"))
+        return spark.read.parquet(f"{root}/{name}")
+
+    u = kept(usage, "usage")
     if daily is not None:
         daily.write.mode("overwrite").parquet(f"{root}/daily")
     if roster is not None:
         roster.write.mode("overwrite").parquet(f"{root}/roster")
-    u = spark.read.parquet(f"{root}/usage")
     d = spark.read.parquet(f"{root}/daily") if daily is not None else None
     r = spark.read.parquet(f"{root}/roster") if roster is not None else None
-    base = from_tables(cfg, u, d, r)
-    periods = base.periods.checkpoint(eager=True)
-    base.periods = periods
+    u = with_usage_measures(u, cfg)
+    finest = kept(pairs(u, cfg), "pairs")
+    rollups = {level: kept(coarser(finest, level), level) for level in LEVELS if level != "pairs"} | {"pairs": finest}
+    periods = periods_dim(rollups["courses"], d, cfg).checkpoint(eager=True)
+    base = Base(cfg, u, d, r, periods, materialized=True, rollups=rollups)
     n = panel_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base._panel = persist_panel(spark, user_period_panel(base.usage, periods, cfg), f"{root}/panel", n)
-    base.materialized = True
+    base._panel = persist_panel(spark, user_period_panel(rollups["users"], periods, cfg), f"{root}/panel", n)
     return base
 
 

@@ -52,7 +52,7 @@ def bundle_builders(base: Base, brands=None, population: str | None = None) -> d
             b = base
         else:
             b = sliced
-        out[name] = (lambda _e=e, _b=b: _e.build(_b))
+        out[name] = (lambda _e=e, _b=b: _e.over(_b))
     return out
 
 
@@ -91,7 +91,7 @@ def result_digest(df: DataFrame, places: int | None = 6, place: str | None = "ra
 
 
 #: Reports of a bundle that run at the same time.
-PARALLELISM = 4
+PARALLELISM = 8
 
 
 DIGESTS = "report string, rows long, digest string, order_digest string, columns string"

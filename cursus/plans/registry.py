@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import TEST, Config
 from ..operators.ranking import ranked, ranked_sql
 from .base import Base, fixture_base
+from .reads import columns_read
 from .sql import prefix
 
 
@@ -27,6 +28,10 @@ class Entry:
     order: tuple = ()   # columns of the rank that the report has, and of the groups it counts in
     within: tuple = ()
 
+    def over(self, base: Base) -> DataFrame:
+        """The report over the coarsest of the base's tables that answers it."""
+        return self.build(base.reading(columns_read(self.name)))
+
 
 REGISTRY: dict[str, Entry] = {}
 
@@ -46,7 +51,7 @@ def run(name: str, spark: SparkSession, sf_dir: str, cfg: Config = TEST) -> Data
     e = REGISTRY[name]
     if e.raw:
         return e.build(spark, sf_dir, cfg)
-    return e.build(fixture_base(spark, sf_dir, cfg))
+    return e.over(fixture_base(spark, sf_dir, cfg))
 
 
 def run_on(name: str, base: Base, spark: SparkSession | None = None, sf_dir: str | None = None) -> DataFrame:
@@ -54,7 +59,7 @@ def run_on(name: str, base: Base, spark: SparkSession | None = None, sf_dir: str
     e = REGISTRY[name]
     if e.raw:
         return e.build(spark, sf_dir, base.cfg)
-    return e.build(base)
+    return e.over(base)
 
 
 def oracle(name: str, cfg: Config = TEST) -> str | None:

@@ -176,9 +176,9 @@ def _brands2(cfg):
 SELECT brand, CAST(count(*) AS BIGINT) AS rows_, round({dsum0('hours')}, 6) AS hours FROM cur
 WHERE brand IN ({", ".join(q(x) for x in _brands2(cfg))}) GROUP BY brand""")
 def filter_brand_q(b):
-    from ..functions.aggs import dsum0 as _d, r6
+    from ..functions.aggs import dsum0 as _d, n_rows, r6
     u = filter_brand(b.cur, _brands2(b.cfg))
-    return u.groupBy("brand").agg(F.count(F.lit(1)).cast("long").alias("rows_"), r6(_d("hours", b.cfg)).alias("hours"))
+    return u.groupBy("brand").agg(n_rows(u).cast("long").alias("rows_"), r6(_d("hours", b.cfg)).alias("hours"))
 
 
 def _filter_population_sql(cfg):
