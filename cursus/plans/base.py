@@ -24,6 +24,7 @@ from ..functions.clean import with_usage_measures
 from ..operators.panel import user_period_panel
 from ..operators.periods import periods_dim
 from ..operators.rollups import LEVELS, coarser, level_of, pairs
+from ..operators.user_sets import user_numbers, user_sets
 from ..session import shared_dir
 from ..sources import fixtures
 from ..sources.sinks import by_period
@@ -44,6 +45,7 @@ class Base:
     materialized: bool = False
     # Rollups of usage by level; empty for a lazy base.
     rollups: dict = field(default_factory=dict, repr=False)
+    _user_sets: DataFrame | None = field(default=None, repr=False)
     _materialized_copy: "Base | None" = field(default=None, repr=False)
 
     def side(self, side: str) -> DataFrame:
@@ -78,6 +80,13 @@ class Base:
             self._panel = user_period_panel(self.usage, self.periods, self.cfg)
         return self._panel
 
+    @property
+    def user_sets(self) -> DataFrame:
+        """The index of user sets: stored with a materialised base, else made from usage."""
+        if self._user_sets is None:
+            self._user_sets = user_sets(self.usage, user_numbers(self.usage))
+        return self._user_sets
+
     def reading(self, columns) -> "Base":
         """The base with the coarsest rollup that has the columns in the place of usage, if there is one."""
         table = self.rollups.get(level_of(columns)) if columns is not None else None
@@ -94,7 +103,8 @@ class Base:
 
         whole = self.whole_roster if self.whole_roster is not None else self.roster
         return Base(self.cfg, cut(self.usage), self.daily, cut(self.roster), self.periods, cut(self._panel), whole,
-                    materialized=self.materialized, rollups={level: cut(df) for level, df in self.rollups.items()})
+                    materialized=self.materialized, rollups={level: cut(df) for level, df in self.rollups.items()},
+                    _user_sets=cut(self._user_sets))
 
 
 def from_tables(cfg: Config, usage: DataFrame, daily: DataFrame | None, roster: DataFrame | None) -> Base:
@@ -135,7 +145,9 @@ def materialize_base(spark: SparkSession, cfg: Config, usage: DataFrame, daily:
     finest = kept(pairs(u, cfg), "pairs")
     rollups = {level: kept(coarser(finest, level), level) for level in LEVELS if level != "pairs"} | {"pairs": finest}
     periods = periods_dim(rollups["courses"], d, cfg).checkpoint(eager=True)
-    base = Base(cfg, u, d, r, periods, materialized=True, rollups=rollups)
+    user_numbers(rollups["users"]).write.mode("overwrite").parquet(f"{root}/user_numbers")
+    sets = kept(user_sets(finest, spark.read.parquet(f"{root}/user_numbers")), "user_sets")
+    base = Base(cfg, u, d, r, periods, materialized=True, rollups=rollups, _user_sets=sets)
     n = panel_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base._panel = persist_panel(spark, user_period_panel(rollups["users"], periods, cfg), f"{root}/panel", n)
     return base

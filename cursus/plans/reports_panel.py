@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from ..operators import lift as L
 from ..operators import panel as P
+from ..operators import user_sets as U
 from ..operators.periods import complete_periods, period_sides
 from .registry import report
 from .sql import q
@@ -190,3 +192,30 @@ SELECT agg.course_id, cdim.course_name, CAST(n AS BIGINT) AS n,
 FROM agg JOIN cdim ON agg.course_id = cdim.course_id""")
 def gateway_q(b):
     return L.gateway_courses(b.usage, b.panel, b.cfg)
+
+
+# ---------------------------------------------------------------- user sets (2.J)
+ROLLING = 4   # periods
+
+
+@report("distinct_users_rolling", sql=f"""
+SELECT e.period_index, e.label, u.brand, CAST(count(DISTINCT u.user_id) AS BIGINT) AS users
+FROM usage u JOIN periods p ON p.period_index = u.period_index
+JOIN periods e ON e.pos BETWEEN p.pos AND p.pos + {ROLLING - 1}
+WHERE u.hours > 0 AND u.user_id IS NOT NULL GROUP BY 1, 2, 3""")
+def distinct_users_rolling_q(b):
+    """Distinct users with hours over the last four listed periods, by brand, from the index of user sets."""
+    return U.rolling_users(b.user_sets.where("active"), b.periods, ROLLING, "brand")
+
+
+@report("distinct_users_course", sql="""
+SELECT course_id, population, CAST(count(DISTINCT user_id) AS BIGINT) AS users,
+  CAST(count(DISTINCT user_id) FILTER (WHERE hours > 0) AS BIGINT) AS users_with_hours
+FROM usage WHERE user_id IS NOT NULL GROUP BY 1, 2""")
+def distinct_users_course_q(b):
+    """Distinct users of each course and population over all periods, and those with hours, from the index of user sets."""
+    key = ["course_id", "population"]
+    sets = b.user_sets.withColumn("kind", F.explode(F.when(F.col("active"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    counts = U.distinct_users(sets, *key, "kind")
+    of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("users"))), F.lit(0)).cast("long")
+    return counts.groupBy(*key).agg(of(0).alias("users"), of(1).alias("users_with_hours"))
