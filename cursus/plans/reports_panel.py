@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lift as L
 from ..operators import panel as P
+from ..operators import set_growth as G
 from ..operators import user_sets as U
 from ..operators.periods import complete_periods, period_sides
 from .registry import report
@@ -84,7 +85,7 @@ def recurring_pct_q(b):
     return P.recurring_pct(P.growth_accounting(b.panel, b.periods, b.cfg))
 
 
-@report("cohort_retention", sql="""
+_COHORT_SQL = """
 , cells AS (
   SELECT f.first_pos AS cohort_pos, a.pos - f.first_pos AS period_offset, count(*) AS active
   FROM act a JOIN firsts f ON a.user_id = f.user_id GROUP BY 1, 2),
@@ -96,7 +97,10 @@ SELECT grid.cohort_index, grid.cohort_label, CAST(grid.period_offset AS INTEGER)
   CAST(coalesce(sizes.n, 0) AS BIGINT) AS n, CAST(coalesce(cells.active, 0) AS BIGINT) AS active,
   round(CAST(coalesce(cells.active, 0) AS DOUBLE) / NULLIF(sizes.n, 0), 6) AS rate
 FROM grid LEFT JOIN cells ON grid.cohort_pos = cells.cohort_pos AND grid.period_offset = cells.period_offset
-LEFT JOIN sizes ON grid.cohort_pos = sizes.cohort_pos""")
+LEFT JOIN sizes ON grid.cohort_pos = sizes.cohort_pos"""
+
+
+@report("cohort_retention", sql=_COHORT_SQL)
 def cohort_q(b):
     return P.cohort_retention(b.panel, b.periods, b.cfg)
 
@@ -219,3 +223,19 @@ def distinct_users_course_q(b):
     counts = U.distinct_users(sets, *key, "kind")
     of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("users"))), F.lit(0)).cast("long")
     return counts.groupBy(*key).agg(of(0).alias("users"), of(1).alias("users_with_hours"))
+
+
+_GROWTH_SETS = " WHERE coalesce(g.total_active, 0) + coalesce(g0.total_active, 0) > 0"
+
+
+@report("growth_from_sets", sql=lambda cfg: _growth_sql(cfg, by_brand=True) + " LEFT JOIN g g0 ON g0.pos + 1 = grid.pos AND g0.brand = grid.brand"
+        + _GROWTH_SETS)
+def growth_from_sets_q(b):
+    """Growth accounting of each reported brand from the index of user sets."""
+    return G.growth_from_sets(b.user_sets.where(F.col("brand").isin(list(b.cfg.reported_brands))), b.periods, "brand")
+
+
+@report("cohorts_from_sets", sql=lambda cfg: _COHORT_SQL)
+def cohorts_from_sets_q(b):
+    """The retention triangle from the index of user sets."""
+    return G.cohorts_from_sets(b.user_sets, b.periods)

@@ -17,6 +17,7 @@ from ..operators.periods import periods_dim
 from ..sources import exports
 from ..sources import files as FS
 from ..sources import sinks
+from ..streaming.derived import Derived
 from ..streaming.refresh import landing_glob, refresh_usage
 from .base import fixture_base
 from .registry import report
@@ -203,6 +204,26 @@ def refresh_job_q(spark, sf_dir, cfg):
     return _per_period(spark.read.parquet(out), cfg)
 
 
+@report("refresh_derived", raw=True, sql=f"""
+, m AS (SELECT {_SNAP_IDX} AS period_index, user_id, bool_or(hours > 0 AND user_id IS NOT NULL) AS active FROM usage GROUP BY 1, 2),
+pl AS (SELECT period_index, row_number() OVER (ORDER BY period_index) AS pos FROM (SELECT DISTINCT period_index FROM m)),
+a AS (SELECT pos, lag(pos) OVER (PARTITION BY user_id ORDER BY pos) AS before FROM m JOIN pl USING (period_index) WHERE active),
+g AS (SELECT pos, count(*) FILTER (WHERE before IS NULL) AS new_users, count(*) FILTER (WHERE before = pos - 1) AS recurring,
+  count(*) AS total_active FROM a GROUP BY 1)
+SELECT pl.period_index, CAST(coalesce(g.new_users, 0) AS BIGINT) AS new_users, CAST(coalesce(g.recurring, 0) AS BIGINT) AS recurring,
+  CAST(coalesce(g.total_active - g.new_users - g.recurring, 0) AS BIGINT) AS reactivated,
+  CAST(coalesce(g.total_active, 0) AS BIGINT) AS total_active,
+  CAST(coalesce(p.total_active, 0) - coalesce(g.recurring, 0) AS BIGINT) AS lost
+FROM pl LEFT JOIN g ON g.pos = pl.pos LEFT JOIN g p ON p.pos + 1 = pl.pos
+WHERE coalesce(g.total_active, 0) + coalesce(p.total_active, 0) > 0""")
+def refresh_derived_q(spark, sf_dir, cfg):
+    """Growth per period from the derived tables that the refresh job keeps beside the usage it writes."""
+    root = exports.ensure(spark, sf_dir, cfg)
+    out = os.path.join(root, "derived_usage")
+    refresh_usage(spark, landing_glob(root), out, f"{out}_checkpoint", cfg, derived=f"{out}_tables")
+    return Derived(spark, f"{out}_tables", cfg).growth().drop("label")
+
+
 # ---------------------------------------------------------------- bundles (2.I)
 @report("base_bundle", sql="""
 SELECT 'usage' AS table_name, CAST(count(*) AS BIGINT) AS rows_ FROM usage

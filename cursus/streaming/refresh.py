@@ -21,11 +21,16 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..sources.files import list_files, newest_exports, period_of, read_exports
 from ..sources.sinks import write_usage
+from .derived import refresh_derived
 
 
 def refresh_usage(spark: SparkSession, landing_glob: str, out_path: str, checkpoint: str, cfg: Config,
-                  pseudonymise: bool = True):
-    """Run one AvailableNow refresh and wait for it; returns the finished query."""
+                  pseudonymise: bool = True, derived: str | None = None):
+    """Run one AvailableNow refresh and wait for it; returns the finished query.
+
+    With ``derived``, a folder, the derived tables there follow (``streaming.derived``): the touched periods are read
+    and replaced, no others.
+    """
     arrived = spark.readStream.text(landing_glob).select(F.col("_metadata.file_path").alias("file"))
 
     def rebuild(batch: DataFrame, batch_id: int) -> None:
@@ -35,6 +40,8 @@ def refresh_usage(spark: SparkSession, landing_glob: str, out_path: str, checkpo
         files = [(period, path) for period in sorted(touched) for path in exports.get(period, [])]
         if files:
             write_usage(read_exports(spark, files, cfg), out_path, pseudonymise=pseudonymise)
+            if derived:
+                refresh_derived(spark, out_path, derived, {period for period, _ in files}, cfg)
 
     q = (arrived.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
