@@ -121,9 +121,9 @@ FROM pd""")
 def src_calendar_mode_q(spark, sf_dir, cfg):
     root = exports.ensure(spark, sf_dir, cfg)
     mcfg = _month_cfg(cfg)
-    u = FS.read_period_snapshots(spark, os.path.join(root, "month_to_month"), mcfg, file_glob="*.csv")
+    named = FS.snapshot_periods(spark, os.path.join(root, "month_to_month"), file_glob="*.csv")
     d = FS.read_daily(spark, os.path.join(root, "daily"), mcfg)
-    return periods_dim(u, d, mcfg).select("period_index", "pos", "label", "partial", "side")
+    return periods_dim(named, d, mcfg).select("period_index", "pos", "label", "partial", "side")
 
 
 @report("src_calendar_slices", raw=True, sql=f"""

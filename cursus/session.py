@@ -20,6 +20,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
          .config("spark.driver.memory", driver_memory)
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+         # Spark's own listing starts a task a folder or file up to this many; the default is 10,000.
+         .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", "64")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          # Plans are built by many small DataFrame calls; skipping the per-call
          # Python call-site capture (error-message context only) saves several

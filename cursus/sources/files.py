@@ -12,7 +12,10 @@ from __future__ import annotations
 import os
 import re
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,30 +49,51 @@ def newest(spark: SparkSession, pattern: str) -> str:
     return max(files, key=lambda x: (x[1], x[0]))[0]
 
 
-def data_files(spark: SparkSession, paths) -> list[str]:
-    """The CSV files at the given paths: globs, files, or folders of part files."""
-    out = []
-    for pattern in [paths] if isinstance(paths, str) else paths:
-        for path, _ in list_files(spark, pattern):
-            inside = list_files(spark, path.rstrip("/") + "/*")
-            parts = [p for p, _ in inside if not p.rsplit("/", 1)[-1].startswith(("_", "."))]
-            out += parts if inside else [path]
-    return [p for p in out if not p.rsplit("/", 1)[-1].startswith(("_", "."))]
-
-
-def headers(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
-    """Header line -> files that have it. Only the first line of each file is read;
-    files without a line have no rows to give."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+#: Files up to this size are read whole for their header, many to a task; of a larger one a task reads the beginning.
+SMALL_FILE = 4 << 20
+#: No file is split, and none shares a task with another, if opening one is counted as this many bytes.
+ALONE = 1 << 46
+
+
+def _head_lines(batches):
+    """The first line of each file, and the ones after it until its quotes are closed; stops when a file
+    that has the task to itself (``alone``) gave its own."""
+    head: dict[str, str] = {}
+    done: set[str] = set()
+    for batch in batches:
+        for path, value, alone in zip(*(c.to_pylist() for c in batch.columns)):
+            if path not in done:
+                head[path] = f"{head[path]}\n{value}" if path in head else value
+                if head[path].count('"') % 2 == 0:
+                    done.add(path)
+                    if alone:
+                        yield pa.RecordBatch.from_pydict({"file": [path], "header": [head[path]]})
+                        return
+    yield pa.RecordBatch.from_pydict({"file": pa.array(list(head), pa.string()), "header": pa.array(list(head.values()), pa.string())})
+
+
+def headers(spark: SparkSession, paths) -> dict[str, list[str]]:
+    """Header -> files that have it, of the CSV files at the given paths: globs, files, or folders of part files.
+
+    Executors read the headers, Spark lists the files; the driver opens none and gets one row a file. A header is the
+    first line, without a byte-order mark, and goes on where a quoted name holds a line feed. Small files are packed and
+    read whole; a larger one has a task of its own that stops after the header. Files without a line have no rows
+    to give. Hidden files do not count; files may be as large and as many as the listing holds.
+    """
+    scan = spark.newSession()  # settings of its own: the caller's stay as they are
+    scan.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
+    lines = scan.read.option("recursiveFileLookup", True).text(paths)  # listed once
     out: dict[str, list[str]] = {}
-    for f in files:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        stream = path.getFileSystem(conf).open(path)
-        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
-        stream.close()
-        if line is not None:
-            out.setdefault(line, []).append(f)
-    return out
+    for alone in (False, True):
+        size = F.col("_metadata.file_size")
+        some = lines.where(size > SMALL_FILE if alone else size <= SMALL_FILE).select(
+            F.col("_metadata.file_path").alias("file"), "value", F.lit(alone).alias("alone"))
+        for r in some.mapInArrow(_head_lines, "file string, header string").collect():  # one row a file
+            out.setdefault(r.header, []).append(unquote(r.file))
+        for key in ("maxPartitionBytes", "openCostInBytes"):
+            scan.conf.set(f"spark.sql.files.{key}", str(ALONE))
+        scan.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    return {header: sorted(files) for header, files in sorted(out.items())}
 
 
 def read_latest(spark: SparkSession, folder: str, pattern: str, schema: T.StructType | None = None) -> DataFrame:
@@ -106,14 +130,19 @@ def read_csv_by_header(spark: SparkSession, paths, cfg: Config, *extra) -> DataF
 
     Spark applies one header to all files of a read, by position, so files are
     grouped by header, each group is read and conformed by name, and the groups
-    are put together. ``extra`` columns are added to each read.
+    are put together. Only a group whose header holds a line feed is read with
+    quoted line feeds, which keeps Spark from splitting its files.
+    ``extra`` columns are added to each read.
     """
-    files = data_files(spark, paths)
-    if not files:
-        raise FileNotFoundError(f"no file matches {paths}")
+    try:
+        found = headers(spark, paths)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no file matches {paths}") from e
     groups = []
-    for same in headers(spark, files).values():
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(same)
+    for header, same in found.items():
+        raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", "\n" in header).csv(same)
         groups.append(conform_usage(raw.select("*", *extra), cfg))
     if not groups:
         columns = ", ".join(f"`{src}` string" for src, _ in USAGE_COLUMNS)
@@ -175,6 +204,12 @@ def snapshot_files(spark: SparkSession, root: str, file_glob: str = USAGE_PATTER
     return [(period, path) for period, paths in newest_exports(found).items() for path in paths]
 
 
+def snapshot_periods(spark: SparkSession, root: str, file_glob: str = USAGE_PATTERN) -> DataFrame:
+    """(period_index) of the periods that have a snapshot below ``root``, by their names alone."""
+    periods = sorted({period for period, _ in snapshot_files(spark, root, file_glob)})
+    return spark.createDataFrame([(p,) for p in periods], "period_index int")
+
+
 def period_from_path(path_col, cfg: Config):
     """period_index from a file path: folder <mmm>_<yy> -> (2000+yy)*12 + month-1,
     'snapshot_<n>.parquet' -> n, '...__<spanish month>.csv' -> month number."""

@@ -44,6 +44,66 @@ def test_columns_are_read_by_name(spark, tmp_path):
     assert got == [(24312, "a@x.mx", "C1", 1.0), (24313, "b@x.mx", "C1", 2.5), (24314, "c@x.mx", "C1", 3.5)]
 
 
+@pytest.mark.parametrize("small", [FS.SMALL_FILE, 0])
+def test_headers_with_line_feeds_and_byte_order_marks(spark, tmp_path, monkeypatch, small):
+    """Files packed into a task, or each in a task of its own that stops after the header."""
+    monkeypatch.setattr(FS, "SMALL_FILE", small)
+
+    def file(name, text):
+        os.makedirs(os.path.dirname(f"{tmp_path}/{name}"), exist_ok=True)
+        with open(f"{tmp_path}/{name}", "w", encoding="utf-8") as f:
+            f.write(text)
+
+    file("a b/ñ%20x.csv", "\ufeffUsuario,Centro\na@x.mx,Z\n")
+    file("b/plain.csv", "Usuario,Centro\n" + "b@x.mx,Z\n" * 1000)
+    file("b/feed.csv", '"Otra\ncosa",Usuario,Centro\n1,c@x.mx,Z\n"2\n3",d@x.mx,Z\n')
+    file("c/parts.csv/part-0.csv", "Centro,Usuario\nZ,e@x.mx\n")
+    file("c/parts.csv/_SUCCESS", "")
+    file("c/empty.csv", "")
+    file("c/header_only.csv", "Usuario,Centro\n")
+    paths = f"{tmp_path}/*/*.csv"
+    got = {h: [f.rsplit("/", 1)[-1] for f in files] for h, files in FS.headers(spark, paths).items()}
+    assert got == {"Usuario,Centro": ["ñ%20x.csv", "plain.csv", "header_only.csv"], "Centro,Usuario": ["part-0.csv"],
+                   '"Otra\ncosa",Usuario,Centro': ["feed.csv"]}
+    users = FS.read_csv_by_header(spark, paths, DEFAULT).groupBy("user_id", "center").count().collect()
+    assert sorted(map(tuple, users)) == [("a@x.mx", "Z", 1), ("b@x.mx", "Z", 1000), ("c@x.mx", "Z", 1), ("d@x.mx", "Z", 1),
+                                         ("e@x.mx", "Z", 1)]
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != str(FS.ALONE)
+    with pytest.raises(FileNotFoundError):
+        FS.read_csv_by_header(spark, f"{tmp_path}/none/*.csv", DEFAULT)
+    assert FS.read_csv_by_header(spark, f"{tmp_path}/c/empty.csv", DEFAULT).count() == 0
+
+
+def test_a_task_stops_after_the_header_of_a_large_file():
+    read = []
+
+    def batches():
+        for k in range(100):
+            read.append(k)
+            yield FS.pa.RecordBatch.from_pydict({"file": ["f"] * 2, "value": [f"a,b{k}", "x"], "alone": [True] * 2})
+
+    out = [b.to_pylist() for b in FS._head_lines(batches())]
+    assert out == [[{"file": "f", "header": "a,b0"}]] and read == [0]
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    for k in range(400):
+        export(f"{tmp_path}/d{k % 7}/f{k}.csv", ["a@x.mx"], columns=NAMES if k % 2 else NAMES[::-1])
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    found = FS.headers(spark, f"{tmp_path}/*/*.csv")
+    tasks = [jobs.getStageInfo(s).numTasks for j in jobs.getJobIdsForGroup("headers") for s in jobs.getJobInfo(j).stageIds]
+    assert sorted(map(len, found.values())) == [200, 200] and max(tasks) < 100
+
+
+def test_calendar_periods_come_from_names(spark, tmp_path):
+    for month in ("ene_26", "feb_26"):
+        export(f"{tmp_path}/{month}/consumo_por_usuario__1.csv", ["a@x.mx"])
+    with open(f"{tmp_path}/feb_26/consumo_por_usuario__1.csv", "wb") as f:
+        f.write(b"\xff not read")
+    assert [r.period_index for r in FS.snapshot_periods(spark, str(tmp_path)).collect()] == [24312, 24313]
+
+
 def test_one_period_for_two_spellings_and_the_other_name_forms(spark, tmp_path):
     export(f"{tmp_path}/ene_26/consumo_por_usuario__1.csv", ["old@x.mx"])
     age(f"{tmp_path}/ene_26/consumo_por_usuario__1.csv", 500)
