@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.aggs import dsum0, r6, ratio
+from .slicing import SLICE, panel_slices
 
 
 def user_period_panel(usage: DataFrame, periods: DataFrame, cfg: Config) -> DataFrame:
@@ -30,13 +31,13 @@ def user_period_panel(usage: DataFrame, periods: DataFrame, cfg: Config) -> Data
     return g.join(dim, "period_index").withColumn("active", F.col("hours") > 0)
 
 
-def active_flags(panel: DataFrame) -> DataFrame:
-    """Active panel rows with first-active, previous-active and next-active flags."""
+def active_flags(panel: DataFrame, keys=()) -> DataFrame:
+    """Active panel rows with first-active, previous-active and next-active flags, of the user (in each group of keys)."""
     act = panel.where(F.col("active"))
-    w_user = Window.partitionBy("user_id")
+    w_user = Window.partitionBy(*keys, "user_id")
     w = w_user.orderBy("pos")
     return act.select(
-        "user_id", "period_index", "pos", "label", "max_pos", "brand", "population", "hours",
+        *[k for k in keys if k not in ("brand", "population")], "user_id", "period_index", "pos", "label", "max_pos", "brand", "population", "hours",
         (F.min("pos").over(w_user)).alias("first_pos"),
         F.lag("pos").over(w).alias("prev_pos"),
         F.lead("pos").over(w).alias("next_pos"),
@@ -56,6 +57,21 @@ def _brand_grid(periods: DataFrame, cfg: Config) -> DataFrame:
     return periods.withColumn("brand", F.explode(F.array(*[F.lit(b) for b in cfg.reported_brands])))
 
 
+GROWTH = ("new_users", "recurring", "reactivated", "total_active", "lost")
+
+
+def _growth_events(f: DataFrame, keys) -> DataFrame:
+    """(keys..., pos, measures): every active row at its own period and, when the user is not
+    active in the next listed period, as lost at that next period."""
+    new, rec = F.col("is_new"), F.col("is_recurring")
+    lost = (~F.col("returns_next") & (F.col("pos") < F.col("max_pos"))).cast("int")
+    none = {m: F.lit(0) for m in GROWTH}
+    here = none | {"new_users": new.cast("int"), "recurring": rec.cast("int"), "reactivated": (~new & ~rec).cast("int"),
+                   "total_active": F.lit(1)}
+    rows = ((F.col("pos"), here), (F.col("pos") + 1, none | {"lost": lost}))
+    return f.select(*keys, F.inline(F.array(*[F.struct(pos.alias("pos"), *[c.alias(m) for m, c in row.items()]) for pos, row in rows])))
+
+
 def growth_accounting(panel: DataFrame, periods: DataFrame, cfg: Config, by_brand: bool = False) -> DataFrame:
     """Per listed period: new, recurring, reactivated, total active, lost.
 
@@ -63,26 +79,28 @@ def growth_accounting(panel: DataFrame, periods: DataFrame, cfg: Config, by_bran
     listed period; reactivated = the rest; lost(t) = active at t-1, not at t.
     """
     keys = ["brand"] if by_brand else []
-    f = active_flags(panel)
-    # One pass: every active row counts at its own period and, when the user is
-    # not active in the next listed period, as lost at that next period.
-    new, rec = F.col("is_new"), F.col("is_recurring")
-    lost = (~F.col("returns_next") & (F.col("pos") < F.col("max_pos"))).cast("int")
-    ev = F.array(
-        F.struct(F.col("pos").alias("p"), new.cast("int").alias("n"), rec.cast("int").alias("r"),
-                 (~new & ~rec).cast("int").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("l")),
-        F.struct((F.col("pos") + 1).alias("p"), F.lit(0).alias("n"), F.lit(0).alias("r"), F.lit(0).alias("x"),
-                 F.lit(0).alias("a"), lost.alias("l")))
-    counts = (f.select(*keys, F.inline(ev))
-              .groupBy(*keys, F.col("p").alias("pos"))
-              .agg(F.sum("n").alias("new_users"), F.sum("r").alias("recurring"), F.sum("x").alias("reactivated"),
-                   F.sum("a").alias("total_active"), F.sum("l").alias("lost")))
+    events = _growth_events(active_flags(panel), keys)
+    counts = events.groupBy(*keys, "pos").agg(*[F.sum(m).alias(m) for m in GROWTH])
     grid = _brand_grid(periods, cfg) if by_brand else periods
     out = (grid.select(*keys, "period_index", "pos", "label")
            .join(counts, keys + ["pos"], "left"))
-    measures = ["new_users", "recurring", "reactivated", "total_active", "lost"]
     return out.select(*keys, "period_index", "label",
-                      *[F.coalesce(F.col(m), F.lit(0)).cast("long").alias(m) for m in measures])
+                      *[F.coalesce(F.col(m), F.lit(0)).cast("long").alias(m) for m in GROWTH])
+
+
+def growth_by_slice(panel: DataFrame, periods: DataFrame) -> DataFrame:
+    """Growth of every slice of the panel (``slicing.panel_slices``), all from one job.
+
+    A slice's users count by their rows in the slice: who is new in a brand may be known elsewhere. Every slice that
+    has rows has every listed period.
+    """
+    events = _growth_events(active_flags(panel_slices(panel), SLICE), SLICE)
+    # a row of zeros for each period of each slice, of which there are few
+    present = panel_slices(panel.select("brand", "population", "max_pos").distinct()).distinct()
+    zeros = present.select(*SLICE, F.explode(F.sequence(F.lit(0), "max_pos")).alias("pos"), *[F.lit(0).alias(m) for m in GROWTH])
+    counts = events.unionByName(zeros).groupBy(*SLICE, "pos").agg(*[F.sum(m).cast("long").alias(m) for m in GROWTH])
+    return counts.join(F.broadcast(periods.select("pos", "period_index", "label")), "pos").select(
+        *SLICE, "period_index", "label", *GROWTH)
 
 
 def recurring_pct(growth: DataFrame) -> DataFrame:

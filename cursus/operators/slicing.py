@@ -40,6 +40,33 @@ def slice_cube(usage: DataFrame, cfg: Config) -> DataFrame:
     return g.select("brand", "population", "slice_id", "users", "activated", r6("hours").alias("hours"))
 
 
+SLICE = ("slice_id", "brand", "population")
+
+
+def _slices():
+    """The four slices of a row's brand and population."""
+    null = F.lit(None).cast("string")
+    return F.array(*[F.struct(F.lit(i).alias("slice_id"), (null if i & 2 else F.col("brand")).alias("brand"),
+                              (null if i & 1 else F.col("population")).alias("population")) for i in range(4)])
+
+
+def user_slices(usage: DataFrame, cfg: Config) -> DataFrame:
+    """A user's hours in each slice that the user is in: (slice_id, brand, population, user_id, hours).
+
+    A user's rows of one brand and population are summed first, then put into the four slices they belong to:
+    slice_id 0 both, 1 brand, 2 population, 3 total, as ``grouping_id`` numbers them; what a slice does not fix is null.
+    So medians and distinct users of all slices come from one job over at most four rows a user, brand and population.
+    """
+    pu = (usage.where(F.col("user_id").isNotNull()).groupBy("brand", "population", "user_id")
+          .agg(F.sum(F.col("hours").cast(cfg.sum_type)).cast(cfg.sum_type).alias("hours")))
+    return pu.select(F.inline(_slices()), "user_id", "hours")
+
+
+def panel_slices(panel: DataFrame) -> DataFrame:
+    """The panel's rows in each slice they belong to, as in ``user_slices``."""
+    return panel.select(*[c for c in panel.columns if c not in SLICE], F.inline(_slices()))
+
+
 def brands_present(panel: DataFrame, cfg: Config) -> DataFrame:
     """Reported brands that occur in the panel, with their fixed order."""
     arr = F.array(*[F.struct(F.lit(b).alias("brand"), F.lit(i).alias("ord")) for i, b in enumerate(cfg.reported_brands)])

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from ..config import ACTIVATED, NOT_ACTIVATED, SEGMENT_ORDER, Config
 from ..functions import columns as C
 from ..functions.aggs import count_if, dsum, dsum0, median, n_rows, r6, ratio
+from .order_stats import order_stats
 from .quantiles import quantiles_all_and_active
+from .slicing import SLICE, user_slices
 
 
 def _label_dim(df: DataFrame, key: str, labels) -> DataFrame:
@@ -202,39 +204,48 @@ def top_share(usage: DataFrame, cfg: Config, pcts=(0.01, 0.05, 0.10), active_onl
                     r6(F.when(F.col("total") > 0, F.col("top") / F.col("total") * 100)).alias("share"))
 
 
-def hours_distribution(usage: DataFrame, cfg: Config) -> DataFrame:
-    """One row: users, activated, total, mean/median (all and activated), p25/p75/p90
-    of activated, concentration (top 1/5/10%), shares at 20 min and 1 h."""
-    hpu = hours_per_user(usage, cfg)
+def hours_distribution(usage: DataFrame, cfg: Config, keys=()) -> DataFrame:
+    """One row (a group, with keys): users, activated, total, mean/median (all and activated), p25/p75/p90
+    of activated, concentration (top 1/5/10%), shares at 20 min and 1 h.
+
+    One index of the users' hours gives counts and sums and tells where each order statistic lies.
+    """
+    hpu = hours_per_user(usage, cfg, keys)
     h = F.col("hours")
-    a = F.when(h > 0, h)
-    n = F.count(F.lit(1))
-    n_act = count_if(h > 0)
-    shares = top_share(usage, cfg)
-    one = hpu.agg(
-        n.alias("n_users"), n_act.alias("n_activated"),
-        (ratio(n_act, n) * 100).alias("pct_activated"),
-        dsum0(h, cfg).alias("hours_total"),
-        ratio(dsum(h, cfg), n).alias("mean_all"),
-        ratio(dsum(a, cfg), n_act).alias("mean_act"),
-        (ratio(count_if((h > 0) & (h >= cfg.twenty_minutes)), n_act) * 100).alias("pct_ge20min"),
-        (ratio(count_if((h > 0) & (h >= 1)), n_act) * 100).alias("pct_ge1h"),
-        count_if((h > 0) & (h >= cfg.twenty_minutes)).alias("n_ge20min"))
-    # Quantiles over all users and over activated users: one selection, one scalar subquery.
-    act_q = {"median_act": 0.5, "p25_act": 0.25, "p75_act": 0.75, "p90_act": 0.9}
-    qs = quantiles_all_and_active(hpu, "hours", {"median_all": 0.5}, act_q, (), cfg)
-    qpacked = qs.select(F.struct("median_all", *act_q).alias("s")).scalar()
-    one = one.withColumns({name: qpacked.getField(name) for name in ("median_all", *act_q)})
-    # The three shares come from one scalar subquery (one top-k selection), as a struct.
-    tops = ((1.0, "share_top1"), (5.0, "share_top5"), (10.0, "share_top10"))
-    packed = shares.agg(F.struct(*[F.max(F.when(F.abs(F.col("pct") - p) < 1e-9, F.col("share"))).alias(name)
-                                   for p, name in tops]).alias("s")).scalar()
-    one = one.withColumns({name: packed.getField(name) for _, name in tops})
-    order = ("n_users", "n_activated", "pct_activated", "hours_total", "mean_all", "median_all", "mean_act",
-             "median_act", "p25_act", "p75_act", "p90_act", "pct_ge20min", "pct_ge1h", "n_ge20min",
-             "share_top1", "share_top5", "share_top10")
-    dbl = [f.name for f in one.schema.fields if f.dataType.typeName() == "double"]
-    return one.select(*[r6(c).alias(c) if c in dbl else F.col(c).cast("long").alias(c) for c in order])
+    tops = {"share_top1": 0.01, "share_top5": 0.05, "share_top10": 0.10}
+    exact = cfg.distributed_quantiles and not cfg.approx_quantiles
+    all_q, act_q = {"median_all": 0.5}, {"median_act": 0.5, "p25_act": 0.25, "p75_act": 0.75, "p90_act": 0.9}
+    g = order_stats(hpu, "hours", cfg, keys, all_q if exact else {}, act_q if exact else {}, tops,
+                    {"n_ge20min": (h > 0) & (h >= cfg.twenty_minutes), "n_ge1h": (h > 0) & (h >= 1)})
+    if not exact:
+        q = quantiles_all_and_active(hpu, "hours", all_q, act_q, keys, cfg)
+        if keys:
+            cond = [F.col(f"_q_{c}").eqNullSafe(F.col(c)) for c in keys]
+            g = g.join(q.withColumnsRenamed({c: f"_q_{c}" for c in keys}), cond, "left")
+        else:
+            g = g.withColumn("_q", q.select(F.struct(*all_q, *act_q)).scalar()).select("*", "_q.*")
+    n, n_act, total = F.col("n"), F.col("n_positive"), F.coalesce(F.col("total").cast("double"), F.lit(0.0))
+    share = lambda c: F.when(total > 0, F.col(c) / total * 100)
+    pct = lambda c: ratio(F.col(c), n_act) * 100
+    doubles = {"hours_total": total, "mean_all": ratio(F.col("total").cast("double"), n), "median_all": F.col("median_all"),
+               "mean_act": ratio(F.col("total_positive").cast("double"), n_act), **{c: F.col(c) for c in act_q},
+               "pct_ge20min": pct("n_ge20min"), "pct_ge1h": pct("n_ge1h")}
+    return g.select(*keys, n.alias("n_users"), n_act.alias("n_activated"), r6(ratio(n_act, n) * 100).alias("pct_activated"),
+                    *[r6(c).alias(name) for name, c in doubles.items()], "n_ge20min", *[r6(share(c)).alias(c) for c in tops])
+
+
+def hours_distribution_slices(usage: DataFrame, cfg: Config) -> DataFrame:
+    """``hours_distribution`` of total, each brand, each population and both, from one job."""
+    return hours_distribution(user_slices(usage, cfg), cfg, SLICE)
+
+
+def segment_slices(usage: DataFrame, cfg: Config) -> DataFrame:
+    """Users of each segment in every slice; every slice has all five segments."""
+    hpu = hours_per_user(user_slices(usage, cfg), cfg, SLICE)
+    labels = (NOT_ACTIVATED, *SEGMENT_ORDER)
+    g = hpu.groupBy(*SLICE).agg(*[count_if(F.col("segment") == x).alias(x) for x in labels])
+    rows = F.array(*[F.struct(F.lit(x).alias("segment"), F.col(f"`{x}`").alias("users")) for x in labels])
+    return g.select(*SLICE, F.inline(rows))
 
 
 # ---------------------------------------------------------------- progress

@@ -4,7 +4,8 @@
 report is written or collected, so a dashboard request executes only the
 report it shows. Teacher reports always read the base without the population
 filter; by-brand reports read the population-filtered base without the
-brand filter; daily-series reports read the whole series.
+brand filter; daily-series reports read the whole series, and reports of
+every slice the whole base.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ WHOLE_SERIES = {"panorama_kpis", "active_vs_effective", "series_union", "series_
                 "long_series", "rolling_7", "trend_28", "seasonal_index", "year_ago_7", "yoy_by_month",
                 "daily_trends", "daily_summary", "date_range_label", "halve_effective", "window_mid_month",
                 "complete_periods", "period_sides", "periods_dim", "period_manifest"}
+#: Reports that give every slice themselves.
+EVERY_SLICE = {"slice_cube", "hours_distribution_slices", "segment_slices", "growth_slices"}
 
 
 def bundle_builders(base: Base, brands=None, population: str | None = None) -> dict[str, Callable[[], DataFrame]]:
@@ -48,7 +51,7 @@ def bundle_builders(base: Base, brands=None, population: str | None = None) -> d
             b = teachers
         elif name in BY_BRAND:
             b = pop
-        elif name in WHOLE_SERIES:
+        elif name in WHOLE_SERIES or name in EVERY_SLICE:
             b = base
         else:
             b = sliced
@@ -164,7 +167,7 @@ def sliced_digest(base: Base, slices: dict[str, list | None], parallelism: int =
 
     Reports that read no brand filter are the same in every slice and run once.
     """
-    whole = BY_BRAND | WHOLE_SERIES
+    whole = BY_BRAND | WHOLE_SERIES | EVERY_SLICE
     jobs = {(name, report): build for k, (name, brands) in enumerate(slices.items())
             for report, build in bundle_builders(base, brands).items() if not k or report not in whole}
     done = bundle_digest(jobs, parallelism, "slice string, " + DIGESTS)

@@ -19,7 +19,7 @@ READS = {
     ("brand", "hours", "rows"): ("filter_brand",),
     _BY_USER: ("panorama_snapshot", "panorama_by_brand", "hours_per_user", "activation_share", "intensity_share",
                "segment_counts", "segments_by_brand", "top_share", "hours_distribution", "hours_distribution_prev",
-               "funnel", "funnel_compare", "filter_population", "slice_cube", "pop_by_period", "pop_current_row",
+               "funnel", "funnel_compare", "filter_population", "slice_cube", "hours_distribution_slices", "segment_slices", "pop_by_period", "pop_current_row",
                "pop_by_brand", "pop_active_ever", "pop_panel_by_brand", "pop_summary", "pseudonymise"),
 }
 #: Reports that count the rows of the tables themselves.

@@ -79,6 +79,27 @@ def growth_brand_q(b):
     return P.growth_accounting(b.panel, b.periods, b.cfg, by_brand=True)
 
 
+@report("growth_slices", sql="""
+, slices(slice_id) AS (VALUES (0), (1), (2), (3)),
+px AS (SELECT slice_id, CASE WHEN slice_id < 2 THEN brand ELSE '*' END AS b,
+         CASE WHEN slice_id IN (0, 2) THEN population ELSE '*' END AS pp, user_id, pos, hours FROM panel, slices),
+a AS (SELECT slice_id, b, pp, user_id, pos, lag(pos) OVER u AS before, lead(pos) OVER u AS after, min(pos) OVER u AS first_pos
+      FROM px WHERE hours > 0 WINDOW u AS (PARTITION BY slice_id, b, pp, user_id ORDER BY pos)),
+g AS (SELECT slice_id, b, pp, pos, count(*) FILTER (WHERE before IS NULL) AS new_users,
+        count(*) FILTER (WHERE before = pos - 1) AS recurring, count(*) FILTER (WHERE before < pos - 1) AS reactivated,
+        count(*) AS total_active FROM a GROUP BY ALL),
+l AS (SELECT slice_id, b, pp, pos + 1 AS pos, count(*) AS lost FROM a WHERE after IS NULL OR after > pos + 1 GROUP BY ALL),
+grid AS (SELECT s.*, p.pos, p.period_index, p.label FROM (SELECT DISTINCT slice_id, b, pp FROM px) s CROSS JOIN periods p)
+SELECT CAST(slice_id AS INTEGER) AS slice_id, CASE WHEN slice_id < 2 THEN b END AS brand,
+  CASE WHEN slice_id IN (0, 2) THEN pp END AS population, period_index, label,
+  CAST(coalesce(new_users, 0) AS BIGINT) AS new_users, CAST(coalesce(recurring, 0) AS BIGINT) AS recurring,
+  CAST(coalesce(reactivated, 0) AS BIGINT) AS reactivated, CAST(coalesce(total_active, 0) AS BIGINT) AS total_active,
+  CAST(coalesce(lost, 0) AS BIGINT) AS lost
+FROM grid LEFT JOIN g USING (slice_id, b, pp, pos) LEFT JOIN l USING (slice_id, b, pp, pos)""")
+def growth_slices_q(b):
+    return P.growth_by_slice(b.panel, b.periods)
+
+
 @report("recurring_pct", sql=lambda cfg: _growth_sql(
     cfg, extra=", round_even(CAST(g.recurring AS DOUBLE) / NULLIF(g.total_active, 0) * 100, 0) AS recurring_pct"))
 def recurring_pct_q(b):

@@ -152,6 +152,51 @@ def hours_distribution_q(b):
     return S.hours_distribution(b.cur, b.cfg)
 
 
+#: Hours of a user in each slice that the user is in.
+SLICED_HOURS = f"""
+, slices(slice_id) AS (VALUES (0), (1), (2), (3)),
+sl AS (SELECT slice_id, CASE WHEN slice_id < 2 THEN brand END AS brand,
+         CASE WHEN slice_id IN (0, 2) THEN population END AS population, user_id, {dsum0('hours')} AS hours
+       FROM cur, slices WHERE user_id IS NOT NULL GROUP BY ALL)"""
+
+
+def _sliced_distribution_sql() -> str:
+    act = "count(*) FILTER (WHERE hours > 0)"
+    tops = ", ".join(f"""round(CASE WHEN {dsum0('hours')} > 0 THEN {dsum(f'CASE WHEN rn <= greatest(1, round_even(n * {p}, 0)) THEN hours END')}
+    / {dsum0('hours')} * 100 END, 6) AS share_top{round(100 * p)}""" for p in (0.01, 0.05, 0.10))
+    quantiles = ", ".join(f"round(quantile_cont(hours, {p}) FILTER (WHERE hours > 0), 6) AS {n}"
+                          for n, p in (("median_act", 0.5), ("p25_act", 0.25), ("p75_act", 0.75), ("p90_act", 0.9)))
+    return SLICED_HOURS + f""",
+r AS (SELECT *, row_number() OVER (PARTITION BY slice_id, brand, population ORDER BY hours DESC) AS rn,
+        CAST(count(*) OVER (PARTITION BY slice_id, brand, population) AS DOUBLE) AS n FROM sl)
+SELECT CAST(slice_id AS INTEGER) AS slice_id, brand, population, CAST(count(*) AS BIGINT) AS n_users,
+  CAST({act} AS BIGINT) AS n_activated, round({ratio(act, 'count(*)')} * 100, 6) AS pct_activated,
+  round({dsum0('hours')}, 6) AS hours_total, round({ratio(dsum('hours'), 'count(*)')}, 6) AS mean_all,
+  round(quantile_cont(hours, 0.5), 6) AS median_all,
+  round({ratio(dsum('CASE WHEN hours > 0 THEN hours END'), act)}, 6) AS mean_act, {quantiles},
+  round({ratio('count(*) FILTER (WHERE hours > 0 AND hours >= 1.0/3.0)', act)} * 100, 6) AS pct_ge20min,
+  round({ratio('count(*) FILTER (WHERE hours >= 1)', act)} * 100, 6) AS pct_ge1h,
+  CAST(count(*) FILTER (WHERE hours > 0 AND hours >= 1.0/3.0) AS BIGINT) AS n_ge20min, {tops}
+FROM r GROUP BY slice_id, brand, population"""
+
+
+@report("hours_distribution_slices", sql=_sliced_distribution_sql())
+def hours_distribution_slices_q(b):
+    return S.hours_distribution_slices(b.cur, b.cfg)
+
+
+@report("segment_slices", sql=SLICED_HOURS + f""",
+sg AS (SELECT slice_id, brand, population, {segment_case('hours')} AS segment FROM sl),
+present AS (SELECT DISTINCT slice_id, brand, population FROM sl)
+SELECT CAST(p.slice_id AS INTEGER) AS slice_id, p.brand, p.population, v.segment, CAST(count(sg.segment) AS BIGINT) AS users
+FROM present p CROSS JOIN {values('segment', ('No activados',) + SEGMENT_ORDER)}
+LEFT JOIN sg ON sg.slice_id = p.slice_id AND sg.brand IS NOT DISTINCT FROM p.brand
+  AND sg.population IS NOT DISTINCT FROM p.population AND sg.segment = v.segment
+GROUP BY 1, 2, 3, 4""")
+def segment_slices_q(b):
+    return S.segment_slices(b.cur, b.cfg)
+
+
 @report("max_progress", sql="SELECT user_id, course_id, progress FROM mp_cur")
 def max_progress_q(b):
     return S.max_progress(b.cur, b.cfg)
