@@ -36,8 +36,7 @@ def op2_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gumbel_pieces.sample_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
-                                       ids=False)
+    return gumbel_pieces.sample_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op4_jaccard_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
