@@ -191,7 +191,7 @@ class SequenceWriter:
         self.fs, where = _file_system(path)
         self.dtype, self.length, self.full = dtype, length, length * sequences
         value = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
-        self.schema = pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.sink = self.fs.open_output_stream(where)
         self.file = pa.ipc.new_file(self.sink, self.schema)
         self.rest, self.held = [], 0
@@ -207,7 +207,7 @@ class SequenceWriter:
             self.rest, self.held = [flat[whole:].copy()], len(flat) - whole
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).view(np.uint8)  # bytes, as bits are no view for numpy
+        mask = np.arange(len(ids)) < real
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length),
                   pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)]
         self.file.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
@@ -239,13 +239,13 @@ class SequenceReader:
             self._open, self._ids = k, self.file.get_batch(k).column(0).flatten().to_numpy()
         return self._ids
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``k``, both views of the map."""
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of sequence ``k``, both views of the map; the mask's bits stay packed, as Arrow keeps them."""
         rows = self.full // self.length
         batch = self.file.get_batch(k // rows)
         lo = k % rows * self.length
         return (batch.column(0).flatten().to_numpy()[lo:lo + self.length],
-                batch.column(1).flatten().to_numpy()[lo:lo + self.length].view(bool))
+                batch.column(1).flatten().slice(lo, self.length))
 
     def run(self, start: int, n: int) -> list[np.ndarray]:
         """The ``n`` ids from ``start`` on, a view for each batch that they lie in."""
