@@ -30,7 +30,8 @@ BY_BRAND = {"panorama_by_brand", "segments_by_brand", "progress_by_brand", "grow
 WHOLE_SERIES = {"panorama_kpis", "active_vs_effective", "series_union", "series_calendar_fill", "series_gaps",
                 "long_series", "rolling_7", "trend_28", "seasonal_index", "year_ago_7", "yoy_by_month",
                 "daily_trends", "daily_summary", "date_range_label", "halve_effective", "window_mid_month",
-                "complete_periods", "period_sides", "periods_dim", "period_manifest"}
+                "complete_periods", "period_sides", "periods_dim", "period_manifest",
+                "bundle_meta"}
 #: Reports that give every slice themselves.
 EVERY_SLICE = {"slice_cube", "hours_distribution_slices", "segment_slices", "growth_slices"}
 

@@ -241,6 +241,33 @@ def base_bundle_q(b):
     return out
 
 
+@report("bundle_meta", sql=lambda cfg: f"""
+SELECT 'axis' AS item, pos AS place, label AS value FROM periods
+UNION ALL SELECT side || '_label', 0, label FROM periods WHERE side IS NOT NULL
+UNION ALL SELECT 'partial', pos, label FROM periods WHERE partial
+UNION ALL SELECT 'brand', b.i, b.brand FROM (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(cfg.reported_brands))}) AS b(i, brand)
+  WHERE b.brand IN (SELECT brand FROM panel)
+UNION ALL SELECT 'cut', 0, CAST(max(day) AS VARCHAR) FROM daily_s WHERE side = 'cur' HAVING count(*) > 0
+UNION ALL SELECT 'series_cut', 0, CAST(max(day) AS VARCHAR) FROM daily HAVING count(*) > 0""")
+def bundle_meta_q(b):
+    """What a bundle says of itself: (item, place, value) of the period axis, the two sides' labels, partial periods,
+    reported brands with users in their order, and the last day of the current period's series and of the whole series."""
+    from ..operators.slicing import brands_present
+    periods = b.periods
+    parts = [periods.select(F.lit("axis").alias("item"), F.col("pos").alias("place"), F.col("label").alias("value")),
+             periods.where(F.col("side").isNotNull()).select(F.concat("side", F.lit("_label")), F.lit(0), "label"),
+             periods.where("partial").select(F.lit("partial"), "pos", "label"),
+             brands_present(b.panel, b.cfg).select(F.lit("brand"), "ord", "brand")]
+    if b.daily is not None:
+        for item, days in (("cut", b.daily_with_side().where(F.col("side") == "cur")), ("series_cut", b.daily)):
+            last = days.agg(F.max("day").cast("string").alias("value")).where(F.col("value").isNotNull())
+            parts.append(last.select(F.lit(item), F.lit(0), "value"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 @report("report_bundle")
 def report_bundle_q(b):
     from .base import materialized
