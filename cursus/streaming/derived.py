@@ -22,7 +22,7 @@ from ..config import Config
 from ..functions.clean import with_usage_measures
 from ..operators.panel import user_period_panel
 from ..operators.periods import periods_dim
-from ..operators.rollups import LEVELS, coarser, pairs
+from ..operators.rollups import LEVELS, coarser, pairs_by_period
 from ..operators.set_growth import cohorts_from_sets, growth_from_sets
 from ..operators.user_sets import extend_numbers, user_numbers, user_sets
 from ..sources.sinks import by_period
@@ -35,8 +35,9 @@ def _written(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and any(s.getPath().getName()[0] not in "._" for s in fs.listStatus(p))
 
 
-def _replace(df: DataFrame, path: str) -> None:
-    (by_period(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+def _replace(df: DataFrame, path: str, placed: bool = False) -> None:
+    """Write the periods of ``df``, whose rows are together by period already if ``placed``."""
+    ((df if placed else by_period(df)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
      .partitionBy("period_index").parquet(path))
 
 
@@ -44,7 +45,7 @@ def refresh_derived(spark: SparkSession, usage_path: str, root: str, periods: It
     """Bring the derived tables below ``root`` up to date for the periods that were written to the usage folder."""
     touched = sorted(set(periods))
     usage = spark.read.parquet(usage_path).where(F.col("period_index").isin(touched))
-    _replace(pairs(with_usage_measures(usage, cfg), cfg), f"{root}/pairs")
+    _replace(pairs_by_period(with_usage_measures(usage, cfg), cfg), f"{root}/pairs", placed=True)
     fresh = spark.read.parquet(f"{root}/pairs").where(F.col("period_index").isin(touched))
     numbers = f"{root}/user_numbers"
     if _written(spark, numbers):

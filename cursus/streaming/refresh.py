@@ -39,7 +39,7 @@ def refresh_usage(spark: SparkSession, landing_glob: str, out_path: str, checkpo
         exports = newest_exports(list_files(spark, landing_glob))
         files = [(period, path) for period in sorted(touched) for path in exports.get(period, [])]
         if files:
-            write_usage(read_exports(spark, files, cfg), out_path, pseudonymise=pseudonymise)
+            write_usage(read_exports(spark, files, cfg), out_path, pseudonymise=pseudonymise, by_file=True)
             if derived:
                 refresh_derived(spark, out_path, derived, {period for period, _ in files}, cfg)
 
@@ -50,4 +50,4 @@ def refresh_usage(spark: SparkSession, landing_glob: str, out_path: str, checkpo
 
 
 def landing_glob(root: str) -> str:
-    return os.path.join(root, "month_to_month", "*", "*.csv")
+    return os.path.join(root, "month_to_month", "*", "*.{csv,csv.gz}")
