@@ -112,3 +112,16 @@ def sliced_some(base, brand, pick):
         return bundle.sliced_digest(base, {"total": None, brand: [brand]})
     finally:
         bundle.bundle_builders = whole
+
+
+def test_slices_of_a_report_run_one_after_another(base, monkeypatch):
+    from cursus.plans import bundle
+    ran = []
+    monkeypatch.setattr(bundle, "bundle_digest", lambda jobs, *a: ran.extend(jobs) or jobs and base.usage.sparkSession.createDataFrame(
+        [(*k, 0, "", "", "") for k in jobs], "slice string, " + bundle.DIGESTS))
+    slices = {"total": None, "AMER": ["AMER"], "ASIA": ["ASIA"]}
+    got = bundle.sliced_digest(base, slices).select("slice", "report").collect()
+    reports = list(bundle_builders(base))
+    assert sorted(map(tuple, got)) == sorted((x, r) for x in slices for r in reports)
+    shared = bundle.BY_BRAND | bundle.WHOLE_SERIES | bundle.EVERY_SLICE
+    assert ran == [(x, r) for r in reports for x in (["total"] if r in shared else slices)]
