@@ -30,8 +30,9 @@ are joined exactly by their rarest shingles. Regions of up to REGION shingles
 are joined within a task, larger ones are cut into cells by a shuffle, and what
 LEVELS such cuts leave too large is joined block against block. Documents that
 are already connected are not compared again, and only one link to connect
-each is passed on: components need no more. Equality of shingles, parts and
-sets is that of their 64-bit hashes (128 bits for sets).
+each is passed on: components need no more. Equality of shingles and sets is
+that of their 64-bit hashes (128 bits for sets); parts are equal by their bucket
+and 32 bits, since unequal parts that meet only add to what is compared.
 
 Cases: a null text, and one without words, has an empty set, links with nothing
 and is its own component; a text of fewer words than SHINGLE has its whole
@@ -54,12 +55,14 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .components import components
-from .shared import chunks, cut, give_back, map_chunks, written
+from .shared import chunks, give_back, map_chunks, written
 
 SHINGLE, PERCENT = 4, 85
 REGION = 2_000_000  # shingles joined in a task
 LEVELS, PIVOTS = 3, 8
 FLUSH = 500_000   # part hashes that a task holds
+MARK = np.uint32    # of a part among those of its bucket
+PLACES = {2: np.uint16, 4: np.int32, 8: np.int64}  # of documents among those of a task, by their bytes
 SLICES = 64         # of the hash space, at least, whose counts tell sets apart
 SLICE_SHINGLES = 4  # shingles a slice
 PAIR_COUNTS = 1 << 21  # counts of pairs compared at a time
@@ -261,11 +264,11 @@ def _part_rows(buckets: int, shingle: int, percent: int):
             given.clear()
             bucket = (keys % U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            keys, nodes, bucket = keys[order], nodes[order], bucket[order]
-            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(keys)]
+            marks, nodes, bucket = (keys >> U(32)).astype(MARK)[order], nodes[order], bucket[order]
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist() + [len(marks)]
             base = int(nodes.min())
-            kind = np.int32 if int(nodes.max()) - base < 1 << 31 else np.int64
-            packed = [(int(bucket[a]), keys[a:b].tobytes(), (nodes[a:b] - base).astype(kind).tobytes())
+            kind = next(k for k in PLACES.values() if int(nodes.max()) - base <= np.iinfo(k).max)
+            packed = [(int(bucket[a]), marks[a:b].tobytes(), (nodes[a:b] - base).astype(kind).tobytes())
                       for a, b in pairwise(cuts)]
             for lo in range(0, len(packed), 512):
                 part = packed[lo:lo + 512]
@@ -341,9 +344,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if keys:
                     yield from finish()
                 bucket, keys, docs = at, [], []
-            k = np.frombuffer(k, U)
+            k = np.frombuffer(k, MARK)
             keys.append(k)
-            docs.append(np.frombuffer(d, np.int32 if len(d) == 4 * len(k) else np.int64).astype(np.int64) + base)
+            docs.append(np.frombuffer(d, PLACES[len(d) // len(k)]).astype(np.int64) + base)
     if keys:
         yield from finish()
     give_back()
@@ -646,24 +649,24 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
                .where("shared >= need").select("doc_id", "n", "counts"))
     near = (lists.join(counted, "doc_id").select("list", "doc_id", "n", "counts")
             .repartition("list").sortWithinPartitions("list").mapInArrow(_told_apart(percent), LINKS))
-    families = components(near.union(large).union(_bridges(rows)).distinct())
+    families = components(written(near.union(large).union(_bridges(rows)).distinct(), "near"))
 
     # one document for each set, the least; the family of a set is that of any document that gave its parts
     sets = (rows.where("n_shingles > 0").join(families, rows.doc_id == families.node, "left").groupBy("k1", "k2")
             .agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.min("component").alias("component")))
-    sets = cut(sets)
+    sets = written(sets, "sets")
     members = sets.where(F.col("component").isNotNull()).select("component", "first_id", "n")
     # families of one set need no join
     regions = members.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
-    members = cut(members.join(regions, "component").select(
+    members = written(members.join(regions, "component").select(
         F.col("first_id").alias("doc_id"), F.col("component").cast("string").alias("region"),
-        (F.col("total") > limit).alias("large")).distinct())
+        (F.col("total") > limit).alias("large")).distinct(), "members")
     links = _joined(worded.join(members.where("not large"), "doc_id").select("region", "doc_id", "text"), percent, shingle)
     if not members.where("large").isEmpty():
         asked = worded.join(members.where("large"), "doc_id").select("region", "doc_id", "text")
         large = written(map_chunks(asked, _set_rows(shingle), SETS).where(F.length("items") > 0).distinct(), "regions")
         links = links.union(link_large(large, percent, limit, levels))
-    links = cut(links)
+    links = written(links, "links")
     # equal sets are links, too
     same = (rows.where("n_shingles > 0").join(sets.select("k1", "k2", "first_id"), ["k1", "k2"]).where("doc_id != first_id")
             .select(F.col("first_id").alias("a"), F.col("doc_id").alias("b")))

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pyarrow.parquet as pq
 import pytest
 
@@ -216,3 +217,43 @@ def test_long_lists_are_taken_whole(make_docs, monkeypatch):
 def test_order_of_rows_does_not_matter(make_docs):
     rows = _corpus(23)
     assert got(jac.similar_documents(make_docs(rows[::-1]).coalesce(1))) == brute(rows)
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+
+def test_shuffle_files_go_when_a_step_is_written(spark):
+    import time
+
+    from cursus.llm.shared import _FREED, written
+    before, set_to = _shuffle_files(spark), spark.conf.get(_FREED, None)
+    rows = spark.range(2000, numPartitions=4).selectExpr("id % 97 AS k", "id").groupBy("k").agg({"id": "max"})
+    kept = written(rows, "freed")
+    end = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < end:
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - before
+    assert kept.count() == 97 and rows.count() == 97 and spark.conf.get(_FREED, None) == set_to
+
+
+@pytest.mark.parametrize("step, place", [(1, 2), (1 << 20, 4), (1 << 40, 8)])
+def test_parts_are_packed_in_few_bytes_and_meet(step, place):
+    texts = [" ".join(f"w{k}x{i // 2}" for k in range(40)) for i in range(100)]
+    ids = np.arange(100, dtype=np.int64) * step + 5
+    batch = pa.record_batch([pa.array(ids), pa.array(texts)], ["doc_id", "text"])
+    out = pa.Table.from_batches(jac._part_rows(8, 4, 85)([batch]))
+    packed = out.filter(pa.compute.is_valid(out["docs"])).sort_by("bucket")
+    sizes = [(len(k), len(d)) for k, d in zip(packed["keys"].to_pylist(), packed["docs"].to_pylist())]
+    assert sizes and all(d * 4 == k * place for k, d in sizes)
+    every = np.concatenate([np.frombuffer(k, np.uint32) for k in packed["keys"].to_pylist()])
+    sets, first = jac.shingle_sets(pa.array(texts[::2]), 4)  # one of each two equal sets gives its parts
+    assert len(every) == len(jac.part_hashes(sets, first)[0])
+    # texts that share a shingle but for one word meet, whatever their ids
+    near = [t.replace("w39x", "v39x") for t in texts]
+    both = pa.record_batch([pa.array(np.concatenate([ids, ids + 1])), pa.array(texts + near)], ["doc_id", "text"])
+    rows = pa.Table.from_batches(jac._part_rows(8, 4, 85)([both]))
+    met = pa.Table.from_batches(jac._meet(rows.sort_by("bucket").to_batches()))
+    lists = [set(x) for x in met["docs"].to_pylist() if x is not None]
+    assert all(any({int(i), int(i) + 1} <= x for x in lists) for i in ids[::2])
