@@ -97,6 +97,21 @@ def test_registered_diff_and_digest_read_all_reports(spark, base, monkeypatch):
     assert registry.run("result_digest", spark, SF_SMALL) == {"total": None} | {x: [x] for x in base.cfg.reported_brands}
 
 
+def test_registered_diff_joins_the_tables_once(spark, base, monkeypatch):
+    from cursus.plans import bundle, registry
+    monkeypatch.setattr(bundle, "bundle_diff", lambda a, b: (a, b))
+    lazy, mat = registry.run("result_diff", spark, SF_SMALL)
+    for side in (lazy, mat):
+        for report in ("course_catalog", "growth_accounting", "funnel"):
+            assert not [f for f in side[report]().inputFiles() if "lineitem" in f or "orders" in f]
+    pick = ("growth_accounting", "course_catalog", "yoy_by_month")
+    want = _rows(bundle_digest({k: v for k, v in bundle_builders(base).items() if k in pick}))
+    assert _rows(bundle_digest({k: lazy[k] for k in pick})) == want == _rows(bundle_digest({k: mat[k] for k in pick}))
+    # the lazy side reads usage itself, no rollup of it
+    assert all("/usage/" in f for f in lazy["hours_per_user"]().inputFiles()) and not any(
+        "/usage/" in f for f in mat["hours_per_user"]().inputFiles())
+
+
 def test_shared_reports_are_those_of_each_slice(base):
     brand = base.cfg.reported_brands[0]
     pick = ("funnel", "growth_by_brand", "yoy_by_month", "pop_by_period")
