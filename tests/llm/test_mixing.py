@@ -73,7 +73,8 @@ def test_query_equals_sql(spark):
 
 def test_sql_twins_of_the_other_operators(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     for name in sorted(queries.ORACLE_SQL):
         want = con.execute(queries.ORACLE_SQL[name])
         columns = [c[0] for c in want.description]

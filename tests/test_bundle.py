@@ -140,3 +140,15 @@ def test_slices_of_a_report_run_one_after_another(base, monkeypatch):
     assert sorted(map(tuple, got)) == sorted((x, r) for x in slices for r in reports)
     shared = bundle.BY_BRAND | bundle.WHOLE_SERIES | bundle.EVERY_SLICE
     assert ran == [(x, r) for r in reports for x in (["total"] if r in shared else slices)]
+
+
+def test_rollup_rows_lie_by_slice(base):
+    import pyarrow.parquet as pq
+
+    from cursus.plans.base import materialized
+    for level in ("pairs", "users"):
+        table = materialized(base).rollups[level]
+        files = [f.removeprefix("file:") for f in table.inputFiles()]
+        rows = [[(x or "", y or "") for x, y in zip(t["brand"].to_pylist(), t["population"].to_pylist())]
+                for t in (pq.ParquetFile(f"/{f.lstrip('/')}").read(["brand", "population"]) for f in files)]
+        assert all(r == sorted(r) for r in rows) and any(len(set(r)) > 2 for r in rows)
